@@ -17,7 +17,8 @@ from interviewflow.functions.columns import require_columns
 from interviewflow.functions.labels import status_text
 from interviewflow.functions.templates import render
 from interviewflow.functions.text import strip_ws
-from interviewflow.operators.spread import bucket_starts, number_rows, spread_join
+from interviewflow.operators.spread import number_rows, spread_join
+from interviewflow.session import cut
 
 SHOT_NAMES = ("zero_shot_name", "one_shot_name")
 # Hex digits of a hash that make a bucket: 65,536 for keys of a class or
@@ -51,23 +52,23 @@ def _pool_index(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pool = pool.withColumn("cell", F.left("hk", F.lit(OWN_DIGITS)))
     cells = pool.groupBy("cls", "id", "hp", "cell").agg(F.count(F.lit(1)).alias("n"))
 
-    people = cells.groupBy("cls", "id", "hp").agg(F.sum("n").alias("own"))
-    people = people.withColumn("__bucket", F.left("hp", F.lit(KEY_DIGITS)))
-    totals = people.groupBy("cls", "__bucket").agg(F.sum("own").alias("n"))
-    upto = Window.partitionBy("cls").orderBy("__bucket")
-    starts = totals.select("cls", "__bucket", (F.sum("n").over(upto) - F.col("n")).alias("start"))
+    # A person has at most 4,096 cells.
+    person = Window.partitionBy("cls", "id")
+    upto = person.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("own", F.sum("n").over(person)).withColumn("off", F.sum("n").over(upto) - F.col("n"))
+    people = cells.where(F.col("off") == 0).select("cls", "id", "hp", "own", F.left("hp", F.lit(KEY_DIGITS)).alias("bucket"))
+    totals = people.groupBy("cls", "bucket").agg(F.sum("own").alias("n"))
+    earlier = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    starts = totals.select("cls", "bucket", (F.sum("n").over(earlier) - F.col("n")).alias("start"))
     sizes = totals.groupBy("cls").agg(F.sum("n").alias("size"))
-    inside = Window.partitionBy("cls", "__bucket").orderBy("hp", "id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("cls", "bucket").orderBy("hp", "id").rowsBetween(Window.unboundedPreceding, 0)
     # At most 65,536 bucket starts per class.
     people = (
         people.withColumn("lo", F.sum("own").over(inside) - F.col("own"))
-        .join(F.broadcast(starts), ["cls", "__bucket"])
+        .join(F.broadcast(starts), ["cls", "bucket"])
         .select("cls", "id", (F.col("lo") + F.col("start")).alias("lo"), "own")
     )
-
-    before = Window.partitionBy("cls", "id").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.select("cls", "id", "cell", (F.sum("n").over(before) - F.col("n")).alias("off"))
-    cells = cells.join(people.select("cls", "id", "lo"), ["cls", "id"])
+    cells = cells.select("cls", "id", "cell", "off").join(people.select("cls", "id", "lo"), ["cls", "id"])
     rank = F.row_number().over(Window.partitionBy("cls", "id", "cell").orderBy("hk", "key")) - 1
     entries = (
         pool.withColumn("rank", rank)
@@ -97,7 +98,7 @@ def shots_with_reuse(
     counted = df.groupBy(
         F.col(key_col).alias("key"), F.col(id_col).alias("id"), F.col(label_col).alias("cls")
     ).agg(F.count(F.lit(1)).alias("n"))
-    keys = counted.select(_once(F.col("n"), F.col("key"), key_col).alias("key"), "id", "cls")
+    keys = cut(counted.select(_once(F.col("n"), F.col("key"), key_col).alias("key"), "id", "cls"))
     entries, people, sizes = _pool_index(keys)
 
     targets = keys.select("key", "id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cls"))
@@ -138,18 +139,18 @@ def shots_no_reuse(
     pool = train.select(F.col(label_col).alias("cls"), F.col(key_col).alias("key")).where(F.col("cls").isin(0, 1))
     pool = pool.groupBy("cls", "key").agg(F.count(F.lit(1)).alias("n"))
     pool = pool.select("cls", _once(F.col("n"), F.col("key"), key_col).alias("shot"))
-    pool = pool.withColumn("h", _hash(F.lit(seed), F.col("cls"), F.col("shot")))
+    pool = cut(pool.withColumn("h", _hash(F.lit(seed), F.col("cls"), F.col("shot"))))
     pool = number_rows(pool, ["cls"], [F.col("h"), F.col("shot")], F.left("h", F.lit(KEY_DIGITS)), "idx")
 
     rows = test.groupBy(test_key).agg(F.count(F.lit(1)).alias("n"))
     same = F.col(test_key).cast("string")
-    rows = rows.withColumn("h", _hash(_once(F.col("n"), same, test_key)))
+    rows = cut(rows.withColumn("h", _hash(_once(F.col("n"), same, test_key))))
     rows = number_rows(rows, [], [F.col("h"), F.col(test_key)], F.left("h", F.lit(KEY_DIGITS)), "idx")
 
-    drawn = rows.select(test_key, "idx")
-    for cls, name in enumerate(names):
-        drawn = drawn.join(pool.where(F.col("cls") == cls).select("idx", F.col("shot").alias(name)), "idx")
-    return test.join(drawn.drop("idx"), test_key)
+    pairs = pool.groupBy("idx").agg(
+        *[F.max(F.when(F.col("cls") == c, F.col("shot"))).alias(name) for c, name in enumerate(names)]
+    )
+    return test.join(rows.select(test_key, "idx").join(pairs, "idx").drop("idx"), test_key)
 
 
 def _check_sizes(train: DataFrame, test: DataFrame, label_col: str) -> None:

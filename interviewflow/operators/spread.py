@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A key counts as hot from this many rows on. At most HOT_KEYS of the most
-# frequent keys are salted, so the broadcast list of them has a fixed size;
-# any key left out has less than 1/HOT_KEYS of the rows.
+# Used only where the session has adaptive skew joins switched off: a key counts
+# as hot from HOT_ROWS rows on, and at most HOT_KEYS of the most frequent keys
+# are salted, so their list has a fixed size. Any key left out has less than
+# 1/HOT_KEYS of the rows.
 HOT_ROWS = 200_000
 HOT_KEYS = 1_024
 SALTS = 128
@@ -18,16 +19,10 @@ SALTS = 128
 PIECE_BITS = 12
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS, limit: int = HOT_KEYS) -> DataFrame:
-    """The most frequent keys of ``df``: at most ``limit`` rows, null keys included."""
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    return counted.where(F.col("__n") >= min_rows).orderBy(F.col("__n").desc(), *on).limit(limit).select(*on)
-
-
-def _mark_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
-    named = hot.select(*[F.col(c).alias(f"__hot_{c}") for c in on], F.lit(True).alias("__hot"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__hot_{c}")) for c in on])
-    return df.join(F.broadcast(named), same, "left").drop(*[f"__hot_{c}" for c in on])
+def adaptive_skew(spark: SparkSession) -> bool:
+    """Whether Spark itself splits skewed join partitions at run time."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(name, "true") == "true" for name in names)
 
 
 def spread_join(
@@ -36,29 +31,45 @@ def spread_join(
     on: str | Sequence[str],
     how: str = "inner",
     spread: Sequence[str] | None = None,
+    adaptive: bool | None = None,
     min_rows: int = HOT_ROWS,
-    limit: int = HOT_KEYS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of a big ``left`` with a ``right`` that has few rows per key.
 
-    Hot keys of ``left`` (null among them) are dealt over ``salts`` shuffle
-    keys by a hash of the ``spread`` columns, and the matching ``right`` rows
-    are copied once per salt; all other keys take the plain path. The salt
-    depends on row content only, so a recomputed task deals rows the same way.
+    ``left`` may be skewed, null keys included. With adaptive skew joins (the
+    default of Spark) this is a plain join: oversized partitions of ``left``
+    are split when their true size is known, without another pass. These kinds
+    of join all allow that split. Without them hot keys are salted here, by a
+    hash of the ``spread`` columns (row content only, so a repeated task deals
+    rows the same way).
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how is inner, left, left_semi or left_anti, not {how!r}")
-    hot = hot_keys(left, on, min_rows, limit)
-    columns = list(spread) if spread else [c for c in left.columns]
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    if adaptive_skew(left.sparkSession) if adaptive is None else adaptive:
+        return left.join(right, on, how)
+    hot = hot_keys(left, on, min_rows)
+    columns = list(spread) if spread else left.columns
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     dealt = _mark_hot(left, hot, on).withColumn("__salt", salt).drop("__hot")
-    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copied = _mark_hot(right, hot, on).withColumn("__salt", F.explode(every)).drop("__hot")
     return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS, limit: int = HOT_KEYS) -> DataFrame:
+    """The most frequent keys, null keys included: one job, at most ``limit`` rows come back."""
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows)
+    top = counted.orderBy(F.col("__n").desc(), *on).limit(limit).select(*on)
+    return df.sparkSession.createDataFrame(top.collect(), top.schema)
+
+
+def _mark_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
+    named = hot.select(*[F.col(c).alias(f"__hot_{c}") for c in on], F.lit(True).alias("__hot"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__hot_{c}")) for c in on])
+    return df.join(F.broadcast(named), same, "left").drop(*[f"__hot_{c}" for c in on])
+
+
 def concat_pieces(
     df: DataFrame,
     keys: Sequence[str],
