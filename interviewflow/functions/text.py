@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,12 +74,10 @@ def token_count(col: Column, tokenizer: Callable[[], Callable[[str], list]] | No
     if tokenizer is None:
         return F.coalesce(F.regexp_count(col, F.lit(WORD_PATTERN)), F.lit(0))
 
-    import pandas as pd
-
-    def count(batches):
+    @F.pandas_udf(T.IntegerType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = tokenizer()
         for batch in batches:
             yield batch.map(lambda s: 0 if s is None else len(encode(s))).astype("int32")
 
-    count.__annotations__ = {"batches": "Iterator[pd.Series]", "return": "Iterator[pd.Series]"}
-    return F.pandas_udf(count, T.IntegerType(), F.PandasUDFType.SCALAR_ITER)(col)
+    return count(col)
