@@ -9,3 +9,11 @@ Catalyst sees the whole plan. Sub-packages:
 * ``plans``      the composed jobs a user starts from
 * ``streaming``  incremental prompt processing
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Generator and tokenizer code is sent to Python workers by value, so the
+# package need not be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

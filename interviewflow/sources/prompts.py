@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from interviewflow.sources.tables import file_name
+
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """(key, prompt) from ``<key>.txt`` files; the prompt is the whole file."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     return files.select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("key"), F.col("value").alias("prompt")
+        F.regexp_replace(file_name(), r"\.txt$", "").alias("key"), F.col("value").alias("prompt")
     )
 
 
@@ -29,5 +31,5 @@ def write_prompts(df: DataFrame, folder: str, key: str = "key", prompt: str = "p
 
 def read_written_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """(key, prompt) as given to ``write_prompts``: keys stay text, the added line end goes."""
-    rows = spark.read.schema("value string, key string").option("wholetext", True).text(folder)
+    rows = spark.read.schema("value string, key string").text(folder, wholetext=True)
     return rows.select("key", F.regexp_replace("value", r"\n\z", "").alias("prompt"))

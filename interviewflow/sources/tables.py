@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_name() -> Column:
+    """Name of the file a row was read from, as it is in the folder (Spark gives it URL-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def find_separator(spark: SparkSession, path: str, sep: str | None = None) -> str:
     """The given separator; tab for .tsv, comma for .csv; else what the first line has more of."""
     if sep is not None:

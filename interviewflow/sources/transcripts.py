@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from interviewflow.defaults import TEXT_NAMES
 from interviewflow.operators.spread import spread_join
-from interviewflow.sources.tables import quoted_line_breaks
+from interviewflow.sources.tables import file_name, quoted_line_breaks
 
 PATTERN = "*_Transcript.csv"
 # Different header lines one folder may have; each costs a scan of the folder.
@@ -21,17 +21,15 @@ ORDER = ("file_name", "block", "line")
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """Names of the matching files, empty ones included. Contents are not read."""
+    """Names of the matching files. Contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("__uri")).select(
-        F.url_decode(F.replace(F.col("__uri"), F.lit("+"), F.lit("%2B"))).alias("file_name")
-    )
+    return found.select(file_name().alias("file_name"))
 
 
 def file_headers(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
     """(file_name, header): the first line of every file that has one."""
     lines = spark.read.text(folder, pathGlobFilter=pattern).select(
-        F.col("_metadata.file_name").alias("file_name"),
+        file_name().alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         "value",
@@ -60,7 +58,7 @@ def _scan(spark, folder, pattern, columns: Sequence[str], text: str | None, sep,
     )
     cell: Column = F.lit(None).cast("string") if text is None else F.col(f"c{list(columns).index(text)}")
     return rows.select(
-        F.col("_metadata.file_name").alias("file_name"),
+        file_name().alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         cell.alias("text"),
@@ -84,6 +82,7 @@ def read_utterances(
     Naming the ``columns`` all files share saves that pass. Each file also
     gives one row with null text, so files without utterances, or without a
     text column, are not lost; with ``need_text`` the latter are left out.
+    A file of zero bytes is never seen: Spark's file sources skip it.
     """
     if multiline is None:
         multiline = quoted_line_breaks(spark, folder, pathGlobFilter=pattern)

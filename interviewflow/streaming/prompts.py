@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from interviewflow.operators.generate import Generator, _result_schema, finished
+from interviewflow.sources.tables import file_name
 
 
 def stream_generate(
@@ -29,7 +30,7 @@ def stream_generate(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     prompts = reader.format("text").load(folder).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("key"), F.col("value").alias("prompt")
+        F.regexp_replace(file_name(), r"\.txt$", "").alias("key"), F.col("value").alias("prompt")
     )
     todo = prompts.select("key", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("candidate_no"), "prompt")
     if done is not None:

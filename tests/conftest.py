@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,6 +6,8 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
+# Workers see the test modules only; the library must reach them by itself.
+os.environ["PYTHONPATH"] = str(ROOT / "tests")
 
 from interviewflow.session import local_session  # noqa: E402
 
