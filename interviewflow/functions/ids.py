@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from interviewflow.functions.text import strip_ws
 
@@ -47,6 +48,14 @@ def read_id(col: Column, id_type: str) -> Column:
     raise ValueError(f"id_type is 'int' or 'string', not {id_type!r}")
 
 
+def id_of(df: DataFrame, name: str, id_type: str = "int") -> Column:
+    """``read_id`` of a column. A whole-number column is its own integer id, so
+    filters on it still reach the scan."""
+    if id_type == "int" and isinstance(df.schema[name].dataType, T.IntegralType):
+        return F.col(name).cast("bigint")
+    return read_id(F.col(name), id_type)
+
+
 def padded_id(col: Column, width: int = 16) -> Column:
     """Text key that sorts numbers by value: zeros in front, behind a sign; never cut."""
     sign = F.when(F.left(col, F.lit(1)).isin("+", "-"), F.left(col, F.lit(1))).otherwise("")

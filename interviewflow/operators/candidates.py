@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from interviewflow.defaults import DEFAULT_PICKS, SELECTION_PATTERNS
 from interviewflow.functions.columns import candidate_columns, find_columns, require_columns
-from interviewflow.functions.ids import int_id
+from interviewflow.functions.ids import id_of, int_id
 from interviewflow.functions.picks import picks_from_cells
 from interviewflow.operators.reshape import renumber
 from interviewflow.operators.spread import spread_join
@@ -49,10 +49,10 @@ def default_picks(picks: Column, id_col: Column, defaults: Mapping[int, Sequence
 def default_picks_from_table(df: DataFrame, picks: str, defaults: DataFrame, id_col: str, numbers: str) -> DataFrame:
     """Like ``default_picks`` with the list in a table of (id, array of numbers)."""
     listed = defaults.select(
-        int_id(F.col(id_col)).alias("__id"),
+        id_of(defaults, id_col).alias("__id"),
         F.array_sort(F.array_distinct(F.array_compact(F.col(numbers).cast("array<bigint>")))).alias("__default"),
     )
-    joined = spread_join(df.withColumn("__id", int_id(F.col(id_col))), listed, "__id", "left")
+    joined = spread_join(df.withColumn("__id", id_of(df, id_col)), listed, "__id", "left")
     empty = F.coalesce(F.size(picks), F.lit(0)) == 0
     filled = F.when(empty, F.coalesce("__default", F.col(picks))).otherwise(F.col(picks))
     return joined.select(*[filled.alias(c) if c == picks else F.col(c) for c in df.columns])

@@ -50,30 +50,28 @@ def _pool_index(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "cls", "id", "key", _hash(F.col("id")).alias("hp"), _hash(F.col("key")).alias("hk")
     )
     pool = pool.withColumn("cell", F.left("hk", F.lit(OWN_DIGITS)))
+    # Entries are counted per cell, a small part of one person's entries, so
+    # the people below have at most 4,096 rows each however many entries.
     cells = pool.groupBy("cls", "id", "hp", "cell").agg(F.count(F.lit(1)).alias("n"))
-
-    # A person has at most 4,096 cells.
-    person = Window.partitionBy("cls", "id")
-    upto = person.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("own", F.sum("n").over(person)).withColumn("off", F.sum("n").over(upto) - F.col("n"))
-    people = cells.where(F.col("off") == 0).select("cls", "id", "hp", "own", F.left("hp", F.lit(KEY_DIGITS)).alias("bucket"))
-    totals = people.groupBy("cls", "bucket").agg(F.sum("own").alias("n"))
+    cells = cells.withColumn("bucket", F.left("hp", F.lit(KEY_DIGITS)))
+    totals = cells.groupBy("cls", "bucket").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     starts = totals.select("cls", "bucket", (F.sum("n").over(earlier) - F.col("n")).alias("start"))
     sizes = totals.groupBy("cls").agg(F.sum("n").alias("size"))
-    inside = Window.partitionBy("cls", "bucket").orderBy("hp", "id").rowsBetween(Window.unboundedPreceding, 0)
+
+    inside = Window.partitionBy("cls", "bucket").orderBy("hp", "id", "cell").rowsBetween(Window.unboundedPreceding, 0)
     # At most 65,536 bucket starts per class.
-    people = (
-        people.withColumn("lo", F.sum("own").over(inside) - F.col("own"))
+    placed = (
+        cells.withColumn("at", F.sum("n").over(inside) - F.col("n"))
         .join(F.broadcast(starts), ["cls", "bucket"])
-        .select("cls", "id", (F.col("lo") + F.col("start")).alias("lo"), "own")
+        .select("cls", "id", "cell", "n", (F.col("at") + F.col("start")).alias("at"))
     )
-    cells = cells.select("cls", "id", "cell", "off").join(people.select("cls", "id", "lo"), ["cls", "id"])
+    people = placed.groupBy("cls", "id").agg(F.min("at").alias("lo"), F.sum("n").alias("own"))
     rank = F.row_number().over(Window.partitionBy("cls", "id", "cell").orderBy("hk", "key")) - 1
     entries = (
         pool.withColumn("rank", rank)
-        .join(cells, ["cls", "id", "cell"])
-        .select("cls", (F.col("lo") + F.col("off") + F.col("rank")).alias("idx"), F.col("key").alias("shot"))
+        .join(placed, ["cls", "id", "cell"])
+        .select("cls", (F.col("at") + F.col("rank")).alias("idx"), F.col("key").alias("shot"))
     )
     return entries, people, sizes
 

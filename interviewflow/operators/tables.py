@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from interviewflow.defaults import CORRECTED_IDS
 from interviewflow.functions.columns import require_columns
-from interviewflow.functions.ids import int_id, padded_id, read_id
+from interviewflow.functions.ids import id_of, padded_id
 from interviewflow.operators.spread import spread_join
 
 
@@ -23,7 +23,7 @@ def keep_first(df: DataFrame, key: str | Sequence[str], order_by: Sequence[str],
     """
     keys = [key] if isinstance(key, str) else list(key)
     require_columns(df, [*keys, *order_by])
-    read = [F.col(k) if id_type is None else read_id(F.col(k), id_type) for k in keys]
+    read = [F.col(k) if id_type is None else id_of(df, k, id_type) for k in keys]
     rank = F.row_number().over(Window.partitionBy(*read).orderBy(*order_by))
     return df.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
 
@@ -37,14 +37,14 @@ def keep_ids(df: DataFrame, ids: DataFrame, id_col: str, id_type: str = "int") -
     """Rows whose id is in the list; a null id never matches."""
     require_columns(df, [id_col])
     require_columns(ids, [id_col], "id list")
-    wanted = distinct_keys(ids.select(read_id(F.col(id_col), id_type).alias("__id")), "__id")
-    read = df.withColumn("__id", read_id(F.col(id_col), id_type))
+    wanted = distinct_keys(ids.select(id_of(ids, id_col, id_type).alias("__id")), "__id")
+    read = df.withColumn("__id", id_of(df, id_col, id_type))
     return spread_join(read, wanted, "__id", "left_semi").drop("__id")
 
 
 def sort_ids(df: DataFrame, id_col: str, id_type: str = "int", ord: Sequence[str] = ()) -> DataFrame:
     """Ascending by id, nulls last; ``ord`` keeps ties stable (and splits a hot id over ranges)."""
-    key = int_id(F.col(id_col)) if id_type == "int" else padded_id(F.col(id_col).cast("string"))
+    key = id_of(df, id_col) if id_type == "int" else padded_id(F.col(id_col).cast("string"))
     return df.orderBy(key.asc_nulls_last(), *ord)
 
 
@@ -71,7 +71,7 @@ def id_overlap(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 def _listed(df: DataFrame, ids: DataFrame | Sequence[int], id_col: str) -> DataFrame:
     if isinstance(ids, DataFrame):
         require_columns(ids, [id_col], "id list")
-        return ids.select(int_id(F.col(id_col)).alias("__id")).where(F.col("__id").isNotNull()).distinct()
+        return ids.select(id_of(ids, id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
     rows = [(int(i),) for i in dict.fromkeys(ids)]
     return df.sparkSession.createDataFrame(rows, "__id bigint")
 
@@ -87,10 +87,10 @@ def correct_labels(
     if id_col not in df.columns or label_col not in df.columns:
         return df
     if not isinstance(ids, DataFrame):
-        hit = int_id(F.col(id_col)).isin(*[int(i) for i in ids])
+        hit = id_of(df, id_col).isin(*[int(i) for i in ids])
         return df.withColumn(label_col, F.when(hit, F.lit(value).cast(df.schema[label_col].dataType)).otherwise(F.col(label_col)))
     listed = _listed(df, ids, id_col).withColumn("__listed", F.lit(True))
-    joined = spread_join(df.withColumn("__id", int_id(F.col(id_col))), listed, "__id", "left")
+    joined = spread_join(df.withColumn("__id", id_of(df, id_col)), listed, "__id", "left")
     label = F.when(F.col("__listed"), F.lit(value).cast(df.schema[label_col].dataType)).otherwise(F.col(label_col))
     return joined.withColumn(label_col, label).select(*df.columns)
 
@@ -106,7 +106,7 @@ def correction_report(
     listed = _listed(df, ids, id_col)
     changes = F.when(F.col(label_col).eqNullSafe(F.lit(value)), 0).otherwise(1)
     found = (
-        df.select(int_id(F.col(id_col)).alias("__id"), changes.alias("__changed"))
+        df.select(id_of(df, id_col).alias("__id"), changes.alias("__changed"))
         .where(F.col("__id").isNotNull())
         .groupBy("__id")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("__changed").alias("n_changed"))
@@ -169,7 +169,7 @@ def id_range(df: DataFrame, id_col: str, lo: int, hi: int) -> DataFrame:
     """Rows with ``lo <= id <= hi``."""
     if lo < 0 or hi < lo:
         raise ValueError(f"id range needs 0 <= start <= end, got {lo} and {hi}")
-    return df.where(int_id(F.col(id_col)).between(lo, hi))
+    return df.where(id_of(df, id_col).between(lo, hi))
 
 
 def class_pool(df: DataFrame, label_col: str, value: int) -> DataFrame:

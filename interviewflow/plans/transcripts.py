@@ -15,8 +15,8 @@ from interviewflow.operators.transcripts import (
     merge_files,
     update_transcripts,
 )
-from interviewflow.sources.tables import read_table
-from interviewflow.sources.transcripts import ORDER, PATTERN, read_utterances
+from interviewflow.sources.tables import ORDER, read_table
+from interviewflow.sources.transcripts import PATTERN, read_utterances
 
 SPLITS = {"test": ("test",), "train": ("train",), "both": ("test", "train")}
 

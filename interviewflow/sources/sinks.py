@@ -21,8 +21,8 @@ def write_versioned(df: DataFrame, base: str, run_id: str) -> str:
     return copy
 
 
-def write_formats(df: DataFrame, base: str, formats: str) -> list[str]:
-    """Writes ``csv``, ``parquet`` or ``both`` beside the base path. Returns the paths."""
+def write_formats(df: DataFrame, base: str, formats: str, sep: str = ",") -> list[str]:
+    """Writes ``csv``, ``parquet`` or ``both`` under the base path plus its format. Returns the paths."""
     known = {"csv": ["csv"], "parquet": ["parquet"], "both": ["csv", "parquet"]}
     if formats.lower() not in known:
         raise ValueError(f"format is one of {sorted(known)}, not {formats!r}")
@@ -31,7 +31,7 @@ def write_formats(df: DataFrame, base: str, formats: str) -> list[str]:
         path = f"{base}.{fmt}"
         writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer.csv(path, header=True, quote='"', escape='"')
+            writer.csv(path, header=True, sep=sep, quote='"', escape='"')
         else:
             writer.parquet(path)
         paths.append(path)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from interviewflow.defaults import NULL_TOKENS
+from interviewflow.functions.text import null_tokens
+
+# Columns that put the rows of a file or folder in order.
+ORDER = ("file_name", "block", "line")
 
 def file_name() -> Column:
     """Name of the file a row was read from, as it is in the folder (Spark gives it URL-encoded)."""
@@ -32,16 +39,24 @@ def quoted_line_breaks(spark: SparkSession, path: str, **options) -> bool:
     return not lines.where(quotes % 2 == 1).isEmpty()
 
 
-def read_table(spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    multiline: bool | None = None,
+    nulls: Iterable[str] = NULL_TOKENS,
+    order: bool = False,
+) -> DataFrame:
     """Delimited file or folder with a header line, every column as text.
 
-    Without ``multiline`` the file is looked through once for cells that span
-    lines. Only if there are some is it read unsplit; otherwise even a single
-    huge file is read by many tasks.
+    Cells equal to one of ``nulls`` are null. ``order`` adds the columns of
+    ``ORDER``, which hold the place of each row. Without ``multiline`` the file
+    is looked through once for cells that span lines. Only if there are some is
+    it read unsplit; otherwise even a single huge file is read by many tasks.
     """
     if multiline is None:
         multiline = quoted_line_breaks(spark, path)
-    return spark.read.csv(
+    rows = spark.read.csv(
         path,
         sep=find_separator(spark, path, sep),
         header=True,
@@ -50,3 +65,14 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, multiline
         multiLine=multiline,
         inferSchema=False,
     )
+    cells = [null_tokens(F.col(f"`{c}`"), nulls).alias(c) if nulls else F.col(f"`{c}`") for c in rows.columns]
+    return rows.select(*cells, *(row_place() if order else []))
+
+
+def row_place() -> list[Column]:
+    """Columns of ``ORDER``; to be taken directly from a scan."""
+    return [
+        file_name().alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    ]

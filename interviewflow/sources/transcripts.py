@@ -11,13 +11,11 @@ from pyspark.sql import types as T
 
 from interviewflow.defaults import TEXT_NAMES
 from interviewflow.operators.spread import spread_join
-from interviewflow.sources.tables import file_name, quoted_line_breaks
+from interviewflow.sources.tables import ORDER, file_name, quoted_line_breaks, row_place
 
 PATTERN = "*_Transcript.csv"
 # Different header lines one folder may have; each costs a scan of the folder.
 MAX_HEADERS = 100
-# Columns that put the utterances of a folder in order.
-ORDER = ("file_name", "block", "line")
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
@@ -28,12 +26,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> Data
 
 def file_headers(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
     """(file_name, header): the first line of every file that has one."""
-    lines = spark.read.text(folder, pathGlobFilter=pattern).select(
-        file_name().alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
+    lines = spark.read.text(folder, pathGlobFilter=pattern).select(*row_place(), "value")
     first = lines.where(F.col("block") == 0).groupBy("file_name").agg(F.min_by("value", "line").alias("header"))
     return first
 
@@ -57,12 +50,7 @@ def _scan(spark, folder, pattern, columns: Sequence[str], text: str | None, sep,
         pathGlobFilter=pattern,
     )
     cell: Column = F.lit(None).cast("string") if text is None else F.col(f"c{list(columns).index(text)}")
-    return rows.select(
-        file_name().alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        cell.alias("text"),
-    )
+    return rows.select(*row_place(), cell.alias("text"))
 
 
 def read_utterances(

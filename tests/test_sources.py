@@ -13,12 +13,13 @@ from interviewflow.plans.candidates import (
 )
 from interviewflow.operators.generate import per_request
 from interviewflow.plans.scoring import score_corpus
+from interviewflow.plans.tables import correct_table, dedupe_table, filter_table, stack_tables
 from interviewflow.plans.transcripts import roster_update, transcript_splits
 from interviewflow.session import cut, shared_dir
 from interviewflow.sources.prompts import read_prompts, read_written_prompts, write_prompts
 from interviewflow.sources.sinks import with_preview, write_formats, write_versioned
-from interviewflow.sources.tables import find_separator, quoted_line_breaks, read_table
-from interviewflow.sources.transcripts import ORDER, list_files, read_utterances
+from interviewflow.sources.tables import ORDER, find_separator, quoted_line_breaks, read_table
+from interviewflow.sources.transcripts import list_files, read_utterances
 
 
 def bag(df):
@@ -38,7 +39,8 @@ def test_read_table(spark, tmp_path):
     file = tmp_path / "t.csv"
     file.write_text('id,t\n01,"two\nlines"\n2," say ""hi"" "\nNA,5\n')
     assert quoted_line_breaks(spark, str(file))
-    assert bag(read_table(spark, str(file))) == [("01", "two\nlines"), ("2", ' say "hi" '), ("NA", "5")]
+    assert bag(read_table(spark, str(file))) == [("01", "two\nlines"), ("2", ' say "hi" '), (None, "5")]
+    assert bag(read_table(spark, str(file), nulls=()))[-1] == ("NA", "5")
     file.write_text('id\tt\n1\t"a ""b"""\n')
     assert not quoted_line_breaks(spark, str(file))
     assert bag(read_table(spark, str(file), "\t")) == [("1", 'a "b"')]
@@ -237,3 +239,35 @@ def test_score_corpus(spark):
     assert score_corpus(spoken, "depression_spoken").first().accuracy == 1.0
     with pytest.raises(Exception, match="label is not known"):
         score_corpus(spoken, "depression").collect()
+
+
+def test_table_utilities(spark, tmp_path):
+    table, ids = tmp_path / "t.tsv", tmp_path / "ids.csv"
+    table.write_text("Participant_ID\tPHQ_Binary\tt\n10\t0\ta\n7\t0\tb\n10\t1\tc\n\t0\td\n335\t0\te\n")
+    ids.write_text("Participant_ID,x\n10,1\n7,2\n,3\n99,4\n")
+    out = str(tmp_path / "o")
+    assert bag(dedupe_table(spark, str(table), out + "1")) == [("10", "0", "a"), ("335", "0", "e"), ("7", "0", "b"), (None, "0", "d")]
+    assert read_table(spark, out + "1.csv", "\t").count() == 4
+    kept = filter_table(spark, str(table), str(ids), out + "2", out_sep=";")
+    assert [tuple(r) for r in kept.collect()] == [("7", "0", "b"), ("10", "0", "a"), ("10", "1", "c")]
+    assert bag(read_table(spark, out + "2.csv", ";")) == bag(kept)
+    unsorted = filter_table(spark, str(table), str(ids), out + "3", id_type="string", sort=False)
+    assert [r.t for r in unsorted.collect()] == ["a", "b", "c"]
+    paths = correct_table(spark, str(table), out + "4")
+    assert [p[-3:] for p in paths] == ["csv", "uet"]
+    assert spark.read.parquet(paths[1]).where("PHQ_Binary = 1").count() == 2
+    assert stack_tables(spark, [str(table), str(ids)], out + "5").columns == ["Participant_ID", "PHQ_Binary", "t", "x"]
+    with pytest.raises(ValueError):
+        dedupe_table(spark, str(table), out + "6", id_col="nope")
+
+
+def test_first_in_file_order_over_many_splits(spark, tmp_path):
+    file = tmp_path / "big.csv"
+    file.write_text("Participant_ID,n\n" + "".join(f"{i % 50},{i}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
+        kept = dedupe_table(spark, str(file), str(tmp_path / "o")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((int(i), int(n)) for i, n in kept) == [(i, i) for i in range(50)]

@@ -63,17 +63,20 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.col("text"), name.alias("file_name"), F.lit(0).alias("block"), F.col("turn").alias("line"))
 
 
-def slices(text: Column, n: int = N_CANDIDATES) -> list[Column]:
-    """The whole text in ``n`` equal parts, null where nothing is left."""
-    width = F.ceil(F.length(text) / n).cast("int")
-    return [F.nullif(F.substring(text, (width * (i - 1) + 1).cast("int"), width), F.lit("")) for i in range(1, n + 1)]
-
-
 def candidates(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
-    """Roster with its text cut into 30 candidates, numbered in steps of ``step``."""
+    """Roster with the whole text cut into 30 equal candidates, numbered in steps of ``step``.
+
+    Null where a short text has nothing left.
+    """
     base = roster(spark, sf_dir)
-    cells = [c.alias(f"Rational_{i * step}") for i, c in enumerate(slices(F.col("Transcript")), start=1)]
-    return base.select("*", *cells)
+    measured = base.withColumn("__n", F.length("Transcript")).withColumn("__w", F.expr(f"cast(ceil(__n / {N_CANDIDATES}) as int)"))
+    # A substring is found by walking from the start, so cut blocks of five first.
+    blocks = [f"substring(Transcript, {i} * __w + 1, 5 * __w) AS __b{i}" for i in range(0, N_CANDIDATES, 5)]
+    cells = [
+        f"CASE WHEN {i} * __w < __n THEN substring(__b{i - i % 5}, {i % 5} * __w + 1, __w) END AS Rational_{(i + 1) * step}"
+        for i in range(N_CANDIDATES)
+    ]
+    return measured.selectExpr("*", *blocks).selectExpr(*base.columns, *cells)
 
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,8 +102,9 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 @query
 def transcript_inner(spark, sf_dir):
-    built = build_transcripts(table(spark, sf_dir, "conversations"), "conv_id", ["turn"])
-    joined = join_transcripts(roster(spark, sf_dir).drop("Transcript"), built.withColumnRenamed("conv_id", "Participant_ID"))
+    turns = table(spark, sf_dir, "conversations").withColumn("Participant_ID", F.col("conv_id").cast("string"))
+    built = build_transcripts(turns, "Participant_ID", ["turn"])
+    joined = join_transcripts(roster(spark, sf_dir).drop("Transcript"), built)
     return lower_names(joined.select("Participant_ID", "Gender", "PHQ_Binary", "transcript"))
 
 
