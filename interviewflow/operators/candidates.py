@@ -21,6 +21,11 @@ from interviewflow.operators.spread import spread_join
 CARRIED = ("Gender", "PHQ_Binary", "PHQ_Score")
 
 
+def _number_and_text_arrays(candidates: Mapping[int, str]) -> tuple[Column, Column]:
+    numbers = ", ".join(f"{n}L" for n in candidates)
+    return F.expr(f"array({numbers})"), F.array(*candidates.values())
+
+
 def positions_to_numbers(picks: Column, columns: Mapping[int, str]) -> Column:
     """Picks given as positions 1..n turned into the numbers of the candidate columns.
 
@@ -78,8 +83,7 @@ def expand_picks(
         picks = picks_from_cells(df, find_columns(df.columns, SELECTION_PATTERNS))
     carry = [c for c in CARRIED if c in df.columns] if carry is None else list(carry)
     # Only the picked texts are copied; a pick that names no column gives null.
-    numbers = F.array(*[F.lit(n).cast("bigint") for n in candidates])
-    texts = F.array(*[F.col(f"`{c}`") for c in candidates.values()])
+    numbers, texts = _number_and_text_arrays(candidates)
     picked = F.transform(
         picks,
         lambda p: F.struct(
@@ -94,8 +98,7 @@ def expand_picks(
 def dropped_picks(df: DataFrame, picks: Column, candidates: Mapping[int, str] | None = None) -> DataFrame:
     """One row: picks made, and picks that lead to no text."""
     candidates = dict(candidates or candidate_columns(df.columns))
-    numbers = F.array(*[F.lit(n).cast("bigint") for n in candidates])
-    texts = F.array(*[F.col(f"`{c}`") for c in candidates.values()])
+    numbers, texts = _number_and_text_arrays(candidates)
     lost = F.filter(picks, lambda p: F.get(texts, F.array_position(numbers, p).cast("int") - 1).isNull())
     return df.agg(
         F.coalesce(F.sum(F.size(picks)), F.lit(0)).alias("n_picks"),

@@ -133,16 +133,16 @@ def shots_no_reuse(
     """
     require_columns(train, [label_col, key_col], "pool")
     require_columns(test, [test_key], "test table")
-    _check_sizes(train, test, label_col)
     pool = train.select(F.col(label_col).alias("cls"), F.col(key_col).alias("key")).where(F.col("cls").isin(0, 1))
     pool = pool.groupBy("cls", "key").agg(F.count(F.lit(1)).alias("n"))
     pool = pool.select("cls", _once(F.col("n"), F.col("key"), key_col).alias("shot"))
     pool = cut(pool.withColumn("h", _hash(F.lit(seed), F.col("cls"), F.col("shot"))))
-    pool = number_rows(pool, ["cls"], [F.col("h"), F.col("shot")], F.left("h", F.lit(KEY_DIGITS)), "idx")
-
     rows = test.groupBy(test_key).agg(F.count(F.lit(1)).alias("n"))
     same = F.col(test_key).cast("string")
-    rows = cut(rows.withColumn("h", _hash(_once(F.col("n"), same, test_key))))
+    rows = cut(rows.select(test_key, _hash(_once(F.col("n"), same, test_key)).alias("h")))
+    _check_sizes(pool, rows)
+
+    pool = number_rows(pool, ["cls"], [F.col("h"), F.col("shot")], F.left("h", F.lit(KEY_DIGITS)), "idx")
     rows = number_rows(rows, [], [F.col("h"), F.col(test_key)], F.left("h", F.lit(KEY_DIGITS)), "idx")
 
     pairs = pool.groupBy("idx").agg(
@@ -151,11 +151,11 @@ def shots_no_reuse(
     return test.join(rows.select(test_key, "idx").join(pairs, "idx").drop("idx"), test_key)
 
 
-def _check_sizes(train: DataFrame, test: DataFrame, label_col: str) -> None:
-    """One job over the label column; four numbers come back."""
-    label = F.col("l")
-    sizes = train.select(F.col(label_col).cast("int").alias("l")).unionAll(test.select(F.lit(-1).alias("l")))
-    zeros, ones, need = sizes.agg(F.count_if(label == 0), F.count_if(label == 1), F.count_if(label == -1)).first()
+def _check_sizes(pool: DataFrame, rows: DataFrame) -> None:
+    """One job over the kept keys; three numbers come back."""
+    cls = F.col("cls")
+    sizes = pool.select("cls").unionAll(rows.select(F.lit(-1).alias("cls")))
+    zeros, ones, need = sizes.agg(F.count_if(cls == 0), F.count_if(cls == 1), F.count_if(cls == -1)).first()
     if min(zeros, ones) < need:
         raise ValueError(f"need {need} exemplars of each class, but the pools hold {zeros} zeros and {ones} ones")
 

@@ -81,14 +81,15 @@ def candidates(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with five selection cells: numbers as text, notes, junk and nulls."""
-    base = candidates(spark, sf_dir)
-    h = F.md5(F.concat_ws(":", F.col("Participant_ID").cast("string"), F.col("Transcript")).cast("binary"))
-    cells = []
-    for i in range(1, 6):
-        n = hex_number(h, 2 * i - 1, 2) % 33
-        shown = F.when(n % 8 == 0, None).when(n % 8 == 1, "x").when(n % 8 == 2, F.concat(F.lit("No. "), n.cast("string")))
-        cells.append(shown.otherwise(n.cast("string")).alias(f"Selected_Rational_Number_{i}"))
-    return base.select("*", *cells)
+    hashed = candidates(spark, sf_dir).withColumn("__h", F.expr("md5(concat_ws(':', Participant_ID, Transcript))"))
+    numbers = [f"cast(conv(substring(__h, {2 * i - 1}, 2), 16, 10) as bigint) % 33 AS __n{i}" for i in range(1, 6)]
+    cells = [
+        f"CASE WHEN __n{i} % 8 = 0 THEN NULL WHEN __n{i} % 8 = 1 THEN 'x' WHEN __n{i} % 8 = 2 THEN concat('No. ', __n{i}) "
+        f"ELSE cast(__n{i} as string) END AS Selected_Rational_Number_{i}"
+        for i in range(1, 6)
+    ]
+    names = [c for c in hashed.columns if c != "__h"]
+    return hashed.selectExpr(*names, *numbers).selectExpr(*names, *cells)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,7 @@ from interviewflow.plans.candidates import (
 from interviewflow.plans.fewshot import exemplar_key
 from interviewflow.plans.scoring import CORPORA, score_corpus
 from interviewflow.plans.transcripts import transcripts_by_id
+from interviewflow.session import cut
 from interviewflow.sources.sinks import short_cell
 from workload.adapters import (
     CRITERIA,
@@ -432,9 +433,11 @@ def select_expand_clean(spark, sf_dir):
 # Few-shot
 
 
-def _named(spark, sf_dir):
+def _named(spark, sf_dir, *columns):
+    """Expanded picks under their names, stored as the step before would leave them."""
     rows = expand_picks(selections(spark, sf_dir))
-    return rows.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col("Selected_Rationale_Number")))
+    named = rows.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col("Selected_Rationale_Number")))
+    return cut(named.select(*columns) if columns else named)
 
 
 def _tests(spark, sf_dir):
@@ -445,13 +448,13 @@ def _tests(spark, sf_dir):
 
 @query
 def shots_with_reuse_(spark, sf_dir):
-    drawn = shots_with_reuse(_named(spark, sf_dir).select("Participant_ID", "name", "PHQ_Binary"))
+    drawn = shots_with_reuse(_named(spark, sf_dir, "Participant_ID", "name", "PHQ_Binary"))
     return lower_names(drawn.select("name", "Participant_ID", "zero_shot_name", "one_shot_name"))
 
 
 @query
 def shots_no_reuse_(spark, sf_dir):
-    drawn = shots_no_reuse(_named(spark, sf_dir), _tests(spark, sf_dir))
+    drawn = shots_no_reuse(_named(spark, sf_dir, "name", "PHQ_Binary"), _tests(spark, sf_dir))
     return lower_names(drawn.select("Participant_ID", "zero_shot_name", "one_shot_name"))
 
 
