@@ -113,7 +113,8 @@ def test_keep_first(spark):
 
 
 def test_keep_first_limits_rows_before_the_shuffle(spark):
-    plan = keep_first(spark.range(10), "id", ["id"])._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([("1", 0)], "k string, ord int").repartition(3)
+    plan = keep_first(df, "k", ["ord"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 
