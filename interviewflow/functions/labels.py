@@ -7,11 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from interviewflow.defaults import STATUS_TEXTS
+
 
 def status_text(
     col: Column,
-    positive: str = "depressed",
-    negative: str = "non-depressed",
+    positive: str = STATUS_TEXTS[1],
+    negative: str = STATUS_TEXTS[0],
     null_status: str | None = None,
 ) -> Column:
     """1 is ``positive``, anything else ``negative``; null is ``null_status`` if one is given."""

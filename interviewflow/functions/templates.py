@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from interviewflow.defaults import NO_PROMPT_COLUMN, NO_PROMPT_VALUE, USER_TURN
+from interviewflow.defaults import BLOCK_MARKS, NO_PROMPT_COLUMN, NO_PROMPT_VALUE, USER_TURN
 
 _PLACEHOLDER = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
@@ -63,8 +63,9 @@ def messages(prompt: Column, system_role: str = "developer", user_text: str = US
 
 def numbered_blocks(texts: Sequence[Column]) -> Column:
     """All texts as blocks headed 1..n; a missing text leaves an empty block."""
+    before, between, behind = BLOCK_MARKS
     blocks = [
-        F.concat(F.lit(f"\n--- RATIONALE {i} ---\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+        F.concat(F.lit(f"{before}{i}{between}"), F.coalesce(text, F.lit("")), F.lit(behind))
         for i, text in enumerate(texts, start=1)
     ]
     return F.concat_ws("\n", *blocks)
