@@ -315,3 +315,29 @@ def test_token_tables(spark):
     assert bag(counted.select("token_count", "token_difference")) == [(0, 0), (2, -1)]
     assert bag(token_stats(counted)) == [(2, 1.0, 2, 0, -0.5, 0, -1)]
     assert token_stats(with_tokens(df.drop("Token_Length"))).columns == ["n_prompts", "mean_token_count", "max_token_count", "min_token_count"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_adaptive_plan_splits_the_hot_key(spark, how):
+    """The kinds of join used for lookups are the kinds Spark splits."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {name: spark.conf.get(name, None) for name in low}
+    try:
+        for name, value in low.items():
+            spark.conf.set(name, value)
+        n = F.col("id")
+        left = spark.range(0, 60_000, 1, 8).select(F.when(n % 3 == 0, F.lit(1)).otherwise(n).alias("k"), F.md5(n.cast("string")).alias("v"))
+        right = spark.range(500).select(n.alias("k"), F.lit("w").alias("w"))
+        joined = spread_join(left, right, "k", how)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
