@@ -276,16 +276,26 @@ def generate_repeats(
     preview: tuple[int, int, int] = PREVIEW_SIZES,
     mark: str = PREVIEW_MARK,
     partitions: int | None = None,
+    store: str | None = None,
+    run_id: str = "run",
+    batches: int = 1,
 ) -> DataFrame:
     """``df`` with ``repeats`` responses per prompt, their token counts and a prompt preview.
 
     ``extra`` is put behind the first ``marker`` of each prompt. Rows whose
-    key has no prompt, or is not unique, keep null responses.
+    key has no prompt, or is not unique, keep null responses. ``done`` holds
+    responses (key, candidate_no, text) made elsewhere. With ``store`` the job
+    is resumable like ``run_resumable``; without, the result is lazy, and each
+    use of it calls the generator again.
     """
     read = [c for c in df.columns if c != key]
     asked = join_unique(prompts.select(key, "prompt"), df.select(key), key)
     final = asked.select(key, inject_after(F.col("prompt"), marker, extra).alias("prompt"))
-    made = generate(final, repeats, generator, done, key, partitions=partitions)
+    if store is None:
+        made = generate(final, repeats, generator, done, key, partitions=partitions)
+    else:
+        made = run_resumable(final, repeats, generator, store, run_id, key, batches=batches, partitions=partitions, known=done)
+    made = made.select(key, "candidate_no", "text")
     if done is not None:
         made = done.where(finished()).select(*made.columns).unionByName(made)
     counted = made.select(key, "candidate_no", "text", token_count(F.col("text"), tokenizer).alias("tokens"))

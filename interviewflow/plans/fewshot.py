@@ -43,7 +43,7 @@ def training_set(prompts: DataFrame, generator: Generator, store: str, run_id: s
     return merge_results(prompts, made, ["name"])
 
 
-def test_prompts(
+def evaluation_prompts(
     train: DataFrame,
     test: DataFrame,
     body: str,
@@ -58,13 +58,17 @@ def test_prompts(
     return prompts.withColumn("Token_Count", token_count(F.col("prompt")))
 
 
-test_prompts.__test__ = False
-
-
-def test_set(prompts: DataFrame, generator: Generator, marker: str, extra: str, repeats: int = 5) -> DataFrame:
-    """Test rows with ``repeats`` responses, their token counts and a prompt preview."""
-    keyed = prompts.select(F.col("Participant_ID"), "prompt")
-    return generate_repeats(keyed, prompts.drop("prompt"), repeats, generator, marker, extra)
-
-
-test_set.__test__ = False
+def evaluation_set(
+    prompts: DataFrame,
+    generator: Generator,
+    marker: str,
+    extra: str,
+    repeats: int = 5,
+    store: str | None = None,
+    run_id: str = "run",
+    batches: int = 1,
+) -> DataFrame:
+    """Test rows with ``repeats`` responses, their token counts and a prompt preview; resumable with ``store``."""
+    keyed = prompts.select("Participant_ID", "prompt")
+    rows = prompts.drop("prompt")
+    return generate_repeats(keyed, rows, repeats, generator, marker, extra, store=store, run_id=run_id, batches=batches)

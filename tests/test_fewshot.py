@@ -5,12 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from interviewflow.operators.fewshot import attach_shots, fewshot_prompt, require_unique, shots_no_reuse, shots_with_reuse
-from interviewflow.plans.fewshot import test_prompts as prompts_for_test
-from interviewflow.plans.fewshot import test_set as responses_for_test
-from interviewflow.plans.fewshot import training_prompts, training_set
-from workload.adapters import keyed, slice_call
-
 from interviewflow.operators.generate import per_request
+from interviewflow.plans.fewshot import evaluation_prompts, evaluation_set, training_prompts, training_set
+from workload.adapters import keyed, slice_call
 
 SCHEMA = "Participant_ID int, PHQ_Binary int, name string"
 
@@ -145,8 +142,8 @@ def test_both_sets_end_to_end(spark, tmp_path):
     assert train.where("Generated_Rationale <> '' AND Generated_Token_Count > 0").count() == 24
 
     test = spark.createDataFrame([(100 + i, "m", f"test talk {i}") for i in range(5)], "Participant_ID int, Gender string, Transcript string")
-    shown = prompts_for_test(train, test, BODY + "END.")
-    done = responses_for_test(shown, per_request(keyed("Participant_ID", slice_call)), "END.", "More.", repeats=2)
+    shown = evaluation_prompts(train, test, BODY + "END.")
+    done = evaluation_set(shown, per_request(keyed("Participant_ID", slice_call)), "END.", "More.", repeats=2)
     rows = done.collect()
     assert len(rows) == 5 and all(r.Prompt_preview.endswith("END.\nMore.") for r in rows)
     assert all(r.Generated_rationale_1 and r.Generated_rationale_2 and r.Generated_token_2 for r in rows)

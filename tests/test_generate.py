@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from interviewflow.operators.generate import (
     Reply,
     generate,
@@ -155,17 +153,28 @@ def test_join_unique(spark, prompts):
     assert bag(join_unique(prompts, df, "key")) == [("a", 1, "pa")]
 
 
-def test_generate_repeats(spark):
+def test_generate_repeats(spark, tmp_path):
     prompts = spark.createDataFrame([("1", "x END y"), ("2", "plain"), ("3", "dup")], "Participant_ID string, prompt string")
     df = spark.createDataFrame([("1", "u"), ("2", "v"), ("3", "w"), ("3", "w2"), ("4", "z")], "Participant_ID string, other string")
     done = spark.createDataFrame([("1", 1, "kept words")], "Participant_ID string, candidate_no int, text string")
     call = lambda r: f"{r['prompt']} {r['candidate_no']}"
-    wide = generate_repeats(prompts, df, 2, per_request(call), "END", "more", done=done.withColumns({"status": F.lit("ok"), "error": F.lit(None).cast("string"), "attempts": F.lit(1)}))
+    wide = generate_repeats(prompts, df, 2, per_request(call), "END", "more", done=done)
     assert wide.columns == ["Participant_ID", "other", "Generated_rationale_1", "Generated_rationale_2", "Generated_token_1", "Generated_token_2", "Prompt_preview"]
     got = bag(wide)
     assert got[0] == ("1", "u", "kept words", "x END\nmore y 2", 2, 5, "x END\nmore y")
     assert got[1] == ("2", "v", "plain 1", "plain 2", 2, 2, "plain")
     assert [r[2:] for r in got[2:]] == [(None,) * 5] * 3
+    store = str(tmp_path / "store")
+    for call in (per_request(call), None):
+        kept = generate_repeats(prompts, df, 2, call or never, "END", "more", done=done, store=store)
+        assert bag(kept) == got
+
+
+def never(frames):
+    """A generator that must not be asked for anything."""
+    for frame in frames:
+        assert frame.empty
+        yield from ()
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
