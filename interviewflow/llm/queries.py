@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from interviewflow.llm.bpe import encode_texts
 from interviewflow.llm.chat import chat_digest
+from interviewflow.llm.lengths import token_counts
 from interviewflow.llm.pii import pii_digest
 from interviewflow.llm.quality import quality_digest
 from interviewflow.llm.secrets import secret_digest
+from interviewflow.llm.simhash import simhash_groups
 from interviewflow.llm.sql import oracles
+from interviewflow.llm.tiling import contained_items
 
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -20,10 +24,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the driver finds a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    outputs = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return encode_texts(docs, vocabulary_path(), outputs=outputs).select("doc_id", *outputs)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(documents(spark, sf_dir))
 
@@ -43,11 +68,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(conversations.unionByName(probe))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), vocabulary_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_simhash": op2_simhash,
+    "op5_bpe": op5_bpe,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
+    "op10_token_counts": op10_token_counts,
 }
 
 
