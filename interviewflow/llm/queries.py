@@ -15,6 +15,7 @@ from interviewflow.llm.quality import quality_digest
 from interviewflow.llm.secrets import secret_digest
 from interviewflow.llm.simhash import simhash_groups
 from interviewflow.llm.sql import oracles
+from interviewflow.llm.substrings import repeat_digest
 from interviewflow.llm.tiling import contained_items
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -39,6 +40,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     outputs = ["n_tokens", "ids_sha256", "decoded_sha256"]
@@ -75,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
+    "op4_repeats": op4_repeats,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
