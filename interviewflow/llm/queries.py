@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from interviewflow.llm.bpe import encode_texts
 from interviewflow.llm.chat import chat_digest
+from interviewflow.llm.katz import katz_scores
 from interviewflow.llm.lengths import token_counts
 from interviewflow.llm.pii import pii_digest
 from interviewflow.llm.quality import quality_digest
@@ -40,6 +41,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(documents(spark, sf_dir))
 
@@ -80,6 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
+    "op3_katz": op3_katz,
     "op4_repeats": op4_repeats,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
