@@ -119,10 +119,15 @@ def chunks_of(texts: list[bytes], least: int) -> Iterator[tuple[list[int], list[
 
 
 def all_fragments(keyed: DataFrame, least: int, gram: int) -> DataFrame:
-    """``id, sub, at, n, gram, content`` of every fragment; ``content`` is a hash of its bytes."""
+    """``id, sub, at, n, gram, content, again`` of every fragment; ``content`` is a hash of its bytes.
+
+    ``again``: the same fragment stands earlier in the same batch, so it is
+    known to repeat and need not meet the others.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    names = ["id", "sub", "at", "n", "gram", "content"]
+    names = ["id", "sub", "at", "n", "gram", "content", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -144,6 +149,15 @@ def all_fragments(keyed: DataFrame, least: int, gram: int) -> DataFrame:
                 continue
             rows, places, n, grams, content = (np.concatenate(x) for x in zip(*out))
             taken = pa.array(rows, pa.int64())
+            by_id = pc.sort_indices(
+                batch.select(["id", "sub"]), sort_keys=[("id", "ascending"), ("sub", "ascending")], null_placement="at_start"
+            )
+            turn = np.empty(len(by_id), dtype=np.int64)
+            turn[by_id.to_numpy()] = np.arange(len(by_id))
+            order = np.lexsort((places, turn[rows], content, grams))
+            again = np.zeros(len(order), dtype=bool)
+            same = (grams[order][1:] == grams[order][:-1]) & (content[order][1:] == content[order][:-1])
+            again[order[1:][same]] = True
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(taken),
@@ -152,11 +166,12 @@ def all_fragments(keyed: DataFrame, least: int, gram: int) -> DataFrame:
                     pa.array(n.astype(np.int32)),
                     pa.array(grams),
                     pa.array(content),
+                    pa.array(again),
                 ],
                 names=names,
             )
 
-    types = {"sub": "bigint", "at": "bigint", "n": "int", "gram": "bigint", "content": "bigint"}
+    types = {"sub": "bigint", "at": "bigint", "n": "int", "gram": "bigint", "content": "bigint", "again": "boolean"}
     schema = keyed.select("id", *[F.lit(0).cast(t).alias(c) for c, t in types.items()]).limit(0).schema
     return keyed.select("id", "sub", "text").mapInArrow(run, schema)
 
@@ -335,13 +350,16 @@ def keyed_documents(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def repeat_ranges(keyed: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``id, sub, low, high``: byte ranges, end exclusive, that hold strings starting earlier; they may overlap."""
-    in_content = Window.partitionBy("gram", "content").orderBy("id", "sub", "at")
+    in_content = Window.partitionBy("meet", "content").orderBy("id", "sub", "at")
+    # Grams are not negative; fragments known to repeat are spread below zero.
+    apart = -1 - F.abs(F.xxhash64("id", "at") % (1 << 62))
     met = (
         all_fragments(keyed, least, gram)
+        .withColumn("meet", F.when(F.col("again"), apart).otherwise(F.col("gram")))
         .withColumn("turn", F.row_number().over(in_content))
-        .withColumn("kinds", F.sum((F.col("turn") == 1).cast("bigint")).over(Window.partitionBy("gram")))
-        .where("turn > 1 OR kinds > 1")
-        .withColumn("step", F.when(F.col("turn") > 1, 0).when(F.col("kinds") <= hot, 1).otherwise(2))
+        .withColumn("kinds", F.sum((F.col("turn") == 1).cast("bigint")).over(Window.partitionBy("meet")))
+        .where("again OR turn > 1 OR kinds > 1")
+        .withColumn("step", F.when(F.col("again") | (F.col("turn") > 1), 0).when(F.col("kinds") <= hot, 1).otherwise(2))
         .select("id", "sub", "at", "n", "gram", "step")
     )
     met = stored(met, "repeat-fragments", ["step"])
