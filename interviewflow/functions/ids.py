@@ -30,8 +30,11 @@ def int_id(col: Column) -> Column:
     """The id as a whole number, null where it is none (a fraction is none)."""
     text = strip_ws(col.cast("string"))
     number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text)
+    # Digits before a zero fraction are kept as they are: a double has only 53 bits of them.
+    plain = F.regexp_extract(number, r"^([+-]?[0-9]+)(?:\.0*)?$", 1)
     real = number.try_cast("double")
-    return F.coalesce(number.try_cast("bigint"), F.when(real == F.floor(real), real.try_cast("bigint")))
+    whole = F.when(real == F.floor(real), real.try_cast("bigint"))
+    return F.when(plain != "", plain.try_cast("bigint")).otherwise(whole)
 
 
 def text_id(col: Column) -> Column:
@@ -66,4 +69,4 @@ def padded_id(col: Column, width: int = 16) -> Column:
 
 def exemplar_key(id_col: Column, no_col: Column) -> Column:
     """``<id>_<number>``, the number without a decimal point."""
-    return F.concat(id_col.cast("string"), F.lit("_"), no_col.cast("int").cast("string"))
+    return F.concat(id_col.cast("string"), F.lit("_"), int_id(no_col).cast("string"))

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from interviewflow.defaults import STATUS_TEXTS
+from interviewflow.functions.ids import int_id
+
+
+def label_of(df: DataFrame, name: str) -> Column:
+    """The label as a whole number: numbers as they are, text such as ``1`` or ``1.0`` read; null where it is none."""
+    numeric = isinstance(df.schema[name].dataType, T.NumericType)
+    return F.col(name) if numeric else int_id(F.col(name))
 
 
 def status_text(
@@ -16,7 +24,10 @@ def status_text(
     negative: str = STATUS_TEXTS[0],
     null_status: str | None = None,
 ) -> Column:
-    """1 is ``positive``, anything else ``negative``; null is ``null_status`` if one is given."""
+    """1 is ``positive``, anything else ``negative``; null is ``null_status`` if one is given.
+
+    ``col`` is a number; use ``label_of`` for a column that may be text.
+    """
     known = F.when(col == 1, positive).otherwise(negative)
     return known if null_status is None else F.when(col.isNull(), null_status).otherwise(known)
 

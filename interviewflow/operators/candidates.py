@@ -87,7 +87,7 @@ def expand_picks(
     picked = F.transform(
         picks,
         lambda p: F.struct(
-            p.cast("int").alias("no"), F.get(texts, F.array_position(numbers, p).cast("int") - 1).alias("text")
+            p.try_cast("int").alias("no"), F.get(texts, F.array_position(numbers, p).cast("int") - 1).alias("text")
         ),
     )
     kept = F.filter(F.filter(picked, lambda s: s["text"].isNotNull()), lambda s: s["no"].isNotNull())

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from interviewflow.defaults import SEED_NO_REUSE, SEED_WITH_REUSE
 from interviewflow.functions.columns import require_columns
-from interviewflow.functions.labels import status_text
+from interviewflow.functions.labels import label_of, status_text
 from interviewflow.functions.templates import render
 from interviewflow.functions.text import strip_ws
 from interviewflow.operators.spread import number_rows, spread_join
+from interviewflow.operators.tables import require_unique
 from interviewflow.session import cut
 
 SHOT_NAMES = ("zero_shot_name", "one_shot_name")
@@ -94,22 +95,22 @@ def shots_with_reuse(
     """
     require_columns(df, [label_col, id_col, key_col])
     counted = df.groupBy(
-        F.col(key_col).alias("key"), F.col(id_col).alias("id"), F.col(label_col).alias("cls")
+        F.col(key_col).alias("key"), F.col(id_col).alias("id"), label_of(df, label_col).cast("int").alias("cls")
     ).agg(F.count(F.lit(1)).alias("n"))
     keys = cut(counted.select(_once(F.col("n"), F.col("key"), key_col).alias("key"), "id", "cls"))
     entries, people, sizes = _pool_index(keys)
 
     targets = keys.select("key", "id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cls"))
-    placed = spread_join(targets, people, ["cls", "id"], "left", spread=["key"])
+    placed = spread_join(targets, people, ["cls", "id"], "left")
     placed = placed.join(F.broadcast(sizes), "cls", "left")
     lo, own = F.coalesce("lo", F.lit(0)), F.coalesce("own", F.lit(0))
     others = F.coalesce(F.col("size"), F.lit(0)) - own
     draw = F.when(others > 0, F.pmod(_number(_hash(F.lit(seed), F.col("cls"), F.col("key"))), others))
     shifted = placed.select("key", "cls", draw.alias("j"), lo.alias("lo"), own.alias("own"))
     wanted = shifted.select("key", "cls", F.when(F.col("j") >= F.col("lo"), F.col("j") + F.col("own")).otherwise(F.col("j")).alias("idx"))
-    # Draws are uniform over the pool: a number is frequent only in a pool so
-    # small that the adaptive plan broadcasts it.
-    drawn = wanted.join(entries, ["cls", "idx"], "left")
+    # Draws are uniform over the pool of their class: beside a huge class the few
+    # numbers of a rare one are hot here, and are split as skewed.
+    drawn = spread_join(wanted, entries, ["cls", "idx"], "left")
     picks = drawn.groupBy("key").agg(
         *[F.coalesce(F.max(F.when(F.col("cls") == c, F.col("shot"))), F.lit("")).alias(name) for c, name in enumerate(names)]
     )
@@ -133,16 +134,17 @@ def shots_no_reuse(
     """
     require_columns(train, [label_col, key_col], "pool")
     require_columns(test, [test_key], "test table")
-    pool = train.select(F.col(label_col).alias("cls"), F.col(key_col).alias("key")).where(F.col("cls").isin(0, 1))
+    pool = train.select(label_of(train, label_col).cast("int").alias("cls"), F.col(key_col).alias("key")).where(F.col("cls").isin(0, 1))
     pool = pool.groupBy("cls", "key").agg(F.count(F.lit(1)).alias("n"))
     pool = pool.select("cls", _once(F.col("n"), F.col("key"), key_col).alias("shot"))
     pool = cut(pool.withColumn("h", _hash(F.lit(seed), F.col("cls"), F.col("shot"))))
     rows = test.groupBy(test_key).agg(F.count(F.lit(1)).alias("n"))
     same = F.col(test_key).cast("string")
     rows = cut(rows.select(test_key, _hash(_once(F.col("n"), same, test_key)).alias("h")))
-    _check_sizes(pool, rows)
+    need = _check_sizes(pool, rows)
 
-    pool = number_rows(pool, ["cls"], [F.col("h"), F.col("shot")], F.left("h", F.lit(KEY_DIGITS)), "idx")
+    # As many of each class as there are test rows: later buckets are not sorted.
+    pool = number_rows(pool, ["cls"], [F.col("h"), F.col("shot")], F.left("h", F.lit(KEY_DIGITS)), "idx", below=need)
     rows = number_rows(rows, [], [F.col("h"), F.col(test_key)], F.left("h", F.lit(KEY_DIGITS)), "idx")
 
     pairs = pool.groupBy("idx").agg(
@@ -151,21 +153,14 @@ def shots_no_reuse(
     return test.join(rows.select(test_key, "idx").join(pairs, "idx").drop("idx"), test_key)
 
 
-def _check_sizes(pool: DataFrame, rows: DataFrame) -> None:
-    """One job over the kept keys; three numbers come back."""
+def _check_sizes(pool: DataFrame, rows: DataFrame) -> int:
+    """One job over the kept keys; three numbers come back. The number of rows is returned."""
     cls = F.col("cls")
     sizes = pool.select("cls").unionAll(rows.select(F.lit(-1).alias("cls")))
     zeros, ones, need = sizes.agg(F.count_if(cls == 0), F.count_if(cls == 1), F.count_if(cls == -1)).first()
     if min(zeros, ones) < need:
         raise ValueError(f"need {need} exemplars of each class, but the pools hold {zeros} zeros and {ones} ones")
-
-
-def require_unique(df: DataFrame, key: str) -> DataFrame:
-    """``df`` itself, or a ``ValueError`` naming a repeated key. Runs a job over the key column."""
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).take(1)
-    if repeated:
-        raise ValueError(f"{key} is not unique: {repeated[0][0]}")
-    return df
+    return need
 
 
 def attach_shots(
@@ -184,29 +179,37 @@ def attach_shots(
     ``fields`` maps field names to pool columns. ``strict``: an unknown name
     raises. Otherwise the row's own columns (``own``, default the same names)
     stand in when there is no match; a column the table lacks gives null.
-    Pool keys must be unique; ``unique`` says the caller knows they are.
+    Pool keys must be unique; ``unique`` says the caller knows they are, else
+    a job looks at them. Row keys must be unique too.
+
+    Pool texts are shuffled to the names of their rows, and from there to the
+    rows; the row's own texts move once, to meet them.
     """
     require_columns(pool, [key, *fields.values()], "pool")
     if not unique:
         require_unique(pool, key)
     own = dict(own or fields)
-    out = df
+    # Names of all slots in one narrow table; the texts of the pool are joined to it once.
+    slots = F.array(*[F.struct(F.lit(shot).alias("slot"), F.col(c).cast("string").alias("shot")) for shot, c in shots.items()])
+    asked = df.select(F.col(row_key).alias("__row"), F.explode(slots).alias("s")).select("__row", "s.slot", "s.shot")
+    texts = pool.select(
+        F.col(key).cast("string").alias("shot"), F.struct(*[F.col(c).alias(f) for f, c in fields.items()]).alias("__shot")
+    )
+    met = spread_join(asked, texts, "shot", "inner").groupBy("__row").agg(
+        *[F.first(F.when(F.col("slot") == shot, F.col("__shot")), True).alias(f"__{shot}") for shot in shots]
+    )
+    joined = df.join(met, df[row_key] == met["__row"], "left")
+    columns = []
     for shot, name_col in shots.items():
-        lookup = pool.select(
-            F.col(key).alias(name_col), F.struct(*[F.col(c).alias(f) for f, c in fields.items()]).alias("__shot")
-        )
-        joined = spread_join(out, lookup, name_col, "left", spread=[row_key])
-        found = F.col("__shot").isNotNull()
-        columns = []
+        found = F.col(f"__{shot}").isNotNull()
         for field in fields:
             if strict:
                 text = F.concat(F.lit("no exemplar named "), F.coalesce(F.col(name_col).cast("string"), F.lit("null")))
                 other = F.raise_error(text).cast("string")
             else:
                 other = F.col(own[field]) if own[field] in df.columns else F.lit(None)
-            columns.append(F.when(found, F.col(f"__shot.{field}")).otherwise(other).alias(f"{shot}_{field}"))
-        out = joined.select(*out.columns, *columns)
-    return out
+            columns.append(F.when(found, F.col(f"__{shot}.{field}")).otherwise(other).alias(f"{shot}_{field}"))
+    return joined.select(*[df[c] for c in df.columns], *columns)
 
 
 def fewshot_prompt(
@@ -241,6 +244,6 @@ def fewshot_prompt(
     filled["gender"] = F.coalesce(F.col(gender_col), F.lit(""))
     filled["transcript"] = F.coalesce(F.col(transcript_col), F.lit(""))
     if mode == "train":
-        filled["status"] = status_text(F.col(label_col))
+        filled["status"] = status_text(label_of(df, label_col))
     prompt = render(body, {**filled, **(values or {})}, template=mode, non_empty=())
     return joined.withColumn(out, strip_ws(prompt) if mode == "train" else prompt).drop(*inserted)

@@ -24,7 +24,10 @@ from interviewflow.functions.text import inject_after, prompt_preview, token_cou
 from interviewflow.operators.candidates import positions_to_numbers
 from interviewflow.operators.reshape import to_wide
 from interviewflow.operators.spread import spread_join
-from interviewflow.operators.tables import keep_first
+from interviewflow.operators.tables import keep_first, require_unique
+
+# Parts of a result store, by hash of the key.
+STORE_BUCKETS = 64
 
 
 class Generator(Protocol):
@@ -87,7 +90,8 @@ def with_retry(
                 reply = call(request)
             except retry_on as raised:
                 problem = raised
-                sleep(base_delay * 2 ** (attempt - 1))
+                if attempt < retries:
+                    sleep(base_delay * 2 ** (attempt - 1))
                 continue
             return reply if isinstance(reply, Reply) else Reply(reply, attempts=attempt)
         return Reply("", "failed", str(problem), retries)
@@ -120,16 +124,18 @@ def skip_done(requests: DataFrame, done: DataFrame, keys: list[str], text: str |
 def requests(prompts: DataFrame, n: int, done: DataFrame | None = None, key: str = "key", prompt: str = "prompt") -> DataFrame:
     """One row (key, candidate_no, prompt) for each of ``n`` candidates still to be made.
 
-    The finished numbers of a key (at most ``n``) meet its prompt once, and
-    only then is the prompt repeated: long texts are not shuffled n times.
+    ``done`` holds results, or with no ``text`` the finished requests. The
+    finished numbers of a key (at most ``n``) meet its prompt once, and only
+    then is the prompt repeated: long texts are not shuffled n times.
     """
     require_columns(prompts, [key, prompt])
     base = prompts.select(key, F.col(prompt).alias("prompt"))
     numbers = F.sequence(F.lit(1), F.lit(n))
     if done is not None:
-        made = done.where(finished() & F.col("candidate_no").between(1, n)).select(key, "candidate_no").distinct()
+        given = done.where(finished()) if "text" in done.columns else done
+        made = given.where(F.col("candidate_no").between(1, n)).select(key, "candidate_no").distinct()
         made = made.groupBy(key).agg(F.collect_set(F.col("candidate_no").cast("int")).alias("__made"))
-        base = spread_join(base, made, key, "left", spread=[key])
+        base = spread_join(base, made, key, "left")
         numbers = F.array_except(numbers, F.coalesce(F.col("__made"), F.array().cast("array<int>")))
     return base.select(key, F.explode(numbers).alias("candidate_no"), "prompt")
 
@@ -145,10 +151,13 @@ def generate(
 ) -> DataFrame:
     """Results for every request not in ``done``, one row each, failures included.
 
-    ``partitions`` deals the requests evenly over so many tasks: worth its
-    shuffle when a call takes much longer than moving its prompt.
+    A call takes much longer than moving its prompt, so requests are dealt
+    evenly over ``partitions`` tasks, by default the session's number of
+    shuffle partitions; 0 leaves them where their rows were read.
     """
     todo = requests(prompts, n, done, key, prompt)
+    if partitions is None:
+        partitions = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if partitions:
         todo = todo.repartition(partitions, key, "candidate_no")
     return todo.mapInPandas(generator, _result_schema(todo, key))
@@ -181,20 +190,40 @@ def run_resumable(
     ``batches`` splits the keys by hash and commits after each part, so a run
     that is stopped loses one part at most. The next run, with any ``run_id``,
     asks only for what is missing. A lost task repeats its calls; each request
-    still counts once in the result.
+    still counts once in the result. Keys must be unique; a repeated one is an
+    error before the first call.
+
+    The store lies in buckets of keys, and a batch reads its own buckets only:
+    keys, numbers and a flag for what is finished, no texts. With several
+    batches the prompts are written once, beside the store, and read per batch.
     """
     spark = prompts.sparkSession
-    schema = _result_schema(prompts, key).add("run_id", T.StringType())
+    require_unique(prompts, key)
+    schema = _result_schema(prompts, key)
+    for name, kind in (("finished", T.BooleanType()), ("bucket", T.IntegerType()), ("run_id", T.StringType())):
+        schema = schema.add(name, kind)
     reader = spark.read.schema(schema)
+    bucket = F.pmod(F.xxhash64(key), F.lit(STORE_BUCKETS)).cast("int")
+    asked = prompts.select(key, prompt)
+    if batches > 1:
+        asked = _written_once(asked.withColumn("bucket", bucket), f"{store}.prompts/{run_id}", ["bucket"])
     for part in range(batches):
-        mine = prompts if batches == 1 else prompts.where(F.pmod(F.xxhash64(key), F.lit(batches)) == part)
-        done = known
+        own = [b for b in range(STORE_BUCKETS) if b % batches == part]
+        mine = asked if batches == 1 else asked.where(F.col("bucket").isin(own)).drop("bucket")
+        done = None if known is None else known.where(finished()).select(key, "candidate_no")
         if _has_data(spark, store):
-            stored = reader.parquet(store).select(key, "candidate_no", "text")
-            done = stored if known is None else stored.unionByName(known)
+            here = reader.parquet(store).where("finished")
+            here = (here if batches == 1 else here.where(F.col("bucket").isin(own))).select(key, "candidate_no")
+            done = here if done is None else here.unionByName(done)
         fresh = generate(mine, n, generator, done, key, prompt, partitions)
-        fresh.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(store)
-    return latest_results(reader.parquet(store), key)
+        kept = fresh.withColumns({"finished": finished(), "bucket": bucket, "run_id": F.lit(run_id)})
+        kept.write.mode("append").partitionBy("bucket", "run_id").parquet(store)
+    return latest_results(reader.parquet(store), key).drop("finished", "bucket")
+
+
+def _written_once(df: DataFrame, path: str, by: list[str]) -> DataFrame:
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _has_data(spark, path: str) -> bool:
@@ -219,8 +248,12 @@ def merge_results(base: DataFrame, new: DataFrame, keys: list[str], how: str = "
 
 
 def progress(prompts: DataFrame, results: DataFrame, n: int, key: str = "key") -> DataFrame:
-    """One row: responses expected, present and pending, and keys with at least one response."""
+    """One row: responses expected, present and pending, and keys with at least one response.
+
+    Results of keys without a prompt do not count.
+    """
     made = results.where(finished() & F.col("candidate_no").between(1, n)).select(key, "candidate_no").distinct()
+    made = made.join(prompts.select(key).distinct(), key, "left_semi")
     per_key = made.groupBy(key).agg(F.count(F.lit(1)).alias("made"))
     counted = prompts.select(F.lit(n).cast("bigint").alias("expected"), F.lit(0).cast("bigint").alias("made")).unionAll(
         per_key.select(F.lit(0).cast("bigint"), F.col("made"))
@@ -241,17 +274,28 @@ def select_best(
     key: str = "Participant_ID",
     prompt_col: str | None = "Prompt",
     partitions: int | None = None,
+    store: str | None = None,
+    run_id: str = "run",
+    batches: int = 1,
 ) -> DataFrame:
     """Picks of one request per row: key, response and ``k`` pick columns.
 
     The request shows the candidates by position; picks are given back as the
-    numbers in the candidate column names. Keys must be unique.
+    numbers in the candidate column names. Keys must be unique; a job over the
+    key column says so before the first call. With ``store`` the answers are
+    kept there like those of ``run_resumable``; without, the result is lazy.
     """
     columns = candidate_columns(df.columns)
     asked = F.col(prompt_col) if prompt_col in df.columns else None
     texts = [F.col(f"`{c}`") for c in columns.values()]
     prompts = df.select(key, selection_prompt(texts, asked, k, body).alias("prompt"))
-    answers = generate(prompts, 1, generator, key=key, partitions=partitions)
+    if store is None:
+        require_unique(df, key)
+        answers = generate(prompts, 1, generator, key=key, partitions=partitions)
+    else:
+        answers = run_resumable(prompts, 1, generator, store, run_id, key, batches=batches, partitions=partitions)
+        # The store may hold answers of rows that are not asked about here.
+        answers = spread_join(answers, df.select(key), key, "left_semi")
     picks = positions_to_numbers(parse_picks(F.col("text")), columns)
     return answers.select(key, F.col("text").alias("response"), *pad_picks(picks, k))
 
@@ -297,7 +341,8 @@ def generate_repeats(
         made = run_resumable(final, repeats, generator, store, run_id, key, batches=batches, partitions=partitions, known=done)
     made = made.select(key, "candidate_no", "text")
     if done is not None:
-        made = done.where(finished()).select(*made.columns).unionByName(made)
+        given = done.where(finished()).select(*made.columns)
+        made = made.join(given.select(key, "candidate_no").distinct(), [key, "candidate_no"], "left_anti").unionByName(given)
     counted = made.select(key, "candidate_no", "text", token_count(F.col("text"), tokenizer).alias("tokens"))
     wide = to_wide(counted, [key], "candidate_no", {"text": "Generated_rationale_", "tokens": "Generated_token_"}, repeats)
     shown = final.select(key, prompt_preview(F.col("prompt"), *preview, mark=mark).alias("Prompt_preview"))

@@ -3,71 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Used only where the session has adaptive skew joins switched off: a key counts
-# as hot from HOT_ROWS rows on, and at most HOT_KEYS of the most frequent keys
-# are salted, so their list has a fixed size. Any key left out has less than
-# 1/HOT_KEYS of the rows.
-HOT_ROWS = 200_000
-HOT_KEYS = 1_024
-SALTS = 128
 # Rows per first-level piece of an ordered concatenation.
 PIECE_BITS = 12
 
 
-def adaptive_skew(spark: SparkSession) -> bool:
-    """Whether Spark itself splits skewed join partitions at run time."""
-    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    return all(spark.conf.get(name, "true") == "true" for name in names)
+def spread_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of a big ``left`` that may be skewed, null keys included, with a ``right`` of few rows per key.
 
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    spread: Sequence[str] | None = None,
-    adaptive: bool | None = None,
-    min_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Equi-join of a big ``left`` with a ``right`` that has few rows per key.
-
-    ``left`` may be skewed, null keys included. With adaptive skew joins (the
-    default of Spark) this is a plain join: oversized partitions of ``left``
-    are split when their true size is known, without another pass. These kinds
-    of join all allow that split. Without them hot keys are salted here, by a
-    hash of the ``spread`` columns (row content only, so a repeated task deals
-    rows the same way).
+    Only kinds of join are let in whose oversized partitions of ``left``
+    Spark's adaptive skew join splits at run time, once their true size is
+    known; keep ``spark.sql.adaptive.skewJoin.enabled`` on.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how is inner, left, left_semi or left_anti, not {how!r}")
-    if adaptive_skew(left.sparkSession) if adaptive is None else adaptive:
-        return left.join(right, on, how)
-    hot = hot_keys(left, on, min_rows)
-    columns = list(spread) if spread else left.columns
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    dealt = _mark_hot(left, hot, on).withColumn("__salt", salt).drop("__hot")
-    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = _mark_hot(right, hot, on).withColumn("__salt", F.explode(every)).drop("__hot")
-    return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
-
-
-def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS, limit: int = HOT_KEYS) -> DataFrame:
-    """The most frequent keys, null keys included: one job, at most ``limit`` rows come back."""
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows)
-    top = counted.orderBy(F.col("__n").desc(), *on).limit(limit).select(*on)
-    return df.sparkSession.createDataFrame(top.collect(), top.schema)
-
-
-def _mark_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
-    named = hot.select(*[F.col(c).alias(f"__hot_{c}") for c in on], F.lit(True).alias("__hot"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__hot_{c}")) for c in on])
-    return df.join(F.broadcast(named), same, "left").drop(*[f"__hot_{c}" for c in on])
+    return left.join(right, on, how)
 
 
 def concat_pieces(
@@ -112,19 +66,26 @@ def concat_ordered(
     )
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column, name: str) -> DataFrame:
+def number_rows(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column, name: str, below: int | None = None
+) -> DataFrame:
     """0-based position of every row in its group, without one task per group.
 
     ``bucket`` is the leading hex digits of the first order column, hence a
     small fixed number of values in the same order. Rows are numbered inside
     their bucket; the start of each bucket is a running sum over bucket counts.
+    With ``below`` only rows at smaller positions are kept, and buckets that
+    begin later are neither shuffled nor sorted.
     """
-    cut = df.withColumn("__bucket", bucket)
-    starts = bucket_starts(cut, group)
+    marked = df.withColumn("__bucket", bucket)
+    starts = bucket_starts(marked, group)
+    if below is not None:
+        starts = starts.where(F.col("__start") < below)
     inside = Window.partitionBy(*group, "__bucket").orderBy(*order)
-    numbered = cut.withColumn("__inside", F.row_number().over(inside) - 1)
-    placed = numbered.join(F.broadcast(starts), [*group, "__bucket"])
-    return placed.withColumn(name, F.col("__inside") + F.col("__start")).drop("__inside", "__start", "__bucket")
+    placed = marked.join(starts, [*group, "__bucket"])
+    position = F.row_number().over(inside) - 1 + F.col("__start")
+    numbered = placed.withColumn(name, position.cast("bigint")).drop("__start", "__bucket")
+    return numbered if below is None else numbered.where(F.col(name) < below)
 
 
 def bucket_starts(cut: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from interviewflow.defaults import CORRECTED_IDS
 from interviewflow.functions.columns import require_columns
 from interviewflow.functions.ids import id_of, padded_id
+from interviewflow.functions.labels import label_of
 from interviewflow.operators.spread import spread_join
 
 
@@ -131,13 +132,13 @@ def change_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, id_col: str = "Participant_ID", prefix: str = "Rational_") -> DataFrame:
-    """One row: rows, columns, candidate columns, lowest and highest id."""
+    """One row: rows, columns, candidate columns, lowest and highest id by value."""
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.lit(sum(c.startswith(prefix) for c in df.columns)).alias("n_candidates"),
-        F.min(id_col).alias("min_id"),
-        F.max(id_col).alias("max_id"),
+        F.min(id_of(df, id_col)).alias("min_id"),
+        F.max(id_of(df, id_col)).alias("max_id"),
     )
 
 
@@ -165,6 +166,14 @@ def require_values(df: DataFrame, condition: Column, message: str) -> DataFrame:
     return df.where(held)
 
 
+def require_unique(df: DataFrame, key: str) -> DataFrame:
+    """``df`` itself, or a ``ValueError`` naming a repeated key. Runs a job over the key column."""
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).take(1)
+    if repeated:
+        raise ValueError(f"{key} is not unique: {repeated[0][0]}")
+    return df
+
+
 def id_range(df: DataFrame, id_col: str, lo: int, hi: int) -> DataFrame:
     """Rows with ``lo <= id <= hi``."""
     if lo < 0 or hi < lo:
@@ -174,4 +183,4 @@ def id_range(df: DataFrame, id_col: str, lo: int, hi: int) -> DataFrame:
 
 def class_pool(df: DataFrame, label_col: str, value: int) -> DataFrame:
     """Rows of one class."""
-    return df.where(F.col(label_col) == value)
+    return df.where(label_of(df, label_col) == value)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from interviewflow.defaults import DEFAULT_PICKS, PROMPT_FALLBACKS, SELECTION_PATTERNS
 from interviewflow.functions.columns import candidate_columns, find_columns, require_columns
-from interviewflow.functions.labels import status_text
+from interviewflow.functions.labels import label_of, status_text
 from interviewflow.functions.picks import picks_for, picks_from_cells
 from interviewflow.functions.templates import choose_template, placeholders, render
 from interviewflow.functions.text import clean_rationale
@@ -18,7 +18,7 @@ from interviewflow.operators.candidates import default_picks, default_picks_from
 from interviewflow.operators.generate import Generator, merge_results, run_resumable, select_best
 from interviewflow.operators.reshape import to_long, to_wide
 from interviewflow.operators.spread import spread_join
-from interviewflow.operators.tables import id_range, require_rows
+from interviewflow.operators.tables import id_range, require_rows, require_unique
 
 
 def with_template(
@@ -42,7 +42,7 @@ def with_template(
             require_columns(df, [column])
             values[placeholder] = F.col(column)
     if "depression_status" in values:
-        values["depression_status"] = F.when(F.col("PHQ_Binary").isNotNull(), status_text(F.col("PHQ_Binary")))
+        values["depression_status"] = F.when(F.col("PHQ_Binary").isNotNull(), status_text(label_of(df, "PHQ_Binary")))
     return df.withColumn(out, render(body, values, template=name))
 
 
@@ -61,7 +61,7 @@ def with_prompt(
     filled = {
         "gender": F.coalesce("Gender", F.lit(defaults["gender"])),
         "transcript": F.coalesce("Transcript", F.lit(defaults["transcript"])),
-        "depression_status": status_text(F.col("PHQ_Binary"), null_status=defaults["status"]),
+        "depression_status": status_text(label_of(df, "PHQ_Binary"), null_status=defaults["status"]),
     }
     return df.withColumn(out, render(body, {**filled, **(values or {})}, template=out, non_empty=()))
 
@@ -86,6 +86,7 @@ def candidates_for_range(
     in ``store``, so a second run asks only for what is missing. Ids must be
     unique. A range without rows gives the table as it is, with a warning.
     """
+    require_unique(df, id_col)
     chosen = id_range(df, id_col, lo, hi)
     if chosen.isEmpty():
         warnings.warn(f"no id from {lo} to {hi}", stacklevel=2)
@@ -95,6 +96,7 @@ def candidates_for_range(
     prompts = with_template(chosen, templates, template, criteria).select(id_col, "Prompt")
     results = run_resumable(prompts, n, generator, store, run_id, key=id_col, prompt="Prompt", batches=batches, known=known)
     wide = to_wide(results, [id_col], "candidate_no", "text", n)
+    # The prompts of the range and the results meet on the id, then once with the table.
     return merge_results(df, prompts.join(wide, id_col, "left"), [id_col])
 
 
@@ -105,17 +107,19 @@ def select_and_expand(
     store: str | None = None,
     id_col: str = "Participant_ID",
     carry: Sequence[str] | None = None,
+    run_id: str = "run",
+    batches: int = 1,
 ) -> DataFrame:
     """From a table of candidates to one cleaned text per pick (``modified_rationale``).
 
-    The number of picks follows from the number of candidates. With ``store``
-    the answers are written there before they are used.
+    The number of picks follows from the number of candidates. Ids must be
+    unique. With ``store`` the answers are kept there, and another run asks
+    only for those that are missing.
     """
     columns = candidate_columns(df.columns)
-    answers = select_best(df, picks_for(len(columns)), generator, body, key=id_col)
-    if store is not None:
-        answers.write.mode("overwrite").parquet(store)
-        answers = df.sparkSession.read.parquet(store)
+    answers = select_best(
+        df, picks_for(len(columns)), generator, body, key=id_col, store=store, run_id=run_id, batches=batches
+    )
     return clean_selection(expand_picks(spread_join(df, answers, id_col), candidates=columns, carry=carry, id_col=id_col))
 
 

@@ -13,6 +13,12 @@ from interviewflow.sources.sinks import write_formats
 from interviewflow.sources.tables import ORDER, find_separator, read_table
 
 
+def written(spark: SparkSession, rows: DataFrame, out: str, sep: str = ",") -> DataFrame:
+    """Writes ``<out>.csv`` and returns the written rows, so that the plan runs once."""
+    path = write_formats(rows, out, "csv", sep)[0]
+    return spark.read.csv(path, schema=rows.schema, sep=sep, header=True, quote='"', escape='"', multiLine=True)
+
+
 def dedupe_table(
     spark: SparkSession,
     path: str,
@@ -27,8 +33,7 @@ def dedupe_table(
     rows = read_table(spark, path, sep, order=True)
     require_columns(rows, [id_col], path)
     kept = keep_first(rows, id_col, ORDER, id_type).drop(*ORDER)
-    write_formats(kept, out, "csv", out_sep or sep)
-    return kept
+    return written(spark, kept, out, out_sep or sep)
 
 
 def filter_table(
@@ -49,8 +54,7 @@ def filter_table(
     kept = keep_ids(read_table(spark, path, sep, order=True), ids, id_col, id_type)
     kept = sort_ids(kept, id_col, id_type, ORDER) if sort else kept.orderBy(*ORDER)
     kept = kept.drop(*ORDER)
-    write_formats(kept, out, "csv", out_sep or sep)
-    return kept
+    return written(spark, kept, out, out_sep or sep)
 
 
 def correct_table(
@@ -69,5 +73,4 @@ def correct_table(
 def stack_tables(spark: SparkSession, paths: Sequence[str], out: str) -> DataFrame:
     """All rows of several files by column name; writes ``<out>.csv`` and returns the rows."""
     rows = union_tables(*[read_table(spark, p) for p in paths])
-    write_formats(rows, out, "csv")
-    return rows
+    return written(spark, rows, out)

@@ -12,9 +12,10 @@ from interviewflow.functions.ids import id_from_filename, normalize_id
 from interviewflow.operators.transcripts import (
     build_transcripts,
     join_transcripts,
-    merge_files,
     update_transcripts,
 )
+from interviewflow.operators.tables import unmatched
+from interviewflow.sources.sinks import write_formats
 from interviewflow.sources.tables import ORDER, read_table
 from interviewflow.sources.transcripts import PATTERN, read_utterances
 
@@ -38,10 +39,14 @@ def transcript_splits(spark: SparkSession, folder: str, metadata: Mapping[str, s
 
 
 def transcripts_by_id(utterances: DataFrame, id_col: str = "Participant_ID") -> DataFrame:
-    """Squeezed transcripts per normalized id, from files named ``<digits>_…``."""
-    named = utterances.withColumn("__id", id_from_filename(F.col("file_name"), strict=True))
-    per_file = build_transcripts(named.where(F.col("__id").isNotNull()), ["__id", "file_name"], ORDER, collapse=True)
-    return merge_files(per_file.withColumn(id_col, normalize_id(F.col("__id"))), id_col, "file_name")
+    """Squeezed transcripts per normalized id, from files named ``<digits>_…``.
+
+    Blank cells are null once squeezed, so the pieces of all files of an id
+    are joined in file order at once; ids without any text are left out.
+    """
+    named = utterances.withColumn(id_col, normalize_id(id_from_filename(F.col("file_name"), strict=True)))
+    built = build_transcripts(named.where(F.col(id_col).isNotNull()), id_col, ORDER, collapse=True)
+    return built.where(F.col("transcript") != "")
 
 
 def roster_update(
@@ -54,7 +59,30 @@ def roster_update(
     sep: str = ",",
     encoding: str = "utf-8",
 ) -> DataFrame:
-    """Roster with the transcripts of a folder, and which rows took one (``updated``)."""
+    """Roster with the transcripts of a folder, and which rows took one (``updated``).
+
+    One job looks at the files while the plan is built.
+    """
     id_col = resolve_column(roster.columns, chosen=id_col)
     found = read_utterances(spark, folder, pattern, sep=sep, encoding=encoding, need_text=True)
     return update_transcripts(roster, transcripts_by_id(found, id_col), mode, id_col)
+
+
+def roster_update_files(
+    spark: SparkSession,
+    roster: str,
+    folder: str,
+    out: str,
+    pattern: str = PATTERN,
+    mode: str = "overwrite",
+    id_col: str | None = None,
+    sep: str = ",",
+    encoding: str = "utf-8",
+) -> DataFrame:
+    """From a roster file and a folder to ``<out>.csv``; returns the ids of transcripts without a roster row."""
+    rows = read_table(spark, roster, sep, encoding=encoding)
+    name = resolve_column(rows.columns, chosen=id_col)
+    found = read_utterances(spark, folder, pattern, sep=sep, encoding=encoding, need_text=True)
+    fresh = transcripts_by_id(found, name)
+    write_formats(update_transcripts(rows, fresh, mode, name).drop("updated"), out, "csv", sep)
+    return unmatched(fresh.select(name), rows.select(normalize_id(F.col(name)).alias(name)), name)

@@ -39,10 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, for a plan that reads it several times.
 
-    Meant for narrow tables of keys. The copy outlives lost executors.
+    Meant for narrow tables of keys. The copy outlives lost executors and is
+    removed when the session's JVM ends.
     """
     context = df.sparkSession.sparkContext
     folder = shared_dir(df.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
+    # The context has a folder of its own below the shared one.
+    own = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
     return df.checkpoint()

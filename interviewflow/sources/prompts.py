@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interviewflow.sources.tables import file_name
+
+def _decoded(col: Column) -> Column:
+    """Percent codes resolved; a plus sign is itself."""
+    return F.url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
+
+
+def named_prompts(files: DataFrame) -> DataFrame:
+    """(key, prompt) of files read as whole texts, from a scan or a stream.
+
+    ``<key>.txt`` is a prompt as it is; ``key=<key>/<any>.txt`` is what
+    ``write_prompts`` makes, with one line end behind the prompt.
+    """
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"/key(?:=|%3D)([^/]*)/[^/]*$", 1)
+    written = path.rlike(r"/key(?:=|%3D)[^/]*/[^/]*$")
+    stem = F.regexp_replace(_decoded(F.regexp_extract(path, r"([^/]*)$", 1)), r"\.txt$", "")
+    # The folder's name is escaped once as a partition and once as part of a path.
+    key = F.when(written, _decoded(_decoded(folder))).otherwise(stem)
+    prompt = F.when(written, F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
+    return files.select(key.alias("key"), prompt.alias("prompt"))
 
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, prompt) from ``<key>.txt`` files; the prompt is the whole file."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
-    return files.select(
-        F.regexp_replace(file_name(), r"\.txt$", "").alias("key"), F.col("value").alias("prompt")
+    """(key, prompt) from the text files of a folder, as people or ``write_prompts`` made them."""
+    files = spark.read.schema("value string").text(
+        folder, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True
     )
+    return named_prompts(files)
 
 
 def write_prompts(df: DataFrame, folder: str, key: str = "key", prompt: str = "prompt") -> None:
-    """One folder per key with its prompt as text.
+    """One folder per key with its prompt as text; ``read_prompts`` and ``stream_generate`` take it.
 
     This makes as many files as there are keys, for hand-over to other
     programs. Between Spark jobs keep prompts in a table instead.
     """
-    named = F.when(F.col(key).isNull(), F.raise_error(F.lit("a prompt has no key")).cast("string")).otherwise(
-        F.col(key).cast("string")
-    )
+    text = F.col(key).cast("string")
+    named = F.when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit("a prompt has no key")).cast("string")).otherwise(text)
     rows = df.select(named.alias("key"), F.coalesce(F.col(prompt), F.lit("")).alias("value"))
     rows.write.mode("overwrite").partitionBy("key").text(folder)
-
-
-def read_written_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, prompt) as given to ``write_prompts``: keys stay text, the added line end goes."""
-    rows = spark.read.schema("value string, key string").text(folder, wholetext=True)
-    return rows.select("key", F.regexp_replace("value", r"\n\z", "").alias("prompt"))

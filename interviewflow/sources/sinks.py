@@ -22,8 +22,11 @@ def write_versioned(df: DataFrame, base: str, run_id: str) -> str:
 
 
 def write_formats(df: DataFrame, base: str, formats: str, sep: str = ",") -> list[str]:
-    """Writes ``csv``, ``parquet`` or ``both`` under the base path plus its format. Returns the paths."""
-    known = {"csv": ["csv"], "parquet": ["parquet"], "both": ["csv", "parquet"]}
+    """Writes ``csv``, ``parquet`` or ``both`` under the base path plus its format. Returns the paths.
+
+    The plan runs once: of both formats the second is filled from the written first.
+    """
+    known = {"csv": ["csv"], "parquet": ["parquet"], "both": ["parquet", "csv"]}
     if formats.lower() not in known:
         raise ValueError(f"format is one of {sorted(known)}, not {formats!r}")
     paths = []
@@ -34,8 +37,9 @@ def write_formats(df: DataFrame, base: str, formats: str, sep: str = ",") -> lis
             writer.csv(path, header=True, sep=sep, quote='"', escape='"')
         else:
             writer.parquet(path)
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
         paths.append(path)
-    return paths
+    return sorted(paths)
 
 
 def with_preview(

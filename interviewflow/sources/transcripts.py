@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,34 +12,52 @@ from pyspark.sql import types as T
 
 from interviewflow.defaults import TEXT_NAMES
 from interviewflow.operators.spread import spread_join
-from interviewflow.sources.tables import ORDER, file_name, quoted_line_breaks, row_place
+from interviewflow.session import cut
+from interviewflow.sources.tables import literal_path, open_quote, raw_lines, row_place
 
 PATTERN = "*_Transcript.csv"
-# Different header lines one folder may have; each costs a scan of the folder.
-MAX_HEADERS = 100
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """Names of the matching files. Contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return found.select(file_name().alias("file_name"))
+    """Names of the matching files, those of zero bytes too. Contents are not read.
 
+    The names come from the file listing that Spark holds on the driver for
+    every scan; its scans themselves skip files of zero bytes.
+    """
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).inputFiles()
+    names = [(unquote(p.rsplit("/", 1)[-1]),) for p in paths]
+    return spark.createDataFrame(names, "file_name string")
 
-def file_headers(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """(file_name, header): the first line of every file that has one."""
-    lines = spark.read.text(folder, pathGlobFilter=pattern).select(*row_place(), "value")
-    first = lines.where(F.col("block") == 0).groupBy("file_name").agg(F.min_by("value", "line").alias("header"))
-    return first
 
+def file_layouts(
+    spark: SparkSession, folder: str, pattern: str, text_names: Sequence[str], sep: str, encoding: str
+) -> DataFrame:
+    """(file_name, path, width, place, open): from one pass over the folder.
 
-def _columns(header: str, sep: str) -> list[str]:
-    return next(csv.reader([header.lstrip("\ufeff")], delimiter=sep))
+    ``width`` is the number of header cells, ``place`` the 1-based position of
+    the first of ``text_names`` among them (null: none), ``open`` whether some
+    cell spans lines.
+    """
+    lines = raw_lines(spark, folder, encoding, pathGlobFilter=pattern).select(
+        *row_place(), F.col("_metadata.file_path").alias("path"), "value"
+    )
+    first = F.min_by(F.when(F.col("block") == 0, F.col("value")), F.struct("block", "line"))
+    per_file = lines.groupBy("file_name", "path").agg(first.alias("header"), F.bool_or(open_quote("value", sep)).alias("open"))
+    mark = re.escape(sep)
+    cells = F.regexp_extract_all(
+        F.ltrim(F.col("header"), F.lit("﻿")), F.lit(rf'(?:^|{mark})("(?:[^"]|"")*"|[^{mark}]*)'), F.lit(1)
+    )
+    names = F.transform(cells, lambda c: F.replace(F.regexp_replace(c, r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    places = [F.nullif(F.array_position("names", F.lit(t)), F.lit(0)) for t in text_names]
+    return per_file.withColumn("names", names).select(
+        "file_name", "path", F.size("names").alias("width"), F.coalesce(*places).cast("int").alias("place"), "open"
+    )
 
 
-def _scan(spark, folder, pattern, columns: Sequence[str], text: str | None, sep, encoding, multiline) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
-    rows = spark.read.csv(
-        folder,
+def _scan(spark, paths, pattern, width: int, sep, encoding, multiline) -> DataFrame:
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    return spark.read.csv(
+        paths,
         schema=schema,
         header=True,
         enforceSchema=True,
@@ -49,8 +68,6 @@ def _scan(spark, folder, pattern, columns: Sequence[str], text: str | None, sep,
         multiLine=multiline,
         pathGlobFilter=pattern,
     )
-    cell: Column = F.lit(None).cast("string") if text is None else F.col(f"c{list(columns).index(text)}")
-    return rows.select(*row_place(), cell.alias("text"))
 
 
 def read_utterances(
@@ -66,42 +83,53 @@ def read_utterances(
 ) -> DataFrame:
     """Utterances of all matching files: file_name, block, line (the order, see ORDER) and text.
 
-    Header lines are read first, as files may order their columns differently.
-    Naming the ``columns`` all files share saves that pass. Each file also
-    gives one row with null text, so files without utterances, or without a
-    text column, are not lost; with ``need_text`` the latter are left out.
-    A file of zero bytes is never seen: Spark's file sources skip it.
+    Files may order their columns differently, in any number of ways: a first
+    job reads the header of each file and whether a cell spans lines, and the
+    data are scanned once with the widest header. Files with such cells are
+    read unsplit, the others stay split. Naming the ``columns`` all files
+    share and ``multiline`` saves the first job. Each file also gives one row
+    with null text, so files without utterances, without a text column or
+    without bytes are not lost; with ``need_text`` the latter two are left out.
     """
-    if multiline is None:
-        multiline = quoted_line_breaks(spark, folder, pathGlobFilter=pattern)
     files = list_files(spark, folder, pattern)
-
-    def text_of(names: Sequence[str]) -> str | None:
-        return next((t for t in text_names if t in names), None)
-
-    if columns is not None:
-        found = _scan(spark, folder, pattern, columns, text_of(columns), sep, encoding, multiline)
-        return _with_files(found, files)
-
-    headers = file_headers(spark, folder, pattern)
-    kinds = [r["header"] for r in headers.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(kinds) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different header lines in {folder}")
-    parsed = {kind: _columns(kind, sep) for kind in kinds}
-    readable = {kind: names for kind, names in parsed.items() if text_of(names) is not None}
+    unsplit = not splittable(encoding)
+    if columns is not None and multiline is not None:
+        place = next((i for i, c in enumerate(columns) if c in [t for t in text_names if t in columns][:1]), None)
+        rows = _scan(spark, folder, pattern, len(columns), sep, encoding, multiline or unsplit)
+        cell: Column = F.lit(None).cast("string") if place is None else F.col(f"c{place}")
+        return _with_files(rows.select(*row_place(), cell.alias("text")), files)
+
+    layouts = cut(file_layouts(spark, folder, pattern, text_names, sep, encoding))
     if need_text:
-        keep = headers.where(F.col("header").isin(*readable)) if readable else headers.limit(0)
-        files = files.join(keep.select("file_name"), "file_name", "left_semi")
+        files = files.join(layouts.where("place IS NOT NULL").select("file_name"), "file_name", "left_semi")
+    span = F.lit(bool(multiline)) if multiline is not None else F.col("open")
+    width, low, high, n_open, n_split = layouts.agg(
+        F.max("width"), F.min(F.coalesce("place", F.lit(0))), F.max(F.coalesce("place", F.lit(0))), F.count_if(span), F.count_if(~span)
+    ).first()
+    if not width or not high:
+        return _with_files(files)
+    # Paths of the files with cells that span lines; a share of the listing that the driver has anyway.
+    mixed = n_open and n_split and not unsplit
+    parts = [(folder, bool(n_open) or unsplit)]
+    if mixed:
+        parts = [([literal_path(r[0]) for r in layouts.where(here).select("path").collect()], flag) for here, flag in ((span, True), (~span, False))]
     scans = []
-    for kind, names in readable.items():
-        rows = _scan(spark, folder, pattern, names, text_of(names), sep, encoding, multiline)
-        if len(kinds) > 1:
-            mine = headers.where(F.col("header") == kind).select("file_name")
-            rows = spread_join(rows, mine, "file_name", "left_semi", spread=["block", "line"])
-        scans.append(rows)
+    for paths, flag in parts:
+        rows = _scan(spark, paths, pattern, width, sep, encoding, flag)
+        if low == high:
+            scans.append(rows.select(*row_place(), F.col(f"c{high - 1}").alias("text")))
+            continue
+        cells = rows.select(*row_place(), F.array(*[f"c{i}" for i in range(width)]).alias("cells"))
+        placed = spread_join(cells, layouts.where("place IS NOT NULL").select("file_name", "place"), "file_name")
+        scans.append(placed.select("file_name", "block", "line", F.get("cells", F.col("place") - 1).alias("text")))
     return _with_files(*scans, files)
 
 
+def splittable(encoding: str) -> bool:
+    """Whether line ends, quotes and separators are single ASCII bytes in this encoding."""
+    return 'a,"\n'.encode(encoding) == b'a,"\n'
+
+
 def _with_files(*parts: DataFrame) -> DataFrame:
     *scans, files = parts
     out = files.select(

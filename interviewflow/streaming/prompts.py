@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from interviewflow.operators.generate import Generator, _result_schema, finished
-from interviewflow.sources.tables import file_name
+from interviewflow.sources.prompts import named_prompts
 
 
 def stream_generate(
@@ -26,12 +26,12 @@ def stream_generate(
     takes only new files. ``done`` holds results to skip. Each result is
     written once; a call may be repeated after a failure.
     """
-    reader = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.txt")
+    reader = spark.readStream.schema("value string").options(
+        wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True
+    )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    prompts = reader.format("text").load(folder).select(
-        F.regexp_replace(file_name(), r"\.txt$", "").alias("key"), F.col("value").alias("prompt")
-    )
+    prompts = named_prompts(reader.format("text").load(folder))
     todo = prompts.select("key", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("candidate_no"), "prompt")
     if done is not None:
         made = done.where(finished()).select("key", "candidate_no").distinct()

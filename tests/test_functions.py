@@ -273,3 +273,37 @@ def test_candidate_columns():
 def test_require_columns(spark):
     with pytest.raises(ValueError, match="absent"):
         require_columns(spark.range(1), ["id", "absent"])
+
+
+def test_text_cells_of_a_table_read_from_csv(spark):
+    from interviewflow.functions.ids import exemplar_key
+    from interviewflow.functions.labels import label_of
+    from interviewflow.operators.candidates import expand_picks
+    from interviewflow.operators.fewshot import shots_no_reuse, shots_with_reuse
+    from interviewflow.operators.tables import profile
+    from interviewflow.plans.candidates import with_prompt, with_template
+
+    df = spark.createDataFrame(
+        [("302", "1.0", "f", "t", "5.0", "3000000000", "c"), ("1000", "0.0", "m", "u", None, "1", "d"), ("7", None, "m", "v", "2", "x", "e")],
+        "Participant_ID string, PHQ_Binary string, Gender string, Transcript string, no string, Selected_Rational_Number_1 string, Rational_1 string",
+    )
+    assert [r[0] for r in df.select(label_of(df, "PHQ_Binary")).collect()] == [1, 0, None]
+    assert [r.Prompt for r in with_prompt(df, "{{depression_status}}").collect()] == ["depressed", "non-depressed", "unknown"]
+    labelled = df.where("PHQ_Binary IS NOT NULL")
+    shown = with_template(labelled, {"main": "{{depression_status}}"})
+    assert [r.Prompt for r in shown.collect()] == ["depressed", "non-depressed"]
+    assert [r[0] for r in df.select(exemplar_key(F.col("Participant_ID"), F.col("no"))).collect()] == ["302_5", None, "7_2"]
+    assert profile(df).select("min_id", "max_id").first() == (7, 1000)
+    assert [tuple(r) for r in expand_picks(df, id_col="Participant_ID").select("Participant_ID", "Selected_Rationale").collect()] == [("1000", "d")]
+    named = labelled.withColumn("name", F.col("Participant_ID"))
+    drawn = {r.name: (r.zero_shot_name, r.one_shot_name) for r in shots_with_reuse(named).collect()}
+    assert drawn == {"302": ("1000", ""), "1000": ("", "302")}
+    one = spark.createDataFrame([(1,)], "Participant_ID int")
+    assert shots_no_reuse(named, one).select("zero_shot_name", "one_shot_name").first() == ("1000", "302")
+
+
+def test_long_whole_numbers_keep_their_digits(apply):
+    from interviewflow.functions.ids import int_id
+
+    cells = ["9007199254740993.0", "9007199254740993", "1e3", "1.5", "+7.", "99999999999999999999.0", ".0"]
+    assert apply(int_id, cells) == [9007199254740993, 9007199254740993, 1000, None, 7, None, 0]

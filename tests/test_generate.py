@@ -59,7 +59,7 @@ def test_retry():
     assert slept == [1.0, 2.0]
     tries.clear(), slept.clear()
     assert with_retry(call, sleep=slept.append)({"fail": 9}) == Reply("", "failed", "later", 3)
-    assert slept == [1.0, 2.0, 4.0]
+    assert slept == [1.0, 2.0]
     with pytest.raises(OSError):
         with_retry(call, retry_on=ValueError)({"fail": 99})
 
@@ -194,3 +194,93 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     (folder / "303.txt").write_text("new")
     assert run() == [*first, ("303", 2, "new2")]
     assert run() == [*first, ("303", 2, "new2")]
+
+
+def test_no_sleep_after_the_last_try():
+    slept = []
+
+    def fail(request):
+        raise ValueError("no")
+
+    reply = with_retry(fail, retries=3, sleep=slept.append)({})
+    assert slept == [1.0, 2.0] and reply.attempts == 3
+
+
+def test_progress_leaves_out_unknown_keys(spark):
+    from interviewflow.operators.generate import progress
+
+    prompts = spark.createDataFrame([("a", "p")], "key string, prompt string")
+    results = spark.createDataFrame([("z", 1, "t"), ("y", 2, "t")], "key string, candidate_no int, text string")
+    assert progress(prompts, results, 2).first() == (2, 0, 2, 0)
+
+
+def test_repeated_ids_are_refused_before_the_first_call(spark, tmp_path):
+    from interviewflow.operators.generate import run_resumable, select_best
+    from interviewflow.plans.candidates import candidates_for_range, select_and_expand
+    from interviewflow.plans.fewshot import training_set
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(request):
+        calls.add(1)
+        return "1"
+
+    gen = per_request(call)
+    df = spark.createDataFrame(
+        [(1, "f", 1, "t1", "c"), (1, "m", 0, "t2", "d")], "Participant_ID bigint, Gender string, PHQ_Binary int, Transcript string, Rational_1 string"
+    )
+    jobs = [
+        lambda: candidates_for_range(df, 1, 2, 1, gen, {"main": "{{transcript}}"}, "main", str(tmp_path / "a"), "r"),
+        lambda: select_and_expand(df, gen, "{{candidates}}", str(tmp_path / "b")),
+        lambda: select_best(df, 1, gen, "{{candidates}}"),
+        lambda: run_resumable(df.selectExpr("Participant_ID AS key", "Transcript AS prompt"), 1, gen, str(tmp_path / "c"), "r"),
+        lambda: training_set(df.selectExpr("cast(Participant_ID AS string) AS name", "Transcript AS prompt"), gen, str(tmp_path / "d"), "r"),
+    ]
+    for job in jobs:
+        with pytest.raises(ValueError, match="not unique: 1"):
+            job()
+    assert calls.value == 0
+
+
+def test_selection_goes_on_after_a_stop(spark, tmp_path):
+    from interviewflow.plans.candidates import select_and_expand
+
+    calls = spark.sparkContext.accumulator(0)
+    failing = spark.sparkContext.broadcast({"b"})
+
+    def first(request):
+        if any(x in request["prompt"] for x in failing.value):
+            raise ValueError("down")
+        return "[1]"
+
+    def second(request):
+        calls.add(1)
+        return "[1]"
+
+    df = spark.createDataFrame(
+        [(i, "f", 1, "t", c) for i, c in enumerate("abc")],
+        "Participant_ID bigint, Gender string, PHQ_Binary int, Transcript string, Rational_1 string",
+    )
+    store = str(tmp_path / "answers")
+    body = "{{candidates}}"
+    assert select_and_expand(df, per_request(first), body, store, run_id="1").count() == 2
+    again = select_and_expand(df, per_request(second), body, store, run_id="2", batches=3)
+    assert sorted(r.modified_rationale for r in again.collect()) == ["a", "b", "c"]
+    assert calls.value == 1
+
+
+def test_requests_are_dealt_over_tasks(spark):
+    from interviewflow.operators.generate import generate
+
+    prompts = spark.createDataFrame([(str(i), "p") for i in range(64)], "key string, prompt string").coalesce(1)
+
+    def seen(frames):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        for frame in frames:
+            out = frame[["key", "candidate_no"]]
+            yield pd.concat([out, pd.DataFrame({"text": [str(TaskContext.get().partitionId())] * len(out), "status": "ok", "error": "", "attempts": 1})], axis=1)
+
+    made = generate(prompts, 1, seen)
+    assert made.select("text").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

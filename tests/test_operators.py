@@ -12,7 +12,7 @@ from interviewflow.operators.candidates import (
 )
 from interviewflow.operators.reshape import renumber, to_long, to_wide
 from interviewflow.operators.scoring import confusion_counts, confusion_rows, prediction_columns, report, score
-from interviewflow.operators.spread import concat_ordered, concat_pieces, hot_keys, number_rows, spread_join
+from interviewflow.operators.spread import concat_ordered, concat_pieces, number_rows, spread_join
 from interviewflow.operators.tables import (
     change_counts,
     class_pool,
@@ -61,25 +61,18 @@ def skewed(spark):
     return spark.range(3000).select(key.cast("bigint").alias("k"), n.alias("v"))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, skewed, how):
-    right = spark.createDataFrame([(1, "a"), (1, "b"), (5, "c"), (None, "d"), (8, "e")], "k bigint, w string")
-    salted = spread_join(skewed, right, "k", how, adaptive=False, min_rows=100)
-    assert bag(salted) == bag(skewed.join(right, "k", how))
-    assert bag(hot_keys(skewed, ["k"], 100)) == [(1,), (None,)]
-
-
-def test_salting_deals_the_hot_key(spark, skewed):
-    right = spark.createDataFrame([(1, "a")], "k bigint, w string")
-    salted = spread_join(skewed, right, "k", adaptive=False, min_rows=100)
-    assert "__salt" in salted._jdf.queryExecution().toString() and salted.columns == ["k", "v", "w"]
-
-
 def test_spread_join_refuses_other_kinds(skewed):
     with pytest.raises(ValueError):
         spread_join(skewed, skewed, "k", "full")
 
 
+def test_number_rows_below_keeps_the_first_positions(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.md5(F.col("id").cast("string")).alias("h"), "id")
+    order, bucket = [F.col("h"), F.col("id")], F.left("h", F.lit(2))
+    every = number_rows(df, ["g"], order, bucket, "idx")
+    assert bag(number_rows(df, ["g"], order, bucket, "idx", below=37)) == bag(every.where("idx < 37"))
+
+
 def test_concat_ordered_equals_python(spark):
     rng = random.Random(3)
     data = [(rng.choice("ab"), f"f{rng.randint(0, 2)}", i, rng.choice(["x", "y", None])) for i in range(500)]

@@ -16,9 +16,9 @@ from interviewflow.plans.scoring import score_corpus
 from interviewflow.plans.tables import correct_table, dedupe_table, filter_table, stack_tables
 from interviewflow.plans.transcripts import roster_update, transcript_splits
 from interviewflow.session import cut, shared_dir
-from interviewflow.sources.prompts import read_prompts, read_written_prompts, write_prompts
+from interviewflow.sources.prompts import read_prompts, write_prompts
 from interviewflow.sources.sinks import with_preview, write_formats, write_versioned
-from interviewflow.sources.tables import ORDER, find_separator, quoted_line_breaks, read_table
+from interviewflow.sources.tables import ORDER, files_with_open_cells, find_separator, read_table
 from interviewflow.sources.transcripts import list_files, read_utterances
 
 
@@ -38,11 +38,11 @@ def test_separator(spark, tmp_path):
 def test_read_table(spark, tmp_path):
     file = tmp_path / "t.csv"
     file.write_text('id,t\n01,"two\nlines"\n2," say ""hi"" "\nNA,5\n')
-    assert quoted_line_breaks(spark, str(file))
+    assert len(files_with_open_cells(spark, str(file), ",")) == 1
     assert bag(read_table(spark, str(file))) == [("01", "two\nlines"), ("2", ' say "hi" '), (None, "5")]
     assert bag(read_table(spark, str(file), nulls=()))[-1] == ("NA", "5")
     file.write_text('id\tt\n1\t"a ""b"""\n')
-    assert not quoted_line_breaks(spark, str(file))
+    assert files_with_open_cells(spark, str(file), "\t") == []
     assert bag(read_table(spark, str(file), "\t")) == [("1", 'a "b"')]
 
 
@@ -135,7 +135,7 @@ def test_prompt_files(spark, tmp_path):
 def test_written_prompts_come_back_equal(spark, tmp_path):
     data = [("302", 'a\n"b"\n'), ("0303", "c"), ("x y/z", ""), ("4_5", "\n")]
     write_prompts(spark.createDataFrame(data, "key string, prompt string"), str(tmp_path / "out"))
-    assert bag(read_written_prompts(spark, str(tmp_path / "out"))) == sorted(data, key=repr)
+    assert bag(read_prompts(spark, str(tmp_path / "out"))) == sorted(data, key=repr)
     with pytest.raises(Exception, match="no key"):
         write_prompts(spark.createDataFrame([(None, "x")], "key string, prompt string"), str(tmp_path / "bad"))
 
@@ -271,3 +271,72 @@ def test_first_in_file_order_over_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((int(i), int(n)) for i, n in kept) == [(i, i) for i in range(50)]
+
+
+def test_many_layouts_an_empty_file_and_stray_quotes(spark, tmp_path):
+    place = tmp_path / "talks"
+    place.mkdir()
+    for i in range(150):
+        before = ",".join(f"h{i}_{k}" for k in range(i % 7))
+        header, row = (before + ",Text", "1," * (i % 7)) if before else ("Text", "")
+        (place / f"{i}_Transcript.csv").write_text(f'{header},note{i}\n{row}word {i} 5" tall,"a ""b"""\n')
+    (place / "900_Transcript.csv").write_text("")
+    (place / "901_Transcript.csv").write_text('n,Text\n1,"two\nlines"\n')
+    found = read_utterances(spark, str(place))
+    texts = {}
+    for r in found.orderBy(*ORDER).collect():
+        texts.setdefault(r.file_name, []).append(r.text)
+    assert len(texts) == 152 and texts["900_Transcript.csv"] == [None]
+    assert texts["901_Transcript.csv"] == [None, "two\nlines"]
+    assert all(texts[f"{i}_Transcript.csv"] == [None, f'word {i} 5" tall'] for i in range(150))
+    # One scan of the split files and one of the unsplit, however many layouts there are.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [c0") == 2
+    (place / "901_Transcript.csv").write_text("Text\nplain\n")
+    assert read_utterances(spark, str(place))._jdf.queryExecution().optimizedPlan().toString().count("Relation [c0") == 1
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "iso-8859-1"])
+def test_encoding_holds_in_every_pass(spark, tmp_path, encoding):
+    place = tmp_path / "talks"
+    place.mkdir()
+    (place / "1_Transcript.csv").write_text("No,Text\n1,größe\n", encoding=encoding)
+    (place / "2_Transcript.csv").write_text("Text,No\nété,1\n", encoding=encoding)
+    found = read_utterances(spark, str(place), encoding=encoding, need_text=True)
+    assert bag(found.where("text IS NOT NULL").select("file_name", "text")) == [("1_Transcript.csv", "größe"), ("2_Transcript.csv", "été")]
+    file = tmp_path / "t.csv"
+    file.write_text("id,t\n1,ü\n", encoding=encoding)
+    assert bag(read_table(spark, str(file), encoding=encoding)) == [("1", "ü")]
+
+
+def test_only_files_with_open_cells_are_read_unsplit(spark, tmp_path):
+    place = tmp_path / "rows"
+    place.mkdir()
+    (place / "a.csv").write_text('id,t\n1,"two\nlines"\n')
+    (place / "b.csv").write_text('id,t\n2,5" tall\n')
+    got = read_table(spark, str(place), sep=",", order=True)
+    assert bag(got.select("id", "t")) == [("1", "two\nlines"), ("2", '5" tall')]
+    assert [p.rsplit("/", 1)[-1] for p in files_with_open_cells(spark, str(place), ",")] == ["a.csv"]
+
+
+def test_prompt_files_meet(spark, tmp_path):
+    keys = ["302_1", "a b", "x=1/2", "100%", "q+r", "ä"]
+    df = spark.createDataFrame([(k, f"p {k}\nend\n") for k in keys], "key string, prompt string")
+    out = str(tmp_path / "prompts")
+    write_prompts(df, out)
+    assert bag(read_prompts(spark, out)) == bag(df)
+    with pytest.raises(Exception, match="has no key"):
+        write_prompts(spark.createDataFrame([("", "p")], "key string, prompt string"), str(tmp_path / "none"))
+
+
+def test_both_formats_run_the_plan_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            calls.add(len(frame))
+            yield frame
+
+    df = spark.range(2).mapInPandas(count, "id bigint")
+    paths = write_formats(df, str(tmp_path / "t"), "both")
+    assert calls.value == 2 and [p[-3:] for p in paths] == ["csv", "uet"]
+    assert bag(spark.read.csv(paths[0], header=True)) == [("0",), ("1",)]

@@ -126,11 +126,11 @@ def predictions(spark: SparkSession, sf_dir: str, positive: str, negative: str,
 
 
 def slice_call(request: dict) -> str:
-    """Stand-in for a model: 60 characters of the prompt from a hashed place on."""
+    """Stand-in for a model: 60 characters of the prompt from a hashed place on, and a digest of all of it."""
     h = hashlib.md5(f"{request['key']}:{request['candidate_no']}".encode()).hexdigest()
     prompt = request["prompt"]
     start = int(h[:8], 16) % len(prompt)
-    return prompt[start : start + 60]
+    return prompt[start : start + 60] + ":" + hashlib.md5(prompt.encode()).hexdigest()
 
 
 def keyed(key: str, call):

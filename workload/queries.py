@@ -56,7 +56,6 @@ from interviewflow.plans.candidates import (
 from interviewflow.plans.fewshot import exemplar_key
 from interviewflow.plans.scoring import CORPORA, score_corpus
 from interviewflow.plans.transcripts import transcripts_by_id
-from interviewflow.session import cut
 from interviewflow.sources.sinks import short_cell
 from workload.adapters import (
     CRITERIA,
@@ -434,10 +433,10 @@ def select_expand_clean(spark, sf_dir):
 
 
 def _named(spark, sf_dir, *columns):
-    """Expanded picks under their names, stored as the step before would leave them."""
+    """Expanded picks under their names."""
     rows = expand_picks(selections(spark, sf_dir))
     named = rows.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col("Selected_Rationale_Number")))
-    return cut(named.select(*columns) if columns else named)
+    return named.select(*columns) if columns else named
 
 
 def _tests(spark, sf_dir):

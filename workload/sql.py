@@ -119,7 +119,7 @@ SUMMARY_PROMPT = fill(SUMMARY_BODY, transcript="transcript")
 def sliced(prompt: str, key: str, no: str) -> str:
     """Twin of ``slice_call``."""
     h = f"md5({key} || ':' || {no})"
-    return f"substr({prompt}, 1 + ({hexnum(h, 1, 8)} % length({prompt})), 60)"
+    return f"substr({prompt}, 1 + ({hexnum(h, 1, 8)} % length({prompt})), 60) || ':' || md5({prompt})"
 
 
 def counts(label: str, model: str) -> str:
