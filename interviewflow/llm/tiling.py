@@ -124,9 +124,9 @@ def running_hash(numbers, width: int):
     """Karp-Rabin hash of every run of ``width`` word numbers, modulo 2**64."""
     import numpy as np
 
-    n = len(numbers) - width + 1
-    total = np.zeros(max(n, 0), dtype=np.uint64)
-    for i in range(width):
+    n = max(len(numbers) - width + 1, 0)
+    total = np.zeros(n, dtype=np.uint64)
+    for i in range(width if n else 0):
         total = total * np.uint64(BASE) + numbers[i : i + n]
     return total
 
