@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interviewflow.llm.worker import once_per_worker
+from interviewflow.llm.worker import once_per_worker, slices
 
 # Fixed value: the word pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -179,7 +179,9 @@ def outputs_of(codec: Codec, ids: list[int], wanted: Sequence[str]) -> list:
             found["decoded_sha256"] = hashlib.sha256(found["decoded"].encode()).hexdigest()
     if "ids_sha256" in wanted:
         found["ids_sha256"] = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
-    found |= {"n_tokens": len(ids), "ids": ids}
+    found |= {"n_tokens": len(ids)}
+    if "ids" in wanted:
+        found["ids"] = np.array(ids, dtype=np.int32)
     return [found[c] for c in wanted]
 
 
@@ -202,7 +204,7 @@ def encode_texts(
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             rows = [outputs_of(codec, codec.encode(t) if t else [], outputs) for t in texts]
             columns = [
@@ -211,7 +213,7 @@ def encode_texts(
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *outputs])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for key, whole in zip(*[c.to_pylist() for c in batch.columns]):
                 parts = cuts(whole, leaf)
                 for at in range(0, len(parts), 64):
@@ -227,9 +229,12 @@ def encode_texts(
                     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         codec = codec_of(vocabulary)
-        for batch in batches:
-            ids = pa.array([codec.encode(t) for t in batch.column("piece").to_pylist()], pa.list_(pa.int32()))
+        for batch in slices(batches, "piece"):
+            found = [np.array(codec.encode(t), dtype=np.int32) for t in batch.column("piece").to_pylist()]
+            ids = pa.array(found, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "part_ids"])
 
     def join(key, group):
@@ -268,7 +273,7 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "ids", into: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             cells = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             texts = pa.array([None if x is None else codec.decode(x) for x in cells], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, into])
