@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from interviewflow.llm.store import stored
-from interviewflow.llm.worker import byte_texts
+from interviewflow.llm.worker import byte_texts, slices
 
 K = 5
 DELTA = 0.05
@@ -37,8 +37,10 @@ FOLDS, HELD_OUT = 5, 1
 # White space cannot be in a word, so these two texts are none.
 END, START = b"\n", b" "
 # Tokens of a partition, and words that are dealt by pair because a partition would overflow.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 3_000_000
 HOT_WORDS = 1024
+# Bytes of text whose places are packed together.
+BATCH_BYTES = 16 << 20
 
 
 def discounts(counts_of_counts: list[int], k: int = K) -> list[float]:
@@ -170,36 +172,39 @@ def packed_places(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
     """From ``key, text, train``: one row per batch of documents and partition, with every place of its words."""
     import pyarrow as pa
 
-    names = ["part", "keys", "training", *[n for n, _ in LAYOUT]]
+    names = ["part", "batch", "keys", "training", *[n for n, _ in LAYOUT]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import xxhash
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1).compress
         hot = np.array(sorted(unigrams.hot), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches, 1, BATCH_BYTES):
+            own = xxhash.xxh3_64_intdigest(batch.column(0).to_numpy().tobytes()) >> 1
             local: dict[bytes, int] = {END: 0, START: 1}
             number = local.setdefault
             texts = byte_texts(batch.column(1))
             cells, sizes = [], []
             for whole in texts:
                 words = [number(w, len(local)) for w in whole.lower().split()]
-                cells += [np.array(words, dtype=np.int64), np.zeros(1, dtype=np.int64)]
+                cells += [np.array(words, dtype=np.int32), np.zeros(1, dtype=np.int32)]
                 sizes.append(len(words) + 1)
             if not sizes:
                 continue
             word = np.concatenate(cells)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            del cells, texts
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             context = np.roll(word, 1)
             context[np.cumsum(sizes) - sizes] = 1
             hashes = np.array([word_hash(w) for w in local], dtype=np.int64)
             part_of = (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(unigrams.parts)
-            part = part_of[word]
+            part = part_of.astype(np.int32)[word]
             if len(hot):
                 is_hot = np.isin(hashes, hot)[word]
                 mixed = hashes.view(np.uint64)[word[is_hot]] * np.uint64(31) + hashes.view(np.uint64)[context[is_hot]]
-                part[is_hot] = (mixed >> np.uint64(20)) % np.uint64(unigrams.parts)
+                part[is_hot] = ((mixed >> np.uint64(20)) % np.uint64(unigrams.parts)).astype(np.int32)
             n = len(hashes)
             order = np.argsort((part.astype(np.int64) * n + word) * n + context, kind="stable")
             part, word, context, doc = part[order], word[order], context[order], doc[order]
@@ -220,6 +225,7 @@ def packed_places(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(part[low])], pa.int32()),
+                        pa.array([own], pa.int64()),
                         *[pa.ListArray.from_arrays(one, batch.column(i).take(taken)) for i in (0, 2)],
                         *[pa.array([press(planes(columns[c].astype(t)))], pa.binary()) for c, t in LAYOUT],
                     ],
@@ -227,7 +233,7 @@ def packed_places(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
                 )
 
     binaries = ", ".join(f"{n} binary" for n, _ in LAYOUT)
-    schema = f"part int, keys array<bigint>, training array<boolean>, {binaries}"
+    schema = f"part int, batch bigint, keys array<bigint>, training array<boolean>, {binaries}"
     return docs.select("key", "text", "train").mapInArrow(run, schema)
 
 
@@ -241,6 +247,9 @@ class Places:
 
         unpress = zstandard.ZstdDecompressor().decompress
         rows = [{n: unplanes(unpress(group.column(n)[i].as_py()), t) for n, t in LAYOUT} for i in range(len(group))]
+        # Documents of each batch lie one after the other.
+        self.batches = group.column("batch").to_numpy()
+        self.bounds = np.cumsum([0, *[len(k) for k in group.column("keys")]])
         self.words = np.unique(np.concatenate([r["words"] for r in rows]))
         self.contexts = np.unique(np.concatenate([r["contexts"] for r in rows]))
         places, docs, at = [], [], 0
@@ -280,11 +289,20 @@ def two(low, high):
     return low + (high << 32)
 
 
+SUMS = (("key", "bigint"), ("nk", "bigint"), ("base", "double"), ("rest", "double")) + tuple(
+    (c, "bigint") for c in ("r12", "r34", "r5e")
+)
+
+
 def document_sums(packed: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """Per document: counts, the base score, and what of its score needs no backoff weight and no bigram discount."""
+    """Per document: counts, the base score, and what of its score needs no backoff weight and no bigram discount.
+
+    A partition gives one row of arrays for each batch of documents, and these
+    meet by batch: a document has words in nearly every partition.
+    """
     import pyarrow as pa
 
-    names = ["key", "nk", "base", "rest", "r12", "r34", "r5e"]
+    names = [c for c, _ in SUMS]
 
     def run(key, group):
         import numpy as np
@@ -305,6 +323,7 @@ def document_sums(packed: DataFrame, unigrams: Unigrams) -> DataFrame:
 
         r = [number(count == i) for i in range(1, K + 1)]
         columns = [
+            p.keys,
             two(np.bincount(p.doc, minlength=size), number((p.word_count > 0)[p.pair_word])),
             total(base[p.pair_word]),
             total(rest),
@@ -312,10 +331,24 @@ def document_sums(packed: DataFrame, unigrams: Unigrams) -> DataFrame:
             two(r[2], r[3]),
             two(r[4], number(end[p.pair_word])),
         ]
-        return pa.table([pa.array(c) for c in [p.keys, *columns]], names=names)
+        bounds = pa.array(p.bounds, pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns]
+        return pa.table([pa.array(p.batches), *lists], names=["batch", *names])
 
-    kinds = ", ".join(f"{c} {'double' if c in ('base', 'rest') else 'bigint'}" for c in names)
-    sums = packed.groupBy("part").applyInArrow(run, kinds)
+    def add(key, group):
+        import numpy as np
+
+        columns = {n: pa.concat_arrays([x.flatten() for x in group.column(n).chunks]).to_numpy() for n in names}
+        order = np.argsort(columns["key"], kind="stable")
+        keys = columns["key"][order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sums = [np.add.reduceat(columns[n][order], heads) for n in names[1:]]
+        return pa.table([pa.array(c) for c in [keys[heads], *sums]], names=names)
+
+    lists = ", ".join(f"{c} array<{t}>" for c, t in SUMS)
+    flat = ", ".join(f"{c} {t}" for c, t in SUMS)
+    by_batch = packed.groupBy("part").applyInArrow(run, f"batch bigint, {lists}")
+    sums = by_batch.groupBy("batch").applyInArrow(add, flat)
     return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
@@ -350,7 +383,7 @@ def context_sums(packed: DataFrame, unigrams: Unigrams) -> DataFrame:
         place, count, size = p.pair_context[seen], p.pair_count[seen], len(p.contexts)
         m = [np.bincount(place, count == r, size).astype(np.int64) for r in range(1, K + 2)]
         more = np.bincount(place, count > K + 1, size).astype(np.int64)
-        mass = np.bincount(place, unigrams.mass(p.word_count)[p.pair_word[seen]], size)
+        mass = np.bincount(place, unigrams.mass(p.word_count)[p.pair_word[seen]], size).astype(np.float64)
         used = mass > 0
         columns = [p.contexts, mass, two(m[0], m[1]), two(m[2], m[3]), two(m[4], m[5]), more]
         return pa.table([pa.array(c[used]) for c in columns], names=names)
