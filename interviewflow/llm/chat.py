@@ -1,10 +1,12 @@
 """Chat formatting: turn-aligned windows of a token budget, with the loss on each assistant text once.
 
 Prefix sums of turn tokens place every turn in the window its first token falls
-into. A window shows the conversation's first system turn, the last turns of
-the window before as limited history, and its own turns; only assistant turns
-of its own are under the loss mask. A turn is never cut, so a window is longer
-than the budget only where one turn is.
+into; windows begin at multiples of half of what the history leaves of the
+budget. A window shows the conversation's first system turn, the last turns
+before it as limited history, and its own turns; only assistant turns of its
+own are under the loss mask. The system turn comes on top of the budget. A turn
+is never cut: history and own turns go over the budget only where an own turn
+alone is longer than half of what the history leaves.
 
 Nulls: a null text or role is empty, null turns come first, null ``conv_id``
 is one conversation. Ties of a turn go by role and text; repeated rows are
@@ -74,6 +76,11 @@ def placed_turns(conversations: DataFrame, stride: int) -> DataFrame:
     )
 
 
+def stride_of(budget: int = BUDGET, history: int = HISTORY) -> int:
+    """Tokens from one window's begin to the next: so many, and a last turn of no more, are within the budget."""
+    return max(1, (budget - history) // 2)
+
+
 def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window: ``conv_id, window, text, loss, n_context``.
 
@@ -82,7 +89,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     """
     if not 0 <= history < budget:
         raise ValueError("history must be smaller than budget")
-    turns = placed_turns(conversations, max(1, budget - history))
+    turns = placed_turns(conversations, stride_of(budget, history))
     key = ["__none", "__conv"]
     windows = turns.groupBy(*key, "__span").agg(F.min("__before").alias("__from"))
     following = Window.partitionBy(*key).orderBy("__span")

@@ -145,7 +145,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _chat(probe: str) -> str:
-    stride = chat.BUDGET - chat.HISTORY
+    stride = chat.stride_of()
     escape = "replace(replace(replace({0}, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>')"
     shown = f"length(concat('<|', {escape.format('role')}, '|>', chr(10), {escape.format('text')}, '<|end|>', chr(10)))"
     return f"""
