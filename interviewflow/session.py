@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _leave_with_session(spark.sparkContext, path)
+    return path
+
+
+def _leave_with_session(context, path: str) -> None:
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, for a plan that reads it several times.
 
@@ -47,6 +60,5 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     # The context has a folder of its own below the shared one.
-    own = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
-    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
+    _leave_with_session(context, context.getCheckpointDir())
     return df.checkpoint()

@@ -32,7 +32,6 @@ from interviewflow.operators.tables import (
     correction_report,
     distinct_keys,
     id_overlap,
-    id_range,
     keep_first,
     keep_ids,
     preview,
@@ -48,6 +47,7 @@ from interviewflow.operators.transcripts import (
     update_transcripts,
 )
 from interviewflow.plans.candidates import (
+    candidates_for_range,
     expand_selection_with_defaults,
     select_and_expand,
     with_prompt,
@@ -56,6 +56,7 @@ from interviewflow.plans.candidates import (
 from interviewflow.plans.fewshot import exemplar_key
 from interviewflow.plans.scoring import CORPORA, score_corpus
 from interviewflow.plans.transcripts import transcripts_by_id
+from interviewflow.session import shared_path
 from interviewflow.sources.sinks import short_cell
 from workload.adapters import (
     CRITERIA,
@@ -339,10 +340,11 @@ def generate_progress(spark, sf_dir):
 @query
 def generate_range_merge(spark, sf_dir):
     everyone = roster(spark, sf_dir)
-    prompts = with_template(id_range(everyone, "Participant_ID", 302, 1_000_000_000), TEMPLATES, "summary").select("Participant_ID", "Prompt")
-    made = generate(prompts, 3, per_request(keyed("Participant_ID", slice_call)), key="Participant_ID", prompt="Prompt")
-    wide = to_wide(made, ["Participant_ID"], "candidate_no", "text", 3)
-    merged = merge_results(everyone, prompts.join(wide, "Participant_ID"), ["Participant_ID"])
+    call = per_request(keyed("Participant_ID", slice_call))
+    store = shared_path(spark, "range")
+    merged = candidates_for_range(everyone, 302, 1_000_000_000, 3, call, TEMPLATES, "summary", store, "r1")
+    if "Prompt" not in merged.columns:  # a table too small to have an id in range
+        merged = merged.withColumns({c: F.lit(None).cast("string") for c in ("Prompt", "Rational_1", "Rational_2", "Rational_3")})
     cells = [f"Rational_{i}" for i in (1, 2, 3)]
     return merged.select(F.col("Participant_ID").alias("participant_id"), F.md5(F.col("Prompt").cast("binary")).alias("prompt_md5"), *cells)
 

@@ -326,3 +326,38 @@ e AS (SELECT p.pid, p.no, c.text FROM p JOIN cand c ON c.pid = p.pid AND c.k = p
 SELECT pid AS participant_id, no AS selected_rationale_number,
   {strip("regexp_replace(replace(text, '**', ''), '(?i)Diagnosis:[^\\n]*\\n?$', '')")} AS modified_rationale FROM e""",
 }
+
+ORACLES |= {
+    "utterance_scan": "SELECT md5(text) AS text_md5, count(*) AS n FROM conversations GROUP BY ALL",
+    "text_table_flow": f"""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN toxic END AS label FROM labels)
+SELECT doc_id + {2**53 + 1} AS participant_id, label::BIGINT AS label,
+  CASE WHEN label IS NULL THEN 'unknown' WHEN label = 1 THEN 'depressed' ELSE 'non-depressed' END || ' ' || doc_id AS prompt,
+  CASE WHEN label = 1 THEN 1 END AS in_pool FROM l""",
+    "generate_store": f"""WITH {ROSTER}, p AS (SELECT pid, {MAIN_PROMPT} AS prompt FROM roster)
+SELECT pid AS participant_id, k AS candidate_no, {sliced('prompt', 'pid', 'k')} AS text FROM p, (SELECT unnest([1, 2]) AS k)""",
+    "selection_store": ORACLES["selection_job"],
+    "retry_attempts": """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'answer ' || doc_id END AS text,
+  CASE WHEN doc_id % 4 = 3 THEN 'failed' ELSE 'ok' END AS status, least(doc_id % 4 + 1, 3) AS attempts FROM documents""",
+    "formats_roundtrip": """SELECT doc_id, md5(text) AS text_md5, source, unnest(['csv', 'parquet']) AS format FROM documents""",
+    "versioned_roundtrip": """SELECT doc_id, length(text) AS n, unnest(['r2', 'main']) AS version FROM documents
+UNION ALL SELECT doc_id, length(text), 'r1' FROM documents WHERE doc_id % 2 = 0""",
+    "prompt_files": f"""WITH {TESTS} SELECT 'c ' || pid || '+%' AS key, md5(transcript || chr(10)) AS prompt_md5,
+  length(transcript) + 1 AS prompt_chars FROM tests""",
+    "prompt_stream": f"""WITH {TESTS}, p AS (SELECT 'c ' || pid || '+%' AS key, transcript || chr(10) AS prompt FROM tests)
+SELECT key, k AS candidate_no, {sliced('prompt', 'key', 'k')} AS text FROM p, (SELECT unnest([1, 2]) AS k)""",
+    "sorted_ids": """SELECT o_orderkey::VARCHAR AS id, o_custkey,
+  lag(o_orderkey::VARCHAR) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders""",
+    "long_cells": """WITH c AS (SELECT doc_id,
+  CASE WHEN length(text) > 3000 THEN left(text, 3000) || '... (총 ' || length(text) || ' 자)' ELSE text END AS s FROM documents)
+SELECT doc_id, md5(s) AS summary_md5, length(s) AS summary_chars, false AS has_source FROM c""",
+    "training_flow": ORACLES["fewshot_train_prompt"].replace(
+        "SELECT name, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars FROM p",
+        f"SELECT name, md5(prompt) AS prompt_md5, {sliced('prompt', 'name', '1')} AS answer FROM p",
+    ),
+    "evaluation_flow": f"""WITH {SEL}, {NAMED}, {TESTS}, {NO_REUSE}, p AS (
+  SELECT t.pid, {fill(TEST_BODY + MARKER, zero_gender='z.gender', zero_transcript='z.transcript', zero_text='z.text', one_gender='o.gender', one_transcript='o.transcript', one_text='o.text', gender='t.gender', transcript='t.transcript')} AS prompt FROM tests t JOIN norepeat s ON s.pid = t.pid
+  JOIN named z ON z.name = s.zero_shot_name JOIN named o ON o.name = s.one_shot_name),
+i AS (SELECT pid, left(prompt, strpos(prompt, {lit(MARKER)}) + {len(MARKER) - 1}) || chr(10) || {lit(EXTRA)} ||
+  substr(prompt, strpos(prompt, {lit(MARKER)}) + {len(MARKER)}) AS prompt FROM p)
+SELECT pid AS participant_id, {", ".join(f"{sliced('prompt', 'pid', str(i))} AS Generated_rationale_{i}" for i in (1, 2))} FROM i""",
+}
