@@ -1,7 +1,8 @@
 """Spark jobs for text experiments over interview transcripts.
 
-Every operator takes and returns DataFrames (or Columns) and stays lazy, so
-Catalyst sees the whole plan. Sub-packages:
+Every operator takes and returns DataFrames (or Columns), so Catalyst sees the
+whole plan. Where a job must look at data while a plan is built (headers,
+longest cells, sizes and repeats of keys), the function says so. Sub-packages:
 
 * ``sources``    readers and writers
 * ``functions``  Column expressions

@@ -83,16 +83,15 @@ NO_PROMPT_VALUE = "No specific prompt provided."
 NO_PROMPT_COLUMN = "No prompt column found in the data."
 USER_TURN = "Medical Rationale: "
 
-# What stands before a candidate's number, between number and
-# text, and behind the text, in a selection request.
-BLOCK_MARKS = ("\n--- RATIONALE ", " ---\n", "\n")
+# Fixed value: a candidate in a selection request.
+BLOCK_MARKS = "\n--- RATIONALE {number} ---\n{text}\n"
 
 # Texts of label 0 and label 1.
 STATUS_TEXTS = ("non-depressed", "depressed")
 
 # Sizes and marks of the two preview columns.
 CELL_LIMIT = 30000
-CELL_SUFFIX = ("... (총 ", " 자)")
+CELL_SUFFIX = "... (총 {length} 자)"
 PREVIEW_SIZES = (1000, 500, 10000)
 PREVIEW_MARK = "\n...[중략]...\n"
 

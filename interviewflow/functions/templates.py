@@ -63,9 +63,9 @@ def messages(prompt: Column, system_role: str = "developer", user_text: str = US
 
 def numbered_blocks(texts: Sequence[Column]) -> Column:
     """All texts as blocks headed 1..n; a missing text leaves an empty block."""
-    before, between, behind = BLOCK_MARKS
+    before, behind = BLOCK_MARKS.split("{text}")
     blocks = [
-        F.concat(F.lit(f"{before}{i}{between}"), F.coalesce(text, F.lit("")), F.lit(behind))
+        F.concat(F.lit(before.replace("{number}", str(i))), F.coalesce(text, F.lit("")), F.lit(behind))
         for i, text in enumerate(texts, start=1)
     ]
     return F.concat_ws("\n", *blocks)

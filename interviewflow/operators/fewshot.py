@@ -91,7 +91,8 @@ def shots_with_reuse(
     from ``lo`` on, the draw is ``j = hash mod (N - c)``, moved up by c when
     ``j >= lo``. So the draw is an equi-join on a number: no pair of rows is
     ever compared. Where nobody else is in the pool the name is ``''``.
-    Keys must be unique.
+    Keys must be unique. The keys are kept in the shared folder by a job that
+    runs at once; texts are joined to the result only.
     """
     require_columns(df, [label_col, id_col, key_col])
     counted = df.groupBy(
@@ -130,7 +131,8 @@ def shots_no_reuse(
 
     Both pools are put in seeded order and numbered, the test rows as well;
     equal numbers meet. A pool smaller than the test table is a ``ValueError``
-    with both sizes. Keys of both tables must be unique.
+    with both sizes. Keys of both tables must be unique. Jobs over the keys
+    run at once.
     """
     require_columns(train, [label_col, key_col], "pool")
     require_columns(test, [test_key], "test table")

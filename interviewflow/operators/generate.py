@@ -115,12 +115,6 @@ def pending(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(~finished(text))
 
 
-def skip_done(requests: DataFrame, done: DataFrame, keys: list[str], text: str | None = "text") -> DataFrame:
-    """Requests no finished result exists for. Shuffle this on keys, before prompts are joined."""
-    kept = done.where(finished(text)) if text in done.columns else done
-    return spread_join(requests, kept.select(*keys).distinct(), keys, "left_anti")
-
-
 def requests(prompts: DataFrame, n: int, done: DataFrame | None = None, key: str = "key", prompt: str = "prompt") -> DataFrame:
     """One row (key, candidate_no, prompt) for each of ``n`` candidates still to be made.
 

@@ -40,13 +40,6 @@ def build_transcripts(
     return concat_ordered(utterances.select(*wanted, cell.alias(out)), keys, out, order)
 
 
-def merge_files(per_file: DataFrame, id_col: str, file_col: str, text: str = "transcript") -> DataFrame:
-    """Texts of one id joined in file-name order, blank ones left out."""
-    kept = drop_blank(per_file, text)
-    joined = F.expr(f"listagg(`{text}`, ' ') WITHIN GROUP (ORDER BY `{file_col}`)")
-    return kept.groupBy(id_col).agg(joined.alias(text))
-
-
 def join_transcripts(roster: DataFrame, transcripts: DataFrame, id_col: str = "Participant_ID", text: str = "transcript") -> DataFrame:
     """Roster rows with their transcript, ids compared as text; unmatched rows of both sides go."""
     left = roster.withColumn(id_col, F.col(id_col).cast("string"))

@@ -8,8 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from interviewflow.defaults import DEFAULT_PICKS, PROMPT_FALLBACKS, SELECTION_PATTERNS
-from interviewflow.functions.columns import candidate_columns, find_columns, require_columns
+from interviewflow.defaults import DEFAULT_PICKS, PROMPT_FALLBACKS
+from interviewflow.functions.columns import candidate_columns, require_columns
 from interviewflow.functions.labels import label_of, status_text
 from interviewflow.functions.picks import picks_for, picks_from_cells
 from interviewflow.functions.templates import choose_template, placeholders, render
@@ -84,7 +84,8 @@ def candidates_for_range(
 
     Candidates the table already has are not asked for, and results are kept
     in ``store``, so a second run asks only for what is missing. Ids must be
-    unique. A range without rows gives the table as it is, with a warning.
+    unique: a repeated one is an error before the first call. A range without
+    rows gives the table as it is, with a warning. The job runs at once.
     """
     require_unique(df, id_col)
     chosen = id_range(df, id_col, lo, hi)
@@ -129,7 +130,7 @@ def clean_selection(expanded: DataFrame, text: str = "Selected_Rationale", out:
 
 
 def expand_selection(df: DataFrame, id_col: str = "Participant_ID") -> DataFrame:
-    """One row per pick of a table with selection columns; an error when none leads to a text."""
+    """One row per pick of a table with selection columns; an error when none leads to a text (one job tells)."""
     return require_rows(expand_picks(df, id_col=id_col), "no selection leads to a text")
 
 
@@ -160,8 +161,3 @@ def expand_selection_with_defaults(
         id_col=id_col,
         names=("Exp_5_Selected_Rationale_Number", "Exp_5_Selected_Rationale"),
     )
-
-
-def selection_columns(df: DataFrame) -> list[str]:
-    """Names of the selection columns."""
-    return find_columns(df.columns, SELECTION_PATTERNS)

@@ -46,7 +46,7 @@ def with_preview(
     df: DataFrame,
     cols: Sequence[str] = ("Transcript", "Selected_Rationale"),
     limit: int = CELL_LIMIT,
-    suffix: tuple[str, str] = CELL_SUFFIX,
+    suffix: str = CELL_SUFFIX,
     name: str = "{}_Summary",
 ) -> DataFrame:
     """Adds a shortened column for each text column that has a value over ``limit`` characters.
@@ -62,7 +62,8 @@ def with_preview(
     return df
 
 
-def short_cell(col, limit: int = CELL_LIMIT, suffix: tuple[str, str] = CELL_SUFFIX):
+def short_cell(col, limit: int = CELL_LIMIT, suffix: str = CELL_SUFFIX):
     """The value, or its first ``limit`` characters with a note of the full length."""
-    note = F.concat(F.lit(suffix[0]), F.length(col).cast("string"), F.lit(suffix[1]))
+    before, behind = suffix.split("{length}")
+    note = F.concat(F.lit(before), F.length(col).cast("string"), F.lit(behind))
     return F.when(F.length(col) > limit, F.concat(F.left(col, F.lit(limit)), note)).otherwise(col)

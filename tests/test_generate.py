@@ -12,7 +12,6 @@ from interviewflow.operators.generate import (
     requests,
     run_resumable,
     select_best,
-    skip_done,
     with_retry,
 )
 from interviewflow.streaming.prompts import stream_generate
@@ -77,7 +76,6 @@ def test_done_requests_are_not_made(spark, prompts):
     todo = bag(requests(prompts, 3, done))
     assert [(k, i) for k, i, _ in todo] == [("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3)]
     plain = requests(prompts, 3).select("key", "candidate_no")
-    assert bag(skip_done(plain, done, ["key", "candidate_no"])) == [(k, i) for k, i, _ in todo]
     assert bag(pending(done)) == [("a", 2, ""), ("b", 3, None)]
     assert bag(progress(prompts, done, 3)) == [(6, 1, 5, 1)]
 

@@ -37,7 +37,6 @@ from interviewflow.operators.transcripts import (
     count_updated,
     drop_blank,
     join_transcripts,
-    merge_files,
     update_transcripts,
 )
 
@@ -187,9 +186,12 @@ def test_build_transcripts(spark):
     assert bag(build_transcripts(df, "id", ["ord"])) == [("p", " a  b    c"), ("q", "")]
 
 
-def test_merge_files(spark):
-    df = spark.createDataFrame([("302", "302_b", "y"), ("302", "0302_a", "x"), ("302", "1", " "), ("5", "5_", "")], "i string, f string, transcript string")
-    assert bag(merge_files(df, "i", "f")) == [("302", "x y")]
+def test_files_of_one_id_are_joined_in_file_order(spark):
+    from interviewflow.plans.transcripts import transcripts_by_id
+
+    cells = [("302_b_T.csv", 0, "y"), ("0302_T.csv", 0, " x "), ("0302_T.csv", 1, "NA"), ("7_T.csv", 0, " "), ("x_T.csv", 0, "z")]
+    df = spark.createDataFrame([(f, 0, i, t) for f, i, t in cells], "file_name string, block bigint, line bigint, text string")
+    assert bag(transcripts_by_id(df)) == [("302", "x y")]
 
 
 def test_drop_blank(spark):

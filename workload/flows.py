@@ -11,7 +11,7 @@ from interviewflow.functions.columns import resolve_column
 from interviewflow.functions.ids import id_of
 from interviewflow.functions.labels import label_of
 from interviewflow.operators.generate import generate, per_request, run_resumable, select_best, with_retry
-from interviewflow.operators.tables import class_pool, require_rows, sort_ids
+from interviewflow.operators.tables import class_pool, require_rows, require_values, sort_ids
 from interviewflow.plans.candidates import with_prompt
 from interviewflow.plans.fewshot import evaluation_prompts, evaluation_set, training_prompts, training_set
 from interviewflow.session import shared_path
@@ -54,6 +54,7 @@ def text_table_flow(spark, sf_dir):
     rows.write.csv(path, header=True)
     read = read_table(spark, path, ",")
     id_col = resolve_column(read.columns)
+    read = require_values(read, F.col(id_col).isNotNull(), "a label has no id")
     shown = with_prompt(read, "{{depression_status}} {{transcript}}")
     ones = class_pool(shown, "PHQ_Binary", 1).select(id_of(read, id_col).alias("participant_id"), F.lit(1).alias("in_pool"))
     whole = shown.select(
