@@ -31,6 +31,7 @@ RULES = (
     ("letter_share", 0.6, None, 20),
     ("capitals_share", None, 0.6, 20),
     ("repeat_word_share", None, 0.3, 0),
+    ("doubled_word_share", None, 0.3, 20),
     ("dup_line_share", None, 0.5, 20),
     ("bullet_line_share", None, 0.9, 20),
     ("ellipsis_line_share", None, 0.5, 20),
@@ -100,6 +101,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     n, n_lines = F.size(words), F.size(lines)
+    later = F.slice(words, F.lit(2), n)
     counts = F.struct(
         n.cast("bigint").alias("n_words"),
         F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
@@ -108,6 +110,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         repeated_words(words).alias("n_repeat_words"),
         n_lines.alias("n_lines"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).alias("n_stop"),
+        F.size(F.filter(F.zip_with(words, later, lambda a, b: a == b), lambda same: same)).alias("n_doubled"),
         F.length(F.regexp_replace(whole, r"[^\p{L}]+", "")).alias("n_letters"),
         F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")).alias("n_capitals"),
         F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))).alias("n_bullets"),
@@ -127,6 +130,7 @@ def verdict(m: Column, rules=RULES) -> Column:
         "letter_share": m["n_letters"] / F.greatest(m["word_chars"], F.lit(1)),
         "capitals_share": m["n_capitals"] / F.greatest(m["n_letters"], F.lit(1)),
         "repeat_word_share": m["n_repeat_words"] / words,
+        "doubled_word_share": m["n_doubled"] / words,
         "dup_line_share": m["n_dup_lines"] / lines,
         "bullet_line_share": m["n_bullets"] / lines,
         "ellipsis_line_share": m["n_ellipses"] / lines,

@@ -114,6 +114,7 @@ def _quality() -> str:
         "letter_share": "n_letters / greatest(word_chars, 1)",
         "capitals_share": "n_capitals / greatest(n_letters, 1)",
         "repeat_word_share": f"n_repeat_words / {per_word}",
+        "doubled_word_share": f"n_doubled / {per_word}",
         "dup_line_share": f"n_dup_lines / {per_line}",
         "bullet_line_share": f"n_bullets / {per_line}",
         "ellipsis_line_share": f"n_ellipses / {per_line}",
@@ -134,6 +135,7 @@ m AS (SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   length(regexp_replace(t, '[^{quality.SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols,
   (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
   len(ln) AS n_lines, len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop,
+  len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) AS n_doubled,
   length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS n_letters,
   length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_capitals,
   len(list_filter(ln, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS n_bullets,
