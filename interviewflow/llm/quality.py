@@ -89,34 +89,31 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) > width, counted).otherwise(F.lit(0)).cast("bigint")
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one column ``__m``: counts and ratios of its text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    words, lines = F.col("__words"), F.col("__lines")
+def measured(text: Column) -> Column:
+    """A struct of counts of one text. Words and lines are split once, wherever the struct ends up in a plan."""
+    whole = F.coalesce(text, F.lit(""))
     stop = sorted(set(STOP_WORDS.split()))
-    split = docs.withColumns(
-        {
-            "__words": text_words(whole),
-            "__lines": F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        }
-    )
-    n, n_lines = F.size(words), F.size(lines)
-    later = F.slice(words, F.lit(2), n)
-    counts = F.struct(
-        n.cast("bigint").alias("n_words"),
-        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
-        F.length(F.regexp_replace(whole, rf"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
-        (n_lines - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(words).alias("n_repeat_words"),
-        n_lines.alias("n_lines"),
-        F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).alias("n_stop"),
-        F.size(F.filter(F.zip_with(words, later, lambda a, b: a == b), lambda same: same)).alias("n_doubled"),
-        F.length(F.regexp_replace(whole, r"[^\p{L}]+", "")).alias("n_letters"),
-        F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")).alias("n_capitals"),
-        F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))).alias("n_bullets"),
-        F.size(F.filter(lines, lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).alias("n_ellipses"),
-    )
-    return split.withColumn("__m", counts).drop("__words", "__lines")
+    filled = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def counts(words: Column, lines: Column) -> Column:
+        n, n_lines = F.size(words), F.size(lines)
+        later = F.slice(words, F.lit(2), n)
+        return F.struct(
+            n.cast("bigint").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+            F.length(F.regexp_replace(whole, rf"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
+            (n_lines - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+            n_lines.alias("n_lines"),
+            F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).alias("n_stop"),
+            F.size(F.filter(F.zip_with(words, later, lambda a, b: a == b), lambda same: same)).alias("n_doubled"),
+            F.length(F.regexp_replace(whole, r"[^\p{L}]+", "")).alias("n_letters"),
+            F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")).alias("n_capitals"),
+            F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))).alias("n_bullets"),
+            F.size(F.filter(lines, lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))).alias("n_ellipses"),
+        )
+
+    return bound(text_words(whole), lambda words: bound(filled, lambda lines: counts(words, lines)))
 
 
 def verdict(m: Column, rules=RULES) -> Column:
@@ -150,20 +147,20 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
 
 
+def kept(m: Column, rules=RULES) -> Column:
+    return ~base_failed(m) & verdict(m, rules)
+
+
 def keep_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The documents that pass all rules, with their own columns only."""
-    judged = measures(docs, text)
-    return judged.where(~base_failed(F.col("__m")) & verdict(F.col("__m"), rules)).drop("__m")
+    """The documents that pass all rules."""
+    return docs.where(bound(measured(F.col(text)), lambda m: kept(m, rules)))
 
 
 def quality_digest(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: its counts and whether it stays."""
     m = F.col("__m")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    judged = measures(docs.select("doc_id", "text"))
+    judged = docs.select("doc_id", measured(F.col("text")).alias("__m"))
     return judged.select(
-        "doc_id",
-        *[m[c].alias(c) for c in names],
-        base_failed(m).alias("base_failed"),
-        (~base_failed(m) & verdict(m, rules)).alias("kept"),
+        "doc_id", *[m[c].alias(c) for c in names], base_failed(m).alias("base_failed"), kept(m, rules).alias("kept")
     )
