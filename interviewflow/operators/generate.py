@@ -27,7 +27,7 @@ from interviewflow.operators.spread import spread_join
 from interviewflow.operators.tables import keep_first, require_unique
 
 # Parts of a result store, by hash of the key.
-STORE_BUCKETS = 64
+STORE_BUCKETS = 16
 
 
 class Generator(Protocol):
