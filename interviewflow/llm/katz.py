@@ -37,10 +37,10 @@ FOLDS, HELD_OUT = 5, 1
 # White space cannot be in a word, so these two texts are none.
 END, START = b"\n", b" "
 # Tokens of a partition, and words that are dealt by pair because a partition would overflow.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 5_000_000
 HOT_WORDS = 1024
 # Bytes of text whose places are packed together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 20 << 20
 
 
 def discounts(counts_of_counts: list[int], k: int = K) -> list[float]:
