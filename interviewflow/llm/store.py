@@ -6,20 +6,15 @@ They are removed when the session's JVM ends.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from interviewflow.session import shared_dir
+from interviewflow.session import shared_path
 
 
 def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` computed now, kept as Parquet in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    context = spark.sparkContext
-    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
