@@ -1,6 +1,7 @@
 """Secrets, quality, personal data and chat: cases by hand, and edges."""
 
 import hashlib
+import itertools
 import math
 import re
 import sys
@@ -15,7 +16,7 @@ from helpers import by_id, documents, sha  # noqa: E402
 from interviewflow.llm.chat import chat_digest, chat_windows, read_back  # noqa: E402
 from interviewflow.llm.pii import luhn, mod97, pii_digest, redact_pii  # noqa: E402
 from interviewflow.llm.quality import keep_quality, quality_digest  # noqa: E402
-from interviewflow.llm.secrets import ASSIGN, CLASSES, redact_secrets, scan_secrets, secret_digest, window_entropy  # noqa: E402
+from interviewflow.llm.secrets import ALLOW, ASSIGN, CLASSES, redact_secrets, scan_secrets, secret_digest, window_entropy  # noqa: E402
 
 KEY = "9f8b2c4d6e1a3b5c7d9e0f1a"
 EDGES = [(1, None), (2, ""), (3, " \t\n"), (None, "null id"), (5, "same"), (5, "same")]
@@ -66,6 +67,22 @@ def test_entropy_allow_list_and_redaction(spark):
     assert clean[1] == rows[0][1] and clean[2] == "[SECRET]" and clean[4] == "a [SECRET], b"
 
 
+@pytest.mark.parametrize("part", ["ab-", "a/", "Word_list=", "+-a"])
+def test_long_runs_of_letters_and_separators(spark, part):
+    """One unbroken run of 100,000 characters is matched without recursion."""
+    run = part * (100_000 // len(part))
+    got = by_id(secret_digest(documents(spark, [(1, run), (2, f"x {run}9 y"), (3, "kept")])))
+    assert sorted(got) == [1, 2, 3] and got[1][0]["spans"] == "" == got[3][0]["spans"]
+
+
+def test_letters_and_separators_language(spark):
+    """The allow pattern accepts what the repeated group accepted."""
+    old, new = re.compile(r"^(?:[A-Za-z]+[_/+=-]+)+[A-Za-z]*$"), re.compile(ALLOW[3])
+    for n in range(7):
+        for cells in itertools.product("aZ_-9", repeat=n):
+            assert bool(old.search("".join(cells))) == bool(new.search("".join(cells)))
+
+
 def test_secret_edges(spark):
     docs = documents(spark, [(*r, "kept") for r in EDGES], ", secrets string")
     got = by_id(secret_digest(docs))
