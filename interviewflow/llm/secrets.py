@@ -42,7 +42,8 @@ CLASSES = (
     CharClass("entropy_hex", "0123456789abcdefABCDEF", 20, 3.0),
     CharClass("entropy_base64", "0123456789" + LETTERS + LETTERS.upper() + "+/_=-", 24, 4.0),
 )
-# Strings that look random to the entropy but are known not to be secrets.
+# Strings that look random to the entropy but are known not to be secrets. A pattern that begins with ^ is the
+# shape of a whole string; the others are words, which vouch for the characters around them only.
 ALLOW = (
     r"^[A-Za-z]+$",
     r"^[0-9]+$",
@@ -99,19 +100,39 @@ def window_entropy(candidate: Column, kind: CharClass) -> Column:
 
 
 def entropy_spans(text: Column, kind: CharClass, rank: int, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Random-looking parts of the long strings of one character class, without allowed ones."""
+    """Random-looking parts of the long strings of one character class, without allowed ones.
 
-    def random(hit: Column) -> Column:
+    An allowed word takes out itself and the letters and digits on both sides,
+    up to a separator or a window; if another part still is random, the whole
+    random part of the string is a secret.
+    """
+
+    shapes = [p for p in allow if p.startswith("^")]
+    words = [p for p in allow if not p.startswith("^")]
+
+    def unshaped(hit: Column) -> Column:
         known = F.lit(False)
-        for pattern in allow:
+        for pattern in shapes:
             known = known | hit.rlike(pattern)
         return ~known
 
-    found = find_spans(text, kind.pattern, kind.kind, rank, random)
+    def random(piece: Column) -> Column:
+        bare = F.regexp_replace(piece, "^[+/_=-]+|[+/_=-]+$", "")
+        return unshaped(bare) & window_entropy(piece, kind)["first"].isNotNull()
+
+    def secret(hit: Column) -> Column:
+        if not words:
+            return F.lit(True)
+        # Of a string with allowed words, what stands further from them than a window or a separator must be random.
+        near = f"[A-Za-z0-9]{{0,{kind.window}}}"
+        vouched = f"{near}(?:{'|'.join(f'(?:{w})' for w in words)}){near}"
+        return F.when(hit.rlike("|".join(f"(?:{w})" for w in words)), F.exists(F.split(hit, vouched, -1), random)).otherwise(True)
+
+    found = find_spans(text, kind.pattern, kind.kind, rank, unshaped)
     hulls = F.transform(
         found, lambda s: F.struct(s["start"].alias("at"), s["hit"].alias("hit"), window_entropy(s["hit"], kind).alias("hull"))
     )
-    hot = F.filter(hulls, lambda s: s["hull"]["first"].isNotNull())
+    hot = F.filter(hulls, lambda s: s["hull"]["first"].isNotNull() & secret(s["hit"]))
     placed = F.transform(
         hot,
         lambda s: span(

@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import string
 import sys
 from pathlib import Path
 
@@ -83,6 +85,18 @@ def test_letters_and_separators_language(spark):
             assert bool(old.search("".join(cells))) == bool(new.search("".join(cells)))
 
 
+def test_allowed_words_vouch_for_their_own_part_only(spark):
+    rng = random.Random(3)
+    blob = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(3000))
+    key = "Q7x9ZpL2mN4vB8cK1jH5gF3dS6aW0eRtYuIoPzXy"
+    lost = [f"sample_key={key}", f"build/example/{key}", f"{key}_placeholder", blob[:1500] + "xxxx" + blob[1500:]]
+    kept = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sampleQ7x9ZpL2mN4vB8cK1", "example/path_of/some-words/and-Others2sample", f"xxxx{key[:24]}"]
+    docs = documents(spark, list(enumerate([f"a {t} b" for t in lost + kept])))
+    clean = [r.text for r in redact_secrets(docs).orderBy("doc_id").collect()]
+    assert not any(key in t or len(t) > 60 for t in clean[:4]) and all("[SECRET]" in t for t in clean[:4])
+    assert clean[4:] == [f"a {t} b" for t in kept]
+
+
 def test_secret_edges(spark):
     docs = documents(spark, [(*r, "kept") for r in EDGES], ", secrets string")
     got = by_id(secret_digest(docs))
