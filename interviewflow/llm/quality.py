@@ -3,6 +3,9 @@
 Everything is a Column expression; no row leaves its task. A null or empty
 text has no words and fails. Repeated rows are judged each for itself; other
 columns are left alone.
+
+The rule on stop words knows English, French, German and Spanish and ignores a
+language column: a clean text of 50 words or more in another language fails.
 """
 
 from __future__ import annotations
