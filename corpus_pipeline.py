@@ -9,7 +9,7 @@ from interviewflow.llm.bpe import encode_texts
 from interviewflow.llm.quality import keep_quality
 from interviewflow.llm.queries import vocabulary_path
 from interviewflow.llm.secrets import redact_secrets
-from interviewflow.llm.shingles import keep_one_of_near_copies
+from interviewflow.llm.simhash import keep_one_of_each
 from interviewflow.llm.store import stored
 from interviewflow.llm.tiling import decontaminate
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return keep_one_of_near_copies(docs)
+    """One document of each group of linked SimHash fingerprints stays: three-word shingles, three bits."""
+    return keep_one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
