@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from interviewflow.llm.names import free_names
 from interviewflow.llm.worker import once_per_worker, slices
 
 # Fixed value: the word pattern of byte-level vocabularies.
@@ -198,6 +199,7 @@ def encode_texts(
 
     vocabulary = vocabulary_of(docs, path)
     kept = docs.drop(*outputs)
+    key, *made = free_names(kept.columns, "__key", *[f"__{c}" for c in outputs])
     wanted = ", ".join(f"{c} {OUTPUTS[c]}" for c in outputs)
     empty = kept.limit(0).select("*", *[F.lit(None).cast(OUTPUTS[c]).alias(c) for c in outputs])
     arrow = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -214,13 +216,13 @@ def encode_texts(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            for key, whole in zip(*[c.to_pylist() for c in batch.columns]):
+            for digest, whole in zip(*[c.to_pylist() for c in batch.columns]):
                 parts = cuts(whole, leaf)
                 for at in range(0, len(parts), 64):
                     some = parts[at : at + 64]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([key] * len(some), pa.string()),
+                            pa.array([digest] * len(some), pa.string()),
                             pa.array(range(at, at + len(some)), pa.int32()),
                             pa.array([whole[a:b] for a, b, _ in some], pa.string()),
                             pa.array([free for *_, free in some], pa.bool_()),
@@ -237,30 +239,30 @@ def encode_texts(
             ids = pa.array(found, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "part_ids"])
 
-    def join(key, group):
+    def join(digest, group):
         codec = codec_of(vocabulary)
         rows = sorted(group.to_pylist(), key=lambda r: r["part"])
         ids = codec.join_all([(r["piece"].encode(), r["part_ids"], r["free"]) for r in rows])
-        cells = [key[0].as_py(), *outputs_of(codec, ids, outputs)]
+        cells = [digest[0].as_py(), *outputs_of(codec, ids, outputs)]
         types = [pa.string(), *[arrow[OUTPUTS[c]] for c in outputs]]
         return pa.table(
-            [pa.array([x], type=t) for x, t in zip(cells, types)], names=["__key", *[f"__{c}" for c in outputs]]
+            [pa.array([x], type=t) for x, t in zip(cells, types)], names=[key, *made]
         )
 
     is_long = F.coalesce(F.length(text) > leaf, F.lit(False))
     done = kept.where(~is_long).mapInArrow(short, empty.schema)
-    long = kept.where(is_long).withColumn("__key", F.sha2(text, 256))
+    long = kept.where(is_long).withColumn(key, F.sha2(text, 256))
     parts = (
-        long.select(F.col("__key").alias("key"), F.col(text).alias("piece"))
+        long.select(F.col(key).alias("key"), F.col(text).alias("piece"))
         .mapInArrow(cut, "key string, part int, piece string, free boolean")
         .dropDuplicates(["key", "part"])
     )
     joined = (
         parts.mapInArrow(encode, "key string, part int, piece string, free boolean, part_ids array<int>")
         .groupBy("key")
-        .applyInArrow(join, "__key string, " + ", ".join(f"__{c} {OUTPUTS[c]}" for c in outputs))
+        .applyInArrow(join, f"{key} string, " + ", ".join(f"{m} {OUTPUTS[c]}" for m, c in zip(made, outputs)))
     )
-    whole = long.join(joined, "__key").select(*kept.columns, *[F.col(f"__{c}").alias(c) for c in outputs])
+    whole = long.join(joined, key).select(*kept.columns, *[F.col(m).alias(c) for m, c in zip(made, outputs)])
     return done.unionByName(whole)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from interviewflow.llm.names import free_names
 from interviewflow.llm.spans import find_spans, in_order, listed, masked, no_spans, of_kind
 
 # The base kinds. A run is entered at its first character or where
@@ -96,9 +97,10 @@ def scan_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFram
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each span replaced by its kind in brackets; texts without spans, nulls too, stay as they are."""
-    found = scan_pii(docs, text, "__pii")
-    clean = masked(F.col(text), F.col("__pii"), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]")))
-    return found.withColumn(text, clean).drop("__pii")
+    (spans,) = free_names(docs.columns, "__pii")
+    found = scan_pii(docs, text, spans)
+    clean = masked(F.col(text), F.col(spans), lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+    return found.withColumn(text, clean).drop(spans)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

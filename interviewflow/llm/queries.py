@@ -11,13 +11,16 @@ from interviewflow.llm.bpe import encode_texts
 from interviewflow.llm.chat import chat_digest
 from interviewflow.llm.katz import katz_scores
 from interviewflow.llm.lengths import token_counts
+from interviewflow.llm.passages import passage_digest
 from interviewflow.llm.pii import pii_digest
 from interviewflow.llm.quality import quality_digest
+from interviewflow.llm.search import search
 from interviewflow.llm.secrets import secret_digest
 from interviewflow.llm.simhash import simhash_groups
 from interviewflow.llm.sql import oracles
 from interviewflow.llm.substrings import repeat_digest
 from interviewflow.llm.tiling import contained_items
+from interviewflow.llm.whitening import whitening_digest
 
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -82,6 +85,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary_path())
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digest(documents(spark, sf_dir))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
@@ -93,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
+    "op11_passages": op11_passages,
+    "op12_search": op12_search,
+    "op13_whitening": op13_whitening,
 }
 
 

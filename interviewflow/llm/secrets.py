@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from interviewflow.llm.names import free_names
 from interviewflow.llm.spans import find_spans, in_order, listed, masked, no_spans, of_kind, span
 
 # Key words, alphabets and least lengths of the base kinds.
@@ -164,7 +165,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", **o
 
 def redact_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """Each secret replaced by ``[SECRET]``; texts without secrets, nulls too, stay as they are."""
-    spans = "__secrets"
+    (spans,) = free_names(docs.columns, "__secrets")
     found = scan_secrets(docs, text, spans, **options)
     clean = masked(F.col(text), F.col(spans), lambda kind: F.lit("[SECRET]"))
     return found.withColumn(text, clean).drop(spans)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from interviewflow.llm.graph import components
+from interviewflow.llm.names import free_names
 from interviewflow.llm.store import stored
 from interviewflow.llm.worker import byte_texts
 
@@ -210,12 +211,7 @@ def fingerprint_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     fingerprint of the component that this id has.
     """
     first = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-prints")
-    return linked_groups(first, stored(tile_links(first.select("fp"), radius), "simhash-links"))
-
-
-def linked_groups(first: DataFrame, links: DataFrame) -> DataFrame:
-    """``fingerprint_groups`` of ``fp, first`` (the least id of each) and links ``a, b`` of them."""
-    roots = components(links, "simhash-components")
+    roots = components(stored(tile_links(first.select("fp"), radius), "simhash-links"), "simhash-components")
     members = roots.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(
         roots.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct()
     )
@@ -244,21 +240,17 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", radi
 
 def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One document of each component, that of the least id; of repeated rows with this id the first by text."""
-    rows = stored(with_fingerprint(docs.select(id, text), text, "fp").select(F.col(id).alias("id"), "fp"), "simhash-rows")
-    return keep_chosen(docs, with_fingerprint(docs, text, "__fp"), fingerprint_groups(rows, radius), id, text)
-
-
-def keep_chosen(docs: DataFrame, marked: DataFrame, groups: DataFrame, id: str, text: str) -> DataFrame:
-    """One row of ``marked``, which is ``docs`` with ``__fp``, for each chosen fingerprint."""
-    marked = marked.withColumns(
-        {"__id": F.coalesce(F.col(id).cast("string"), F.lit("")), "__none": F.col(id).isNull()}
+    fp, known, none, n = free_names(docs.columns, "__fp", "__id", "__none", "__n")
+    rows = stored(with_fingerprint(docs.select(id, text), text, fp).select(F.col(id).alias("id"), F.col(fp).alias("fp")), "simhash-rows")
+    chosen = fingerprint_groups(rows, radius).where("chosen").select(
+        F.col("fp").alias(fp),
+        F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias(known),
+        F.col("component_id").isNull().alias(none),
     )
-    chosen = groups.where("chosen").select(
-        F.col("fp").alias("__fp"),
-        F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("__id"),
-        F.col("component_id").isNull().alias("__none"),
+    marked = with_fingerprint(docs, text, fp).withColumns(
+        {known: F.coalesce(F.col(id).cast("string"), F.lit("")), none: F.col(id).isNull()}
     )
-    key = ["__fp", "__id", "__none"]
+    key = [fp, known, none]
     in_turn = Window.partitionBy(*key).orderBy(text)
-    kept = marked.join(chosen, key, "left_semi").withColumn("__n", F.row_number().over(in_turn)).where("__n = 1")
+    kept = marked.join(chosen, key, "left_semi").withColumn(n, F.row_number().over(in_turn)).where(F.col(n) == 1)
     return kept.select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from interviewflow.llm import chat, pii, quality, secrets
+from interviewflow.llm import chat, passages, pii, quality, search, secrets
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -174,5 +174,46 @@ SELECT g.conv_id, n_turns::BIGINT AS n_turns, sha256(whole) AS turns_sha256, len
 FROM g LEFT JOIN r ON g.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN z ON g.conv_id IS NOT DISTINCT FROM z.conv_id"""
 
 
+def _passages() -> str:
+    k = passages.LEAST
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {quoted(WORD)}) AS w FROM documents),
+v AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {k - 2})) AS u(i)),
+late AS (SELECT r, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+gone AS (SELECT DISTINCT r, i + j AS i FROM late, unnest(range(0, {k})) AS u(j)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS rest, count(*) AS n FROM v ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
+def _search() -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+    def terms(text: str) -> str:
+        return f"regexp_extract_all(translate(coalesce({text}, ''), {letters}, lower({letters})), {quoted(term)})"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms('text')} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+c AS (SELECT t, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY t),
+m AS (SELECT r, doc_id, 100 - 75 + ((75 * len(w) * n) // l) AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT b, item_id, t, count(*) AS n FROM (SELECT b, item_id, unnest(w) AS t
+  FROM (SELECT row_number() OVER () AS b, item_id, {terms('text')} AS w FROM benchmark)) GROUP BY ALL),
+x AS (SELECT b, item_id, doc_id, r, sum(q.n * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN c USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x
+WHERE score > 0 QUALIFY rank <= {search.BEST}"""
+
+
 def oracles(probe: str) -> dict[str, str]:
-    return {"op1_secrets": _secrets(), "op7_quality": _quality(), "op8_pii": _pii(), "op9_chat": _chat(probe)}
+    return {
+        "op11_passages": _passages(),
+        "op12_search": _search(),
+        "op1_secrets": _secrets(),
+        "op7_quality": _quality(),
+        "op8_pii": _pii(),
+        "op9_chat": _chat(probe),
+    }

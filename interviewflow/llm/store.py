@@ -1,7 +1,8 @@
 """Tables written once to the shared folder and read back, so that a long plan is cut there.
 
 Every executor and the driver can read them, and they outlive lost executors.
-They are removed when the session's JVM ends.
+They are removed when the session's JVM ends, or by ``release`` once nothing
+reads them any more.
 """
 
 from __future__ import annotations
@@ -17,4 +18,14 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = shared_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes stored tables; frames built on them must have been computed."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import by_id, documents, fingerprint, groups, repeats, sha  # noqa: E402
 
-from interviewflow.llm import shingles, simhash, substrings, tiling  # noqa: E402
+from interviewflow.llm import simhash, substrings, tiling  # noqa: E402
 from interviewflow.llm.graph import components  # noqa: E402
 
 EDGES = [(7, None), (8, ""), (9, " \t"), (None, "only null"), (None, None)]
@@ -58,43 +58,14 @@ def test_simhash_edges(spark):
     assert simhash.simhash_groups(docs.limit(0)).collect() == [] and simhash.keep_one_of_each(docs.limit(0)).collect() == []
 
 
-def similarity(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(a & b) / len(a | b)
-
-
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_pipeline_keeps_one_of_planted_near_copies(spark, monkeypatch, rounds):
-    """Of texts with 0.8 or more of their five-word shingles in common one stays; all others stay."""
+def test_pipeline_keeps_one_of_each_group(spark):
+    """The stage keeps the document of the least id of each component of fingerprints, and all others."""
     import corpus_pipeline
 
-    monkeypatch.setattr(shingles, "ROUNDS", rounds)
-    rng = random.Random(5)
-    rows = []
-    for i in range(40):
-        text = prose(rng, rng.choice([60, 150, 300]))
-        n = len(text.split())
-        rows.append(text)
-        rows += [changed(rng, text, k) for k in (1, n // 60, n // 30)]
-    # One passage in many texts links none of them, and a group around one text is no square of pairs.
-    passage = prose(rng, 60)
-    rows += [f"{passage} {prose(rng, 50)}" for _ in range(30)] + [changed(rng, passage, 1) for _ in range(30)]
-    rows = list(enumerate(rows))
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if similarity(rows[i][1].lower(), rows[j][1].lower()) >= 0.8]
-    linked = {i: i for i, _ in rows}
-    for _ in rows:
-        for i, j in near:
-            linked[i] = linked[j] = min(linked[i], linked[j])
+    rows = near_copies(7, 40)
+    component = groups([fingerprint(t) for _, t in rows])
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()}
-    assert not [p for p in near if kept.issuperset(p)]
-    assert {linked[i] for i in kept} == set(linked.values()) and all(i in kept for i, root in linked.items() if i == root)
-
-
-def test_near_copies_edges(spark):
-    docs = documents(spark, [(*r, 1) for r in [*EDGES, (3, "a b c d"), (3, "A b  c d"), (3, "x")]], ", node int")
-    kept = shingles.keep_one_of_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, "A b  c d"), (3, "x"), (7, None), (None, "only null")], key=repr)
+    assert kept == {min(i for (i, _), c in zip(rows, component) if c == own) for own in set(component)}
 
 
 @pytest.mark.parametrize("shared", [0, 40])
