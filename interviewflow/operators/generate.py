@@ -24,10 +24,20 @@ from interviewflow.functions.text import inject_after, prompt_preview, token_cou
 from interviewflow.operators.candidates import positions_to_numbers
 from interviewflow.operators.reshape import to_wide
 from interviewflow.operators.spread import spread_join
+from interviewflow.operators.store import (
+    COLUMNS,
+    PACK_AT,
+    append_results,
+    attempt_ledger,
+    committed,
+    key_text,
+    live_batches,
+    pack,
+    read_results,
+)
 from interviewflow.operators.tables import keep_first, require_unique
-
-# Parts of a result store, by hash of the key.
-STORE_BUCKETS = 16
+from interviewflow.session import kept
+from interviewflow.sources.files import delete
 
 
 class Generator(Protocol):
@@ -115,12 +125,11 @@ def pending(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(~finished(text))
 
 
-def requests(prompts: DataFrame, n: int, done: DataFrame | None = None, key: str = "key", prompt: str = "prompt") -> DataFrame:
-    """One row (key, candidate_no, prompt) for each of ``n`` candidates still to be made.
+def missing_numbers(prompts: DataFrame, n: int, done: DataFrame | None = None, key: str = "key", prompt: str = "prompt") -> DataFrame:
+    """``key, prompt, numbers``: which of the ``n`` candidates of each key are still to be made.
 
     ``done`` holds results, or with no ``text`` the finished requests. The
-    finished numbers of a key (at most ``n``) meet its prompt once, and only
-    then is the prompt repeated: long texts are not shuffled n times.
+    finished numbers of a key (at most ``n``) meet its prompt once.
     """
     require_columns(prompts, [key, prompt])
     base = prompts.select(key, F.col(prompt).alias("prompt"))
@@ -131,7 +140,15 @@ def requests(prompts: DataFrame, n: int, done: DataFrame | None = None, key: str
         made = made.groupBy(key).agg(F.collect_set(F.col("candidate_no").cast("int")).alias("__made"))
         base = spread_join(base, made, key, "left")
         numbers = F.array_except(numbers, F.coalesce(F.col("__made"), F.array().cast("array<int>")))
-    return base.select(key, F.explode(numbers).alias("candidate_no"), "prompt")
+    return base.select(key, "prompt", numbers.alias("numbers"))
+
+
+def requests(prompts: DataFrame, n: int, done: DataFrame | None = None, key: str = "key", prompt: str = "prompt") -> DataFrame:
+    """One row (key, candidate_no, prompt) for each of ``n`` candidates still to be made.
+
+    Only then is a prompt repeated: long texts are not shuffled n times.
+    """
+    return missing_numbers(prompts, n, done, key, prompt).select(key, F.explode("numbers").alias("candidate_no"), "prompt")
 
 
 def generate(
@@ -149,7 +166,11 @@ def generate(
     evenly over ``partitions`` tasks, by default the session's number of
     shuffle partitions; 0 leaves them where their rows were read.
     """
-    todo = requests(prompts, n, done, key, prompt)
+    return asked(requests(prompts, n, done, key, prompt), generator, key, partitions)
+
+
+def asked(todo: DataFrame, generator: Generator, key: str = "key", partitions: int | None = None) -> DataFrame:
+    """Results of the requests (key, candidate_no, prompt), dealt like those of ``generate``."""
     if partitions is None:
         partitions = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if partitions:
@@ -175,56 +196,91 @@ def run_resumable(
     batches: int = 1,
     partitions: int | None = None,
     known: DataFrame | None = None,
+    max_attempts: int | None = None,
+    retry_after: float = 0.0,
 ) -> DataFrame:
-    """Adds the missing results to the parquet store and returns all of them.
+    """Adds the missing results to the store (see ``operators.store``) and returns all of them.
 
     ``known`` holds results made elsewhere (key, candidate_no, text); they are
     not asked for again and not copied to the store.
 
     ``batches`` splits the keys by hash and commits after each part, so a run
-    that is stopped loses one part at most. The next run, with any ``run_id``,
-    asks only for what is missing. A lost task repeats its calls; each request
-    still counts once in the result. Keys must be unique; a repeated one is an
-    error before the first call.
-
-    The store lies in buckets of keys, and a batch reads its own buckets only:
-    keys, numbers and a flag for what is finished, no texts. With several
-    batches the prompts are written once, beside the store, and read per batch.
+    that is stopped loses one part at most. The next run, with any ``run_id``
+    and any type of the same keys, asks only for what is missing. A lost task
+    repeats its calls; each request still counts once in the result. Keys must
+    be unique; a repeated one is an error before the first call.
+
+    Failures count over runs: a request with ``max_attempts`` failed attempts is
+    not asked for again, and one that failed waits ``retry_after`` seconds,
+    doubled with each attempt (``store.attempt_ledger`` shows both).
+
+    What is missing is planned once, from keys, numbers and flags of the store
+    and no texts. With several batches it is written beside the store, read per
+    batch, and removed after the last. A batch writes no more files than it has
+    tasks, and many small batches are packed into one.
     """
     spark = prompts.sparkSession
     require_unique(prompts, key)
-    schema = _result_schema(prompts, key)
-    for name, kind in (("finished", T.BooleanType()), ("bucket", T.IntegerType()), ("run_id", T.StringType())):
-        schema = schema.add(name, kind)
-    reader = spark.read.schema(schema)
-    bucket = F.pmod(F.xxhash64(key), F.lit(STORE_BUCKETS)).cast("int")
-    asked = prompts.select(key, prompt)
-    if batches > 1:
-        asked = _written_once(asked.withColumn("bucket", bucket), f"{store}.prompts/{run_id}", ["bucket"])
-    for part in range(batches):
-        own = [b for b in range(STORE_BUCKETS) if b % batches == part]
-        mine = asked if batches == 1 else asked.where(F.col("bucket").isin(own)).drop("bucket")
-        done = None if known is None else known.where(finished()).select(key, "candidate_no")
-        if _has_data(spark, store):
-            here = reader.parquet(store).where("finished")
-            here = (here if batches == 1 else here.where(F.col("bucket").isin(own))).select(key, "candidate_no")
-            done = here if done is None else here.unionByName(done)
-        fresh = generate(mine, n, generator, done, key, prompt, partitions)
-        kept = fresh.withColumns({"finished": finished(), "bucket": bucket, "run_id": F.lit(run_id)})
-        kept.write.mode("append").partitionBy("bucket", "run_id").parquet(store)
-    return latest_results(reader.parquet(store), key).drop("finished", "bucket")
-
-
-def _written_once(df: DataFrame, path: str, by: list[str]) -> DataFrame:
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _has_data(spark, path: str) -> bool:
-    """Whether the folder exists, asked through the file system of the path."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    done = _settled(spark, store, prompts.schema[key].dataType, key, max_attempts, retry_after)
+    if known is not None:
+        done = done.unionByName(known.where(finished()).select(key, "candidate_no"))
+    if batches == 1:
+        answer_requests(requests(prompts, n, done, key, prompt), generator, store, run_id, key, partitions)
+    else:
+        pending_path = f"{store}/pending"
+        part = F.pmod(F.xxhash64(key_text(key, prompts.schema[key].dataType)), F.lit(batches)).cast("int")
+        tasks = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+        missing = missing_numbers(prompts, n, done, key, prompt).where(F.size("numbers") > 0).withColumn("part", part)
+        spread = missing.repartition(tasks * batches, "part", F.pmod(F.xxhash64(key), F.lit(tasks)))
+        spread.write.mode("overwrite").partitionBy("part").parquet(pending_path)
+        kept = spark.read.schema(missing.schema).parquet(pending_path)
+        for i in range(batches):
+            todo = kept.where(F.col("part") == i).select(key, F.explode("numbers").alias("candidate_no"), "prompt")
+            answer_requests(todo, generator, store, run_id, key, partitions)
+        delete(spark, pending_path)
+    if len(live_batches(spark, store)) > PACK_AT:
+        pack(spark, store)
+    return stored_results(spark, store, prompts.schema[key].dataType, key)
+
+
+def _settled(spark, store: str, kind: T.DataType, key: str, max_attempts: int | None, retry_after: float) -> DataFrame:
+    """Requests (key, candidate_no) of a store that are not to be asked now: finished, given up, or not yet due."""
+    if max_attempts is None and not retry_after:
+        rows = read_results(spark, store).where("finished")
+    else:
+        ledger = attempt_ledger(spark, store, max_attempts, retry_after)
+        rows = ledger.where((F.col("state") != "open") | (F.col("due") > F.current_timestamp()))
+    return rows.select(F.col("key").try_cast(kind).alias(key), "candidate_no")
+
+
+def answer_requests(
+    todo: DataFrame,
+    generator: Generator,
+    store: str,
+    run_id: str,
+    key: str = "key",
+    partitions: int | None = None,
+    name: str | None = None,
+    **about,
+) -> None:
+    """Answers of the requests (key, candidate_no, prompt), as a committed batch of the store.
+
+    ``name`` makes it the commit of that name: if it exists nothing is asked.
+    """
+    if name is not None and committed(todo.sparkSession, store, name):
+        return
+    text = key_text(key, todo.schema[key].dataType)
+    fresh = asked(todo, generator, key, partitions)
+    columns = {"key": text, "finished": finished(), "run_id": F.lit(run_id), "asked_at": F.current_timestamp()}
+    rows = fresh.select(*[columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(COLUMNS)])
+    append_results(rows, store, name, run_id=run_id, **about)
+
+
+def stored_results(spark, store: str, kind: T.DataType | str = "string", key: str = "key") -> DataFrame:
+    """One row per request of a store, keys as ``kind``; keys that are none are left out."""
+    latest = latest_results(read_results(spark, store), "key").drop("finished", "asked_at")
+    typed = latest.withColumn("key", F.col("key").try_cast(kind)).where("key IS NOT NULL")
+    return typed.withColumnRenamed("key", key)
 
 
 def merge_results(base: DataFrame, new: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -329,6 +385,9 @@ def generate_repeats(
     read = [c for c in df.columns if c != key]
     asked = join_unique(prompts.select(key, "prompt"), df.select(key), key)
     final = asked.select(key, inject_after(F.col("prompt"), marker, extra).alias("prompt"))
+    if store is not None:
+        # Read for the calls and for the preview.
+        final = kept(final, "prompts")
     if store is None:
         made = generate(final, repeats, generator, done, key, partitions=partitions)
     else:

@@ -45,8 +45,13 @@ def keep_ids(df: DataFrame, ids: DataFrame, id_col: str, id_type: str = "int") -
 
 def sort_ids(df: DataFrame, id_col: str, id_type: str = "int", ord: Sequence[str] = ()) -> DataFrame:
     """Ascending by id, nulls last; ``ord`` keeps ties stable (and splits a hot id over ranges)."""
+    return df.orderBy(id_order(df, id_col, id_type), *ord)
+
+
+def id_order(df: DataFrame, id_col: str, id_type: str = "int") -> Column:
+    """What ids are sorted by: their value, or their text of one width; nulls last."""
     key = id_of(df, id_col) if id_type == "int" else padded_id(F.col(id_col).cast("string"))
-    return df.orderBy(key.asc_nulls_last(), *ord)
+    return key.asc_nulls_last()
 
 
 def union_tables(*dfs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from interviewflow.operators.generate import Generator, merge_results, run_resum
 from interviewflow.operators.reshape import to_long, to_wide
 from interviewflow.operators.spread import spread_join
 from interviewflow.operators.tables import id_range, require_rows, require_unique
+from interviewflow.session import kept
 
 
 def with_template(
@@ -94,7 +95,7 @@ def candidates_for_range(
         return df
     present = {i: f"Rational_{i}" for i in range(1, n + 1) if f"Rational_{i}" in df.columns}
     known = to_long(chosen, [id_col], present) if present else None
-    prompts = with_template(chosen, templates, template, criteria).select(id_col, "Prompt")
+    prompts = kept(with_template(chosen, templates, template, criteria).select(id_col, "Prompt"), "prompts")
     results = run_resumable(prompts, n, generator, store, run_id, key=id_col, prompt="Prompt", batches=batches, known=known)
     wide = to_wide(results, [id_col], "candidate_no", "text", n)
     # The prompts of the range and the results meet on the id, then once with the table.

@@ -12,6 +12,7 @@ from interviewflow.functions.ids import exemplar_key
 from interviewflow.functions.text import token_count
 from interviewflow.operators.fewshot import fewshot_prompt, shots_no_reuse, shots_with_reuse
 from interviewflow.operators.generate import Generator, generate_repeats, merge_results, run_resumable
+from interviewflow.session import bucketed, kept
 
 NUMBER, TEXT = "Exp_5_Selected_Rationale_Number", "Exp_5_Selected_Rationale"
 
@@ -24,8 +25,13 @@ def training_prompts(
     number: str = NUMBER,
     text: str = TEXT,
 ) -> DataFrame:
-    """Expanded picks with ``name``, two exemplar names, ``prompt`` and ``Token_Count``."""
-    named = expanded.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col(number)))
+    """Expanded picks with ``name``, two exemplar names, ``prompt`` and ``Token_Count``.
+
+    The named rows are pool and table at once. They are computed and dealt by
+    name once; then the only texts that move are those of the exemplars, from
+    their buckets to the bucket of the prompt.
+    """
+    named = bucketed(expanded.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col(number))), "name", "exemplars")
     drawn = shots_with_reuse(named, seed=seed)
     # The draw above has already refused repeated names.
     prompts = fewshot_prompt(drawn, named, body, "train", text, values, unique=True)
@@ -33,7 +39,8 @@ def training_prompts(
 
 
 def training_set(prompts: DataFrame, generator: Generator, store: str, run_id: str, batches: int = 1) -> DataFrame:
-    """Training prompts with Generated_Rationale and Generated_Token_Count, resumable."""
+    """Training prompts with Generated_Rationale and Generated_Token_Count, resumable; the prompts are computed once."""
+    prompts = kept(prompts, "prompts")
     results = run_resumable(prompts.select("name", "prompt"), 1, generator, store, run_id, key="name", batches=batches)
     made = results.select(
         "name",
@@ -52,7 +59,13 @@ def evaluation_prompts(
     text: str = "Generated_Rationale",
     unique: bool = False,
 ) -> DataFrame:
-    """Test rows with two exemplars no other row has, ``prompt`` and ``Token_Count``."""
+    """Test rows with two exemplars no other row has, ``prompt`` and ``Token_Count``.
+
+    Both tables are computed once, and dealt by what they are joined on.
+    """
+    used = [c for c in dict.fromkeys(["name", "PHQ_Binary", "Gender", "Transcript", text]) if c in train.columns]
+    train = bucketed(train.select(*used), "name", "exemplars")
+    test = bucketed(test, "Participant_ID", "tests")
     drawn = shots_no_reuse(train, test, seed=seed)
     prompts = fewshot_prompt(drawn, train, body, "test", text, values, row_key="Participant_ID", unique=unique)
     return prompts.withColumn("Token_Count", token_count(F.col("prompt")))
@@ -69,6 +82,7 @@ def evaluation_set(
     batches: int = 1,
 ) -> DataFrame:
     """Test rows with ``repeats`` responses, their token counts and a prompt preview; resumable with ``store``."""
+    prompts = kept(prompts, "prompts")
     keyed = prompts.select("Participant_ID", "prompt")
     rows = prompts.drop("prompt")
     return generate_repeats(keyed, rows, repeats, generator, marker, extra, store=store, run_id=run_id, batches=batches)

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from interviewflow.defaults import CORRECTED_IDS
 from interviewflow.functions.columns import require_columns
-from interviewflow.operators.tables import correct_labels, keep_first, keep_ids, sort_ids, union_tables
+from interviewflow.operators.tables import correct_labels, id_order, keep_first, keep_ids, union_tables
+from interviewflow.sources.ordered import read_ordered, write_ordered
 from interviewflow.sources.sinks import write_formats
 from interviewflow.sources.tables import ORDER, find_separator, read_table
 
+# Position of a file in a list of files.
+NUMBER = "__file"
 
-def written(spark: SparkSession, rows: DataFrame, out: str, sep: str = ",") -> DataFrame:
-    """Writes ``<out>.csv`` and returns the written rows, so that the plan runs once."""
-    path = write_formats(rows, out, "csv", sep)[0]
-    return spark.read.csv(path, schema=rows.schema, sep=sep, header=True, quote='"', escape='"', multiLine=True)
+
+def written(spark: SparkSession, rows: DataFrame, out: str, by: Sequence[Column], sep: str = ",") -> DataFrame:
+    """Writes ``<out>.csv`` in the order ``by`` and returns the written rows in it, so that the plan runs once."""
+    path = f"{out}.csv"
+    write_ordered(rows, path, by, sep, [c for c in rows.columns if c not in (*ORDER, NUMBER)])
+    return read_ordered(spark, path, sep)
+
+
+def _places(rows: DataFrame) -> list[Column]:
+    return [F.col(c) for c in ORDER]
 
 
 def dedupe_table(
@@ -32,8 +42,7 @@ def dedupe_table(
     sep = find_separator(spark, path, in_sep)
     rows = read_table(spark, path, sep, order=True)
     require_columns(rows, [id_col], path)
-    kept = keep_first(rows, id_col, ORDER, id_type).drop(*ORDER)
-    return written(spark, kept, out, out_sep or sep)
+    return written(spark, keep_first(rows, id_col, ORDER, id_type), out, _places(rows), out_sep or sep)
 
 
 def filter_table(
@@ -52,9 +61,8 @@ def filter_table(
     sep = find_separator(spark, path, in_sep)
     ids = read_table(spark, ids_path, ids_sep)
     kept = keep_ids(read_table(spark, path, sep, order=True), ids, id_col, id_type)
-    kept = sort_ids(kept, id_col, id_type, ORDER) if sort else kept.orderBy(*ORDER)
-    kept = kept.drop(*ORDER)
-    return written(spark, kept, out, out_sep or sep)
+    by = [id_order(kept, id_col, id_type)] if sort else []
+    return written(spark, kept, out, [*by, *_places(kept)], out_sep or sep)
 
 
 def correct_table(
@@ -71,6 +79,7 @@ def correct_table(
 
 
 def stack_tables(spark: SparkSession, paths: Sequence[str], out: str) -> DataFrame:
-    """All rows of several files by column name; writes ``<out>.csv`` and returns the rows."""
-    rows = union_tables(*[read_table(spark, p) for p in paths])
-    return written(spark, rows, out)
+    """All rows of several files by column name, file after file; writes ``<out>.csv`` and returns the rows."""
+    tables = [read_table(spark, p, order=True).withColumn(NUMBER, F.lit(i)) for i, p in enumerate(paths)]
+    rows = union_tables(*tables)
+    return written(spark, rows, out, [F.col(NUMBER), *_places(rows)])

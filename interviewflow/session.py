@@ -62,3 +62,28 @@ def cut(df: DataFrame) -> DataFrame:
     # The context has a folder of its own below the shared one.
     _leave_with_session(context, context.getCheckpointDir())
     return df.checkpoint()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared folder, texts too, for a plan that reads it several times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``kept``, in as many buckets of ``key`` as the session has shuffle partitions.
+
+    Joins and groupings by ``key`` read the buckets in place: only the other
+    side is shuffled. The table is in the catalog while it is written; it stays
+    readable through the returned frame.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key).write.option("path", shared_path(spark, name))
+    dealt.bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return found

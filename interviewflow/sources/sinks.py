@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interviewflow.defaults import CELL_LIMIT, CELL_SUFFIX
+from interviewflow.sources.files import put_text, read_text
+
+# The file that names the current version of a table.
+CURRENT = "_current"
 
 
 def write_versioned(df: DataFrame, base: str, run_id: str) -> str:
-    """Writes the copy of this run, then replaces the main table from it. Returns the copy's path.
+    """Writes the table of this run, then makes it the current one. Returns its path.
 
-    The plan runs once: the main table is filled from the written copy.
+    The switch is one small file that is renamed over the one before: readers
+    see the version before or this one, whole, and a run that is stopped leaves
+    the version before. Versions stay; a second run of one id is another version.
     """
-    copy = f"{base}/runs/run_id={run_id}"
-    df.write.mode("overwrite").parquet(copy)
-    df.sparkSession.read.parquet(copy).write.mode("overwrite").parquet(f"{base}/main")
-    return copy
+    spark = df.sparkSession
+    version = f"runs/run_id={run_id}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{version}")
+    put_text(spark, f"{base}/{CURRENT}", version)
+    return f"{base}/{version}"
+
+
+def read_versioned(spark: SparkSession, base: str) -> DataFrame:
+    """The current version of a table of ``write_versioned``."""
+    return spark.read.parquet(current_version(spark, base))
+
+
+def current_version(spark: SparkSession, base: str) -> str:
+    """Path of the current version; an error if there is none yet."""
+    return f"{base}/{read_text(spark, f'{base}/{CURRENT}')}"
 
 
 def write_formats(df: DataFrame, base: str, formats: str, sep: str = ",") -> list[str]:

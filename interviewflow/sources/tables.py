@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interviewflow.defaults import NULL_TOKENS
 from interviewflow.functions.text import null_tokens
+from interviewflow.session import cut
+from interviewflow.sources.records import has_open_cells, lines_of, parsed, records, row_place, split_states, splittable
 
 # Columns that put the rows of a file or folder in order.
 ORDER = ("file_name", "block", "line")
 
 
-def file_name() -> Column:
-    """Name of the file a row was read from, as it is in the folder (Spark gives it URL-encoded)."""
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-
-
 def find_separator(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8") -> str:
     """The given separator; tab for .tsv, comma for .csv; else what the first line has more of."""
     if sep is not None:
@@ -37,32 +32,8 @@ def find_separator(spark: SparkSession, path: str, sep: str | None = None, encod
 
 def raw_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", **options) -> DataFrame:
     """The non-empty lines of delimited files as ``value``, decoded; quotes and separators mean nothing."""
-    plain = 'a,"\n'.encode(encoding) == b'a,"\n'
     reader = spark.read.options(**options)
-    return reader.csv(path, schema="value string", sep="\x01", quote="", encoding=encoding, multiLine=not plain)
-
-
-def open_quote(line: str, sep: str) -> Column:
-    """Whether a cell begins with a quote on this line and does not end on it.
-
-    Quotes elsewhere, as in ``5" tall``, are text.
-    """
-    mark = re.escape(sep)
-    rest = F.regexp_replace(line, rf'(^|{mark})"(?:[^"]|"")*+"(?={mark}|$)', "$1")
-    return F.coalesce(rest.rlike(rf'(?:^|{mark})"'), F.lit(False))
-
-
-def files_with_open_cells(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8", **options) -> list[str]:
-    """Paths of the files in which a quoted cell spans lines: one pass over all of them."""
-    lines = raw_lines(spark, path, encoding, **options)
-    found = lines.where(open_quote("value", sep)).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return sorted(literal_path(r[0]) for r in found.collect())
-
-
-def literal_path(url: str) -> str:
-    """A path that a reader takes for this file: as in the folder, with wildcards marked as plain characters."""
-    path = re.sub(r"^file:/+", "file:/", unquote(url))
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+    return reader.csv(path, schema="value string", sep="\x01", quote="", encoding=encoding, multiLine=not splittable(encoding))
 
 
 def read_table(
@@ -78,38 +49,29 @@ def read_table(
 
     Cells equal to one of ``nulls`` are null. ``order`` adds the columns of
     ``ORDER``, which hold the place of each row. Without ``multiline`` the
-    files are looked through once for cells that span lines. Only files with
-    such cells are read unsplit; of the others even a single huge file is
-    read by many tasks. ``encoding`` holds in every pass.
+    files are looked through once for cells that span lines. Files with such
+    cells are read split as well, by ``sources.records``; only in an encoding
+    whose line ends are no single bytes is a file read by one task. ``encoding``
+    holds in every pass.
     """
     sep = find_separator(spark, path, sep, encoding)
-    plain = 'a,"\n'.encode(encoding) == b'a,"\n'
-
-    def read(paths: str | list[str], flag: bool, **more) -> DataFrame:
-        return spark.read.csv(
-            paths, sep=sep, header=True, quote='"', escape='"', multiLine=flag or not plain, encoding=encoding, **more
-        )
-
-    unsplit = [] if multiline is not None or not plain else files_with_open_cells(spark, path, sep, encoding)
-    rows = read(path, bool(multiline or unsplit), inferSchema=False)
-    others = {literal_path(p) for p in rows.inputFiles()} - set(unsplit) if unsplit else set()
-    kept = null_cells(rows, nulls, order)
-    if others:
-        parts = [read(p, flag, schema=rows.schema) for p, flag in ((unsplit, True), (sorted(others), False))]
-        kept = null_cells(parts[0], nulls, order).unionByName(null_cells(parts[1], nulls, order))
-    return kept
-
-
-def null_cells(rows: DataFrame, nulls: Iterable[str], order: bool) -> DataFrame:
-    """``rows`` of a scan with the texts ``nulls`` as null, and its ``ORDER`` on request."""
-    cells = [null_tokens(F.col(f"`{c}`"), nulls).alias(c) if nulls else F.col(f"`{c}`") for c in rows.columns]
-    return rows.select(*cells, *(row_place() if order else []))
-
-
-def row_place() -> list[Column]:
-    """Columns of ``ORDER``; to be taken directly from a scan."""
-    return [
-        file_name().alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    ]
+    whole = not splittable(encoding)
+    rows = spark.read.csv(
+        path, sep=sep, header=True, quote='"', escape='"', multiLine=whole or multiline is not False, encoding=encoding, inferSchema=False
+    )
+    if whole:
+        return null_cells(rows, nulls, order)
+    if multiline is not False:
+        splits = cut(split_states(lines_of(spark, path, encoding), sep))
+        if multiline or has_open_cells(splits):
+            found = parsed(records(spark, path, sep, encoding, splits), rows.columns, sep)
+            return null_cells(found.select(*rows.columns, *ORDER), nulls, False, rows.columns).drop(*([] if order else ORDER))
+    lines = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', encoding=encoding, schema=rows.schema)
+    return null_cells(lines, nulls, order)
+
+
+def null_cells(rows: DataFrame, nulls: Iterable[str], order: bool, columns: list[str] | None = None) -> DataFrame:
+    """``rows`` with the texts ``nulls`` as null in ``columns`` (default: all), and the ``ORDER`` of a scan on request."""
+    named = rows.columns if columns is None else columns
+    cells = [null_tokens(F.col(f"`{c}`"), nulls).alias(c) if nulls else F.col(f"`{c}`") for c in named]
+    return rows.select(*cells, *[F.col(f"`{c}`") for c in rows.columns if c not in named], *(row_place() if order else []))

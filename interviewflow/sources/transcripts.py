@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from interviewflow.defaults import TEXT_NAMES
 from interviewflow.operators.spread import spread_join
 from interviewflow.session import cut
-from interviewflow.sources.tables import literal_path, open_quote, raw_lines, row_place
+from interviewflow.sources.records import open_quote, parsed, records, row_place, splittable
+from interviewflow.sources.tables import raw_lines
 
 PATTERN = "*_Transcript.csv"
 
@@ -85,8 +86,8 @@ def read_utterances(
 
     Files may order their columns differently, in any number of ways: a first
     job reads the header of each file and whether a cell spans lines, and the
-    data are scanned once with the widest header. Files with such cells are
-    read unsplit, the others stay split. Naming the ``columns`` all files
+    data are scanned once with the widest header. Files with such cells stay
+    split as well (``sources.records``). Naming the ``columns`` all files
     share and ``multiline`` saves the first job. Each file also gives one row
     with null text, so files without utterances, without a text column or
     without bytes are not lost; with ``need_text`` the latter two are left out.
@@ -95,39 +96,34 @@ def read_utterances(
     unsplit = not splittable(encoding)
     if columns is not None and multiline is not None:
         place = next((i for i, c in enumerate(columns) if c in [t for t in text_names if t in columns][:1]), None)
-        rows = _scan(spark, folder, pattern, len(columns), sep, encoding, multiline or unsplit)
         cell: Column = F.lit(None).cast("string") if place is None else F.col(f"c{place}")
+        if multiline and not unsplit:
+            rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern), [f"c{i}" for i in range(len(columns))], sep)
+            return _with_files(rows.select("file_name", "block", "line", cell.alias("text")), files)
+        rows = _scan(spark, folder, pattern, len(columns), sep, encoding, unsplit)
         return _with_files(rows.select(*row_place(), cell.alias("text")), files)
 
     layouts = cut(file_layouts(spark, folder, pattern, text_names, sep, encoding))
     if need_text:
         files = files.join(layouts.where("place IS NOT NULL").select("file_name"), "file_name", "left_semi")
     span = F.lit(bool(multiline)) if multiline is not None else F.col("open")
-    width, low, high, n_open, n_split = layouts.agg(
-        F.max("width"), F.min(F.coalesce("place", F.lit(0))), F.max(F.coalesce("place", F.lit(0))), F.count_if(span), F.count_if(~span)
+    width, low, high, n_open = layouts.agg(
+        F.max("width"), F.min(F.coalesce("place", F.lit(0))), F.max(F.coalesce("place", F.lit(0))), F.count_if(span)
     ).first()
     if not width or not high:
         return _with_files(files)
-    # Paths of the files with cells that span lines; a share of the listing that the driver has anyway.
-    mixed = n_open and n_split and not unsplit
-    parts = [(folder, bool(n_open) or unsplit)]
-    if mixed:
-        parts = [([literal_path(r[0]) for r in layouts.where(here).select("path").collect()], flag) for here, flag in ((span, True), (~span, False))]
-    scans = []
-    for paths, flag in parts:
-        rows = _scan(spark, paths, pattern, width, sep, encoding, flag)
-        if low == high:
-            scans.append(rows.select(*row_place(), F.col(f"c{high - 1}").alias("text")))
-            continue
-        cells = rows.select(*row_place(), F.array(*[f"c{i}" for i in range(width)]).alias("cells"))
-        placed = spread_join(cells, layouts.where("place IS NOT NULL").select("file_name", "place"), "file_name")
-        scans.append(placed.select("file_name", "block", "line", F.get("cells", F.col("place") - 1).alias("text")))
-    return _with_files(*scans, files)
-
-
-def splittable(encoding: str) -> bool:
-    """Whether line ends, quotes and separators are single ASCII bytes in this encoding."""
-    return 'a,"\n'.encode(encoding) == b'a,"\n'
+    if n_open and not unsplit:
+        # Split files all the same: the place of each line in its cells comes from a pass over the quotes.
+        rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern), [f"c{i}" for i in range(width)], sep)
+        place_of = [F.col(c) for c in ("file_name", "block", "line")]
+    else:
+        rows = _scan(spark, folder, pattern, width, sep, encoding, unsplit)
+        place_of = row_place()
+    if low == high:
+        return _with_files(rows.select(*place_of, F.col(f"c{high - 1}").alias("text")), files)
+    cells = rows.select(*place_of, F.array(*[f"c{i}" for i in range(width)]).alias("cells"))
+    placed = spread_join(cells, layouts.where("place IS NOT NULL").select("file_name", "place"), "file_name")
+    return _with_files(placed.select("file_name", "block", "line", F.get("cells", F.col("place") - 1).alias("text")), files)
 
 
 def _with_files(*parts: DataFrame) -> DataFrame:

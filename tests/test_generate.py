@@ -14,7 +14,8 @@ from interviewflow.operators.generate import (
     select_best,
     with_retry,
 )
-from interviewflow.streaming.prompts import stream_generate
+from interviewflow.operators.store import attempt_ledger
+from interviewflow.streaming.prompts import open_requests, stream_generate, stream_results
 
 
 def bag(df):
@@ -185,7 +186,7 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     def run():
         stream = stream_generate(spark, str(folder), 2, per_request(echo), out, checkpoint, done, files_per_batch=1)
         assert stream.awaitTermination(120) and stream.exception() is None
-        return bag(spark.read.parquet(out).select("key", "candidate_no", "text"))
+        return bag(stream_results(spark, out).select("key", "candidate_no", "text"))
 
     first = [("302", 1, "one\ntwo1"), ("302", 2, "one\ntwo2")]
     assert run() == first
@@ -194,6 +195,68 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert run() == [*first, ("303", 2, "new2")]
 
 
+def test_streamed_requests_stay_open_until_answered(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    (folder / "sub").mkdir(parents=True)
+    for i in range(6):
+        (folder / f"{i}.txt").write_text(f"p{i}")
+    (folder / "sub" / "3.txt").write_text("another prompt of key 3")
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(fail, **options):
+        def call(request):
+            calls.add(1)
+            if fail(request):
+                raise ValueError("down")
+            return echo(request)
+
+        before = calls.value
+        stream = stream_generate(spark, str(folder), 2, per_request(call), out, checkpoint, **options)
+        assert stream.awaitTermination(120) and stream.exception() is None
+        return calls.value - before
+
+    assert run(lambda r: r["candidate_no"] == 2, files_per_batch=2) >= 12
+    assert open_requests(spark, out).count() == 6
+    answered = {(r.key, r.candidate_no): r.text for r in stream_results(spark, out).where("text IS NOT NULL").collect()}
+    assert len(answered) == 6
+    # Nothing new has come, but the open ones are asked again, and only they.
+    assert run(lambda r: int(r["key"]) % 2) == 6 and open_requests(spark, out).count() == 3
+    (folder / "9.txt").write_text("p9")
+    assert run(lambda r: False) == 3 + 2 and open_requests(spark, out).isEmpty()
+    assert run(lambda r: False) == 0
+    texts = {(r.key, r.candidate_no): r.text for r in stream_results(spark, out).collect()}
+    assert len(texts) == 14 and all(texts[k] == t for k, t in answered.items())
+    assert all(t == f"p{k}{i}" for (k, i), t in texts.items() if k != "3")
+
+
+def test_streamed_requests_are_given_up(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    folder.mkdir()
+    (folder / "1.txt").write_text("p")
+    for _ in range(4):
+        down = per_request(lambda request: 1 / 0)
+        assert stream_generate(spark, str(folder), 1, down, out, checkpoint, max_attempts=2).awaitTermination(120)
+    assert open_requests(spark, out).isEmpty() and attempt_ledger(spark, out, 2).first().attempts == 2
+
+
+def test_a_repeated_micro_batch_asks_for_nothing(spark, tmp_path):
+    """The answers are committed, but the job ends before it keeps what is open."""
+    from interviewflow.sources.files import delete
+    from interviewflow.streaming.prompts import _round
+
+    out, calls = str(tmp_path / "out"), spark.sparkContext.accumulator(0)
+
+    def call(request):
+        calls.add(1)
+        return echo(request)
+
+    new = spark.createDataFrame([("a", "p", 1, "f")], "key string, prompt string, file_time int, file_path string")
+    for _ in range(2):
+        _round(spark, new, 2, per_request(call), out, "stream-q-0", None, None, None)
+        delete(spark, f"{out}/open.json")
+    assert calls.value == 2 and stream_results(spark, out).count() == 2
+
+
 def test_no_sleep_after_the_last_try():
     slept = []
 

@@ -16,8 +16,10 @@ from interviewflow.plans.tables import correct_table, dedupe_table, filter_table
 from interviewflow.plans.transcripts import roster_update, transcript_splits
 from interviewflow.session import cut, shared_dir
 from interviewflow.sources.prompts import read_prompts, write_prompts
-from interviewflow.sources.sinks import with_preview, write_formats, write_versioned
-from interviewflow.sources.tables import ORDER, files_with_open_cells, find_separator, read_table
+from interviewflow.sources.ordered import read_ordered, read_places, with_row_number, write_ordered
+from interviewflow.sources.sinks import current_version, read_versioned, with_preview, write_formats, write_versioned
+from interviewflow.sources.records import has_open_cells, lines_of, split_states
+from interviewflow.sources.tables import ORDER, find_separator, read_table
 from interviewflow.sources.transcripts import list_files, read_utterances
 
 
@@ -34,14 +36,18 @@ def test_separator(spark, tmp_path):
     assert find_separator(spark, str(tabs), ";") == ";"
 
 
+def any_open(spark, path, sep):
+    return has_open_cells(split_states(lines_of(spark, path), sep))
+
+
 def test_read_table(spark, tmp_path):
     file = tmp_path / "t.csv"
     file.write_text('id,t\n01,"two\nlines"\n2," say ""hi"" "\nNA,5\n')
-    assert len(files_with_open_cells(spark, str(file), ",")) == 1
+    assert any_open(spark, str(file), ",")
     assert bag(read_table(spark, str(file))) == [("01", "two\nlines"), ("2", ' say "hi" '), (None, "5")]
     assert bag(read_table(spark, str(file), nulls=()))[-1] == ("NA", "5")
     file.write_text('id\tt\n1\t"a ""b"""\n')
-    assert files_with_open_cells(spark, str(file), "\t") == []
+    assert not any_open(spark, str(file), "\t")
     assert bag(read_table(spark, str(file), "\t")) == [("1", 'a "b"')]
 
 
@@ -143,8 +149,8 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b"\nc')], "i int, t string")
     base = str(tmp_path / "res")
     copy = write_versioned(df, base, "r1")
-    write_versioned(spark.read.parquet(f"{base}/main").union(df), base, "r2")
-    assert spark.read.parquet(copy).count() == 1 and spark.read.parquet(f"{base}/main").count() == 2
+    write_versioned(read_versioned(spark, base).union(df), base, "r2")
+    assert spark.read.parquet(copy).count() == 1 and read_versioned(spark, base).count() == 2
     paths = write_formats(df, str(tmp_path / "f"), "both")
     assert [p.rsplit(".", 1)[1] for p in paths] == ["csv", "parquet"]
     assert bag(read_table(spark, paths[0])) == [("1", 'a "b"\nc')] and bag(spark.read.parquet(paths[1])) == bag(df)
@@ -287,8 +293,8 @@ def test_many_layouts_an_empty_file_and_stray_quotes(spark, tmp_path):
     assert len(texts) == 152 and texts["900_Transcript.csv"] == [None]
     assert texts["901_Transcript.csv"] == [None, "two\nlines"]
     assert all(texts[f"{i}_Transcript.csv"] == [None, f'word {i} 5" tall'] for i in range(150))
-    # One scan of the split files and one of the unsplit, however many layouts there are.
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [c0") == 2
+    # One scan, however many layouts there are and whether cells span lines or not.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
     (place / "901_Transcript.csv").write_text("Text\nplain\n")
     assert read_utterances(spark, str(place))._jdf.queryExecution().optimizedPlan().toString().count("Relation [c0") == 1
 
@@ -306,14 +312,14 @@ def test_encoding_holds_in_every_pass(spark, tmp_path, encoding):
     assert bag(read_table(spark, str(file), encoding=encoding)) == [("1", "ü")]
 
 
-def test_only_files_with_open_cells_are_read_unsplit(spark, tmp_path):
+def test_files_with_and_without_open_cells(spark, tmp_path):
     place = tmp_path / "rows"
     place.mkdir()
     (place / "a.csv").write_text('id,t\n1,"two\nlines"\n')
     (place / "b.csv").write_text('id,t\n2,5" tall\n')
     got = read_table(spark, str(place), sep=",", order=True)
     assert bag(got.select("id", "t")) == [("1", "two\nlines"), ("2", '5" tall')]
-    assert [p.rsplit("/", 1)[-1] for p in files_with_open_cells(spark, str(place), ",")] == ["a.csv"]
+    assert any_open(spark, str(place / "a.csv"), ",") and not any_open(spark, str(place / "b.csv"), ",")
 
 
 def test_prompt_files_meet(spark, tmp_path):
@@ -338,3 +344,81 @@ def test_both_formats_run_the_plan_once(spark, tmp_path):
     paths = write_formats(df, str(tmp_path / "t"), "both")
     assert calls.value == 2 and [p[-3:] for p in paths] == ["csv", "uet"]
     assert bag(spark.read.csv(paths[0], header=True)) == [("0",), ("1",)]
+
+
+def test_a_stopped_run_leaves_the_version_before(spark, tmp_path):
+    base = str(tmp_path / "res")
+    with pytest.raises(Exception):
+        read_versioned(spark, base)
+    first = write_versioned(spark.range(3), base, "r1")
+    held = read_versioned(spark, base)
+    stops = spark.range(3).select(F.when(F.col("id") < 2, F.col("id")).otherwise(F.raise_error(F.lit("stopped")).cast("bigint")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        write_versioned(stops, base, "r2")
+    assert current_version(spark, base) == first and read_versioned(spark, base).count() == 3
+    again = write_versioned(spark.range(5), base, "r1")
+    assert again != first and read_versioned(spark, base).count() == 5 and held.count() == 3
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_order_is_kept_through_files(spark, tmp_path, adaptive):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = spark.range(40_000).select(((F.col("id") * 7919) % 40_000).cast("string").alias("Participant_ID"), F.when(F.col("id") % 1000 == 0, "two\nlines").otherwise("x").alias("t"))
+        rows.write.csv(str(tmp_path / "in"), header=True, quote='"', escape='"')
+        spark.range(0, 40_000, 2).select(F.col("id").alias("Participant_ID")).write.csv(str(tmp_path / "ids"), header=True)
+        got = filter_table(spark, str(tmp_path / "in"), str(tmp_path / "ids"), str(tmp_path / "out"), in_sep=",")
+        assert [int(r[0]) for r in got.collect()] == list(range(0, 40_000, 2))
+        assert adaptive == "true" or len(list((tmp_path / "out.csv").glob("part*"))) > 1
+        numbered = with_row_number(read_places(spark, str(tmp_path / "out.csv")))
+        assert numbered.columns == ["Participant_ID", "t", "row_no"]
+        assert numbered.where("2 * row_no <> Participant_ID").isEmpty() and numbered.count() == 20_000
+        whole = filter_table(spark, str(tmp_path / "in"), str(tmp_path / "ids"), str(tmp_path / "as_is"), in_sep=",", sort=False)
+        want = [r[0] for r in read_table(spark, str(tmp_path / "in"), ",", order=True).orderBy(*ORDER).collect() if int(r[0]) % 2 == 0]
+        assert [r[0] for r in whole.collect()] == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_first_rows_keep_the_order_of_the_file(spark, tmp_path):
+    ids = [5, 3, 5, 9, 3, 1, 9, 7]
+    (tmp_path / "t.csv").write_text("Participant_ID,n\n" + "".join(f"{i},{n}\n" for n, i in enumerate(ids)))
+    got = dedupe_table(spark, str(tmp_path / "t.csv"), str(tmp_path / "out"))
+    assert [tuple(r) for r in got.collect()] == [("5", "0"), ("3", "1"), ("9", "3"), ("1", "5"), ("7", "7")]
+    stacked = stack_tables(spark, [str(tmp_path / "t.csv"), str(tmp_path / "t.csv")], str(tmp_path / "both"))
+    assert [int(r.n) for r in stacked.collect()] == [*range(8), *range(8)]
+
+
+def test_empty_ordered_table(spark, tmp_path):
+    write_ordered(spark.range(0).selectExpr("cast(id as string) a"), str(tmp_path / "e"), [F.col("a")])
+    assert read_ordered(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_two_files_of_one_key(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "302.txt").write_text("p")
+    with pytest.raises(Exception, match="two files of one key"):
+        read_prompts(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError, match="not unique"):
+        write_prompts(spark.createDataFrame([("1", "x"), ("1", "y")], "key string, prompt string"), str(tmp_path / "c"))
+
+
+def test_prompt_files_are_byte_equal_and_change_at_once(spark, tmp_path):
+    data = {"302": 'a\n"b"\r\n', "x/y": "c", "_h": "", ".d": "é", "50%25": " ", "c 1+%": "\n"}
+    out = tmp_path / "out"
+    write_prompts(spark.createDataFrame(list(data.items()), "key string, prompt string").repartition(3), str(out))
+    files = {p.name: p.read_bytes().decode() for p in out.iterdir()}
+    assert files == {"302.txt": data["302"], "x%2Fy.txt": "c", "%5Fh.txt": "", "%2Ed.txt": "é", "50%2525.txt": " ", "c 1+%.txt": "\n"}
+    assert {r.key: r.prompt for r in read_prompts(spark, str(out)).collect()} == data
+    with pytest.raises(Exception, match="no key"):
+        write_prompts(spark.createDataFrame([("9", "p"), (None, "q")], "key string, prompt string"), str(out))
+    assert {p.name for p in out.iterdir()} == set(files) and len(list(tmp_path.iterdir())) == 1
+    # What a stream of plain text files makes of the names is the same.
+    from interviewflow.sources.prompts import named_prompts
+
+    plain = named_prompts(spark.read.schema("value string").text(str(out), wholetext=True))
+    assert {r.key: r.prompt for r in plain.collect()} == {k: v for k, v in data.items() if v and k != "_h"}

@@ -11,15 +11,18 @@ from interviewflow.functions.columns import resolve_column
 from interviewflow.functions.ids import id_of
 from interviewflow.functions.labels import label_of
 from interviewflow.operators.generate import generate, per_request, run_resumable, select_best, with_retry
+from interviewflow.operators.store import attempt_ledger
 from interviewflow.operators.tables import class_pool, require_rows, require_values, sort_ids
 from interviewflow.plans.candidates import with_prompt
 from interviewflow.plans.fewshot import evaluation_prompts, evaluation_set, training_prompts, training_set
+from interviewflow.plans.tables import dedupe_table, filter_table
 from interviewflow.session import shared_path
+from interviewflow.sources.ordered import read_places, with_row_number
 from interviewflow.sources.prompts import read_prompts, write_prompts
-from interviewflow.sources.sinks import with_preview, write_formats, write_versioned
+from interviewflow.sources.sinks import read_versioned, with_preview, write_formats, write_versioned
 from interviewflow.sources.tables import read_table
 from interviewflow.sources.transcripts import read_utterances
-from interviewflow.streaming.prompts import stream_generate
+from interviewflow.streaming.prompts import stream_generate, stream_results
 from workload.adapters import EXTRA, MARKER, SELECT_BODY, TEST_BODY, TRAIN_BODY, keyed, pick_call, slice_call, table
 from workload.queries import _main_prompts, _named, _tests, _with_prompts, digest, query
 
@@ -72,14 +75,17 @@ def _half_down(request):
 
 @query
 def generate_store(spark, sf_dir):
-    """A run in which half of the requests fail, and a second one, in batches, on the same store."""
+    """A run in which half of the requests fail, and a second one, in batches and with keys of another type, on the same store."""
     store = shared_path(spark, "candidates")
     prompts = _main_prompts(spark, sf_dir).select(F.col("Participant_ID").alias("participant_id"), F.col("Prompt").alias("prompt"))
     require_rows(prompts, "no prompts")
     key = "participant_id"
-    run_resumable(prompts, 2, per_request(keyed(key, _half_down)), store, "first", key)
+    texts = prompts.withColumn(key, F.col(key).cast("string"))
+    run_resumable(texts, 2, per_request(keyed(key, _half_down)), store, "first", key)
     made = run_resumable(prompts, 2, per_request(keyed(key, slice_call)), store, "second", key, batches=3)
-    return made.select(key, "candidate_no", "text")
+    # Paid once or, where the first run failed, twice.
+    attempts = attempt_ledger(spark, store).select(F.col("key").cast("bigint").alias(key), "candidate_no", "attempts")
+    return made.select(key, "candidate_no", "text").join(attempts, [key, "candidate_no"])
 
 
 @query
@@ -127,9 +133,10 @@ def versioned_roundtrip(spark, sf_dir):
     base = shared_path(spark, "versions")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
     first = write_versioned(docs.where("doc_id % 2 = 0"), base, "r1")
-    second = write_versioned(docs, base, "r2")
-    parts = [(first, "r1"), (second, "r2"), (f"{base}/main", "main")]
-    shown = [spark.read.parquet(path).select("doc_id", "n", F.lit(name).alias("version")) for path, name in parts]
+    early = read_versioned(spark, base).where("doc_id % 2 = 1").count()
+    second = write_versioned(docs.where(F.col("doc_id") >= early), base, "r2")
+    parts = [(spark.read.parquet(first), "r1"), (spark.read.parquet(second), "r2"), (read_versioned(spark, base), "main")]
+    shown = [rows.select("doc_id", "n", F.lit(name).alias("version")) for rows, name in parts]
     return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
@@ -157,7 +164,63 @@ def prompt_stream(spark, sf_dir):
     for name, part in (("a", prompts.where(early)), ("b", prompts.where(~early))):
         write_prompts(part, f"{folder}/{name}")
         stream_generate(spark, folder, 2, call, out, marks).awaitTermination()
-    return spark.read.parquet(out).select("key", "candidate_no", "text")
+    return stream_results(spark, out).select("key", "candidate_no", "text")
+
+
+@query
+def stream_resume(spark, sf_dir):
+    """A stream in which half of the requests fail, and a second run without new files that answers all that are open."""
+    folder, out, marks = (shared_path(spark, x) for x in ("incoming", "answers", "marks"))
+    write_prompts(_conversation_prompts(spark, sf_dir), folder)
+    for call in (_half_down, slice_call):
+        stream_generate(spark, folder, 2, per_request(call), out, marks).awaitTermination()
+    tried = attempt_ledger(spark, out).select("key", "candidate_no", "attempts", "state")
+    shown = stream_results(spark, out).select("key", "candidate_no", "text")
+    return shown.join(tried, ["key", "candidate_no"])
+
+
+@query
+def retry_ledger(spark, sf_dir):
+    """Four runs on one store: attempts add up, requests that failed three times are dead and not paid again."""
+    store = shared_path(spark, "ledger")
+    prompts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("prompt"))
+    for run in range(1, 5):
+
+        def call(request, run=run):
+            if run < 4 and request["key"] % 5 >= run:
+                raise ValueError(f"run {run}")
+            return f"run {run}"
+
+        made = run_resumable(prompts, 1, per_request(call), store, f"r{run}", max_attempts=3)
+    ledger = attempt_ledger(spark, store, 3).select(F.col("key").cast("bigint").alias("key"), "attempts", "state", "error")
+    return made.select("key", "text").join(ledger, "key").withColumnRenamed("key", "doc_id")
+
+
+def _talk_table(spark, sf_dir, path):
+    """All turns as a delimited folder in the order of their turn, texts over several lines among them."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("Participant_ID"), "turn", F.concat("role", F.lit("\n"), "text").alias("said"))
+    turns.orderBy("turn", "Participant_ID").write.csv(path, header=True, quote='"', escape='"')
+
+
+@query
+def dedupe_file(spark, sf_dir):
+    """The first row of each id of a delimited folder, written in file order, read back, and its place there."""
+    path, out = shared_path(spark, "talks"), shared_path(spark, "first")
+    _talk_table(spark, sf_dir, path)
+    dedupe_table(spark, path, out, in_sep=",")
+    numbered = with_row_number(read_places(spark, f"{out}.csv"))
+    return numbered.select(F.col("Participant_ID").cast("bigint").alias("participant_id"), F.col("turn").cast("bigint").alias("turn"), F.md5(F.col("said").cast("binary")).alias("said_md5"), "row_no")
+
+
+@query
+def filter_file(spark, sf_dir):
+    """The rows of listed ids, sorted by id with ties in file order, written, read back, and their place there."""
+    path, ids, out = (shared_path(spark, x) for x in ("talks", "ids", "listed"))
+    _talk_table(spark, sf_dir, path)
+    table(spark, sf_dir, "labels").select(F.col("doc_id").alias("Participant_ID")).write.csv(ids, header=True)
+    filter_table(spark, path, ids, out, in_sep=",")
+    numbered = with_row_number(read_places(spark, f"{out}.csv"))
+    return numbered.select(F.col("Participant_ID").cast("bigint").alias("participant_id"), F.col("turn").cast("bigint").alias("turn"), F.md5(F.col("said").cast("binary")).alias("said_md5"), "row_no")
 
 
 @query

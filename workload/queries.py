@@ -53,10 +53,10 @@ from interviewflow.plans.candidates import (
     with_prompt,
     with_template,
 )
-from interviewflow.plans.fewshot import exemplar_key
+from interviewflow.plans.fewshot import exemplar_key, training_prompts
 from interviewflow.plans.scoring import CORPORA, score_corpus
 from interviewflow.plans.transcripts import transcripts_by_id
-from interviewflow.session import shared_path
+from interviewflow.session import bucketed, shared_path
 from interviewflow.sources.sinks import short_cell
 from workload.adapters import (
     CRITERIA,
@@ -461,14 +461,14 @@ def shots_no_reuse_(spark, sf_dir):
 
 @query
 def fewshot_train_prompt(spark, sf_dir):
-    named = _named(spark, sf_dir)
-    shown = fewshot_prompt(shots_with_reuse(named), named, TRAIN_BODY, "train", "Selected_Rationale", unique=True)
+    expanded = expand_picks(selections(spark, sf_dir))
+    shown = training_prompts(expanded, TRAIN_BODY, number="Selected_Rationale_Number", text="Selected_Rationale")
     return shown.select("name", *digest(shown, "prompt", "prompt"))
 
 
 @query
 def fewshot_test_prompt(spark, sf_dir):
-    named = _named(spark, sf_dir)
+    named = bucketed(_named(spark, sf_dir, "name", "PHQ_Binary", "Gender", "Transcript", "Selected_Rationale"), "name", "exemplars")
     drawn = shots_no_reuse(named, _tests(spark, sf_dir))
     pid = F.col("Participant_ID")
     gaps = drawn.withColumn("zero_shot_name", F.when(pid % 3 != 0, F.col("zero_shot_name"))).withColumn(

@@ -327,6 +327,12 @@ SELECT pid AS participant_id, no AS selected_rationale_number,
   {strip("regexp_replace(replace(text, '**', ''), '(?i)Diagnosis:[^\\n]*\\n?$', '')")} AS modified_rationale FROM e""",
 }
 
+
+def half_down(key: str) -> str:
+    """Attempts of a request that the model answers at once or, on its bad day, at the second time."""
+    return f"CASE WHEN ('0x' || left(md5({key} || ':' || k), 4))::INT % 2 = 1 THEN 2 ELSE 1 END"
+
+
 ORACLES |= {
     "utterance_scan": "SELECT md5(text) AS text_md5, count(*) AS n FROM conversations GROUP BY ALL",
     "text_table_flow": f"""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN toxic END AS label FROM labels)
@@ -334,17 +340,28 @@ SELECT doc_id + {2**53 + 1} AS participant_id, label::BIGINT AS label,
   CASE WHEN label IS NULL THEN 'unknown' WHEN label = 1 THEN 'depressed' ELSE 'non-depressed' END || ' ' || doc_id AS prompt,
   CASE WHEN label = 1 THEN 1 END AS in_pool FROM l""",
     "generate_store": f"""WITH {ROSTER}, p AS (SELECT pid, {MAIN_PROMPT} AS prompt FROM roster)
-SELECT pid AS participant_id, k AS candidate_no, {sliced('prompt', 'pid', 'k')} AS text FROM p, (SELECT unnest([1, 2]) AS k)""",
+SELECT pid AS participant_id, k AS candidate_no, {sliced('prompt', 'pid', 'k')} AS text, {half_down('pid')} AS attempts
+FROM p, (SELECT unnest([1, 2]) AS k)""",
     "selection_store": ORACLES["selection_job"],
     "retry_attempts": """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'answer ' || doc_id END AS text,
   CASE WHEN doc_id % 4 = 3 THEN 'failed' ELSE 'ok' END AS status, least(doc_id % 4 + 1, 3) AS attempts FROM documents""",
     "formats_roundtrip": """SELECT doc_id, md5(text) AS text_md5, source, unnest(['csv', 'parquet']) AS format FROM documents""",
-    "versioned_roundtrip": """SELECT doc_id, length(text) AS n, unnest(['r2', 'main']) AS version FROM documents
+    "versioned_roundtrip": """SELECT doc_id, length(text) AS n, unnest(['r2', 'main']) AS version FROM documents WHERE doc_id >= 0
 UNION ALL SELECT doc_id, length(text), 'r1' FROM documents WHERE doc_id % 2 = 0""",
     "prompt_files": f"""WITH {TESTS} SELECT 'c ' || pid || '+%' AS key, md5(transcript || chr(10)) AS prompt_md5,
   length(transcript) + 1 AS prompt_chars FROM tests""",
     "prompt_stream": f"""WITH {TESTS}, p AS (SELECT 'c ' || pid || '+%' AS key, transcript || chr(10) AS prompt FROM tests)
 SELECT key, k AS candidate_no, {sliced('prompt', 'key', 'k')} AS text FROM p, (SELECT unnest([1, 2]) AS k)""",
+    "stream_resume": f"""WITH {TESTS}, p AS (SELECT 'c ' || pid || '+%' AS key, transcript || chr(10) AS prompt FROM tests)
+SELECT key, k AS candidate_no, {sliced('prompt', 'key', 'k')} AS text, {half_down('key')} AS attempts, 'ok' AS state
+FROM p, (SELECT unnest([1, 2]) AS k)""",
+    "retry_ledger": """SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN 'run ' || doc_id % 5 + 1 END AS text,
+  least(doc_id % 5 + 1, 3)::BIGINT AS attempts, CASE WHEN doc_id % 5 < 3 THEN 'ok' ELSE 'dead' END AS state,
+  CASE WHEN doc_id % 5 > 0 THEN 'run ' || least(doc_id % 5, 3) END AS error FROM documents""",
+    "dedupe_file": """WITH f AS (SELECT conv_id, min(turn) AS turn, arg_min(role || chr(10) || text, turn) AS said FROM conversations GROUP BY conv_id)
+SELECT conv_id AS participant_id, turn, md5(said) AS said_md5, row_number() OVER (ORDER BY turn, conv_id) - 1 AS row_no FROM f""",
+    "filter_file": """SELECT conv_id AS participant_id, turn, md5(role || chr(10) || text) AS said_md5,
+  row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_no FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels)""",
     "sorted_ids": """SELECT o_orderkey::VARCHAR AS id, o_custkey,
   lag(o_orderkey::VARCHAR) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders""",
     "long_cells": """WITH c AS (SELECT doc_id,
