@@ -21,6 +21,7 @@ from interviewflow.operators.tables import require_unique
 
 # Characters with a percent code in file names.
 CODES = {"%": "%25", "/": "%2F", "\0": "%00", ".": "%2E", "_": "%5F"}
+SUFFIX = ".txt"
 # Bytes and files of small files that one task reads.
 PACK_BYTES = 32 << 20
 PACK_FILES = 2000
@@ -111,13 +112,13 @@ class Packed(InputPartition):
 
 
 class PromptReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, suffix: str):
+        self.folder, self.suffix = folder, suffix
 
     def partitions(self) -> list[Packed]:
         """Files in packs; their names and sizes are listed here, like those of any scan."""
         system, path = _system(self.folder)
-        inside = [(name, size, name[len(path) :].strip("/").split("/")) for name, size in system.list(path) if name.endswith(".txt")]
+        inside = [(name, size, name[len(path) :].strip("/").split("/")) for name, size in system.list(path) if name.endswith(self.suffix)]
         files = sorted((name, size) for name, size, parts in inside if not any(p[0] in "._" for p in parts))
         seen: set[str] = set()
         packs: list[list[str]] = [[]]
@@ -138,7 +139,7 @@ class PromptReader(DataSourceReader):
         system, _ = _system(self.folder)
         for path in partition.paths:
             text = system.read(path).decode("utf-8", "replace")
-            yield key_of_stem(path.rsplit("/", 1)[-1].removesuffix(".txt")), text
+            yield key_of_stem(path.rsplit("/", 1)[-1].removesuffix(self.suffix)), text
 
 
 class Staged(WriterCommitMessage):
@@ -147,10 +148,10 @@ class Staged(WriterCommitMessage):
 
 
 class PromptWriter(DataSourceWriter):
-    """Tasks write into a hidden folder, which a commit renames into place as a whole."""
+    """Tasks write into a hidden folder, which a commit renames into place as a whole, or file by file to add to what is there."""
 
-    def __init__(self, folder: str):
-        self.folder = folder.rstrip("/")
+    def __init__(self, folder: str, suffix: str, overwrite: bool):
+        self.folder, self.suffix, self.overwrite = folder.rstrip("/"), suffix, overwrite
         parent, _, name = self.folder.rpartition("/")
         self.staged = f"{parent}/.{name}.{uuid.uuid4().hex}"
 
@@ -160,7 +161,7 @@ class PromptWriter(DataSourceWriter):
         n = 0
         for row in rows:
             # A task that runs again writes the same files.
-            system.write(f"{staged}/{file_stem(row.key)}.txt", (row.prompt or "").encode())
+            system.write(f"{staged}/{file_stem(row.key)}{self.suffix}", (row.prompt or "").encode())
             n += 1
         return Staged(n)
 
@@ -168,6 +169,12 @@ class PromptWriter(DataSourceWriter):
         system, staged = _system(self.staged)
         path = _system(self.folder)[1]
         system.make(staged)
+        if not self.overwrite:
+            system.make(path)
+            for name, _ in system.list(staged):
+                system.move(name, f"{path}/{name.rsplit('/', 1)[-1]}")
+            system.remove(staged)
+            return
         system.make(path.rpartition("/")[0])
         system.remove(path)
         system.move(staged, path)
@@ -186,10 +193,10 @@ class PromptFiles(DataSource):
         return "key string, prompt string"
 
     def reader(self, schema) -> PromptReader:
-        return PromptReader(self.options["path"])
+        return PromptReader(self.options["path"], self.options.get("suffix", SUFFIX))
 
     def writer(self, schema, overwrite: bool) -> PromptWriter:
-        return PromptWriter(self.options["path"])
+        return PromptWriter(self.options["path"], self.options.get("suffix", SUFFIX), overwrite)
 
 
 def named_prompts(files: DataFrame, *more: Column) -> DataFrame:
@@ -209,16 +216,17 @@ def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("prompt_files").load(folder)
 
 
-def write_prompts(df: DataFrame, folder: str, key: str = "key", prompt: str = "prompt") -> None:
+def write_prompts(df: DataFrame, folder: str, key: str = "key", prompt: str = "prompt", mode: str = "overwrite", suffix: str = SUFFIX) -> None:
     """``<key>.txt`` for each row, in place of what the folder held; a key that is missing or repeated is an error.
 
     This makes as many files as there are keys, for hand-over to other
     programs. Between Spark jobs keep prompts in a table instead. The folder
-    changes at once, when all files are written.
+    changes at once, when all files are written; with mode ``append`` files are
+    added, and replaced, one by one. Texts of another kind have another ``suffix``.
     """
     df.sparkSession.dataSource.register(PromptFiles)
     text = F.col(key).cast("string")
     named = F.when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit("a prompt has no key")).cast("string")).otherwise(text)
     rows = df.select(named.alias("key"), F.col(prompt).alias("prompt"))
     require_unique(rows, "key")
-    rows.write.format("prompt_files").mode("overwrite").save(folder)
+    rows.write.format("prompt_files").mode(mode).option("suffix", suffix).save(folder)

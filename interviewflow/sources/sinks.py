@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interviewflow.defaults import CELL_LIMIT, CELL_SUFFIX
-from interviewflow.sources.files import put_text, read_text
+from interviewflow.sources.files import exists, put_text, read_text
 
 # The file that names the current version of a table.
 CURRENT = "_current"
@@ -34,6 +34,10 @@ def read_versioned(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(current_version(spark, base))
 
 
+def has_version(spark: SparkSession, base: str) -> bool:
+    return exists(spark, f"{base}/{CURRENT}")
+
+
 def current_version(spark: SparkSession, base: str) -> str:
     """Path of the current version; an error if there is none yet."""
     return f"{base}/{read_text(spark, f'{base}/{CURRENT}')}"

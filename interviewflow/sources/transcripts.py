@@ -19,19 +19,25 @@ from interviewflow.sources.tables import raw_lines
 PATTERN = "*_Transcript.csv"
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
+def file_states(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
+    """``file_name, length, modified`` of the matching files that have bytes, by a scan that opens none of them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.col("modificationTime").alias("modified"))
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = PATTERN, **options) -> DataFrame:
     """Names of the matching files, those of zero bytes too. Contents are not read.
 
     The names come from the file listing that Spark holds on the driver for
     every scan; its scans themselves skip files of zero bytes.
     """
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).inputFiles()
+    paths = spark.read.format("binaryFile").options(pathGlobFilter=pattern, **options).load(folder).inputFiles()
     names = [(unquote(p.rsplit("/", 1)[-1]),) for p in paths]
     return spark.createDataFrame(names, "file_name string")
 
 
 def file_layouts(
-    spark: SparkSession, folder: str, pattern: str, text_names: Sequence[str], sep: str, encoding: str
+    spark: SparkSession, folder: str, pattern: str, text_names: Sequence[str], sep: str, encoding: str, **options
 ) -> DataFrame:
     """(file_name, path, width, place, open): from one pass over the folder.
 
@@ -39,7 +45,7 @@ def file_layouts(
     the first of ``text_names`` among them (null: none), ``open`` whether some
     cell spans lines.
     """
-    lines = raw_lines(spark, folder, encoding, pathGlobFilter=pattern).select(
+    lines = raw_lines(spark, folder, encoding, pathGlobFilter=pattern, **options).select(
         *row_place(), F.col("_metadata.file_path").alias("path"), "value"
     )
     first = F.min_by(F.when(F.col("block") == 0, F.col("value")), F.struct("block", "line"))
@@ -55,7 +61,7 @@ def file_layouts(
     )
 
 
-def _scan(spark, paths, pattern, width: int, sep, encoding, multiline) -> DataFrame:
+def _scan(spark, paths, pattern, width: int, sep, encoding, multiline, **options) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     return spark.read.csv(
         paths,
@@ -68,6 +74,7 @@ def _scan(spark, paths, pattern, width: int, sep, encoding, multiline) -> DataFr
         escape='"',
         multiLine=multiline,
         pathGlobFilter=pattern,
+        **options,
     )
 
 
@@ -81,6 +88,7 @@ def read_utterances(
     columns: Sequence[str] | None = None,
     multiline: bool | None = None,
     need_text: bool = False,
+    **options,
 ) -> DataFrame:
     """Utterances of all matching files: file_name, block, line (the order, see ORDER) and text.
 
@@ -91,19 +99,20 @@ def read_utterances(
     share and ``multiline`` saves the first job. Each file also gives one row
     with null text, so files without utterances, without a text column or
     without bytes are not lost; with ``need_text`` the latter two are left out.
+    ``options`` of Spark's file sources, like ``modifiedAfter``, hold in every pass.
     """
-    files = list_files(spark, folder, pattern)
+    files = list_files(spark, folder, pattern, **options)
     unsplit = not splittable(encoding)
     if columns is not None and multiline is not None:
         place = next((i for i, c in enumerate(columns) if c in [t for t in text_names if t in columns][:1]), None)
         cell: Column = F.lit(None).cast("string") if place is None else F.col(f"c{place}")
         if multiline and not unsplit:
-            rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern), [f"c{i}" for i in range(len(columns))], sep)
+            rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern, **options), [f"c{i}" for i in range(len(columns))], sep)
             return _with_files(rows.select("file_name", "block", "line", cell.alias("text")), files)
-        rows = _scan(spark, folder, pattern, len(columns), sep, encoding, unsplit)
+        rows = _scan(spark, folder, pattern, len(columns), sep, encoding, unsplit, **options)
         return _with_files(rows.select(*row_place(), cell.alias("text")), files)
 
-    layouts = cut(file_layouts(spark, folder, pattern, text_names, sep, encoding))
+    layouts = cut(file_layouts(spark, folder, pattern, text_names, sep, encoding, **options))
     if need_text:
         files = files.join(layouts.where("place IS NOT NULL").select("file_name"), "file_name", "left_semi")
     span = F.lit(bool(multiline)) if multiline is not None else F.col("open")
@@ -114,10 +123,10 @@ def read_utterances(
         return _with_files(files)
     if n_open and not unsplit:
         # Split files all the same: the place of each line in its cells comes from a pass over the quotes.
-        rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern), [f"c{i}" for i in range(width)], sep)
+        rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern, **options), [f"c{i}" for i in range(width)], sep)
         place_of = [F.col(c) for c in ("file_name", "block", "line")]
     else:
-        rows = _scan(spark, folder, pattern, width, sep, encoding, unsplit)
+        rows = _scan(spark, folder, pattern, width, sep, encoding, unsplit, **options)
         place_of = row_place()
     if low == high:
         return _with_files(rows.select(*place_of, F.col(f"c{high - 1}").alias("text")), files)

@@ -13,7 +13,7 @@ from interviewflow.plans.candidates import (
 from interviewflow.operators.generate import per_request
 from interviewflow.plans.scoring import score_corpus
 from interviewflow.plans.tables import correct_table, dedupe_table, filter_table, stack_tables
-from interviewflow.plans.transcripts import roster_update, transcript_splits
+from interviewflow.plans.transcripts import ledger_transcripts, refresh_ledger, roster_refresh, roster_update, transcript_splits
 from interviewflow.session import cut, shared_dir
 from interviewflow.sources.prompts import read_prompts, write_prompts
 from interviewflow.sources.ordered import read_ordered, read_places, with_row_number, write_ordered
@@ -422,3 +422,42 @@ def test_prompt_files_are_byte_equal_and_change_at_once(spark, tmp_path):
 
     plain = named_prompts(spark.read.schema("value string").text(str(out), wholetext=True))
     assert {r.key: r.prompt for r in plain.collect()} == {k: v for k, v in data.items() if v and k != "_h"}
+
+
+def test_a_second_run_opens_changed_files_only(spark, tmp_path, monkeypatch):
+    import os
+
+    place, state = tmp_path / "talks", str(tmp_path / "state")
+    place.mkdir()
+
+    def put(name, text, age):
+        (place / name).write_text(text)
+        os.utime(place / name, (1_700_000_000 - age, 1_700_000_000 - age))
+
+    put("302_a_Transcript.csv", "Text\nold a\n", 500)
+    put("302_b_Transcript.csv", "Text\nold  b\n", 400)
+    put("303_Transcript.csv", 'Text\n"two\nlines"\n', 400)
+    put("304_Transcript.csv", "Text\nstays\n", 500)
+    put("305_Transcript.csv", "", 500)
+    roster = spark.createDataFrame([(i, "was") for i in (302, 303, 304, 305, 306, 307)], "Participant_ID bigint, Transcript string")
+    first = roster_refresh(spark, roster, str(place), state, "r1")
+    assert bag(first) == [(302, "old a old b", True), (303, "two lines", True), (304, "stays", True), (305, "was", False), (306, "was", False), (307, "was", False)]
+    # Nothing happened: nothing is touched, and no file opened.
+    from interviewflow.plans import transcripts
+
+    opened = []
+    read = transcripts.read_utterances
+    monkeypatch.setattr(transcripts, "read_utterances", lambda *a, **k: opened.append(k["modifiedAfter"]) or read(*a, **k))
+    assert roster_refresh(spark, first.drop("updated"), str(place), state, "r2").where("updated").isEmpty() and opened == []
+    put("302_b_Transcript.csv", "Text\nnew b\n", 100)
+    put("306_Transcript.csv", "Text\ncame\n", 90)
+    (place / "303_Transcript.csv").unlink()
+    put("307_Transcript.csv", "Other\nno text\n", 80)
+    second = roster_refresh(spark, first.drop("updated"), str(place), state, "r3")
+    assert bag(second) == [(302, "old a new b", True), (303, "two lines", False), (304, "stays", False), (305, "was", False), (306, "came", True), (307, "was", False)]
+    # Files older than the changed ones are not listed for the scan.
+    found = read(spark, str(place), modifiedAfter=opened[0])
+    assert {r.file_name for r in found.collect()} == {"302_b_Transcript.csv", "306_Transcript.csv", "307_Transcript.csv"}
+    assert bag(ledger_transcripts(spark, state)) == [("302", "old a new b"), ("304", "stays"), ("306", "came")]
+    assert refresh_ledger(spark, str(place), state, "r4").isEmpty()
+    assert bag(second)[0] == (302, "old a new b", True)

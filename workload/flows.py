@@ -15,7 +15,9 @@ from interviewflow.operators.store import attempt_ledger
 from interviewflow.operators.tables import class_pool, require_rows, require_values, sort_ids
 from interviewflow.plans.candidates import with_prompt
 from interviewflow.plans.fewshot import evaluation_prompts, evaluation_set, training_prompts, training_set
+from interviewflow.operators.spread import concat_ordered
 from interviewflow.plans.tables import dedupe_table, filter_table
+from interviewflow.plans.transcripts import roster_refresh, transcript_splits
 from interviewflow.session import shared_path
 from interviewflow.sources.ordered import read_places, with_row_number
 from interviewflow.sources.prompts import read_prompts, write_prompts
@@ -24,7 +26,7 @@ from interviewflow.sources.tables import read_table
 from interviewflow.sources.transcripts import read_utterances
 from interviewflow.streaming.prompts import stream_generate, stream_results
 from workload.adapters import EXTRA, MARKER, SELECT_BODY, TEST_BODY, TRAIN_BODY, keyed, pick_call, slice_call, table
-from workload.queries import _main_prompts, _named, _tests, _with_prompts, digest, query
+from workload.queries import _main_prompts, _named, _tests, _with_prompts, digest, lower_names, query
 
 FIRST_ID = 2**53 + 1
 
@@ -255,3 +257,42 @@ def evaluation_flow(spark, sf_dir):
     call = per_request(keyed("Participant_ID", slice_call))
     made = evaluation_set(prompts, call, MARKER, EXTRA, 2, shared_path(spark, "test"))
     return made.select(F.col("Participant_ID").alias("participant_id"), "Generated_rationale_1", "Generated_rationale_2")
+
+
+def _talk_files(turns, extra):
+    """One file per conversation as text: a header and a quoted cell per turn; ``extra`` is said at the end."""
+    cell = lambda text: F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    said = F.concat(F.col("turn").cast("string"), F.lit(","), cell(F.concat("role", F.lit("\n"), "text")))
+    lines = concat_ordered(turns.select("conv_id", "turn", said.alias("body")), ["conv_id"], "body", ["turn"], "\n")
+    body = F.concat(F.lit("n,Text\n"), "body", F.lit("\n"), extra)
+    return lines.select(F.concat(F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit("_Transcript")).alias("key"), body.alias("prompt"))
+
+
+@query
+def transcript_files(spark, sf_dir):
+    """One file per conversation and a metadata file per split, put together by the plan function."""
+    folder, meta = shared_path(spark, "talks"), shared_path(spark, "meta")
+    write_prompts(_talk_files(table(spark, sf_dir, "conversations"), F.lit("")), folder, suffix=".csv")
+    roster = table(spark, sf_dir, "labels").select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("Participant_ID"), F.col("toxic").alias("PHQ_Binary"))
+    paths = {name: f"{meta}/{name}.csv" for name in ("test", "train")}
+    for i, path in enumerate(paths.values()):
+        roster.where(F.col("Participant_ID").cast("bigint") % 2 == i).write.csv(path, header=True)
+    both = transcript_splits(spark, folder, paths)
+    shown = [df.select(F.lit(name).alias("split"), F.col("Participant_ID").cast("bigint").alias("participant_id"), "PHQ_Binary", F.md5(F.col("Transcript").cast("binary")).alias("transcript_md5")) for name, df in both.items()]
+    return lower_names(shown[0].unionByName(shown[1]))
+
+
+@query
+def roster_ledger(spark, sf_dir):
+    """A roster brought up to a folder twice: the second run opens only files that came or changed, and updates only their rows."""
+    folder, state = shared_path(spark, "talks"), shared_path(spark, "state")
+    turns = table(spark, sf_dir, "conversations")
+    roster = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Participant_ID"), F.lit("old").alias("Transcript"))
+    ones = F.col("conv_id") % 3
+    write_prompts(_talk_files(turns.where(ones < 2), F.lit("")), folder, suffix=".csv")
+    first = roster_refresh(spark, roster, folder, state, "r1")
+    # One third stays as it is, one third changes, one third comes.
+    write_prompts(_talk_files(turns.where(ones > 0), F.lit("99,more words\n")), folder, mode="append", suffix=".csv")
+    second = roster_refresh(spark, first.drop("updated"), folder, state, "r2")
+    was = first.select("Participant_ID", F.col("updated").alias("first"))
+    return lower_names(second.join(was, "Participant_ID").select("Participant_ID", "first", F.col("updated").alias("second"), F.md5(F.col("Transcript").cast("binary")).alias("transcript_md5")))

@@ -40,6 +40,10 @@ def strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
 
 
+def squeeze(x: str) -> str:
+    return f"regexp_replace({x}, '{WS}+', ' ', 'g')"
+
+
 def hexnum(h: str, start: int, digits: int) -> str:
     return f"('0x' || substr({h}, {start}, {digits}))::BIGINT"
 
@@ -362,6 +366,13 @@ FROM p, (SELECT unnest([1, 2]) AS k)""",
 SELECT conv_id AS participant_id, turn, md5(said) AS said_md5, row_number() OVER (ORDER BY turn, conv_id) - 1 AS row_no FROM f""",
     "filter_file": """SELECT conv_id AS participant_id, turn, md5(role || chr(10) || text) AS said_md5,
   row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_no FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels)""",
+    "transcript_files": """WITH t AS (SELECT conv_id, string_agg(role || chr(10) || text, ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'train' END AS split, doc_id AS participant_id, toxic::VARCHAR AS phq_binary, md5(t) AS transcript_md5
+FROM labels JOIN t ON conv_id = doc_id""",
+    "roster_ledger": f"""WITH t AS (SELECT conv_id, string_agg(nullif({strip(squeeze("role || chr(10) || text"))}, ''), ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT doc_id AS participant_id, coalesce(conv_id % 3 < 2, false) AS first, coalesce(conv_id % 3 > 0, false) AS second,
+  md5(CASE WHEN conv_id IS NULL THEN 'old' WHEN conv_id % 3 = 0 THEN t ELSE t || ' more words' END) AS transcript_md5
+FROM documents LEFT JOIN t ON conv_id = doc_id""",
     "sorted_ids": """SELECT o_orderkey::VARCHAR AS id, o_custkey,
   lag(o_orderkey::VARCHAR) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders""",
     "long_cells": """WITH c AS (SELECT doc_id,
