@@ -16,6 +16,8 @@ from interviewflow.llm.store import stored
 
 BUCKET_BITS = 10
 QUANTILES = (0.5, 0.9, 0.99)
+# Context limits of usual models.
+LIMITS = tuple(1 << i for i in range(9, 18))
 
 
 def length_histogram(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -67,19 +69,40 @@ def context_table(histogram: DataFrame) -> DataFrame:
 
 
 def answer_limits(table: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """Truncated totals for any limits: those of the longest length below, plus the rest times the documents beyond."""
+    """The columns of ``table`` for any limits, as ``limit`` and the others.
+
+    What is true of the longest length below a limit is true of the limit, but
+    that each longer document keeps the tokens between the two as well.
+    """
     cells = F.array(*[F.lit(int(x)).cast("bigint") for x in limits])
     asked = table.withColumn("limit", F.explode(cells)).where(F.col("length") <= F.col("limit"))
-    last = asked.groupBy("limit").agg(F.max(F.struct("length", "truncated_tokens", "n_longer")).alias("s"))
-    whole = F.lit(table.agg(F.sum("n_docs")).first()[0] or 0)
+    last = asked.groupBy("limit").agg(F.max(F.struct("length", "truncated_tokens", "n_within", "n_longer", "n_docs")).alias("s"))
+    totals = table.agg(F.sum("n_docs").alias("docs"), F.max("total_tokens").alias("tokens")).first()
+    docs, tokens = (F.lit(x or 0).cast("bigint") for x in totals)
     every = table.sparkSession.range(1).select(F.explode(cells).alias("limit")).join(last, "limit", "left")
-    more = (F.col("limit") - F.col("s.length")) * F.col("s.n_longer")
+    longer = F.coalesce(F.col("s.n_longer"), docs)
+    kept = F.coalesce("s.truncated_tokens", F.lit(0)) + (F.col("limit") - F.coalesce("s.length", F.lit(0))) * longer
     return every.select(
         "limit",
-        F.coalesce(F.col("s.truncated_tokens") + more, F.col("limit") * whole).alias("truncated_tokens"),
+        F.when(F.col("s.length") == F.col("limit"), F.col("s.n_docs")).otherwise(0).cast("bigint").alias("n_docs"),
+        F.coalesce("s.n_within", F.lit(0)).cast("bigint").alias("n_within"),
+        longer.alias("n_longer"),
+        tokens.alias("total_tokens"),
+        kept.alias("truncated_tokens"),
+        (tokens - kept).alias("lost_tokens"),
     )
 
 
+def token_answers(table: DataFrame, limits: Sequence[int] = LIMITS, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """``kind, quantile`` and the columns of ``table``: its rows (``length``), those of usual limits (``limit``) and of quantiles."""
+    none = F.lit(None).cast("double")
+    at_limits = answer_limits(table, limits).withColumnRenamed("limit", "length")
+    at_quantiles = length_quantiles(table, quantiles).join(table, "length")
+    parts = [(table, "length", none), (at_limits, "limit", none), (at_quantiles, "quantile", F.col("quantile"))]
+    shown = [df.select(F.lit(kind).alias("kind"), q.alias("quantile"), *table.columns) for df, kind, q in parts]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 def length_quantiles(table: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """``quantile, length``: the least length that at least this share of the documents does not exceed."""
     cells = F.array(*[F.lit(float(q)) for q in quantiles])
@@ -88,5 +111,5 @@ def length_quantiles(table: DataFrame, quantiles: Sequence[float] = QUANTILES) -
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """The table of context limits of a table of documents."""
-    return context_table(stored(length_histogram(docs, path, text), "token-lengths"))
+    """The table of context limits of a table of documents, kept for the questions of ``token_answers``."""
+    return stored(context_table(stored(length_histogram(docs, path, text), "token-lengths")), "token-limits")

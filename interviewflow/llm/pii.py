@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from interviewflow.llm.names import free_names
-from interviewflow.llm.spans import find_spans, in_order, listed, masked, no_spans, of_kind
+from interviewflow.llm.spans import find_spans, in_order, listed, masked, no_spans, of_kind, with_parts
 
 # The base kinds. A run is entered at its first character or where
 # the last match ended, and taken without giving back, so long runs cost one pass.
@@ -23,7 +23,24 @@ IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 BASE = ("email", "ip", "card", "phone")
 
 # Kinds of the method: country-prefixed account numbers with a mod-97 check, and national numbers by context.
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 "
+    "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+    "LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 "
+    "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+
+
+def iban_pattern(lengths: str = IBAN_LENGTHS) -> str:
+    """Account numbers of the length of their country, so that capitals and digits behind one are no part of it."""
+    by_length: dict[int, list[str]] = {}
+    for cell in lengths.split():
+        by_length.setdefault(int(cell[2:]), []).append(cell[:2])
+    kinds = [f"(?:{'|'.join(c)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items())]
+    return rf"\b(?:{'|'.join(kinds)})\b"
+
+
+IBAN = iban_pattern()
 NATIONAL = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 # Start score, the words nearby that raise it and those that lower it.
 SCORES = {
@@ -62,15 +79,13 @@ def scored(text: Column, spans: Column, kind: str) -> Column:
     """Spans whose start score, moved by the words within ``NEAR`` characters, reaches ``LEAST_SCORE``."""
     base, raises, lowers = SCORES[kind]
 
-    def score(s: Column) -> Column:
+    def score(part, s: Column) -> Column:
         begin = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.concat_ws(
-            " ", F.substring(text, begin + 1, s["start"] - begin), F.substring(text, s["end"] + 1, F.lit(NEAR))
-        )
+        around = F.concat_ws(" ", part(begin, s["start"] - begin), part(s["end"], F.lit(NEAR)))
         up = F.when(around.rlike(raises), STEP).otherwise(0.0)
         return F.lit(base) + up - F.when(around.rlike(lowers), STEP).otherwise(0.0)
 
-    return F.filter(spans, lambda s: score(s) >= LEAST_SCORE)
+    return with_parts(text, lambda part: F.filter(spans, lambda s: score(part, s) >= LEAST_SCORE))
 
 
 def pii_spans(text: Column) -> Column:

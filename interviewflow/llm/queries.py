@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from interviewflow.llm.bpe import encode_texts
 from interviewflow.llm.chat import chat_digest
 from interviewflow.llm.katz import katz_scores
-from interviewflow.llm.lengths import token_counts
+from interviewflow.llm.lengths import token_answers, token_counts
 from interviewflow.llm.passages import passage_digest
 from interviewflow.llm.pii import pii_digest
 from interviewflow.llm.quality import quality_digest
@@ -82,7 +82,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir), vocabulary_path())
+    return token_answers(token_counts(documents(spark, sf_dir), vocabulary_path()))
 
 
 def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

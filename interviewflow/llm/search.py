@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from interviewflow.llm.store import stored
@@ -109,21 +109,20 @@ def query_terms(items: DataFrame, text: str) -> DataFrame:
     return texts.mapInArrow(run, "query string, term binary, n bigint")
 
 
-def blocks_of(weighted: DataFrame, block: int) -> list[DataFrame]:
-    """``query, term, n, weight`` in parts of at most ``block`` bytes: buckets of queries, packed by their measured size."""
-    size = F.length("term") + 24
-    total = weighted.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+def blocks_of(rows: DataFrame, size: Column, block: int) -> list[DataFrame]:
+    """``rows`` in parts of at most ``block`` bytes: buckets of ``query``, packed by their measured ``size``."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     bucket = F.pmod(F.xxhash64("query"), F.lit(8 * total // block + 1))
-    sizes = weighted.groupBy(bucket.alias("bucket")).agg(F.sum(size).alias("size")).orderBy("bucket").collect()
+    sizes = rows.groupBy(bucket.alias("bucket")).agg(F.sum(size).alias("size")).orderBy("bucket").collect()
     packed: list[list[int]] = []
     room = 0
     for row in sizes:
-        if row["size"] > room:
+        if not packed or row["size"] > room:
             packed.append([])
             room = block
         packed[-1].append(row["bucket"])
         room -= row["size"]
-    return [weighted.where(bucket.isin(own)) for own in packed]
+    return [rows.where(bucket.isin(own)) for own in packed]
 
 
 class Queries:
@@ -267,7 +266,7 @@ def search(
     weighted = asked.join(counts.where(F.length("term") > 0), "term").select("query", "term", "n", weight.alias("weight"))
     weighted = stored(weighted, "search-weights")
     found = None
-    for part in blocks_of(weighted, block):
+    for part in blocks_of(weighted, F.length("term") + 24, block):
         own = best_of_block(docs, part.collect(), id, text, documents, total, k, coords)
         found = own if found is None else found.unionByName(own)
     if found is None:

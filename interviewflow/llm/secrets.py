@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from interviewflow.llm.names import free_names
-from interviewflow.llm.spans import find_spans, in_order, listed, masked, no_spans, of_kind, span
+from interviewflow.llm.spans import find_spans, in_order, let, listed, masked, no_spans, of_kind, span
 
 # Key words, alphabets and least lengths of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,20 +82,29 @@ def window_entropy(candidate: Column, kind: CharClass) -> Column:
     def change(before: Column, by: int) -> Column:
         return F.get(weight, before + by) - F.get(weight, before)
 
+    def moved(counts: Column, place: Column, by: int) -> Column:
+        cell = F.array(F.get(counts, place - 1) + by)
+        own = F.concat(F.slice(counts, F.lit(1), place - 1), cell, F.slice(counts, place + 1, F.lit(size)))
+        return F.when(place > 0, own).otherwise(counts)
+
     def step(acc: Column, x: Column) -> Column:
-        more = F.transform(acc["counts"], lambda c, i: c + (i == x["enter"] - 1).cast("int"))
-        less = F.transform(more, lambda c, i: c - (i == x["leave"] - 1).cast("int"))
-        entered = acc["total"] + change(count(acc["counts"], x["enter"]), 1)
-        left = F.when(x["leave"] > 0, change(count(more, x["leave"]), -1)).otherwise(F.lit(0.0))
-        total, at = entered + left, acc["at"] + 1
-        hot = (at >= width) & (F.lit(math.log2(width)) - total / width >= kind.bits - 1e-9)
-        return F.struct(
-            less.alias("counts"),
-            total.alias("total"),
-            at.alias("at"),
-            F.when(hot, F.coalesce(acc["first"], at - width)).otherwise(acc["first"]).alias("first"),
-            F.when(hot, at).otherwise(acc["last"]).alias("last"),
-        )
+        def changed(more: Column) -> Column:
+            entered = acc["total"] + change(count(more, x["enter"]) - (x["enter"] > 0).cast("int"), 1)
+            left = F.when(x["leave"] > 0, change(count(more, x["leave"]), -1)).otherwise(F.lit(0.0))
+            return F.struct(moved(more, x["leave"], -1).alias("counts"), (entered + left).alias("total"))
+
+        def judged(now: Column) -> Column:
+            at = acc["at"] + 1
+            hot = (at >= width) & (F.lit(math.log2(width)) - now["total"] / width >= kind.bits - 1e-9)
+            return F.struct(
+                now["counts"].alias("counts"),
+                now["total"].alias("total"),
+                at.alias("at"),
+                F.when(hot, F.coalesce(acc["first"], at - width)).otherwise(acc["first"]).alias("first"),
+                F.when(hot, at).otherwise(acc["last"]).alias("last"),
+            )
+
+        return let(let(moved(acc["counts"], x["enter"], 1), changed), judged)
 
     return F.aggregate(steps, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 

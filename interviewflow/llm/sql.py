@@ -39,16 +39,28 @@ def _secrets() -> str:
         found("t", secrets.HEX, "hex", 2),
     ]
     more = []
+    shapes = [a for a in secrets.ALLOW if a.startswith("^")]
+    words = "|".join(f"(?:{a})" for a in secrets.ALLOW if not a.startswith("^"))
+
+    def shaped(hit: str) -> str:
+        return "(" + " OR ".join(f"regexp_matches({hit}, {quoted(a)})" for a in shapes) + ")"
+
     for i, c in enumerate(secrets.CLASSES):
-        allowed = " OR ".join(f"regexp_matches(hit, {quoted(a)})" for a in secrets.ALLOW)
-        runs = found("t", c.pattern, c.kind, 3 + i, f"NOT ({allowed})")
-        hot = (
-            f"list_filter(range(0, length(s.hit) - {c.window} + 1), lambda k: "
-            f"list_aggregate(string_split(substring(s.hit, k + 1, {c.window}), ''), 'entropy') >= {c.bits} - 1e-9)"
-        )
+
+        def hot(hit: str, k: str) -> str:
+            return (
+                f"list_filter(range(0, length({hit}) - {c.window} + 1), lambda {k}: "
+                f"list_aggregate(string_split(substring({hit}, {k} + 1, {c.window}), ''), 'entropy') >= {c.bits} - 1e-9)"
+            )
+
+        near = f"[A-Za-z0-9]{{0,{c.window}}}"
+        bare = "regexp_replace(p, '^[+/_=-]+|[+/_=-]+$', '', 'g')"
+        parts = f"string_split_regex(x.s.hit, {quoted(f'{near}(?:{words}){near}')})"
+        random = f"len(list_filter({parts}, lambda p: NOT {shaped(bare)} AND len({hot('p', 'j')}) > 0)) > 0"
+        runs = found("t", c.pattern, c.kind, 3 + i, f"NOT {shaped('hit')}")
         more.append(
-            f"list_transform(list_filter(list_transform({runs}, lambda s: {{'s': s, 'hot': {hot}}}), "
-            "lambda x: len(x.hot) > 0), lambda x: "
+            f"list_transform(list_filter(list_transform({runs}, lambda s: {{'s': s, 'hot': {hot('s.hit', 'k')}}}), "
+            f"lambda x: len(x.hot) > 0 AND (NOT regexp_matches(x.s.hit, {quoted(words)}) OR {random})), lambda x: "
             f"{{'start': x.s.start + list_min(x.hot), 'rank': x.s.rank, "
             f"'end': x.s.start + list_max(x.hot) + {c.window}, 'kind': x.s.kind, 'hit': ''}})"
         )

@@ -13,25 +13,29 @@ than ``least`` words must stand in one run. Ties go to the earlier place in
 the item, then in the document. Each row, of documents and of items, counts
 for itself. Empty tables give empty results; other columns are left alone.
 
-The items go to the workers in blocks of at most ``BLOCK_BYTES`` of text; the
-documents are read once for each block.
+The different item texts go to the workers in blocks of ``BLOCK_BYTES`` by
+measured size, a longer one alone; the documents are read once for each block.
+Only the starts of maximal matches are kept, so texts of one repeated word
+take as many entries as they have diagonals, not the product of their places.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from interviewflow.llm.search import blocks_of
 from interviewflow.llm.worker import once_per_worker
 
 LEAST = 5
 THRESHOLD = 0.5
 BLOCK_BYTES = 16 << 20
+# Pairs of places that are looked at in one go.
+PAIRS = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -58,8 +62,10 @@ class Items:
             item = np.repeat(owners, [len(h) for h in hashes])
             at = np.concatenate([np.arange(len(h)) for h in hashes])
             every = np.concatenate(hashes)
+            # Whether the run one word before, of the same item, is another one.
+            changes = np.concatenate([[True], (every[1:] != every[:-1]) | (item[1:] != item[:-1])])
             order = np.argsort(every, kind="stable")
-            self.seeds[width] = (every[order], item[order], at[order])
+            self.seeds[width] = (every[order], item[order], at[order], changes[order])
 
     def contained(self, text: str | None, threshold: float) -> list[tuple[int, int, int]]:
         """Item number, words marked and tiles of each item the text contains."""
@@ -70,7 +76,7 @@ class Items:
         numbers = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
         known = np.concatenate([[0], np.cumsum(numbers > 0)])
         found = []
-        for width, (hashes, item, at) in self.seeds.items():
+        for width, (hashes, item, at, changes) in self.seeds.items():
             if len(numbers) < width:
                 continue
             running = running_hash(numbers, width)
@@ -79,10 +85,13 @@ class Items:
             hit = high > low
             if not hit.any():
                 continue
-            found += self.tiled(numbers, width, places[hit], low[hit], high[hit], item, at, threshold)
+            again = places > 0
+            again[again] = running[places[again] - 1] == running[places[again]]
+            found += self.tiled(numbers, width, places[hit], low[hit], high[hit], again[hit], item, at, changes, threshold)
         return found
 
-    def tiled(self, numbers, width, places, low, high, item, at, threshold) -> list[tuple[int, int, int]]:
+    def tiled(self, numbers, width, places, low, high, again, item, at, changes, threshold) -> list[tuple[int, int, int]]:
+        """Items of which tiles of shared runs cover enough; ``again``: the place before has the same run."""
         import numpy as np
 
         first, back = np.unique(low, return_index=True)
@@ -98,20 +107,73 @@ class Items:
             return []
         wanted = np.zeros(len(self.words), dtype=bool)
         wanted[candidates] = True
-        pairs = expand(low, high)
-        doc_at = np.repeat(places, high - low)
-        use = wanted[item[pairs]]
-        pairs, doc_at = pairs[use], doc_at[use]
+        starts = [[] for _ in self.words]
+        # A place whose run is that of the place before begins no match but where the item's run changes too.
+        kept = np.flatnonzero(changes)
+        few_low, few_high = np.searchsorted(kept, low), np.searchsorted(kept, high)
+        for few, own_low, own_high in ((False, low[~again], high[~again]), (True, few_low[again], few_high[again])):
+            own_places = places[again] if few else places[~again]
+            for a, b in chunks(own_high - own_low, PAIRS):
+                pairs = expand(own_low[a:b], own_high[a:b])
+                doc_at = np.repeat(own_places[a:b], own_high[a:b] - own_low[a:b])
+                pairs = kept[pairs] if few else pairs
+                use = wanted[item[pairs]]
+                pairs, doc_at = pairs[use], doc_at[use]
+                for k in np.unique(item[pairs]).tolist():
+                    mine = item[pairs] == k
+                    starts[k].append(match_starts(self.words[k], numbers, at[pairs[mine]], doc_at[mine]))
         out = []
         for k in candidates:
-            mine = item[pairs] == k
-            tiles = greedy_tiles(self.words[k], numbers, at[pairs[mine]], doc_at[mine], width)
+            if not starts[k]:
+                continue
+            item_at, doc_at = (np.concatenate(x) for x in zip(*starts[k]))
+            tiles = greedy_tiles(self.words[k], numbers, item_at, doc_at, width)
             marked = sum(n for *_, n in tiles)
             if marked and marked >= threshold * len(self.words[k]):
                 out.append((int(k), int(marked), len(tiles)))
         return out
 
 
+def chunks(sizes, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of ``sizes`` that add up to about ``most``."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield low, high
+        low = high
+
+
+def match_starts(item, doc, item_at, doc_at):
+    """Of places of shared runs those before which the words differ, or one text begins."""
+    inner = (item_at > 0) & (doc_at > 0)
+    first = ~inner
+    first[inner] = item[item_at[inner] - 1] != doc[doc_at[inner] - 1]
+    return item_at[first], doc_at[first]
+
+
+def common_lengths(item, doc, item_at, doc_at):
+    """How many words are equal from each pair of places on: powers of two, from the greatest down, compared by their hash."""
+    import numpy as np
+
+    widths, hashes = [1], [(item, doc)]
+    while 2 * widths[-1] <= min(len(item), len(doc)):
+        power = np.uint64(pow(BASE, widths[-1], 1 << 64))
+        half = widths[-1]
+        hashes.append(tuple(h[:-half] * power + h[half:] for h in hashes[-1]))
+        widths.append(2 * half)
+    length = np.zeros(len(item_at), dtype=np.int64)
+    for width, (own, other) in zip(widths[::-1], hashes[::-1]):
+        i, j = item_at + length, doc_at + length
+        fits = np.flatnonzero((i + width <= len(item)) & (j + width <= len(doc)))
+        fits = fits[own[i[fits]] == other[j[fits]]]
+        length[fits] += width
+    return length
+
+
 def expand(low, high):
     """All whole numbers of the ranges, one range after the other."""
     import numpy as np
@@ -132,21 +194,14 @@ def running_hash(numbers, width: int):
 
 
 def greedy_tiles(item, doc, item_at, doc_at, width: int) -> list[tuple[int, int, int]]:
-    """Tiles ``(item place, document place, words)`` from the places of shared runs of ``width`` words."""
+    """Tiles ``(item place, document place, words)`` from the places where maximal matches may begin."""
     import numpy as np
 
-    same = np.ones(len(item_at), dtype=bool)
-    for i in range(width):
-        same &= item[item_at + i] == doc[doc_at + i]
-    item_at, doc_at = item_at[same], doc_at[same]
-    if not len(item_at):
+    lengths = common_lengths(item, doc, item_at, doc_at)
+    long = lengths >= width
+    if not long.any():
         return []
-    order = np.lexsort((item_at, doc_at - item_at))
-    item_at, doc_at = item_at[order], doc_at[order]
-    begins = np.concatenate([[True], (np.diff(doc_at - item_at) != 0) | (np.diff(item_at) != 1)])
-    starts = np.flatnonzero(begins)
-    lengths = np.diff(np.append(starts, len(item_at))) + width - 1
-    heap = [(-int(n), int(item_at[s]), int(doc_at[s])) for s, n in zip(starts, lengths)]
+    heap = [(-n, i, j) for n, i, j in zip(lengths[long].tolist(), item_at[long].tolist(), doc_at[long].tolist())]
     heapq.heapify(heap)
     in_item, in_doc, tiles, left = np.zeros(len(item), bool), np.zeros(len(doc), bool), [], len(item)
     while heap and left >= width:
@@ -165,13 +220,11 @@ def greedy_tiles(item, doc, item_at, doc_at, width: int) -> list[tuple[int, int,
     return tiles
 
 
-def blocks(benchmark: DataFrame, id: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
-    items = benchmark.select(F.col(id), F.col(text))
-    size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, math.ceil(1.25 * size / block_bytes))
-    for i in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64(id, text), F.lit(n)) == i)
+def blocks(benchmark: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
+    """Digest and text of the different item texts, in blocks of ``block_bytes`` by measured size, one on the driver at a time."""
+    named = benchmark.select(F.sha2(F.col(text), 256).alias("query"), F.col(text).alias("text")).where("text IS NOT NULL")
+    texts = named.groupBy("query").agg(F.first("text").alias("text"))
+    for block in blocks_of(texts, F.octet_length("text") + 16, block_bytes):
         yield [tuple(r) for r in block.collect()]
 
 
@@ -193,14 +246,13 @@ def contained_items(
     """One row for each document and item it contains: ids, ``n_words`` marked, ``n_tiles`` and ``coverage`` of the item."""
     import pyarrow as pa
 
-    empty = docs.select(id).limit(0).join(benchmark.select(item_id).limit(0), F.lit(False))
-    schema = empty.withColumns(
-        {
-            "n_words": F.lit(0).cast("bigint"),
-            "n_tiles": F.lit(0).cast("bigint"),
-            "coverage": F.lit(0.0),
-        }
-    ).schema
+    schema = docs.select(
+        F.col(id).alias("id"),
+        F.lit("").alias("query"),
+        F.lit(0).cast("bigint").alias("n_words"),
+        F.lit(0).cast("bigint").alias("n_tiles"),
+        F.lit(0.0).alias("coverage"),
+    ).limit(0).schema
 
     def search(rows: list[tuple]) -> DataFrame:
         items_of = _shipped(docs, rows, least)
@@ -214,11 +266,10 @@ def contained_items(
                     for k, n, tiles in items.contained(t, threshold)
                 ]
                 rows, numbers, marked, tiles = zip(*found) if found else ([], [], [], [])
-                item_type = pa.array(items.ids).type if items.ids else pa.null()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows, pa.int64())),
-                        pa.array([items.ids[k] for k in numbers], item_type),
+                        pa.array([items.ids[k] for k in numbers], pa.string()),
                         pa.array(marked, pa.int64()),
                         pa.array(tiles, pa.int64()),
                         pa.array([n / len(items.words[k]) for k, n in zip(numbers, marked)], pa.float64()),
@@ -228,11 +279,15 @@ def contained_items(
 
         return docs.select(id, text).mapInArrow(run, schema)
 
-    searched = [search(rows) for rows in blocks(benchmark, item_id, text, block_bytes)]
-    result = searched[0]
-    for more in searched[1:]:
-        result = result.unionByName(more)
-    return result
+    result = None
+    for rows in blocks(benchmark, text, block_bytes):
+        result = search(rows) if result is None else result.unionByName(search(rows))
+    if result is None:
+        result = search([])
+    # Items of one text are searched once, and each of their rows gets what was found.
+    named = benchmark.select(F.col(item_id).alias("item"), F.sha2(F.col(text), 256).alias("query"))
+    met = result.join(named, "query")
+    return met.select(F.col("id").alias(id), F.col("item").alias(item_id), "n_words", "n_tiles", "coverage")
 
 
 def decontaminate(
@@ -259,6 +314,6 @@ def decontaminate(
         return kept.mapInArrow(run, docs.schema)
 
     kept = docs
-    for rows in blocks(benchmark, item_id, text, block_bytes):
+    for rows in blocks(benchmark, text, block_bytes):
         kept = clean(kept, rows)
     return kept

@@ -8,12 +8,18 @@ from types import ModuleType
 from typing import Any
 
 
-def once_per_worker(key: str, make: Callable[[], Any]) -> Any:
-    """``make()`` of the first call in this worker process; later tasks of the process get the same object."""
-    kept = sys.modules.setdefault("interviewflow_worker_cache", ModuleType("interviewflow_worker_cache")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+def once_per_worker(key: str, make: Callable[[], Any], most: int = 4) -> Any:
+    """``make()`` of the first call in this worker process; later tasks of the process get the same object.
+
+    The process keeps the ``most`` objects that were used last.
+    """
+    module = sys.modules.setdefault("interviewflow_worker_cache", ModuleType("interviewflow_worker_cache"))
+    kept = module.__dict__.setdefault("kept", {})
+    found = kept.pop(key) if key in kept else make()
+    kept[key] = found
+    while len(kept) > most:
+        kept.pop(next(iter(kept)))
+    return found
 
 
 def slices(batches, column: int | str, size: int = 4 << 20):
