@@ -142,17 +142,18 @@ def shots_no_reuse(
     pool = cut(pool.withColumn("h", _hash(F.lit(seed), F.col("cls"), F.col("shot"))))
     rows = test.groupBy(test_key).agg(F.count(F.lit(1)).alias("n"))
     same = F.col(test_key).cast("string")
-    rows = cut(rows.select(test_key, _hash(_once(F.col("n"), same, test_key)).alias("h")))
+    rows = cut(rows.select(F.col(test_key).alias("__key"), _hash(_once(F.col("n"), same, test_key)).alias("h")))
     need = _check_sizes(pool, rows)
 
     # As many of each class as there are test rows: later buckets are not sorted.
     pool = number_rows(pool, ["cls"], [F.col("h"), F.col("shot")], F.left("h", F.lit(KEY_DIGITS)), "idx", below=need)
-    rows = number_rows(rows, [], [F.col("h"), F.col(test_key)], F.left("h", F.lit(KEY_DIGITS)), "idx")
+    rows = number_rows(rows, [], [F.col("h"), F.col("__key")], F.left("h", F.lit(KEY_DIGITS)), "idx")
+    rows = rows.select(F.col("__key").alias(test_key), "idx")
 
     pairs = pool.groupBy("idx").agg(
         *[F.max(F.when(F.col("cls") == c, F.col("shot"))).alias(name) for c, name in enumerate(names)]
     )
-    return test.join(rows.select(test_key, "idx").join(pairs, "idx").drop("idx"), test_key)
+    return test.join(rows.join(pairs, "idx").drop("idx"), test_key)
 
 
 def _check_sizes(pool: DataFrame, rows: DataFrame) -> int:

@@ -1,3 +1,5 @@
+import re
+
 import random
 from collections import Counter
 
@@ -147,3 +149,33 @@ def test_both_sets_end_to_end(spark, tmp_path):
     rows = done.collect()
     assert len(rows) == 5 and all(r.Prompt_preview.endswith("END.\nMore.") for r in rows)
     assert all(r.Generated_rationale_1 and r.Generated_rationale_2 and r.Generated_token_2 for r in rows)
+
+
+def moved(df, *texts):
+    """Exchanges of the plan that carry one of the columns ``texts``."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    blocks = [b.split("\n") for b in plan.split("\n\n") if re.match(r"\(\d+\) (Broadcast)?Exchange", b.strip())]
+    return [b for b in blocks if any(re.search(rf"\b{t}#", line) for t in texts for line in b if line.startswith("Input"))]
+
+
+def test_exemplar_texts_move_once_to_their_prompt(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(40).selectExpr(
+            "id AS Participant_ID", "id % 3 AS Exp_5_Selected_Rationale_Number", "repeat('t', 9) AS Transcript",
+            "repeat('r', 9) AS Exp_5_Selected_Rationale", "repeat('r', 9) AS Generated_Rationale", "cast(id % 2 AS int) AS PHQ_Binary", "'f' AS Gender",
+        )
+        prompts = training_prompts(rows, BODY).select("name", "prompt")
+        texts = ["Transcript", "Exp_5_Selected_Rationale", "__shot", "__zero", "__one", "first"]
+        assert len(moved(prompts, *texts)) == 1 and prompts.count() == 40
+        # Test rows are dealt by their own id: their texts stay, and only those of the exemplars move.
+        named = rows.withColumn("name", F.concat("Participant_ID", F.lit("_x")))
+        tests = rows.select("Participant_ID", "Gender", "Transcript").where("Participant_ID < 9")
+        shown = evaluation_prompts(named, tests, BODY.replace("{{status}}", "")).select("Participant_ID", "prompt")
+        assert len(moved(shown, *texts, "Generated_Rationale")) == 1 and shown.count() == 9
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
