@@ -71,18 +71,19 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool = True) -> DataFrame:
     """Like ``kept``, in as many buckets of ``key`` as the session has shuffle partitions.
 
     Joins and groupings by ``key`` read the buckets in place: only the other
     side is shuffled. The table is in the catalog while it is written; it stays
-    readable through the returned frame.
+    readable through the returned frame. Without ``dealt`` rows are not shuffled
+    before they are written, for few large rows: each task writes its own files.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, key).write.option("path", shared_path(spark, name))
-    dealt.bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    writer = (df.repartition(buckets, key) if dealt else df).write.option("path", shared_path(spark, name))
+    writer.bucketBy(buckets, key).format("parquet").saveAsTable(table)
     found = spark.table(table)
     found.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {table}")
