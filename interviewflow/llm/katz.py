@@ -7,13 +7,16 @@ to ``K`` have Good-Turing discounts; greater ones lose ``DELTA``, so that every
 word seen leaves some probability for others. The weight of ``v`` is exactly
 what its pairs leave, over what ``P`` gives to the words not seen after it.
 
-All words of a batch of documents are packed by the word that they are (hot
-words: by the pair), so each partition has every place where its words stand.
-There pairs are counted, and every place is evaluated. Sums per document and
-per context leave the partition, and each unseen pair of a held-out document
-meets the backoff weight of its context in one join. Words are told apart by
-64-bit hashes, and so are documents of one id.
-
+Documents are written once as batches of word numbers. Each batch counts its
+own words and pairs, and two tables are made of these counts: of words, dealt by
+word, and of pairs, dealt by context. Their tasks add up what all batches have,
+and give each batch the counts of its own words and pairs, and what the pairs
+of each of its contexts add up to. With both tables a batch evaluates each of
+its tokens from the highest order down. What moves is one entry per different
+word or pair of a batch, however many partitions there are. The pairs of a hot
+context are dealt by pair, and the sums of their parts meet once per context.
+
+Words are told apart by 64-bit hashes, those after one context by 48 bits.
 Null text: empty, so one end token. Null id: in training. Repeated rows count
 and are scored each. Without training tokens every word has probability 1.
 Empty tables give empty results; other columns are not read.
@@ -22,6 +25,7 @@ Empty tables give empty results; other columns are not read.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,17 +34,19 @@ from pyspark.sql import functions as F
 
 from interviewflow.llm.store import stored
 from interviewflow.llm.worker import byte_texts, slices
+from interviewflow.session import bucketed
 
 K = 5
 DELTA = 0.05
 FOLDS, HELD_OUT = 5, 1
-# White space cannot be in a word, so these two texts are none.
+# White space cannot be in a word, so these two texts are none; they are the first two words of each batch.
 END, START = b"\n", b" "
-# Tokens of a partition, and words that are dealt by pair because a partition would overflow.
+# Entries (words or pairs of batches) of a partition; a context with a quarter as many tokens is hot.
 PART_TOKENS = 3_000_000
-HOT_WORDS = 1024
-# Bytes of text whose places are packed together.
+# Bytes of text of a batch.
 BATCH_BYTES = 16 << 20
+# What is added up for each context: how many words follow it once, ..., K times and more often, and what P gives to all of them.
+SUMS = K + 2
 
 
 def discounts(counts_of_counts: list[int], k: int = K) -> list[float]:
@@ -61,22 +67,16 @@ def discounts(counts_of_counts: list[int], k: int = K) -> list[float]:
 
 @dataclass
 class Unigrams:
-    """What the lowest order needs: sizes, discounts, and the words that are hot."""
+    """What the lowest order needs: sizes, discounts, and the share of unknown words."""
 
     tokens: int = 0
     words: int = 0
     factors: list[float] = field(default_factory=list)
     unknown: float = 1.0
-    parts: int = 1
-    ends: int = 0
-    hot: dict[int, int] = field(default_factory=dict)
 
     def mass(self, counts):
         """Discounted counts; divided by ``tokens`` they are probabilities."""
-        import numpy as np
-
-        table = np.array([0.0, *[d * r for r, d in enumerate(self.factors, 1)]])
-        return np.where(counts > K, counts - DELTA, table[np.minimum(counts, K)])
+        return discounted(counts, self.factors)
 
     def log_probability(self, counts):
         import numpy as np
@@ -85,6 +85,13 @@ class Unigrams:
         return np.log10(np.where(counts > 0, known, self.unknown))
 
 
+def discounted(counts, factors: list[float]):
+    import numpy as np
+
+    table = np.array([0.0, *[d * r for r, d in enumerate(factors, 1)]])
+    return np.where(counts > K, counts - DELTA, table[np.minimum(counts, K)])
+
+
 def word_hash(word: bytes) -> int:
     import xxhash
 
@@ -97,368 +104,338 @@ def in_training(id: str) -> Column:
     return F.coalesce(fold != HELD_OUT, F.lit(True))
 
 
-def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
-    """``w, c``: training counts of each word; ``w`` null: tokens of the other documents."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        counts: Counter = Counter()
-        other = 0
-
-        def out():
-            words = [word_hash(w) for w in counts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*words, None], pa.int64()), pa.array([*counts.values(), other], pa.int64())], names=["w", "c"]
-            )
-
-        for batch in batches:
-            for whole, use in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()):
-                words = whole.lower().split()
-                if use:
-                    counts.update(words)
-                    counts[END] += 1
-                else:
-                    other += len(words) + 1
-            if len(counts) > 2_000_000:
-                yield from out()
-                counts.clear()
-                other = 0
-        yield from out()
-
-    counted = docs.select(text, train).mapInArrow(run, "w bigint, c bigint")
-    return counted.groupBy("w").agg(F.sum("c").alias("c"))
-
-
-def unigrams_of(counts: DataFrame, part_tokens: int = PART_TOKENS, hot_words: int = HOT_WORDS) -> Unigrams:
-    """Sizes and counts of counts come to the driver, and at most ``hot_words`` words."""
-    words = counts.where("w IS NOT NULL")
-    kinds = [F.sum((F.col("c") == r).cast("bigint")) for r in range(1, K + 2)]
-    end = F.sum(F.when(F.col("w") == word_hash(END), F.col("c")))
-    tokens, n, ends, *by_count = (x or 0 for x in words.agg(F.sum("c"), F.count("w"), end, *kinds).first())
-    other = counts.where("w IS NULL").agg(F.sum("c")).first()[0] or 0
-    found = Unigrams(tokens, n, discounts(by_count), ends=ends)
-    if tokens:
-        kept = sum(d * r * m for r, (d, m) in enumerate(zip(found.factors, by_count), 1))
-        low = sum(r * m for r, m in enumerate(by_count[:K], 1))
-        many = n - sum(by_count[:K])
-        found.unknown = (low - kept + DELTA * many) / tokens
-    found.parts = max(1, math.ceil((tokens + other) / part_tokens))
-    least = part_tokens // 4
-    top = words.where(F.col("c") > least).orderBy(F.col("c").desc(), "w").limit(hot_words)
-    found.hot = {r["w"]: r["c"] for r in top.collect()}
-    return found
-
-
-def planes(array) -> bytes:
-    """Bytes of equal weight together, which packs small numbers well."""
+def packed(array, dtype: str) -> bytes:
+    """Bytes of equal weight together, compressed: small numbers take little room."""
     import numpy as np
+    import zstandard
 
-    return np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T.tobytes()
+    cells = np.ascontiguousarray(array.astype(dtype))
+    return zstandard.ZstdCompressor(level=1).compress(cells.view(np.uint8).reshape(-1, cells.itemsize).T.tobytes())
 
 
-def unplanes(data: bytes, dtype: str):
+def unpacked(data: bytes, dtype: str):
     import numpy as np
+    import zstandard
 
     kind = np.dtype(dtype)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
-
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
-LAYOUT = (("words", "<i8"), ("runs", "<u4"), ("contexts", "<i8"), ("context", "<u4"), ("doc", "<u4"))
 
+def batches_of(docs: DataFrame) -> DataFrame:
+    """From ``id, text, train``: one row per batch of documents.
 
-def packed_places(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """From ``key, text, train``: one row per batch of documents and partition, with every place of its words."""
+    ``batch`` is a number of its own; ``ids, training`` and ``sizes`` (tokens) tell
+    of its documents, ``tokens`` holds their words by number, ``words`` the hash
+    of each number and ``counts`` how often training has it here.
+    """
     import pyarrow as pa
 
-    names = ["part", "batch", "keys", "training", *[n for n, _ in LAYOUT]]
+    names = ["batch", "ids", "training", "n_tokens", "n_words", "sizes", "tokens", "words", "counts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import xxhash
-        import zstandard
 
-        press = zstandard.ZstdCompressor(level=1).compress
-        hot = np.array(sorted(unigrams.hot), dtype=np.int64)
-        for batch in slices(batches, 1, BATCH_BYTES):
-            own = xxhash.xxh3_64_intdigest(batch.column(0).to_numpy().tobytes()) >> 1
+        for batch in slices(rows, 1, BATCH_BYTES):
             local: dict[bytes, int] = {END: 0, START: 1}
             number = local.setdefault
-            texts = byte_texts(batch.column(1))
             cells, sizes = [], []
-            for whole in texts:
-                words = [number(w, len(local)) for w in whole.lower().split()]
-                cells += [np.array(words, dtype=np.int32), np.zeros(1, dtype=np.int32)]
-                sizes.append(len(words) + 1)
+            for whole in byte_texts(batch.column(1)):
+                own = [number(w, len(local)) for w in whole.lower().split()]
+                cells += [np.array(own, dtype=np.uint32), np.zeros(1, dtype=np.uint32)]
+                sizes.append(len(own) + 1)
             if not sizes:
                 continue
-            word = np.concatenate(cells)
-            del cells, texts
-            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            context = np.roll(word, 1)
-            context[np.cumsum(sizes) - sizes] = 1
+            tokens, sizes = np.concatenate(cells), np.array(sizes)
+            train = batch.column(2).to_numpy(zero_copy_only=False)
+            counts = np.bincount(tokens, np.repeat(train, sizes), len(local)).astype(np.int64)
+            # A training document begins once.
+            counts[1] = train.sum()
             hashes = np.array([word_hash(w) for w in local], dtype=np.int64)
-            part_of = (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(unigrams.parts)
-            part = part_of.astype(np.int32)[word]
-            if len(hot):
-                is_hot = np.isin(hashes, hot)[word]
-                mixed = hashes.view(np.uint64)[word[is_hot]] * np.uint64(31) + hashes.view(np.uint64)[context[is_hot]]
-                part[is_hot] = ((mixed >> np.uint64(20)) % np.uint64(unigrams.parts)).astype(np.int32)
-            n = len(hashes)
-            order = np.argsort((part.astype(np.int64) * n + word) * n + context, kind="stable")
-            part, word, context, doc = part[order], word[order], context[order], doc[order]
-            ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
-            for low, high in zip(np.append(0, ends[:-1]), ends):
-                w, c, d = word[low:high], context[low:high], doc[low:high]
-                heads = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                contexts, context_at = np.unique(c, return_inverse=True)
-                here, doc_at = np.unique(d, return_inverse=True)
-                columns = {
-                    "words": hashes[w[heads]],
-                    "runs": np.diff(np.append(heads, len(w))),
-                    "contexts": hashes[contexts],
-                    "context": context_at,
-                    "doc": doc_at,
-                }
-                one, taken = pa.array([0, len(here)], pa.int32()), pa.array(here, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(part[low])], pa.int32()),
-                        pa.array([own], pa.int64()),
-                        *[pa.ListArray.from_arrays(one, batch.column(i).take(taken)) for i in (0, 2)],
-                        *[pa.array([press(planes(columns[c].astype(t)))], pa.binary()) for c, t in LAYOUT],
-                    ],
-                    names=names,
-                )
-
-    binaries = ", ".join(f"{n} binary" for n, _ in LAYOUT)
-    schema = f"part int, batch bigint, keys array<bigint>, training array<boolean>, {binaries}"
-    return docs.select("key", "text", "train").mapInArrow(run, schema)
-
-
-class Places:
-    """All places of one partition, sorted by word and context; both by their number in ``words`` and ``contexts``."""
-
-    def __init__(self, group, unigrams: Unigrams):
-        import numpy as np
-        import pyarrow as pa
-        import zstandard
-
-        unpress = zstandard.ZstdDecompressor().decompress
-        rows = [{n: unplanes(unpress(group.column(n)[i].as_py()), t) for n, t in LAYOUT} for i in range(len(group))]
-        # Documents of each batch lie one after the other.
-        self.batches = group.column("batch").to_numpy()
-        self.bounds = np.cumsum([0, *[len(k) for k in group.column("keys")]])
-        self.words = np.unique(np.concatenate([r["words"] for r in rows]))
-        self.contexts = np.unique(np.concatenate([r["contexts"] for r in rows]))
-        places, docs, at = [], [], 0
-        for i, r in enumerate(rows):
-            word = np.repeat(np.searchsorted(self.words, r["words"]), r["runs"])
-            context = np.searchsorted(self.contexts, r["contexts"])[r["context"]]
-            places.append(word * len(self.contexts) + context)
-            docs.append(r["doc"].astype(np.int32) + np.int32(at))
-            at += len(group.column("keys")[i])
-        del rows
-        lists = {c: pa.concat_arrays([x.flatten() for x in group.column(c).chunks]) for c in ("keys", "training")}
-        self.keys = lists["keys"].to_numpy()
-        training = lists["training"].to_numpy(zero_copy_only=False).astype(np.int32)
-        place, doc = np.concatenate(places), np.concatenate(docs)
-        order = np.argsort(place, kind="stable")
-        place, self.doc = place[order], doc[order]
-        del order, places, docs, doc
-        pairs = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        self.pair_word, self.pair_context = np.divmod(place[pairs], len(self.contexts))
-        del place
-        self.pair_size = np.diff(np.append(pairs, len(self.doc)))
-        self.pair_count = np.add.reduceat(training[self.doc], pairs)
-        count = np.bincount(self.pair_word, self.pair_count, len(self.words)).astype(np.int64)
-        for i in np.flatnonzero(np.isin(self.words, list(unigrams.hot))) if unigrams.hot else ():
-            count[i] = unigrams.hot[int(self.words[i])]
-        self.word_count = count
-
-    def each(self, values):
-        """A value of each pair at each of its places."""
-        import numpy as np
-
-        return np.repeat(values, self.pair_size)
+            one = pa.array([0, len(sizes)], pa.int32())
+            columns = [
+                pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()),
+                *[pa.ListArray.from_arrays(one, batch.column(i)) for i in (0, 2)],
+                pa.array([len(tokens)], pa.int64()),
+                pa.array([len(local)], pa.int64()),
+                *[pa.array([x], pa.binary()) for x in (packed(sizes, "<u4"), packed(tokens, "<u4"), hashes.tobytes(), packed(counts, "<u4"))],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    wide = docs.select(F.lit(0).cast("bigint").alias("batch"), F.array("id").alias("ids"), F.array("train").alias("training"))
+    more = {c: F.lit(0).cast("bigint") for c in ("n_tokens", "n_words")} | {c: F.lit(b"") for c in names[5:]}
+    return docs.select("id", "text", "train").mapInArrow(run, wide.withColumns(more).select(*names).limit(0).schema)
+
+
+def parts_of(hashes, parts: int):
+    import numpy as np
 
+    return ((hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
-def two(low, high):
-    """Two counts in one number; they add up apart."""
-    return low + (high << 32)
 
+def cut_by(part) -> Iterator[tuple[int, int, int]]:
+    """Part, begin and end of the runs of a sorted array."""
+    import numpy as np
 
-SUMS = (("key", "bigint"), ("nk", "bigint"), ("base", "double"), ("rest", "double")) + tuple(
-    (c, "bigint") for c in ("r12", "r34", "r5e")
-)
+    edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    return zip(part[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist())
 
 
-def document_sums(packed: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """Per document: counts, the base score, and what of its score needs no backoff weight and no bigram discount.
+def word_table(batches: DataFrame, parts: int, hot: int) -> DataFrame:
+    """Counts of words over all batches, dealt by word.
 
-    A partition gives one row of arrays for each batch of documents, and these
-    meet by batch: a document has words in nearly every partition.
+    One row for each batch and part: ``counts`` of its words there, in their
+    order, and which of them are ``hot``. Rows without a batch have ``stats``:
+    tokens, words, and how many words have each count from 1 to ``K + 1``.
     """
     import pyarrow as pa
 
-    names = [c for c, _ in SUMS]
-
-    def run(key, group):
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        p = Places(group, unigrams)
-        size, count = len(p.keys), p.pair_count
-        end = p.words == word_hash(END)
-        base = np.log10((p.word_count + 0.5) / (unigrams.tokens + 0.5 * (unigrams.words + 1)))
-        as_context = np.where(end, 0.0, np.log10(np.maximum(p.word_count, 1)))
-        seen = np.log10(np.where(count > K, count - DELTA, np.maximum(count, 1)))
-        rest = np.where(count > 0, seen, unigrams.log_probability(p.word_count)[p.pair_word]) - as_context[p.pair_word]
-
-        def total(pair_values):
-            return np.bincount(p.doc, p.each(pair_values), size)
-
-        def number(pair_values):
-            return total(pair_values).astype(np.int64)
-
-        r = [number(count == i) for i in range(1, K + 1)]
-        columns = [
-            p.keys,
-            two(np.bincount(p.doc, minlength=size), number((p.word_count > 0)[p.pair_word])),
-            total(base[p.pair_word]),
-            total(rest),
-            two(r[0], r[1]),
-            two(r[2], r[3]),
-            two(r[4], number(end[p.pair_word])),
-        ]
-        bounds = pa.array(p.bounds, pa.int32())
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns]
-        return pa.table([pa.array(p.batches), *lists], names=["batch", *names])
-
-    def add(key, group):
-        import numpy as np
+        for row in (r for batch in rows for r in batch.to_pylist()):
+            hashes, counts = np.frombuffer(row["words"], "<i8"), unpacked(row["counts"], "<u4")
+            part = parts_of(hashes, parts)
+            order = np.argsort(part, kind="stable")
+            cells = [(p, row["batch"], hashes[order[a:b]].tobytes(), packed(counts[order[a:b]], "<u4")) for p, a, b in cut_by(part[order])]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names=["part", "batch", "words", "counts"])
 
-        columns = {n: pa.concat_arrays([x.flatten() for x in group.column(n).chunks]).to_numpy() for n in names}
-        order = np.argsort(columns["key"], kind="stable")
-        keys = columns["key"][order]
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        sums = [np.add.reduceat(columns[n][order], heads) for n in names[1:]]
-        return pa.table([pa.array(c) for c in [keys[heads], *sums]], names=names)
+    def answer(key, group):
+        import numpy as np
 
-    lists = ", ".join(f"{c} array<{t}>" for c, t in SUMS)
-    flat = ", ".join(f"{c} {t}" for c, t in SUMS)
-    by_batch = packed.groupBy("part").applyInArrow(run, f"batch bigint, {lists}")
-    sums = by_batch.groupBy("batch").applyInArrow(add, flat)
-    return sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]])
+        hashes = [np.frombuffer(x.as_py(), "<i8") for x in group.column("words")]
+        sizes = [len(h) for h in hashes]
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpacked(x.as_py(), "<u4") for x in group.column("counts")])).astype(np.int64)
+        ends = np.cumsum(sizes)
+        own = [(total[at[e - n : e]], h) for e, n, h in zip(ends, sizes, hashes)]
+        real = total[words != word_hash(START)]
+        stats = [int(real.sum()), int((real > 0).sum()), *[int((real == r).sum()) for r in range(1, K + 2)]]
+        n = len(own)
+        return pa.table(
+            [
+                pa.array([*group.column("batch").to_pylist(), None], pa.int64()),
+                pa.array([key[0].as_py()] * (n + 1), pa.int64()),
+                pa.array([*[packed(c, "<i8") for c, _ in own], None], pa.binary()),
+                pa.array([*[h[c > hot].tolist() for c, h in own], None], pa.list_(pa.int64())),
+                pa.array([*[None] * n, stats], pa.list_(pa.int64())),
+            ],
+            names=["batch", "part", "counts", "hot", "stats"],
+        )
 
+    asked = batches.select("batch", "words", "counts").mapInArrow(ask, "part bigint, batch bigint, words binary, counts binary")
+    dealt = asked.repartition(parts, "part").groupBy("part")
+    return dealt.applyInArrow(answer, "batch bigint, part bigint, counts binary, hot array<bigint>, stats array<bigint>")
 
-def unseen_pairs(packed: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """``key, v, n``: how often a document has a pair with context ``v`` that training has not."""
-    import pyarrow as pa
 
-    def run(key, group):
-        import numpy as np
+def unigrams_of(words: DataFrame) -> Unigrams:
+    """Sizes and counts of counts; as many numbers come to the driver."""
+    sums = words.where("stats IS NOT NULL").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(K + 3)]).first()
+    tokens, n, *by_count = (x or 0 for x in sums)
+    found = Unigrams(tokens, n, discounts(by_count))
+    if tokens:
+        kept = sum(d * r * m for r, (d, m) in enumerate(zip(found.factors, by_count), 1))
+        low = sum(r * m for r, m in enumerate(by_count[:K], 1))
+        many = n - sum(by_count[:K])
+        found.unknown = (low - kept + DELTA * many) / tokens
+    return found
 
-        p = Places(group, unigrams)
-        new = p.each(p.pair_count == 0)
-        place = p.each(p.pair_context)[new] * len(p.keys) + p.doc[new]
-        found, n = np.unique(place, return_counts=True)
-        context, doc = np.divmod(found, len(p.keys))
-        return pa.table([pa.array(c) for c in (p.keys[doc], p.contexts[context], n)], names=["key", "v", "n"])
 
-    return packed.groupBy("part").applyInArrow(run, "key bigint, v bigint, n bigint")
+class Batch:
+    """The words of a batch with their counts, and its different pairs in the order of their parts, contexts and words."""
 
+    def __init__(self, row: dict, word_parts: int, parts: int, hot: int):
+        import numpy as np
 
-def context_sums(packed: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """Per context: how many words follow it once, twice, ..., and the discounted counts of all of them."""
+        self.hashes = np.frombuffer(row["words"], "<i8")
+        order = np.argsort(parts_of(self.hashes, word_parts), kind="stable")
+        self.counts = np.empty(len(self.hashes), dtype=np.int64)
+        self.counts[order] = np.concatenate([unpacked(a["counts"], "<i8") for a in sorted(row["word_counts"], key=lambda a: a["part"])])
+        self.sizes, self.tokens = unpacked(row["sizes"], "<u4").astype(np.int64), unpacked(row["tokens"], "<u4").astype(np.int64)
+        context = np.roll(self.tokens, 1)
+        context[np.cumsum(self.sizes) - self.sizes] = 1
+        n = len(self.hashes)
+        # Part of each pair, its number by context and word, and which pair each token is.
+        pairs, self.pair_of = np.unique(context * n + self.tokens, return_inverse=True)
+        context, word = np.divmod(pairs, n)
+        self.is_hot = self.counts > hot
+        part = parts_of(self.hashes, parts)[context]
+        apart = self.is_hot[context]
+        mixed = self.hashes.view(np.uint64)[context[apart]] * np.uint64(31) + self.hashes.view(np.uint64)[word[apart]]
+        part[apart] = parts_of(mixed, parts)
+        self.order = np.argsort(part, kind="stable")
+        self.part, self.context, self.word = part[self.order], context[self.order], word[self.order]
+        # In each part every context is one run of pairs.
+        self.heads = np.flatnonzero((np.diff(self.part, prepend=-1) != 0) | (np.diff(self.context, prepend=-1) != 0))
+
+
+def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: int, hot: int) -> DataFrame:
+    """Counts of pairs over all batches, dealt by context (pairs of a hot one by both words).
+
+    One row for each batch and part: ``counts`` of its pairs there, in their
+    order, and ``sums`` of its contexts. Rows without a batch have ``stats``, how
+    many pairs have each count from 1 to ``K + 1``, and the ``hot_sums`` of the hot
+    contexts ``hot`` over the pairs of this part.
+    """
     import pyarrow as pa
 
-    names = ["v", "mass", "m12", "m34", "m56", "m7"]
+    asked_names = ["part", "batch", "contexts", "runs", "words", "mine", "below", "hot"]
 
-    def run(key, group):
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        p = Places(group, unigrams)
-        seen = p.pair_count > 0
-        place, count, size = p.pair_context[seen], p.pair_count[seen], len(p.contexts)
-        m = [np.bincount(place, count == r, size).astype(np.int64) for r in range(1, K + 2)]
-        more = np.bincount(place, count > K + 1, size).astype(np.int64)
-        mass = np.bincount(place, unigrams.mass(p.word_count)[p.pair_word[seen]], size).astype(np.float64)
-        used = mass > 0
-        columns = [p.contexts, mass, two(m[0], m[1]), two(m[2], m[3]), two(m[4], m[5]), more]
-        return pa.table([pa.array(c[used]) for c in columns], names=names)
+        for row in (r for batch in rows for r in batch.to_pylist()):
+            b = Batch(row, word_parts, parts, hot)
+            train = np.repeat(np.array(row["training"]), b.sizes)
+            mine = np.bincount(b.pair_of, train, len(b.order)).astype(np.int64)[b.order]
+            runs = np.diff(np.append(b.heads, len(b.order)))
+            for part, low, high in cut_by(b.part):
+                first, last = np.searchsorted(b.heads, [low, high])
+                context = b.context[b.heads[first:last]]
+                word = b.word[low:high]
+                cells = [
+                    b.hashes[context].tobytes(),
+                    packed(runs[first:last], "<u4"),
+                    packed(b.hashes.view(np.uint64)[word] >> np.uint64(16), "<u8"),
+                    packed(mine[low:high], "<u4"),
+                    packed(b.counts[word], "<i8"),
+                    packed(b.is_hot[context], "u1"),
+                ]
+                columns = [pa.array([part], pa.int64()), pa.array([row["batch"]], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]]
+                yield pa.RecordBatch.from_arrays(columns, names=asked_names)
+
+    def answer(key, group):
+        import numpy as np
 
-    kinds = ", ".join(f"{c} {'double' if c == 'mass' else 'bigint'}" for c in names)
-    sums = packed.groupBy("part").applyInArrow(run, kinds)
-    return sums.groupBy("v").agg(*[F.sum(c).alias(c) for c in names[1:]])
+        def column(name, dtype):
+            return [unpacked(x.as_py(), dtype) for x in group.column(name)]
+
+        contexts = [np.frombuffer(x.as_py(), "<i8") for x in group.column("contexts")]
+        runs, words = column("runs", "<u4"), column("words", "<u8")
+        n_contexts, n_pairs = [len(c) for c in contexts], [len(w) for w in words]
+        known, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
+        context = np.repeat(context_at, np.concatenate(runs))
+        word = np.concatenate(words)
+        del words, runs, contexts
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        heads = np.flatnonzero((np.diff(context, prepend=-1) != 0) | np.append(True, word[1:] != word[:-1]))
+        context = context[heads]
+        del word
+        total = np.add.reduceat(np.concatenate(column("mine", "<u4")).astype(np.int64)[order], heads)
+        below = unigrams.mass(np.concatenate(column("below", "<i8"))[order[heads]]) / max(unigrams.tokens, 1)
+        counts = np.empty(len(order), dtype=np.int64)
+        counts[order] = np.repeat(total, np.diff(np.append(heads, len(order))))
+        del order
+        kinds = [np.bincount(context, total == r, len(known)) for r in range(1, K + 1)]
+        kinds += [np.bincount(context, total > K, len(known)), np.bincount(context, np.where(total > 0, below, 0.0), len(known))]
+        sums = np.stack(kinds, axis=1)
+        is_hot = np.zeros(len(known), dtype=bool)
+        is_hot[context_at[np.concatenate(column("hot", "u1")) > 0]] = True
+        stats = [int((total == r).sum()) for r in range(1, K + 2)]
+        n, pair_ends, context_ends = len(n_pairs), np.cumsum(n_pairs), np.cumsum(n_contexts)
+        own = [packed(counts[e - m : e], "<u4") for e, m in zip(pair_ends, n_pairs)]
+        of_contexts = [packed(sums[context_at[e - m : e]].reshape(-1), "<f8") for e, m in zip(context_ends, n_contexts)]
+        return pa.table(
+            [
+                pa.array([*group.column("batch").to_pylist(), None], pa.int64()),
+                pa.array([key[0].as_py()] * (n + 1), pa.int64()),
+                pa.array([*own, None], pa.binary()),
+                pa.array([*of_contexts, None], pa.binary()),
+                pa.array([*[None] * n, stats], pa.list_(pa.int64())),
+                pa.array([*[None] * n, known[is_hot].tolist()], pa.list_(pa.int64())),
+                pa.array([*[None] * n, sums[is_hot].tolist()], pa.list_(pa.list_(pa.float64()))),
+            ],
+            names=["batch", "part", "counts", "sums", "stats", "hot", "hot_sums"],
+        )
 
+    binaries = ", ".join(f"{n} binary" for n in asked_names[2:])
+    asked = batches.mapInArrow(ask, f"part bigint, batch bigint, {binaries}")
+    kinds = "batch bigint, part bigint, counts binary, sums binary, stats array<bigint>, hot array<bigint>, hot_sums array<array<double>>"
+    return asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, kinds)
 
-def low(c: str) -> Column:
-    return F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
 
+def hot_sums(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``batch, hot_contexts``: for each batch its hot contexts with the sums over all parts."""
+    parts = pairs.where("batch IS NULL").select(F.explode(F.arrays_zip("hot", "hot_sums")).alias("h"))
+    totals = parts.groupBy(F.col("h.hot").alias("v")).agg(*[F.sum(F.get("h.hot_sums", F.lit(i))).alias(f"s{i}") for i in range(SUMS)])
+    wanted = words.where("batch IS NOT NULL").select("batch", F.explode("hot").alias("v"))
+    cells = F.struct("v", F.array(*[f"s{i}" for i in range(SUMS)]).alias("sums"))
+    return wanted.join(totals, "v").groupBy("batch").agg(F.collect_list(cells).alias("hot_contexts"))
 
-def high(c: str) -> Column:
-    return F.shiftright(c, 32)
 
+def token_scores(b: Batch, row: dict, unigrams: Unigrams, factors: list[float]):
+    """log10 of the probability of each token after the one before: of the pair if it was seen, else of the word and a backoff weight."""
+    import numpy as np
 
-def pair_discounts(contexts: DataFrame) -> Column:
-    """``discounts`` of the pairs as an array, from the sums of all contexts, as one scalar subquery."""
-    pairs = [low("m12"), high("m12"), low("m34"), high("m34"), low("m56"), high("m56")]
-    sums = contexts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(f"n{i}") for i, c in enumerate(pairs)])
-    n = [F.col(f"n{i}") for i in range(K + 1)]
-    safe = [F.greatest(c, F.lit(1.0)) for c in n]
-    tail = F.col("tail")
-    found = [((r + 1) * n[r] / (r * safe[r - 1]) - tail) / F.when(tail < 1, 1 - tail).otherwise(1.0) for r in range(1, K + 1)]
-    proper = F.forall("found", lambda d: (d > 0) & (d < 1)) & (F.least(*n) >= 1) & (tail < 1)
-    half = F.array(*[F.lit(1 - 0.5 / r) for r in range(1, K + 1)])
-    return (
-        sums.withColumn("tail", (K + 1) * n[K] / safe[0])
-        .withColumn("found", F.array(*found))
-        .select(F.when(proper, F.col("found")).otherwise(half).alias("factors"))
-        .scalar()
-    )
+    answers = sorted(row["pair_counts"], key=lambda a: a["part"])
+    counts = np.concatenate([unpacked(a["counts"], "<u4") for a in answers]).astype(np.int64)
+    sums = np.concatenate([unpacked(a["sums"], "<f8") for a in answers]).reshape(-1, SUMS)
+    context = b.context[b.heads]
+    of_context = np.zeros((len(b.hashes), SUMS))
+    of_context[context] = sums
+    hot = {h["v"]: h["sums"] for h in row["hot_contexts"] or []}
+    for v in np.unique(context[b.is_hot[context]]).tolist():
+        of_context[v] = hot[int(b.hashes[v])]
+    left = of_context[:, :K] @ np.array([(1 - d) * r for r, d in enumerate(factors, 1)]) + DELTA * of_context[:, K]
+    free = 1 - of_context[:, K + 1]
+    followed = of_context[:, : K + 1].sum(axis=1) > 0
+    # A context that training has not leaves all to the lower order.
+    weight = np.zeros(len(b.hashes))
+    weight[followed] = np.log10(left[followed] / b.counts[followed] / free[followed])
+    seen = counts > 0
+    pair = weight[b.context] + unigrams.log_probability(b.counts)[b.word]
+    pair[seen] = np.log10(discounted(counts[seen], factors) / b.counts[b.context[seen]])
+    in_order = np.empty(len(pair))
+    in_order[b.order] = pair
+    return in_order[b.pair_of]
 
 
-def weighed(factors: Column, counts: list[Column], weight) -> Column:
-    """Sum of ``weight(factor, r)`` times the number of things counted ``r`` times."""
-    return sum((weight(F.get(factors, F.lit(r - 1)), r) * n for r, n in enumerate(counts, 1)), F.lit(0.0))
+def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_tokens: int = PART_TOKENS) -> DataFrame:
+    """One row per document: ``held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
+    Batches and counts are written to the shared folder by jobs that run at once.
+    """
+    import pyarrow as pa
 
-def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_tokens: int = PART_TOKENS) -> DataFrame:
-    """One row per document: ``held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     named = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), in_training(id).alias("train"))
-    named = named.withColumn("key", F.xxhash64("id", "text"))
-    unigrams = unigrams_of(stored(word_counts(named, "text", "train"), "katz-words"), part_tokens)
-    packed = packed_places(named, unigrams).repartition(unigrams.parts, "part")
-    contexts = context_sums(packed, unigrams)
-    factors = pair_discounts(contexts)
-    seen = [low("m12"), high("m12"), low("m34"), high("m34"), low("m56")]
-    left = weighed(factors, seen, lambda d, r: (1 - d) * r) + DELTA * (high("m56") + F.col("m7"))
-    free = F.lit(1.0) - F.col("mass") / F.lit(float(max(unigrams.tokens, 1)))
-    weights = contexts.select("v", F.log10(left / free).alias("weight"))
-    backed = (
-        unseen_pairs(packed, unigrams)
-        .join(weights, "v")
-        .groupBy("key")
-        .agg(F.sum(F.col("n") * F.col("weight")).alias("backed"))
-    )
-    once = [low("r12"), high("r12"), low("r34"), high("r34"), low("r5e")]
-    discounted = weighed(factors, once, lambda d, r: F.log10(d))
-    copies = high("r5e")
-    start = F.lit(math.log10(max(unigrams.ends, 1)))
-    scores = (
-        document_sums(packed, unigrams)
-        .join(backed, "key", "left")
-        .select(
-            "key",
-            (low("nk") / copies).cast("bigint").alias("n_tokens"),
-            (high("nk") / copies).cast("bigint").alias("n_known"),
-            F.lit(unigrams.tokens).cast("bigint").alias("train_tokens"),
-            (F.col("base") / copies).alias("base_score"),
-            ((F.col("rest") + F.coalesce("backed", F.lit(0.0)) + discounted) / copies - start).alias("score"),
-        )
-    )
-    held_out = (~F.col("train")).alias("held_out")
-    return named.select("id", "key", held_out).join(scores, "key").select(
-        F.col("id").alias(id), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
-    )
+    batches = bucketed(batches_of(named), "batch", "katz_batches", dealt=False)
+    tokens, n_words = (x or 0 for x in batches.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+    hot = part_tokens // 4
+    word_parts, parts = (max(1, math.ceil(n / part_tokens)) for n in (n_words, tokens))
+    words = stored(word_table(batches, word_parts, hot), "katz-words")
+    unigrams = unigrams_of(words)
+    answered = F.collect_list(F.struct("part", "counts")).alias("word_counts")
+    known = batches.drop("counts").join(words.where("batch IS NOT NULL").groupBy("batch").agg(answered), "batch")
+    pairs = stored(pair_table(known, unigrams, word_parts, parts, hot), "katz-pairs")
+    by_count = pairs.where("batch IS NULL").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(K + 1)]).first()
+    factors = discounts([x or 0 for x in by_count])
+    counted = pairs.where("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("part", "counts", "sums")).alias("pair_counts"))
+    whole = known.join(counted, "batch").join(hot_sums(words, pairs), "batch", "left")
+    names = [id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in rows:
+            for i, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                b = Batch(row, word_parts, parts, hot)
+                starts = np.cumsum(b.sizes) - b.sizes
+                base = np.log10((b.counts + 0.5) / (unigrams.tokens + 0.5 * (unigrams.words + 1)))
+                n = len(b.sizes)
+                ids = batch.column("ids").slice(i, 1).flatten()
+                columns = [
+                    ids,
+                    pa.array([not t for t in row["training"]], pa.bool_()),
+                    pa.array(b.sizes),
+                    pa.array(np.add.reduceat((b.counts > 0)[b.tokens].astype(np.int64), starts)),
+                    pa.array(np.full(n, unigrams.tokens)),
+                    pa.array(np.add.reduceat(base[b.tokens], starts)),
+                    pa.array(np.add.reduceat(token_scores(b, row, unigrams, factors), starts)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = ["boolean", "bigint", "bigint", "bigint", "double", "double"]
+    schema = named.select(F.col("id").alias(id), *[F.lit(None).cast(k).alias(n) for n, k in zip(names[1:], kinds)]).limit(0).schema
+    return whole.mapInArrow(run, schema)
