@@ -44,7 +44,7 @@ END, START = b"\n", b" "
 # Entries (words or pairs of batches) of a partition; a context with a quarter as many tokens is hot.
 PART_TOKENS = 3_000_000
 # Bytes of text of a batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 # What is added up for each context: how many words follow it once, ..., K times and more often, and what P gives to all of them.
 SUMS = K + 2
 
@@ -181,6 +181,13 @@ def cut_by(part) -> Iterator[tuple[int, int, int]]:
     return zip(part[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist())
 
 
+def single_rows(batches) -> Iterator[dict]:
+    """Rows of Arrow batches, one at a time: each holds megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def word_table(batches: DataFrame, parts: int, hot: int) -> DataFrame:
     """Counts of words over all batches, dealt by word.
 
@@ -193,7 +200,7 @@ def word_table(batches: DataFrame, parts: int, hot: int) -> DataFrame:
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for row in (r for batch in rows for r in batch.to_pylist()):
+        for row in single_rows(rows):
             hashes, counts = np.frombuffer(row["words"], "<i8"), unpacked(row["counts"], "<u4")
             part = parts_of(hashes, parts)
             order = np.argsort(part, kind="stable")
@@ -252,19 +259,28 @@ class Batch:
         order = np.argsort(parts_of(self.hashes, word_parts), kind="stable")
         self.counts = np.empty(len(self.hashes), dtype=np.int64)
         self.counts[order] = np.concatenate([unpacked(a["counts"], "<i8") for a in sorted(row["word_counts"], key=lambda a: a["part"])])
-        self.sizes, self.tokens = unpacked(row["sizes"], "<u4").astype(np.int64), unpacked(row["tokens"], "<u4").astype(np.int64)
-        context = np.roll(self.tokens, 1)
-        context[np.cumsum(self.sizes) - self.sizes] = 1
+        self.sizes, self.tokens = unpacked(row["sizes"], "<u4").astype(np.int64), unpacked(row["tokens"], "<u4").view(np.int32)
         n = len(self.hashes)
-        # Part of each pair, its number by context and word, and which pair each token is.
-        pairs, self.pair_of = np.unique(context * n + self.tokens, return_inverse=True)
-        context, word = np.divmod(pairs, n)
+        # Pairs are numbered by context and word; ``pair_of`` tells which each token is.
+        key = np.roll(self.tokens, 1).astype(np.int64)
+        key[np.cumsum(self.sizes) - self.sizes] = 1
+        key *= n
+        key += self.tokens
+        by_key = np.argsort(key, kind="stable")
+        key = key[by_key]
+        fresh = np.diff(key, prepend=-1) != 0
+        self.pair_of = np.empty(len(key), dtype=np.int32)
+        self.pair_of[by_key] = np.cumsum(fresh, dtype=np.int32) - 1
+        pairs = key[fresh]
+        del key, by_key, fresh
+        context, word = (x.astype(np.int32) for x in np.divmod(pairs, n))
+        del pairs
         self.is_hot = self.counts > hot
         part = parts_of(self.hashes, parts)[context]
         apart = self.is_hot[context]
         mixed = self.hashes.view(np.uint64)[context[apart]] * np.uint64(31) + self.hashes.view(np.uint64)[word[apart]]
         part[apart] = parts_of(mixed, parts)
-        self.order = np.argsort(part, kind="stable")
+        self.order = np.argsort(part, kind="stable").astype(np.int32)
         self.part, self.context, self.word = part[self.order], context[self.order], word[self.order]
         # In each part every context is one run of pairs.
         self.heads = np.flatnonzero((np.diff(self.part, prepend=-1) != 0) | (np.diff(self.context, prepend=-1) != 0))
@@ -285,7 +301,7 @@ def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: i
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for row in (r for batch in rows for r in batch.to_pylist()):
+        for row in single_rows(rows):
             b = Batch(row, word_parts, parts, hot)
             train = np.repeat(np.array(row["training"]), b.sizes)
             mine = np.bincount(b.pair_of, train, len(b.order)).astype(np.int64)[b.order]
@@ -370,7 +386,7 @@ def token_scores(b: Batch, row: dict, unigrams: Unigrams, factors: list[float]):
     import numpy as np
 
     answers = sorted(row["pair_counts"], key=lambda a: a["part"])
-    counts = np.concatenate([unpacked(a["counts"], "<u4") for a in answers]).astype(np.int64)
+    counts = np.concatenate([unpacked(a["counts"], "<u4") for a in answers]).view(np.int32)
     sums = np.concatenate([unpacked(a["sums"], "<f8") for a in answers]).reshape(-1, SUMS)
     context = b.context[b.heads]
     of_context = np.zeros((len(b.hashes), SUMS))
@@ -419,7 +435,7 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_to
         import numpy as np
 
         for batch in rows:
-            for i, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+            for i, row in enumerate(single_rows([batch.drop_columns(["ids"])])):
                 b = Batch(row, word_parts, parts, hot)
                 starts = np.cumsum(b.sizes) - b.sizes
                 base = np.log10((b.counts + 0.5) / (unigrams.tokens + 0.5 * (unigrams.words + 1)))
