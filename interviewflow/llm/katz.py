@@ -42,7 +42,7 @@ FOLDS, HELD_OUT = 5, 1
 # White space cannot be in a word, so these two texts are none; they are the first two words of each batch.
 END, START = b"\n", b" "
 # Entries (words or pairs of batches) of a partition; a context with a quarter as many tokens is hot.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
 # Bytes of text of a batch.
 BATCH_BYTES = 8 << 20
 # What is added up for each context: how many words follow it once, ..., K times and more often, and what P gives to all of them.
