@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from interviewflow.llm.store import stored
+from interviewflow.llm.store import rows_at_once, stored
 from interviewflow.llm.worker import byte_texts, slices
 from interviewflow.session import bucketed
 
@@ -45,6 +45,8 @@ END, START = b"\n", b" "
 PART_TOKENS = 1_000_000
 # Bytes of text of a batch.
 BATCH_BYTES = 8 << 20
+# Documents that a worker gets at once.
+TEXTS_AT_ONCE = 1000
 # What is added up for each context: how many words follow it once, ..., K times and more often, and what P gives to all of them.
 SUMS = K + 2
 
@@ -136,31 +138,46 @@ def batches_of(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in slices(rows, 1, BATCH_BYTES):
-            local: dict[bytes, int] = {END: 0, START: 1}
-            number = local.setdefault
-            cells, sizes = [], []
-            for whole in byte_texts(batch.column(1)):
-                own = [number(w, len(local)) for w in whole.lower().split()]
-                cells += [np.array(own, dtype=np.uint32), np.zeros(1, dtype=np.uint32)]
-                sizes.append(len(own) + 1)
-            if not sizes:
-                continue
-            tokens, sizes = np.concatenate(cells), np.array(sizes)
-            train = batch.column(2).to_numpy(zero_copy_only=False)
-            counts = np.bincount(tokens, np.repeat(train, sizes), len(local)).astype(np.int64)
+        local: dict[bytes, int] = {END: 0, START: 1}
+        cells: list = []
+        sizes: list[int] = []
+        about: list = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            ids, training = (pa.concat_arrays([b.column(i) for b in about]) for i in (0, 1))
+            tokens, lengths = np.concatenate(cells), np.array(sizes)
+            train = training.to_numpy(zero_copy_only=False)
+            counts = np.bincount(tokens, np.repeat(train, lengths), len(local)).astype(np.int64)
             # A training document begins once.
             counts[1] = train.sum()
             hashes = np.array([word_hash(w) for w in local], dtype=np.int64)
-            one = pa.array([0, len(sizes)], pa.int32())
+            one = pa.array([0, len(lengths)], pa.int32())
+            binaries = (packed(lengths, "<u4"), packed(tokens, "<u4"), hashes.tobytes(), packed(counts, "<u4"))
             columns = [
                 pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64()),
-                *[pa.ListArray.from_arrays(one, batch.column(i)) for i in (0, 2)],
+                *[pa.ListArray.from_arrays(one, c) for c in (ids, training)],
                 pa.array([len(tokens)], pa.int64()),
                 pa.array([len(local)], pa.int64()),
-                *[pa.array([x], pa.binary()) for x in (packed(sizes, "<u4"), packed(tokens, "<u4"), hashes.tobytes(), packed(counts, "<u4"))],
+                *[pa.array([x], pa.binary()) for x in binaries],
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in slices(rows, 1, BATCH_BYTES // 4):
+            number = local.setdefault
+            for whole in byte_texts(batch.column(1)):
+                own = [number(w, len(local)) for w in whole.lower().split()]
+                cells += [np.array(own, dtype=np.uint32), np.zeros(1, dtype=np.uint32)]
+                sizes.append(len(own) + 1)
+                held += len(whole)
+            about.append(batch.select(["id", "train"]))
+            if held >= BATCH_BYTES:
+                yield made()
+                local, held = {END: 0, START: 1}, 0
+                for x in (cells, sizes, about):
+                    x.clear()
+        if sizes:
+            yield made()
 
     wide = docs.select(F.lit(0).cast("bigint").alias("batch"), F.array("id").alias("ids"), F.array("train").alias("training"))
     more = {c: F.lit(0).cast("bigint") for c in ("n_tokens", "n_words")} | {c: F.lit(b"") for c in names[5:]}
@@ -416,7 +433,8 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_to
     import pyarrow as pa
 
     named = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), in_training(id).alias("train"))
-    batches = bucketed(batches_of(named), "batch", "katz_batches", dealt=False)
+    with rows_at_once(docs.sparkSession, TEXTS_AT_ONCE):
+        batches = bucketed(batches_of(named), "batch", "katz_batches", dealt=False)
     tokens, n_words = (x or 0 for x in batches.agg(F.sum("n_tokens"), F.sum("n_words")).first())
     hot = part_tokens // 4
     word_parts, parts = (max(1, math.ceil(n / part_tokens)) for n in (n_words, tokens))
@@ -424,7 +442,8 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_to
     unigrams = unigrams_of(words)
     answered = F.collect_list(F.struct("part", "counts")).alias("word_counts")
     known = batches.drop("counts").join(words.where("batch IS NOT NULL").groupBy("batch").agg(answered), "batch")
-    pairs = stored(pair_table(known, unigrams, word_parts, parts, hot), "katz-pairs")
+    with rows_at_once(docs.sparkSession, 1):
+        pairs = stored(pair_table(known, unigrams, word_parts, parts, hot), "katz-pairs")
     by_count = pairs.where("batch IS NULL").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(K + 1)]).first()
     factors = discounts([x or 0 for x in by_count])
     counted = pairs.where("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("part", "counts", "sums")).alias("pair_counts"))

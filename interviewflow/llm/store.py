@@ -7,7 +7,10 @@ reads them any more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from interviewflow.session import shared_path
 
@@ -23,6 +26,18 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return table
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs that run inside send at most ``n`` rows to a Python worker at once: few megabytes, where rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(*tables: DataFrame) -> None:
     """Removes stored tables; frames built on them must have been computed."""
     for table in tables:
