@@ -47,8 +47,11 @@ def open_quote(line: Column | str, sep: str) -> Column:
     Quotes elsewhere, as in ``5" tall``, are text.
     """
     mark = re.escape(sep)
-    rest = F.regexp_replace(line, rf'(^|{mark})"(?:[^"]|"")*+"(?={mark}|$)', "$1")
-    return F.coalesce(rest.rlike(rf'(?:^|{mark})"'), F.lit(False))
+    text = F.col(line) if isinstance(line, str) else line
+    rest = F.regexp_replace(text, rf'(^|{mark})"(?:[^"]|"")*+"(?={mark}|$)', "$1")
+    # Most lines have no cell that begins with a quote, and are looked at no further.
+    some = text.startswith('"') | text.contains(f'{sep}"')
+    return F.coalesce(some & rest.rlike(rf'(?:^|{mark})"'), F.lit(False))
 
 
 def lines_of(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", **options) -> DataFrame:
@@ -61,7 +64,8 @@ def lines_of(spark: SparkSession, path: str | list[str], encoding: str = "utf-8"
 def line_states(sep: str) -> list[Column]:
     """``out, inside``: whether a cell is open behind the line, if none or one was open before it."""
     text = F.regexp_replace("value", r"\r$", "")
-    return [open_quote(text, sep).alias("out"), open_quote(F.concat(F.lit('"'), text), sep).alias("inside")]
+    going_on = F.when(F.col("value").contains('"'), open_quote(F.concat(F.lit('"'), text), sep)).otherwise(F.lit(True))
+    return [open_quote(text, sep).alias("out"), going_on.alias("inside")]
 
 
 def composed(out, inside) -> tuple[bool, bool]:
