@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from interviewflow.llm.store import rows_at_once, stored
+from interviewflow.llm.store import release, rows_at_once, shuffles_end_with_jobs, stored
 from interviewflow.llm.worker import byte_texts, slices
 from interviewflow.session import bucketed
 
@@ -428,21 +428,24 @@ def token_scores(b: Batch, row: dict, unigrams: Unigrams, factors: list[float]):
 def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_tokens: int = PART_TOKENS) -> DataFrame:
     """One row per document: ``held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Batches and counts are written to the shared folder by jobs that run at once.
+    Batches, counts and scores are written to the shared folder by jobs that run
+    at once; the counts go when the scores are there.
     """
     import pyarrow as pa
 
+    spark = docs.sparkSession
     named = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), in_training(id).alias("train"))
-    with rows_at_once(docs.sparkSession, TEXTS_AT_ONCE):
+    with rows_at_once(spark, TEXTS_AT_ONCE):
         batches = bucketed(batches_of(named), "batch", "katz_batches", dealt=False)
     tokens, n_words = (x or 0 for x in batches.agg(F.sum("n_tokens"), F.sum("n_words")).first())
     hot = part_tokens // 4
     word_parts, parts = (max(1, math.ceil(n / part_tokens)) for n in (n_words, tokens))
-    words = stored(word_table(batches, word_parts, hot), "katz-words")
+    with shuffles_end_with_jobs(spark):
+        words = stored(word_table(batches, word_parts, hot), "katz-words")
     unigrams = unigrams_of(words)
     answered = F.collect_list(F.struct("part", "counts")).alias("word_counts")
     known = batches.drop("counts").join(words.where("batch IS NOT NULL").groupBy("batch").agg(answered), "batch")
-    with rows_at_once(docs.sparkSession, 1):
+    with rows_at_once(spark, 1), shuffles_end_with_jobs(spark):
         pairs = stored(pair_table(known, unigrams, word_parts, parts, hot), "katz-pairs")
     by_count = pairs.where("batch IS NULL").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(K + 1)]).first()
     factors = discounts([x or 0 for x in by_count])
@@ -473,4 +476,7 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_to
 
     kinds = ["boolean", "bigint", "bigint", "bigint", "double", "double"]
     schema = named.select(F.col("id").alias(id), *[F.lit(None).cast(k).alias(n) for n, k in zip(names[1:], kinds)]).limit(0).schema
-    return whole.mapInArrow(run, schema)
+    with rows_at_once(spark, 1), shuffles_end_with_jobs(spark):
+        scores = stored(whole.mapInArrow(run, schema), "katz-scores")
+    release(words, pairs)
+    return scores

@@ -27,17 +27,28 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
 
 
 @contextmanager
-def rows_at_once(spark: SparkSession, n: int) -> Iterator[None]:
-    """Jobs that run inside send at most ``n`` rows to a Python worker at once: few megabytes, where rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def rows_at_once(spark: SparkSession, n: int):
+    """Jobs that run inside send at most ``n`` rows to a Python worker at once: few megabytes, where rows are large."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
+def shuffles_end_with_jobs(spark: SparkSession):
+    """Shuffle files of jobs that run inside are removed when their job ends, not when the driver collects garbage.
+
+    For jobs that write a table: what they wrote is read afterwards, never their shuffles.
+    """
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def release(*tables: DataFrame) -> None:
     """Removes stored tables; frames built on them must have been computed."""
     for table in tables:
