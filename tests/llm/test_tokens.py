@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import by_id, documents, katz, sha  # noqa: E402
 
-from interviewflow.llm import bpe, katz as model, lengths  # noqa: E402
+from interviewflow.llm import bpe, katz as model, lengths, store  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["a", "b", "l", "s", "'", " ", "  ", "\n", "1", "é", "中", "😀", "!", "'s", "'ll", "<|endoftext|>", "<|end", "the", "\t", "A", "ing"]
@@ -120,6 +120,24 @@ def test_katz_without_training_documents(spark):
     assert model.katz_scores(documents(spark, [])).collect() == []
 
 
+def test_scores_are_read_again_and_leave_settings_as_they_were(spark):
+    """Shuffles and counts are gone by then; the scores are a table of their own."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before = [spark.conf.get(k) for k in keys]
+    scores = model.katz_scores(documents(spark, [(i, f"a b{i % 7} c") for i in range(200)]))
+    assert sorted(scores.collect()) == sorted(scores.collect()) and scores.count() == 200
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_settings_come_back_after_an_error(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), store.rows_at_once(spark, 3), store.shuffles_end_with_jobs(spark):
+        assert spark.conf.get(key) == "3"
+        raise ValueError
+    assert spark.conf.get(key) == before
+
+
 def test_discounts():
     assert model.discounts([100, 40, 20, 12, 8, 5]) == pytest.approx(
         [((r + 1) * n[r] / (r * n[r - 1]) - 0.3) / 0.7 for n in [[100, 40, 20, 12, 8, 5]] for r in range(1, 6)]
