@@ -16,7 +16,10 @@ its tokens from the highest order down. What moves is one entry per different
 word or pair of a batch, however many partitions there are. The pairs of a hot
 context are dealt by pair, and the sums of their parts meet once per context.
 
-Words are told apart by 64-bit hashes, those after one context by 48 bits.
+Words are told apart by 64-bit hashes when they are counted. From there on a
+word is known by its count and its number among the words of this count, which
+is exact and takes little room: frequent words have small numbers, others small
+counts.
 Null text: empty, so one end token. Null id: in training. Repeated rows count
 and are scored each. Without training tokens every word has probability 1.
 Empty tables give empty results; other columns are not read.
@@ -49,6 +52,8 @@ BATCH_BYTES = 8 << 20
 TEXTS_AT_ONCE = 1000
 # What is added up for each context: how many words follow it once, ..., K times and more often, and what P gives to all of them.
 SUMS = K + 2
+# The words of a row that are hot, each known by its count and its number among the words of this count.
+HOT_WORDS = "array<struct<count:bigint,number:bigint>>"
 
 
 def discounts(counts_of_counts: list[int], k: int = K) -> list[float]:
@@ -205,15 +210,22 @@ def single_rows(batches) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def hot_words(counts, numbers) -> list[dict]:
+    return [{"count": c, "number": m} for c, m in zip(counts.tolist(), numbers.tolist())]
+
+
 def word_table(batches: DataFrame, parts: int, hot: int) -> DataFrame:
     """Counts of words over all batches, dealt by word.
 
-    One row for each batch and part: ``counts`` of its words there, in their
-    order, and which of them are ``hot``. Rows without a batch have ``stats``:
-    tokens, words, and how many words have each count from 1 to ``K + 1``.
+    One row for each batch and part: ``counts`` of its words there and their
+    ``numbers`` among the words of equal count, in their order, and both of those
+    that are ``hot``. Rows without a batch have ``stats``: tokens, words, and how
+    many words have each count from 1 to ``K + 1``.
     """
     import pyarrow as pa
 
+    word_list = pa.list_(pa.struct([("count", pa.int64()), ("number", pa.int64())]))
+
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -232,8 +244,13 @@ def word_table(batches: DataFrame, parts: int, hot: int) -> DataFrame:
         sizes = [len(h) for h in hashes]
         words, at = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpacked(x.as_py(), "<u4") for x in group.column("counts")])).astype(np.int64)
+        by_count = np.argsort(total, kind="stable")
+        ranked = total[by_count]
+        number = np.empty(len(total), dtype=np.int64)
+        # No two parts give the same number.
+        number[by_count] = (np.arange(len(total)) - np.searchsorted(ranked, ranked)) * parts + key[0].as_py()
         ends = np.cumsum(sizes)
-        own = [(total[at[e - n : e]], h) for e, n, h in zip(ends, sizes, hashes)]
+        own = [(total[i], number[i]) for i in (at[e - n : e] for e, n in zip(ends, sizes))]
         real = total[words != word_hash(START)]
         stats = [int(real.sum()), int((real > 0).sum()), *[int((real == r).sum()) for r in range(1, K + 2)]]
         n = len(own)
@@ -242,15 +259,17 @@ def word_table(batches: DataFrame, parts: int, hot: int) -> DataFrame:
                 pa.array([*group.column("batch").to_pylist(), None], pa.int64()),
                 pa.array([key[0].as_py()] * (n + 1), pa.int64()),
                 pa.array([*[packed(c, "<i8") for c, _ in own], None], pa.binary()),
-                pa.array([*[h[c > hot].tolist() for c, h in own], None], pa.list_(pa.int64())),
+                pa.array([*[packed(m, "<i8") for _, m in own], None], pa.binary()),
+                pa.array([*[hot_words(c[c > hot], m[c > hot]) for c, m in own], None], word_list),
                 pa.array([*[None] * n, stats], pa.list_(pa.int64())),
             ],
-            names=["batch", "part", "counts", "hot", "stats"],
+            names=["batch", "part", "counts", "numbers", "hot", "stats"],
         )
 
     asked = batches.select("batch", "words", "counts").mapInArrow(ask, "part bigint, batch bigint, words binary, counts binary")
     dealt = asked.repartition(parts, "part").groupBy("part")
-    return dealt.applyInArrow(answer, "batch bigint, part bigint, counts binary, hot array<bigint>, stats array<bigint>")
+    kinds = f"batch bigint, part bigint, counts binary, numbers binary, hot {HOT_WORDS}, stats array<bigint>"
+    return dealt.applyInArrow(answer, kinds)
 
 
 def unigrams_of(words: DataFrame) -> Unigrams:
@@ -274,8 +293,10 @@ class Batch:
 
         self.hashes = np.frombuffer(row["words"], "<i8")
         order = np.argsort(parts_of(self.hashes, word_parts), kind="stable")
-        self.counts = np.empty(len(self.hashes), dtype=np.int64)
-        self.counts[order] = np.concatenate([unpacked(a["counts"], "<i8") for a in sorted(row["word_counts"], key=lambda a: a["part"])])
+        answers = sorted(row["word_counts"], key=lambda a: a["part"])
+        self.counts, self.numbers = (np.empty(len(self.hashes), dtype=np.int64) for _ in range(2))
+        self.counts[order] = np.concatenate([unpacked(a["counts"], "<i8") for a in answers])
+        self.numbers[order] = np.concatenate([unpacked(a["numbers"], "<i8") for a in answers])
         self.sizes, self.tokens = unpacked(row["sizes"], "<u4").astype(np.int64), unpacked(row["tokens"], "<u4").view(np.int32)
         n = len(self.hashes)
         # Pairs are numbered by context and word; ``pair_of`` tells which each token is.
@@ -303,6 +324,25 @@ class Batch:
         self.heads = np.flatnonzero((np.diff(self.part, prepend=-1) != 0) | (np.diff(self.context, prepend=-1) != 0))
 
 
+def changed(cells):
+    """Where a cell of an array differs from the one before."""
+    import numpy as np
+
+    return np.append(True, cells[1:] != cells[:-1])[: len(cells)]
+
+
+def distinct_words(counts, numbers):
+    """Counts and numbers of the different words, and which of them each entry is."""
+    import numpy as np
+
+    order = np.lexsort((numbers, counts))
+    fresh = changed(counts[order]) | changed(numbers[order])
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    return counts[first], numbers[first], at
+
+
 def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: int, hot: int) -> DataFrame:
     """Counts of pairs over all batches, dealt by context (pairs of a hot one by both words).
 
@@ -313,7 +353,8 @@ def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: i
     """
     import pyarrow as pa
 
-    asked_names = ["part", "batch", "contexts", "runs", "words", "mine", "below", "hot"]
+    asked_names = ["part", "batch", "context_counts", "contexts", "runs", "below", "words", "mine"]
+    word_list = pa.list_(pa.struct([("count", pa.int64()), ("number", pa.int64())]))
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -328,12 +369,12 @@ def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: i
                 context = b.context[b.heads[first:last]]
                 word = b.word[low:high]
                 cells = [
-                    b.hashes[context].tobytes(),
+                    packed(b.counts[context], "<i8"),
+                    packed(b.numbers[context], "<i8"),
                     packed(runs[first:last], "<u4"),
-                    packed(b.hashes.view(np.uint64)[word] >> np.uint64(16), "<u8"),
-                    packed(mine[low:high], "<u4"),
                     packed(b.counts[word], "<i8"),
-                    packed(b.is_hot[context], "u1"),
+                    packed(b.numbers[word], "<i8"),
+                    packed(mine[low:high], "<u4"),
                 ]
                 columns = [pa.array([part], pa.int64()), pa.array([row["batch"]], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]]
                 yield pa.RecordBatch.from_arrays(columns, names=asked_names)
@@ -344,28 +385,25 @@ def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: i
         def column(name, dtype):
             return [unpacked(x.as_py(), dtype) for x in group.column(name)]
 
-        contexts = [np.frombuffer(x.as_py(), "<i8") for x in group.column("contexts")]
-        runs, words = column("runs", "<u4"), column("words", "<u8")
+        contexts, runs, words = column("contexts", "<i8"), column("runs", "<u4"), column("words", "<i8")
         n_contexts, n_pairs = [len(c) for c in contexts], [len(w) for w in words]
-        known, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
+        known_count, known, context_at = distinct_words(np.concatenate(column("context_counts", "<i8")), np.concatenate(contexts))
         context = np.repeat(context_at, np.concatenate(runs))
-        word = np.concatenate(words)
+        word, below = np.concatenate(words), np.concatenate(column("below", "<i8"))
         del words, runs, contexts
-        order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        heads = np.flatnonzero((np.diff(context, prepend=-1) != 0) | np.append(True, word[1:] != word[:-1]))
-        context = context[heads]
+        order = np.lexsort((word, below, context))
+        context, word, below = context[order], word[order], below[order]
+        heads = np.flatnonzero(changed(context) | changed(word) | changed(below))
+        context, below = context[heads], unigrams.mass(below[heads]) / max(unigrams.tokens, 1)
         del word
         total = np.add.reduceat(np.concatenate(column("mine", "<u4")).astype(np.int64)[order], heads)
-        below = unigrams.mass(np.concatenate(column("below", "<i8"))[order[heads]]) / max(unigrams.tokens, 1)
         counts = np.empty(len(order), dtype=np.int64)
         counts[order] = np.repeat(total, np.diff(np.append(heads, len(order))))
         del order
         kinds = [np.bincount(context, total == r, len(known)) for r in range(1, K + 1)]
         kinds += [np.bincount(context, total > K, len(known)), np.bincount(context, np.where(total > 0, below, 0.0), len(known))]
         sums = np.stack(kinds, axis=1)
-        is_hot = np.zeros(len(known), dtype=bool)
-        is_hot[context_at[np.concatenate(column("hot", "u1")) > 0]] = True
+        is_hot = known_count > hot
         stats = [int((total == r).sum()) for r in range(1, K + 2)]
         n, pair_ends, context_ends = len(n_pairs), np.cumsum(n_pairs), np.cumsum(n_contexts)
         own = [packed(counts[e - m : e], "<u4") for e, m in zip(pair_ends, n_pairs)]
@@ -377,7 +415,7 @@ def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: i
                 pa.array([*own, None], pa.binary()),
                 pa.array([*of_contexts, None], pa.binary()),
                 pa.array([*[None] * n, stats], pa.list_(pa.int64())),
-                pa.array([*[None] * n, known[is_hot].tolist()], pa.list_(pa.int64())),
+                pa.array([*[None] * n, hot_words(known_count[is_hot], known[is_hot])], word_list),
                 pa.array([*[None] * n, sums[is_hot].tolist()], pa.list_(pa.list_(pa.float64()))),
             ],
             names=["batch", "part", "counts", "sums", "stats", "hot", "hot_sums"],
@@ -385,7 +423,8 @@ def pair_table(batches: DataFrame, unigrams: Unigrams, word_parts: int, parts: i
 
     binaries = ", ".join(f"{n} binary" for n in asked_names[2:])
     asked = batches.mapInArrow(ask, f"part bigint, batch bigint, {binaries}")
-    kinds = "batch bigint, part bigint, counts binary, sums binary, stats array<bigint>, hot array<bigint>, hot_sums array<array<double>>"
+    kinds = "batch bigint, part bigint, counts binary, sums binary, stats array<bigint>"
+    kinds += f", hot {HOT_WORDS}, hot_sums array<array<double>>"
     return asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, kinds)
 
 
@@ -408,9 +447,9 @@ def token_scores(b: Batch, row: dict, unigrams: Unigrams, factors: list[float]):
     context = b.context[b.heads]
     of_context = np.zeros((len(b.hashes), SUMS))
     of_context[context] = sums
-    hot = {h["v"]: h["sums"] for h in row["hot_contexts"] or []}
+    hot = {(h["v"]["count"], h["v"]["number"]): h["sums"] for h in row["hot_contexts"] or []}
     for v in np.unique(context[b.is_hot[context]]).tolist():
-        of_context[v] = hot[int(b.hashes[v])]
+        of_context[v] = hot[int(b.counts[v]), int(b.numbers[v])]
     left = of_context[:, :K] @ np.array([(1 - d) * r for r, d in enumerate(factors, 1)]) + DELTA * of_context[:, K]
     free = 1 - of_context[:, K + 1]
     followed = of_context[:, : K + 1].sum(axis=1) > 0
@@ -443,7 +482,7 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", part_to
     with shuffles_end_with_jobs(spark):
         words = stored(word_table(batches, word_parts, hot), "katz-words")
     unigrams = unigrams_of(words)
-    answered = F.collect_list(F.struct("part", "counts")).alias("word_counts")
+    answered = F.collect_list(F.struct("part", "counts", "numbers")).alias("word_counts")
     known = batches.drop("counts").join(words.where("batch IS NOT NULL").groupBy("batch").agg(answered), "batch")
     with rows_at_once(spark, 1), shuffles_end_with_jobs(spark):
         pairs = stored(pair_table(known, unigrams, word_parts, parts, hot), "katz-pairs")
