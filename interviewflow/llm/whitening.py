@@ -15,13 +15,18 @@ length (the longer one of two equally frequent). Repeated rows count as often as
 stand there, null and repeated ids are kept. Components without variance are
 left out, so fewer than ``k`` come back for few or equal vectors. An empty table
 gives an empty result. Columns other than id and vector are not read.
+
+Sums and deviations are exact for any number of vectors: they are decimals of 38
+digits, for which 64 bits are too few from some ten million vectors on. A
+deviation of more digits is null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from interviewflow.llm.store import stored
@@ -38,6 +43,9 @@ CERTIFIED = 4e-13
 NOTHING = 1e-12
 # Vectors of one product.
 ROWS = 8192
+# Entries are added up in two parts, of which the lower one has so many bits.
+LOW = 20
+EXACT = "decimal(38,0)"
 
 
 def scaled_vectors(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -79,6 +87,31 @@ def summed(rows: DataFrame, kind: str, of, shape: tuple[int, ...], column: str =
     return out.reshape(shape)
 
 
+def exact_sums(rows: DataFrame, d: int) -> list[int]:
+    """The sum of each dimension."""
+    import numpy as np
+
+    def of(x):
+        return np.stack([(x >> LOW).sum(axis=0), (x & ((1 << LOW) - 1)).sum(axis=0)], axis=1)
+
+    return [(high << LOW) + low for high, low in summed(rows, "bigint", of, (d, 2)).tolist()]
+
+
+def exact(number: int) -> Column:
+    return F.lit(Decimal(number)).cast(EXACT)
+
+
+def deviation(x: Column, sums: list[int], n: int) -> Column:
+    """The sum over dimensions of ``(n x - S)^2``."""
+
+    def squared(entry: Column, total: Column) -> Column:
+        apart = F.try_subtract(F.try_multiply(exact(n), entry.cast(EXACT)), total)
+        return F.try_multiply(apart, apart)
+
+    squares = F.zip_with(x, F.array(*[exact(s) for s in sums]), squared)
+    return F.aggregate(squares, exact(0), lambda a, b: F.try_add(a, b).cast(EXACT))
+
+
 def covariance_times(rows: DataFrame, mean, block, n: int):
     """``V block`` by one pass: centred vectors times the block, and back."""
 
@@ -156,11 +189,11 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
     rows = rows.where(F.size("x") == d)
     n = rows.count() if d else 0
     if not n:
-        empty = rows.withColumns({"n": F.lit(0).cast("bigint"), "deviation": F.lit(0).cast("bigint"), "identity_error": F.lit(0.0)})
+        empty = rows.withColumns({"n": F.lit(0).cast("bigint"), "deviation": exact(0), "identity_error": F.lit(0.0)})
         empty = empty.withColumns({c: F.array().cast("array<double>") for c in ("whitened", "explained")})
         return empty.where("false").select(F.col("id").alias(id), "n", "deviation", "whitened", "explained", "identity_error")
-    sums = summed(rows, "bigint", lambda x: x.sum(axis=0), (d,))
-    mean = np.array([int(s) / n for s in sums])
+    sums = exact_sums(rows, d)
+    mean = np.array([s / n for s in sums])
     trace = float(summed(rows, "double", lambda x: ((x - mean) ** 2).sum(axis=0), (d,)).sum()) / n
     values, parts, _ = leading_components(lambda block: covariance_times(rows, mean, block, n), d, k)
     some = values > NOTHING * max(trace, 0.0)
@@ -172,12 +205,10 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
         moments = summed(projected.select(F.col("whitened").alias("x")), "double", second_moments, (size, size + 1))
         centre = moments[:, -1] / n
         error = float(np.abs(moments[:, :-1] / n - np.outer(centre, centre) - np.eye(size)).max())
-    total = F.array(*[F.lit(int(s)).cast("bigint") for s in sums])
-    apart = F.zip_with("x", total, lambda x, s: (n * x - s) * (n * x - s))
     return projected.select(
         F.col("id").alias(id),
         F.lit(n).cast("bigint").alias("n"),
-        F.aggregate(apart, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("deviation"),
+        deviation(F.col("x"), sums, n).alias("deviation"),
         "whitened",
         F.array(*[F.lit(float(v / trace)) for v in values]).cast("array<double>").alias("explained"),
         F.lit(error).alias("identity_error"),
@@ -210,13 +241,13 @@ def projections(rows: DataFrame, mean, parts) -> DataFrame:
 
 
 def whitening_digest(vectors: DataFrame) -> DataFrame:
-    """One row per kept vector and component, numbered from 1."""
+    """One row per kept vector and component, numbered from 1; a deviation beyond 64 bits is null here."""
     long = whiten(vectors).select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
     return long.select(
         "vec_id",
         (F.col("at") + 1).cast("int").alias("component"),
         "n",
-        "deviation",
+        F.col("deviation").try_cast("bigint").alias("deviation"),
         "whitened",
         F.col("explained")[F.col("at")].alias("explained"),
         "identity_error",

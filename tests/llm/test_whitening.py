@@ -63,6 +63,21 @@ def test_vectors_without_spread(spark):
     assert abs(sum(r.whitened for r in line)) < 1e-9 and abs(line[0].explained - 1) < 1e-12
 
 
+def test_deviations_beyond_64_bits(spark):
+    """As they are for many millions of vectors; what has no room in the column of the query is null there."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal((40, 3)) * 2.0**38, np.zeros((400, 3))]).astype(np.float32)
+    docs = vectors(spark, [(i, [float(c) for c in row]) for i, row in enumerate(x)])
+    deviation, _, _ = dense(x, 3)
+    found = sorted(whitening.whiten(docs).collect(), key=lambda r: r.vec_id)
+    assert [r.deviation for r in found] == deviation and max(deviation) > 1 << 64
+    long = whitening.whitening_digest(docs).where("component = 1")
+    assert {r.vec_id: r.deviation for r in long.collect()} == {i: v if v < 1 << 63 else None for i, v in enumerate(deviation)}
+    x = spark.createDataFrame([([1, 2],), ([(1 << 50) - 1, 5],), (None,)], "x array<bigint>").where("x IS NOT NULL")
+    many = whitening.exact_sums(x.crossJoin(spark.range(20_000)).repartition(1), 2)
+    assert many == [20_000 << 50, 7 * 20_000]
+
+
 def test_filter_damps_what_it_should():
     """Steps of the polynomial, not of a plain power iteration, reach close eigenvalues."""
     rng = np.random.default_rng(1)
