@@ -16,9 +16,9 @@ stand there, null and repeated ids are kept. Components without variance are
 left out, so fewer than ``k`` come back for few or equal vectors. An empty table
 gives an empty result. Columns other than id and vector are not read.
 
-Sums and deviations are exact for any number of vectors: they are decimals of 38
-digits, for which 64 bits are too few from some ten million vectors on. A
-deviation of more digits is null.
+Sums and deviations are exact for any number of vectors: 64 bits are too few for
+deviations from some million vectors on, which are then added up as decimals of
+38 digits. A deviation of more digits is null.
 """
 
 from __future__ import annotations
@@ -101,8 +101,12 @@ def exact(number: int) -> Column:
     return F.lit(Decimal(number)).cast(EXACT)
 
 
-def deviation(x: Column, sums: list[int], n: int) -> Column:
-    """The sum over dimensions of ``(n x - S)^2``."""
+def deviation(x: Column, sums: list[int], n: int, least: int, most: int) -> Column:
+    """The sum over dimensions of ``(n x - S)^2``; entries lie between ``least`` and ``most``, which tells if 64 bits are enough."""
+    if max(n * max(abs(least), abs(most)), len(sums) * (n * (most - least)) ** 2) < 1 << 63:
+        total = F.array(*[F.lit(s).cast("bigint") for s in sums])
+        squares = F.zip_with(x, total, lambda entry, s: (n * entry - s) * (n * entry - s))
+        return F.aggregate(squares, F.lit(0).cast("bigint"), lambda a, b: a + b).cast(EXACT)
 
     def squared(entry: Column, total: Column) -> Column:
         apart = F.try_subtract(F.try_multiply(exact(n), entry.cast(EXACT)), total)
@@ -187,7 +191,7 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
     rows = stored(scaled_vectors(vectors, id, vector), "whitening-vectors")
     d = usual_length(rows)
     rows = rows.where(F.size("x") == d)
-    n = rows.count() if d else 0
+    n, least, most = rows.agg(F.count(F.lit(1)), F.min(F.array_min("x")), F.max(F.array_max("x"))).first() if d else (0, 0, 0)
     if not n:
         empty = rows.withColumns({"n": F.lit(0).cast("bigint"), "deviation": exact(0), "identity_error": F.lit(0.0)})
         empty = empty.withColumns({c: F.array().cast("array<double>") for c in ("whitened", "explained")})
@@ -208,7 +212,7 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
     return projected.select(
         F.col("id").alias(id),
         F.lit(n).cast("bigint").alias("n"),
-        deviation(F.col("x"), sums, n).alias("deviation"),
+        deviation(F.col("x"), sums, n, least, most).alias("deviation"),
         "whitened",
         F.array(*[F.lit(float(v / trace)) for v in values]).cast("array<double>").alias("explained"),
         F.lit(error).alias("identity_error"),
