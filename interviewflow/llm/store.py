@@ -7,12 +7,9 @@ reads them any more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
-from interviewflow.session import shared_path
+from interviewflow.session import setting, shared_path, shuffles_end_with_jobs  # noqa: F401, the operators take it from here
 
 
 def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -26,27 +23,9 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return table
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def rows_at_once(spark: SparkSession, n: int):
     """Jobs that run inside send at most ``n`` rows to a Python worker at once: few megabytes, where rows are large."""
-    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-
-
-def shuffles_end_with_jobs(spark: SparkSession):
-    """Shuffle files of jobs that run inside are removed when their job ends, not when the driver collects garbage.
-
-    For jobs that write a table: what they wrote is read afterwards, never their shuffles.
-    """
-    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 
 def release(*tables: DataFrame) -> None:

@@ -7,13 +7,16 @@ joined to the finished draw.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from interviewflow.defaults import SEED_NO_REUSE, SEED_WITH_REUSE
 from interviewflow.functions.columns import require_columns
+from interviewflow.functions.ids import int_id
 from interviewflow.functions.labels import label_of, status_text
 from interviewflow.functions.templates import render
 from interviewflow.functions.text import strip_ws
@@ -26,6 +29,11 @@ SHOT_NAMES = ("zero_shot_name", "one_shot_name")
 # people, 4,096 for the keys of one person.
 KEY_DIGITS = 4
 OWN_DIGITS = 3
+SLOTS = ("zero", "one")
+# Rows that share a transcript, gathered: their key, their other columns, and the compressed transcript.
+TALK, PICKS, PACKED = "__talk", "__picks", "__packed"
+# Bits of the numbers of picks that one row gathers.
+TALK_BITS = 6
 
 
 def _hash(*parts: Column) -> Column:
@@ -242,11 +250,101 @@ def fewshot_prompt(
         raise ValueError(f"mode is 'train' or 'test', not {mode!r}")
     fields = {"gender": gender_col, "transcript": transcript_col, "text": text_col}
     joined = attach_shots(df, pool, fields, key=key, row_key=row_key, strict=mode == "train", unique=unique)
-    inserted = [f"{shot}_{field}" for shot in ("zero", "one") for field in fields]
+    return _with_prompt(joined, body, mode, values, label_col, gender_col, transcript_col, out)
+
+
+def _with_prompt(joined: DataFrame, body: str, mode: str, values, label_col: str, gender_col: str, transcript_col: str, out: str) -> DataFrame:
+    """The prompt of rows with their exemplar fields, in place of these fields."""
+    inserted = [f"{shot}_{field}" for shot in SLOTS for field in ("gender", "transcript", "text")]
     filled = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in inserted}
     filled["gender"] = F.coalesce(F.col(gender_col), F.lit(""))
     filled["transcript"] = F.coalesce(F.col(transcript_col), F.lit(""))
     if mode == "train":
-        filled["status"] = status_text(label_of(df, label_col))
+        filled["status"] = status_text(label_of(joined, label_col))
     prompt = render(body, {**filled, **(values or {})}, template=mode, non_empty=())
     return joined.withColumn(out, strip_ws(prompt) if mode == "train" else prompt).drop(*inserted)
+
+
+def _each(text: Column, change) -> Column:
+    """``change`` (bytes to bytes) of a binary column."""
+
+    @F.arrow_udf("binary")
+    def run(cells: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else change(c) for c in cells.to_pylist()], pa.binary())
+
+    return run(text)
+
+
+def gather_talks(
+    rows: DataFrame, number: str, id_col: str = "Participant_ID", transcript_col: str = "Transcript"
+) -> DataFrame:
+    """One row per person and transcript: its key ``TALK``, the transcript once, and ``PICKS``, the other columns of its rows.
+
+    ``number`` tells the picks of a person apart; a row holds those of a block
+    of 64 numbers at most. Copies of a transcript meet before the shuffle.
+    ``PACKED`` is the transcript in the form in which it moves to prompts.
+    """
+    digest = F.coalesce(F.md5(F.col(transcript_col).cast("string").cast("binary")), F.lit("-"))
+    block = F.shiftright(int_id(F.col(number)), TALK_BITS).cast("string")
+    # The digest tells transcripts apart; person and block only spread those that many people share.
+    parts = [digest, F.coalesce(block, F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
+    rest = [F.col(c) for c in rows.columns if c != transcript_col]
+    talks = (
+        rows.withColumn(TALK, F.concat_ws(":", *parts))
+        .groupBy(TALK)
+        .agg(F.first(transcript_col).alias(transcript_col), F.collect_list(F.struct(*rest)).alias(PICKS))
+    )
+    return talks.withColumn(PACKED, _each(F.col(transcript_col).cast("string").cast("binary"), zlib.compress))
+
+
+def reuse_prompts(
+    talks: DataFrame,
+    body: str,
+    text_col: str,
+    values: Mapping[str, Column] | None = None,
+    seed: int = SEED_WITH_REUSE,
+    label_col: str = "PHQ_Binary",
+    gender_col: str = "Gender",
+    transcript_col: str = "Transcript",
+    id_col: str = "Participant_ID",
+    key: str = "name",
+    out: str = "prompt",
+) -> DataFrame:
+    """Training prompts of all picks of ``talks`` (``gather_talks``, in buckets of ``TALK``): ``shots_with_reuse``, then ``fewshot_prompt``.
+
+    An exemplar is looked up in the row of its talk, and goes from there to
+    the talk of the prompt: the only texts that move. Rows come dealt by ``TALK``.
+    """
+    columns = talks.schema[PICKS].dataType.elementType.names
+    keys = talks.select(TALK, F.explode(PICKS).alias("p")).select(TALK, *[f"p.{c}" for c in (label_col, id_col, key)])
+    drawn = shots_with_reuse(keys, label_col, id_col, key, seed)
+    slots = F.array(*[F.struct(F.lit(slot).alias("slot"), F.col(c).alias("shot")) for slot, c in zip(SLOTS, SHOT_NAMES)])
+    asked = drawn.select(F.col(TALK).alias("__to"), F.col(key).alias("__row"), F.explode(slots).alias("s"))
+    # The draw has refused repeated names.
+    named = keys.select(F.col(key).alias("shot"), TALK)
+    placed = spread_join(asked.select("__to", "__row", "s.slot", "s.shot"), named, "shot", "left")
+
+    def pick_of(name: str) -> Column:
+        return F.get(F.filter(PICKS, lambda p: p[key] == F.col(name)), F.lit(0))
+
+    met = spread_join(placed, talks.drop(transcript_col), TALK, "left").withColumn("__pick", pick_of("shot"))
+    fields = {"gender": F.col(f"__pick.{gender_col}"), "transcript": F.col(PACKED), "text": F.col(f"__pick.{text_col}")}
+    shot = F.when(F.col("__pick").isNotNull(), F.struct(*[c.alias(f) for f, c in fields.items()]))
+    # As many parts as the talks have buckets, so that these are read in place.
+    parts = int(talks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = met.select("__to", "__row", "slot", "shot", shot.alias("__shot")).repartition(parts, "__to")
+    mine = lambda slot, c: F.first(F.when(F.col("slot") == slot, F.col(c)), True)
+    shots = moved.groupBy("__to", "__row").agg(
+        *[mine(slot, c).alias(a) for slot, n in zip(SLOTS, SHOT_NAMES) for c, a in (("shot", n), ("__shot", f"__{slot}"))]
+    )
+    joined = spread_join(shots.withColumnRenamed("__to", TALK), talks.drop(PACKED), TALK).withColumn("__pick", pick_of("__row"))
+    own = {c: F.col(f"__pick.`{c}`") for c in columns} | {transcript_col: F.col(transcript_col)}
+    shown = []
+    for slot, name in zip(SLOTS, SHOT_NAMES):
+        missing = F.raise_error(F.concat(F.lit("no exemplar named "), F.coalesce(name, F.lit("null")))).cast("string")
+        found = F.col(f"__{slot}").isNotNull()
+        here = {f: F.col(f"__{slot}.{f}") for f in fields}
+        here["transcript"] = _each(here["transcript"], zlib.decompress).cast("string")
+        shown += [F.when(found, c).otherwise(missing).alias(f"{slot}_{f}") for f, c in here.items()]
+    rows = joined.select(TALK, *[c.alias(n) for n, c in own.items()], *SHOT_NAMES, *shown)
+    return _with_prompt(rows, body, "train", values, label_col, gender_col, transcript_col, out)

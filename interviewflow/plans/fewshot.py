@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from interviewflow.defaults import SEED_NO_REUSE, SEED_WITH_REUSE
 from interviewflow.functions.ids import exemplar_key
 from interviewflow.functions.text import token_count
-from interviewflow.operators.fewshot import fewshot_prompt, shots_no_reuse, shots_with_reuse
+from interviewflow.operators.fewshot import SHOT_NAMES, TALK, fewshot_prompt, gather_talks, reuse_prompts, shots_no_reuse
 from interviewflow.operators.generate import Generator, generate_repeats, merge_results, run_resumable
 from interviewflow.session import bucketed, kept
 
@@ -25,17 +25,19 @@ def training_prompts(
     number: str = NUMBER,
     text: str = TEXT,
 ) -> DataFrame:
-    """Expanded picks with ``name``, two exemplar names, ``prompt`` and ``Token_Count``.
+    """Expanded picks with ``name``, two exemplar names, ``prompt``, ``Token_Count``, and ``__talk``, by which rows are dealt.
 
-    The named rows are pool and table at once. They are computed and dealt by
-    name once; then the only texts that move are those of the exemplars, from
-    their buckets to the bucket of the prompt.
+    Pool and table are one table with a row for each person and transcript,
+    computed once and dealt by it; then the only texts that move are those of
+    the exemplars, from their talk to the talk of the prompt.
     """
-    named = bucketed(expanded.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col(number))), "name", "exemplars")
-    drawn = shots_with_reuse(named, seed=seed)
-    # The draw above has already refused repeated names.
-    prompts = fewshot_prompt(drawn, named, body, "train", text, values, unique=True)
-    return prompts.withColumn("Token_Count", token_count(F.col("prompt")))
+    named = expanded.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col(number)))
+    talks = bucketed(gather_talks(named, number), TALK, "talks", dealt=False, codec="zstd")
+    prompts = reuse_prompts(talks, body, text, values, seed)
+    rest = [c for c in expanded.columns if c not in ("name", *SHOT_NAMES)]
+    return prompts.withColumn("Token_Count", token_count(F.col("prompt"))).select(
+        "name", *rest, *SHOT_NAMES, "prompt", "Token_Count", TALK
+    )
 
 
 def training_set(prompts: DataFrame, generator: Generator, store: str, run_id: str, batches: int = 1) -> DataFrame:

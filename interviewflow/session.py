@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,24 @@ def _leave_with_session(context, path: str) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def shuffles_end_with_jobs(spark: SparkSession):
+    """Shuffle files of jobs that run inside are removed when their job ends, not when the driver collects garbage.
+
+    For jobs that write a table: what they wrote is read afterwards, never their shuffles.
+    """
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, for a plan that reads it several times.
 
@@ -67,23 +87,27 @@ def cut(df: DataFrame) -> DataFrame:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once and kept as Parquet in the shared folder, texts too, for a plan that reads it several times."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_end_with_jobs(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str, dealt: bool = True) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool = True, codec: str | None = None) -> DataFrame:
     """Like ``kept``, in as many buckets of ``key`` as the session has shuffle partitions.
 
     Joins and groupings by ``key`` read the buckets in place: only the other
     side is shuffled. The table is in the catalog while it is written; it stays
     readable through the returned frame. Without ``dealt`` rows are not shuffled
-    before they are written, for few large rows: each task writes its own files.
+    before they are written, for few large rows, or rows that lie by ``key`` already:
+    each task writes its own files. ``codec`` is that of Parquet.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
     writer = (df.repartition(buckets, key) if dealt else df).write.option("path", shared_path(spark, name))
-    writer.bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    writer = writer.option("compression", codec) if codec else writer
+    with shuffles_end_with_jobs(spark):
+        writer.bucketBy(buckets, key).format("parquet").saveAsTable(table)
     found = spark.table(table)
     found.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {table}")

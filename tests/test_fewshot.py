@@ -2,13 +2,15 @@ import re
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from interviewflow.operators.fewshot import attach_shots, fewshot_prompt, require_unique, shots_no_reuse, shots_with_reuse
+from interviewflow.operators.fewshot import PICKS, attach_shots, fewshot_prompt, gather_talks, require_unique, shots_no_reuse, shots_with_reuse
 from interviewflow.operators.generate import per_request
 from interviewflow.plans.fewshot import evaluation_prompts, evaluation_set, training_prompts, training_set
+from interviewflow.session import shared_dir
 from workload.adapters import keyed, slice_call
 
 SCHEMA = "Participant_ID int, PHQ_Binary int, name string"
@@ -179,3 +181,33 @@ def test_exemplar_texts_move_once_to_their_prompt(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+SELECTED = "Participant_ID int, PHQ_Binary int, Gender string, Transcript string, Exp_5_Selected_Rationale_Number int, Exp_5_Selected_Rationale string"
+
+
+def test_a_transcript_is_written_once_for_all_picks(spark):
+    talk = lambda p: "".join(random.Random(p).choices("0123456789abcdef", k=20_000))
+    data = [(p, p % 2, "f", talk(p), k, f"reason {p} {k}") for p in range(20) for k in range(1, 9)]
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    prompts = training_prompts(spark.createDataFrame(data, SELECTED), BODY + "{{status}}")
+    # The text and its packed form, both compressed; eight copies of each were 3.2 MB.
+    assert size() - before < 2 * 20 * 20_000
+    assert prompts.where(F.length("prompt") > 60_000).count() == 160
+
+
+def test_talks_give_the_prompts_of_single_rows(spark):
+    data = [(p, p % 3 if p % 3 < 2 else None, "f" if p % 2 else None, None if p == 4 else f"talk {p // 2}", k, f"reason {p} {k}") for p in range(12) for k in (1, 2, 70)]
+    data += [(50, 0, "m", f"talk of its own {k}", k, "é \x00") for k in range(3)]
+    rows = spark.createDataFrame(data, SELECTED)
+    talks = gather_talks(rows, "Exp_5_Selected_Rationale_Number")
+    assert sorted(len(r[PICKS]) for r in talks.collect()) == [1] * 15 + [2] * 12
+    named = rows.withColumn("name", F.concat_ws("_", "Participant_ID", "Exp_5_Selected_Rationale_Number"))
+    want = fewshot_prompt(shots_with_reuse(named), named, BODY + "{{status}}", "train", "Exp_5_Selected_Rationale")
+    got = training_prompts(rows, BODY + "{{status}}")
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    alone = training_prompts(rows.where("PHQ_Binary = 0"), BODY)
+    with pytest.raises(Exception, match="no exemplar named"):
+        alone.collect()
