@@ -291,10 +291,27 @@ def merge_results(base: DataFrame, new: DataFrame, keys: list[str], how: str = "
     values = [c for c in new.columns if c not in keys]
     renamed = new.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in values])
     joined = base.join(renamed, keys, "full") if how == "full" else spread_join(base, renamed, keys, "left")
-    merged = [
-        F.coalesce(f"__new_{c}", F.col(c)).alias(c) if c in values else F.col(c) for c in base.columns
-    ]
-    return joined.select(*merged, *[F.col(f"__new_{c}").alias(c) for c in values if c not in base.columns])
+    return _merged(joined, base.columns, values)
+
+
+def _merged(joined: DataFrame, columns: list[str], values: list[str]) -> DataFrame:
+    merged = [F.coalesce(f"__new_{c}", F.col(c)).alias(c) if c in values else F.col(c) for c in columns]
+    return joined.select(*merged, *[F.col(f"__new_{c}").alias(c) for c in values if c not in columns])
+
+
+def merge_dealt(base: DataFrame, new: DataFrame, key: str, deal: str) -> DataFrame:
+    """Like ``merge_results`` with a ``base`` in buckets of ``deal``, a column of few rows per value: its texts stay where they lie.
+
+    Only keys and new values move: they are gathered per value of ``deal``.
+    """
+    values = [c for c in new.columns if c != key]
+    placed = spread_join(new, base.select(key, deal), key)
+    gathered = placed.groupBy(deal).agg(F.collect_list(F.struct(key, *values)).alias("__new"))
+    own = F.get(F.filter("__new", lambda n: n[key] == F.col(key)), F.lit(0))
+    joined = spread_join(base, gathered, deal, "left").withColumn("__own", own)
+    for c in values:
+        joined = joined.withColumn(f"__new_{c}", F.col(f"__own.{c}"))
+    return _merged(joined, base.columns, values)
 
 
 def progress(prompts: DataFrame, results: DataFrame, n: int, key: str = "key") -> DataFrame:

@@ -63,7 +63,8 @@ def batches_of(spark: SparkSession, store: str, name: str) -> list[str]:
 def read_results(spark: SparkSession, store: str) -> DataFrame:
     """All committed rows; a request may have several, of several runs."""
     paths = [f"{store}/data/{b}" for b in live_batches(spark, store)]
-    return spark.read.schema(COLUMNS).parquet(*paths) if paths else spark.createDataFrame([], COLUMNS)
+    # Without rows a plan knows it, so the prompts of a first run are joined to nothing.
+    return spark.read.schema(COLUMNS).parquet(*paths) if paths else spark.createDataFrame([], COLUMNS).limit(0)
 
 
 def append_results(rows: DataFrame, store: str, name: str | None = None, **about) -> int:

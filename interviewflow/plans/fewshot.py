@@ -11,7 +11,7 @@ from interviewflow.defaults import SEED_NO_REUSE, SEED_WITH_REUSE
 from interviewflow.functions.ids import exemplar_key
 from interviewflow.functions.text import token_count
 from interviewflow.operators.fewshot import SHOT_NAMES, TALK, fewshot_prompt, gather_talks, reuse_prompts, shots_no_reuse
-from interviewflow.operators.generate import Generator, generate_repeats, merge_results, run_resumable
+from interviewflow.operators.generate import Generator, generate_repeats, merge_dealt, merge_results, run_resumable
 from interviewflow.session import bucketed, kept
 
 NUMBER, TEXT = "Exp_5_Selected_Rationale_Number", "Exp_5_Selected_Rationale"
@@ -41,15 +41,24 @@ def training_prompts(
 
 
 def training_set(prompts: DataFrame, generator: Generator, store: str, run_id: str, batches: int = 1) -> DataFrame:
-    """Training prompts with Generated_Rationale and Generated_Token_Count, resumable; the prompts are computed once."""
-    prompts = kept(prompts, "prompts")
-    results = run_resumable(prompts.select("name", "prompt"), 1, generator, store, run_id, key="name", batches=batches)
+    """Training prompts with Generated_Rationale and Generated_Token_Count, resumable; the prompts are computed once.
+
+    Prompts that are dealt by talk stay so: they are written, asked and read
+    again where they lie, and the answers of a talk come to its prompts.
+    """
+    dealt = TALK in prompts.columns
+    prompts = bucketed(prompts, TALK, "prompts", dealt=False, codec="zstd") if dealt else kept(prompts, "prompts")
+    results = run_resumable(
+        prompts.select("name", "prompt"), 1, generator, store, run_id, key="name", batches=batches, partitions=0 if dealt else None
+    )
     made = results.select(
         "name",
         F.col("text").alias("Generated_Rationale"),
         token_count(F.col("text")).alias("Generated_Token_Count"),
     )
-    return merge_results(prompts, made, ["name"])
+    if not dealt:
+        return merge_results(prompts, made, ["name"])
+    return merge_dealt(prompts, made, "name", TALK).drop(TALK)
 
 
 def evaluation_prompts(

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from interviewflow.operators.fewshot import PICKS, attach_shots, fewshot_prompt, gather_talks, require_unique, shots_no_reuse, shots_with_reuse
-from interviewflow.operators.generate import per_request
+from interviewflow.operators.generate import per_request, requests
+from interviewflow.operators.store import read_results
 from interviewflow.plans.fewshot import evaluation_prompts, evaluation_set, training_prompts, training_set
 from interviewflow.session import shared_dir
 from workload.adapters import keyed, slice_call
@@ -211,3 +212,30 @@ def test_talks_give_the_prompts_of_single_rows(spark):
     alone = training_prompts(rows.where("PHQ_Binary = 0"), BODY)
     with pytest.raises(Exception, match="no exemplar named"):
         alone.collect()
+
+
+def test_prompts_stay_where_they_lie_while_they_are_answered(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = [(p, p % 2, "f", f"talk {p}", k, f"reason {p} {k}") for p in range(12) for k in (1, 2)]
+        prompts = training_prompts(spark.createDataFrame(data, SELECTED), BODY + "{{status}}")
+        plain = spark.range(3).selectExpr("cast(id AS string) AS name", "'p' AS prompt")
+        first = requests(plain, 1, read_results(spark, str(tmp_path / "none")).select(F.col("key").alias("name"), "candidate_no"), "name")
+        assert "Join" not in first._jdf.queryExecution().executedPlan().toString()
+        calls = spark.sparkContext.accumulator(0)
+
+        def call(request):
+            calls.add(1)
+            return slice_call({**request, "key": request["name"]})
+
+        for run in ("r1", "r2"):
+            made = training_set(prompts, per_request(call), str(tmp_path / "train"), run)
+            assert moved(made.select("name", "prompt", "Generated_Rationale"), "prompt", "Transcript") == []
+            rows = made.collect()
+            assert len(rows) == 24 and calls.value == 24 and "__talk" not in made.columns
+            assert all(r.Generated_Rationale == slice_call({"key": r["name"], "candidate_no": 1, "prompt": r.prompt}) for r in rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
