@@ -17,7 +17,7 @@ from interviewflow.operators.transcripts import (
 )
 from interviewflow.operators.spread import concat_ordered
 from interviewflow.operators.tables import unmatched
-from interviewflow.session import cut, kept
+from interviewflow.session import cut, kept, small_files
 from interviewflow.sources.sinks import has_version, read_versioned, write_formats, write_versioned
 from interviewflow.sources.tables import ORDER, read_table
 from interviewflow.sources.transcripts import PATTERN, file_states, read_utterances
@@ -84,6 +84,12 @@ def refresh_ledger(
     new or not as they were are opened. The ledger is a versioned table
     (``write_versioned``): a run that is stopped leaves the one before.
     """
+    # All scans of the folder run in here: thousands of small files a task.
+    with small_files(spark):
+        return _refresh(spark, folder, state, run_id, pattern, sep, encoding)
+
+
+def _refresh(spark: SparkSession, folder: str, state: str, run_id: str, pattern: str, sep: str, encoding: str) -> DataFrame:
     old = read_versioned(spark, state) if has_version(spark, state) else spark.createDataFrame([], LEDGER)
     now = cut(file_states(spark, folder, pattern))
     changed = cut(now.join(old, ["file_name", "length", "modified"], "left_anti"))

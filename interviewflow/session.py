@@ -69,6 +69,11 @@ def shuffles_end_with_jobs(spark: SparkSession):
     return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def small_files(spark: SparkSession):
+    """Scans planned inside pack up to some thousand small files in a task, where Spark by itself counts 4 MB for each."""
+    return setting(spark, "spark.sql.files.openCostInBytes", "64k")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, for a plan that reads it several times.
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from interviewflow.defaults import TEXT_NAMES
 from interviewflow.operators.spread import spread_join
-from interviewflow.session import cut
+from interviewflow.session import cut, small_files
 from interviewflow.sources.records import open_quote, parsed, records, row_place, splittable
 from interviewflow.sources.tables import raw_lines
 
@@ -107,12 +107,15 @@ def read_utterances(
         place = next((i for i, c in enumerate(columns) if c in [t for t in text_names if t in columns][:1]), None)
         cell: Column = F.lit(None).cast("string") if place is None else F.col(f"c{place}")
         if multiline and not unsplit:
-            rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern, **options), [f"c{i}" for i in range(len(columns))], sep)
+            with small_files(spark):
+                found = records(spark, folder, sep, encoding, pathGlobFilter=pattern, **options)
+            rows = parsed(found, [f"c{i}" for i in range(len(columns))], sep)
             return _with_files(rows.select("file_name", "block", "line", cell.alias("text")), files)
         rows = _scan(spark, folder, pattern, len(columns), sep, encoding, unsplit, **options)
         return _with_files(rows.select(*row_place(), cell.alias("text")), files)
 
-    layouts = cut(file_layouts(spark, folder, pattern, text_names, sep, encoding, **options))
+    with small_files(spark):
+        layouts = cut(file_layouts(spark, folder, pattern, text_names, sep, encoding, **options))
     if need_text:
         files = files.join(layouts.where("place IS NOT NULL").select("file_name"), "file_name", "left_semi")
     span = F.lit(bool(multiline)) if multiline is not None else F.col("open")
@@ -123,7 +126,9 @@ def read_utterances(
         return _with_files(files)
     if n_open and not unsplit:
         # Split files all the same: the place of each line in its cells comes from a pass over the quotes.
-        rows = parsed(records(spark, folder, sep, encoding, pathGlobFilter=pattern, **options), [f"c{i}" for i in range(width)], sep)
+        with small_files(spark):
+            found = records(spark, folder, sep, encoding, pathGlobFilter=pattern, **options)
+        rows = parsed(found, [f"c{i}" for i in range(width)], sep)
         place_of = [F.col(c) for c in ("file_name", "block", "line")]
     else:
         rows = _scan(spark, folder, pattern, width, sep, encoding, unsplit, **options)

@@ -461,3 +461,23 @@ def test_a_second_run_opens_changed_files_only(spark, tmp_path, monkeypatch):
     assert bag(ledger_transcripts(spark, state)) == [("302", "old a new b"), ("304", "stays"), ("306", "came")]
     assert refresh_ledger(spark, str(place), state, "r4").isEmpty()
     assert bag(second)[0] == (302, "old a new b", True)
+
+
+def test_small_files_of_a_ledger_share_tasks(spark, tmp_path):
+    folder = tmp_path / "talks"
+    folder.mkdir()
+    for i in range(120):
+        (folder / f"{i}_Transcript.csv").write_text(f'n,Text\n1,"a\nb {i}"\n')
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    context.setJobGroup("small files", "")
+    try:
+        roster = spark.range(120).selectExpr("id AS Participant_ID", "'old' AS Transcript")
+        rows = roster_refresh(spark, roster, str(folder), str(tmp_path / "state"), "r1").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.Participant_ID, r.Transcript) for r in rows} == {(i, f"a b {i}") for i in range(120)}
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("small files")]
+    stages = [context.statusTracker().getStageInfo(s) for j in jobs if j for s in j.stageIds]
+    assert 0 < max(s.numTasks for s in stages if s) < 60
