@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,12 @@ def choose_template(templates: Mapping[str, str], name: str, default: str = "mai
     return chosen, templates[chosen]
 
 
+def _require(body: str, values, template: str) -> None:
+    absent = [n for n in placeholders(body) if n not in values]
+    if absent:
+        raise ValueError(f"template {template!r} needs {absent}")
+
+
 def render(
     body: str,
     values: Mapping[str, Column],
@@ -35,9 +41,7 @@ def render(
     A null value (or an empty one, for names in ``non_empty``) is an error
     that names the placeholder and the template.
     """
-    absent = [n for n in placeholders(body) if n not in values]
-    if absent:
-        raise ValueError(f"template {template!r} needs {absent}")
+    _require(body, values, template)
     pieces: list[Column] = []
     for i, piece in enumerate(_PLACEHOLDER.split(body)):
         if i % 2 == 0:
@@ -52,6 +56,25 @@ def render(
     return F.concat(*pieces) if pieces else F.lit("")
 
 
+def render_around(
+    body: str,
+    left_out: Collection[str],
+    values: Mapping[str, Column],
+    template: str = "template",
+    non_empty: Sequence[str] = ("gender",),
+) -> tuple[list[Column], list[str]]:
+    """``render`` cut at the placeholders ``left_out``: the texts around them, one more than they are, and their names in order."""
+    _require(body, {*values, *left_out}, template)
+    parts, names = [""], []
+    for i, piece in enumerate(_PLACEHOLDER.split(body)):
+        if i % 2 and piece in left_out:
+            names.append(piece)
+            parts.append("")
+        else:
+            parts[-1] += "{{" + piece + "}}" if i % 2 else piece
+    return [render(part, values, template, non_empty) for part in parts], names
+
+
 def messages(prompt: Column, system_role: str = "developer", user_text: str = USER_TURN) -> Column:
     """Chat turns: the prompt under the system role, then the fixed user turn."""
     turn = [

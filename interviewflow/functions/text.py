@@ -13,6 +13,7 @@ from interviewflow.defaults import NULL_TOKENS, PREVIEW_MARK, PREVIEW_SIZES, WHI
 
 # A token is a run of these, or one other character that is no plain white space.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
+_SPACES = tuple(c.encode() for c in WHITESPACE)
 
 
 def null_tokens(col: Column, tokens: Iterable[str] = NULL_TOKENS) -> Column:
@@ -25,6 +26,16 @@ def strip_ws(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def strip_bytes(text: bytes) -> bytes:
+    """``strip_ws`` of a text in UTF-8, in a worker."""
+    start, end = 0, len(text)
+    while text.startswith(_SPACES, start, end):
+        start += next(len(s) for s in _SPACES if text.startswith(s, start, end))
+    while text.endswith(_SPACES, start, end):
+        end -= next(len(s) for s in _SPACES if text.endswith(s, start, end))
+    return text[start:end]
+
+
 def collapse_ws(col: Column) -> Column:
     """Stripped, and each inner run of white space made one space."""
     return F.regexp_replace(strip_ws(col), WHITESPACE_CLASS + "+", " ")

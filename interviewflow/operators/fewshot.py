@@ -7,10 +7,8 @@ joined to the finished draw.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +16,12 @@ from interviewflow.defaults import SEED_NO_REUSE, SEED_WITH_REUSE
 from interviewflow.functions.columns import require_columns
 from interviewflow.functions.ids import int_id
 from interviewflow.functions.labels import label_of, status_text
-from interviewflow.functions.templates import render
+from interviewflow.functions.templates import render, render_around
 from interviewflow.functions.text import strip_ws
 from interviewflow.operators.spread import number_rows, spread_join
 from interviewflow.operators.tables import require_unique
-from interviewflow.session import cut
+from interviewflow.session import cut, shared_path
+from interviewflow.sources.texts import put_texts, recipe_of, text_at, text_of
 
 SHOT_NAMES = ("zero_shot_name", "one_shot_name")
 # Hex digits of a hash that make a bucket: 65,536 for keys of a class or
@@ -30,8 +29,10 @@ SHOT_NAMES = ("zero_shot_name", "one_shot_name")
 KEY_DIGITS = 4
 OWN_DIGITS = 3
 SLOTS = ("zero", "one")
-# Rows that share a transcript, gathered: their key, their other columns, and the compressed transcript.
-TALK, PICKS, PACKED = "__talk", "__picks", "__packed"
+# Rows that share a transcript, gathered: their key, their other columns, and where the transcript lies.
+TALK, PICKS, PLACE = "__talk", "__picks", "__place"
+# What a prompt is put together from.
+RECIPE = "__recipe"
 # Bits of the numbers of picks that one row gathers.
 TALK_BITS = 6
 
@@ -253,51 +254,47 @@ def fewshot_prompt(
     return _with_prompt(joined, body, mode, values, label_col, gender_col, transcript_col, out)
 
 
-def _with_prompt(joined: DataFrame, body: str, mode: str, values, label_col: str, gender_col: str, transcript_col: str, out: str) -> DataFrame:
-    """The prompt of rows with their exemplar fields, in place of these fields."""
-    inserted = [f"{shot}_{field}" for shot in SLOTS for field in ("gender", "transcript", "text")]
-    filled = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in inserted}
+INSERTED = [f"{shot}_{field}" for shot in SLOTS for field in ("gender", "transcript", "text")]
+
+
+def _filled(joined: DataFrame, mode: str, values, label_col: str, gender_col: str, transcript_col: str) -> dict[str, Column]:
+    """What the placeholders of a prompt stand for, in rows with their exemplar fields."""
+    filled = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in INSERTED}
     filled["gender"] = F.coalesce(F.col(gender_col), F.lit(""))
     filled["transcript"] = F.coalesce(F.col(transcript_col), F.lit(""))
     if mode == "train":
         filled["status"] = status_text(label_of(joined, label_col))
-    prompt = render(body, {**filled, **(values or {})}, template=mode, non_empty=())
-    return joined.withColumn(out, strip_ws(prompt) if mode == "train" else prompt).drop(*inserted)
+    return {**filled, **(values or {})}
 
 
-def _each(text: Column, change) -> Column:
-    """``change`` (bytes to bytes) of a binary column."""
-
-    @F.arrow_udf("binary")
-    def run(cells: pa.Array) -> pa.Array:
-        return pa.array([None if c is None else change(c) for c in cells.to_pylist()], pa.binary())
-
-    return run(text)
+def _with_prompt(joined: DataFrame, body: str, mode: str, values, label_col: str, gender_col: str, transcript_col: str, out: str) -> DataFrame:
+    """The prompt of rows with their exemplar fields, in place of these fields."""
+    filled = _filled(joined, mode, values, label_col, gender_col, transcript_col)
+    prompt = render(body, filled, template=mode, non_empty=())
+    return joined.withColumn(out, strip_ws(prompt) if mode == "train" else prompt).drop(*INSERTED)
 
 
 def gather_talks(
     rows: DataFrame, number: str, id_col: str = "Participant_ID", transcript_col: str = "Transcript"
 ) -> DataFrame:
-    """One row per person and transcript: its key ``TALK``, the transcript once, and ``PICKS``, the other columns of its rows.
+    """One row per person and transcript: its key ``TALK``, the place of the transcript, and ``PICKS``, the other columns of its rows.
 
     ``number`` tells the picks of a person apart; a row holds those of a block
-    of 64 numbers at most. Copies of a transcript meet before the shuffle.
-    ``PACKED`` is the transcript in the form in which it moves to prompts.
+    of 64 numbers at most. Transcripts are written where their rows are read,
+    to the shared folder, and do not move: ``PLACE`` tells where a transcript
+    lies (``sources.texts``).
     """
     digest = F.coalesce(F.md5(F.col(transcript_col).cast("string").cast("binary")), F.lit("-"))
     block = F.shiftright(int_id(F.col(number)), TALK_BITS).cast("string")
     # The digest tells transcripts apart; person and block only spread those that many people share.
     parts = [digest, F.coalesce(block, F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
     rest = [F.col(c) for c in rows.columns if c != transcript_col]
-    talks = (
-        rows.withColumn(TALK, F.concat_ws(":", *parts))
-        .groupBy(TALK)
-        .agg(F.first(transcript_col).alias(transcript_col), F.collect_list(F.struct(*rest)).alias(PICKS))
-    )
-    return talks.withColumn(PACKED, _each(F.col(transcript_col).cast("string").cast("binary"), zlib.compress))
+    place = put_texts(F.col(transcript_col).cast("string").cast("binary"), shared_path(rows.sparkSession, "transcripts"))
+    placed = rows.withColumn(TALK, F.concat_ws(":", *parts)).withColumn(PLACE, place)
+    return placed.groupBy(TALK).agg(F.first(PLACE).alias(PLACE), F.collect_list(F.struct(*rest)).alias(PICKS))
 
 
-def reuse_prompts(
+def reuse_recipes(
     talks: DataFrame,
     body: str,
     text_col: str,
@@ -308,12 +305,13 @@ def reuse_prompts(
     transcript_col: str = "Transcript",
     id_col: str = "Participant_ID",
     key: str = "name",
-    out: str = "prompt",
 ) -> DataFrame:
     """Training prompts of all picks of ``talks`` (``gather_talks``, in buckets of ``TALK``): ``shots_with_reuse``, then ``fewshot_prompt``.
 
-    An exemplar is looked up in the row of its talk, and goes from there to
-    the talk of the prompt: the only texts that move. Rows come dealt by ``TALK``.
+    Transcripts stay where they lie: rows have their places, ``PLACE`` for
+    their own, and ``RECIPE``, what the prompt is put together from
+    (``with_prompts``). An exemplar is looked up in the row of its talk, and
+    goes from there to the talk of the prompt. Rows come dealt by ``TALK``.
     """
     columns = talks.schema[PICKS].dataType.elementType.names
     keys = talks.select(TALK, F.explode(PICKS).alias("p")).select(TALK, *[f"p.{c}" for c in (label_col, id_col, key)])
@@ -327,8 +325,8 @@ def reuse_prompts(
     def pick_of(name: str) -> Column:
         return F.get(F.filter(PICKS, lambda p: p[key] == F.col(name)), F.lit(0))
 
-    met = spread_join(placed, talks.drop(transcript_col), TALK, "left").withColumn("__pick", pick_of("shot"))
-    fields = {"gender": F.col(f"__pick.{gender_col}"), "transcript": F.col(PACKED), "text": F.col(f"__pick.{text_col}")}
+    met = spread_join(placed, talks, TALK, "left").withColumn("__pick", pick_of("shot"))
+    fields = {"gender": F.col(f"__pick.{gender_col}"), "transcript": F.col(PLACE), "text": F.col(f"__pick.{text_col}")}
     shot = F.when(F.col("__pick").isNotNull(), F.struct(*[c.alias(f) for f, c in fields.items()]))
     # As many parts as the talks have buckets, so that these are read in place.
     parts = int(talks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -337,14 +335,47 @@ def reuse_prompts(
     shots = moved.groupBy("__to", "__row").agg(
         *[mine(slot, c).alias(a) for slot, n in zip(SLOTS, SHOT_NAMES) for c, a in (("shot", n), ("__shot", f"__{slot}"))]
     )
-    joined = spread_join(shots.withColumnRenamed("__to", TALK), talks.drop(PACKED), TALK).withColumn("__pick", pick_of("__row"))
-    own = {c: F.col(f"__pick.`{c}`") for c in columns} | {transcript_col: F.col(transcript_col)}
+    joined = spread_join(shots.withColumnRenamed("__to", TALK), talks, TALK).withColumn("__pick", pick_of("__row"))
+    # Whole transcripts are there for ``values`` that look at them; no others are read.
+    own = {c: F.col(f"__pick.`{c}`") for c in columns} | {transcript_col: text_at(F.col(PLACE))}
+    places = {"transcript": F.col(PLACE)}
     shown = []
     for slot, name in zip(SLOTS, SHOT_NAMES):
         missing = F.raise_error(F.concat(F.lit("no exemplar named "), F.coalesce(name, F.lit("null")))).cast("string")
         found = F.col(f"__{slot}").isNotNull()
-        here = {f: F.col(f"__{slot}.{f}") for f in fields}
-        here["transcript"] = _each(here["transcript"], zlib.decompress).cast("string")
-        shown += [F.when(found, c).otherwise(missing).alias(f"{slot}_{f}") for f, c in here.items()]
-    rows = joined.select(TALK, *[c.alias(n) for n, c in own.items()], *SHOT_NAMES, *shown)
-    return _with_prompt(rows, body, "train", values, label_col, gender_col, transcript_col, out)
+        here = {f: F.when(found, F.col(f"__{slot}.{f}")).otherwise(missing) for f in fields}
+        places[f"{slot}_transcript"] = F.col(f"__{slot}_place")
+        shown += [here["transcript"].alias(f"__{slot}_place"), *[here[f].alias(f"{slot}_{f}") for f in ("gender", "text")]]
+    rows = joined.select(TALK, PLACE, *[c.alias(n) for n, c in own.items()], *SHOT_NAMES, *shown)
+    rows = rows.withColumns({f"{slot}_transcript": text_at(F.col(f"__{slot}_place")) for slot in SLOTS})
+    filled = _filled(rows, "train", values, label_col, gender_col, transcript_col)
+    left_out = [n for n in places if n not in (values or {})]
+    pieces, names = render_around(body, left_out, filled, template="train", non_empty=())
+    recipe = recipe_of(pieces, [places[n] for n in names])
+    return rows.withColumn(RECIPE, recipe).select(TALK, *columns, *SHOT_NAMES, PLACE, RECIPE)
+
+
+def with_prompts(recipes: DataFrame, transcript_col: str = "Transcript", out: str = "prompt") -> DataFrame:
+    """Rows of ``reuse_recipes`` with their transcript and prompt in place of where these lie; texts that are not asked for are not read."""
+    whole = recipes.withColumn(transcript_col, text_at(F.col(PLACE))).withColumn(out, text_of(F.col(RECIPE), strip=True))
+    return whole.drop(PLACE, RECIPE)
+
+
+def reuse_prompts(
+    talks: DataFrame,
+    body: str,
+    text_col: str,
+    values: Mapping[str, Column] | None = None,
+    seed: int = SEED_WITH_REUSE,
+    label_col: str = "PHQ_Binary",
+    gender_col: str = "Gender",
+    transcript_col: str = "Transcript",
+    id_col: str = "Participant_ID",
+    key: str = "name",
+    out: str = "prompt",
+) -> DataFrame:
+    """``reuse_recipes`` with their transcripts and prompts; ``recipes`` of the returned frame has the rows before that."""
+    recipes = reuse_recipes(talks, body, text_col, values, seed, label_col, gender_col, transcript_col, id_col, key)
+    prompts = with_prompts(recipes, transcript_col, out)
+    prompts.recipes = recipes
+    return prompts

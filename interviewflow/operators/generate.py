@@ -38,6 +38,7 @@ from interviewflow.operators.store import (
 from interviewflow.operators.tables import keep_first, require_unique
 from interviewflow.session import kept
 from interviewflow.sources.files import delete
+from interviewflow.sources.texts import put_together
 
 
 class Generator(Protocol):
@@ -84,6 +85,26 @@ def per_request(call: Call) -> Generator:
     return run
 
 
+def of_recipes(generator: Generator) -> Generator:
+    """``generator`` for requests whose prompt is a recipe (``sources.texts``): prompts are put together in the worker that asks.
+
+    They are handed on in frames of few megabytes, without white space at their ends.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole() -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                at = 0
+                for texts in put_together(list(frame["prompt"]), strip=True):
+                    part = frame.iloc[at : at + len(texts)]
+                    yield part.assign(prompt=[t.decode() for t in texts])
+                    at += len(texts)
+
+        return generator(whole())
+
+    return run
+
+
 def with_retry(
     call: Call,
     retries: int = 3,

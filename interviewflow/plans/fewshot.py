@@ -6,12 +6,22 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from interviewflow.defaults import SEED_NO_REUSE, SEED_WITH_REUSE
 from interviewflow.functions.ids import exemplar_key
 from interviewflow.functions.text import token_count
-from interviewflow.operators.fewshot import SHOT_NAMES, TALK, fewshot_prompt, gather_talks, reuse_prompts, shots_no_reuse
-from interviewflow.operators.generate import Generator, generate_repeats, merge_dealt, merge_results, run_resumable
+from interviewflow.operators.fewshot import (
+    RECIPE,
+    SHOT_NAMES,
+    TALK,
+    fewshot_prompt,
+    gather_talks,
+    reuse_prompts,
+    shots_no_reuse,
+    with_prompts,
+)
+from interviewflow.operators.generate import Generator, generate_repeats, merge_dealt, merge_results, of_recipes, run_resumable
 from interviewflow.session import bucketed, kept
 
 NUMBER, TEXT = "Exp_5_Selected_Rationale_Number", "Exp_5_Selected_Rationale"
@@ -27,38 +37,55 @@ def training_prompts(
 ) -> DataFrame:
     """Expanded picks with ``name``, two exemplar names, ``prompt``, ``Token_Count``, and ``__talk``, by which rows are dealt.
 
-    Pool and table are one table with a row for each person and transcript,
-    computed once and dealt by it; then the only texts that move are those of
-    the exemplars, from their talk to the talk of the prompt.
+    Each transcript is written once; rows move with the places of the three
+    that their prompt needs, and transcript and prompt are put together where
+    they are read. ``recipes`` of the returned frame has the rows before that.
     """
     named = expanded.withColumn("name", exemplar_key(F.col("Participant_ID"), F.col(number)))
     talks = bucketed(gather_talks(named, number), TALK, "talks", dealt=False, codec="zstd")
-    prompts = reuse_prompts(talks, body, text, values, seed)
+    made = reuse_prompts(talks, body, text, values, seed)
     rest = [c for c in expanded.columns if c not in ("name", *SHOT_NAMES)]
-    return prompts.withColumn("Token_Count", token_count(F.col("prompt"))).select(
-        "name", *rest, *SHOT_NAMES, "prompt", "Token_Count", TALK
-    )
+    columns = ["name", *rest, *SHOT_NAMES, "prompt", "Token_Count", TALK]
+    prompts = _shown(made, columns, expanded.schema["Transcript"].dataType)
+    prompts.recipes = made.recipes
+    return prompts
+
+
+def _shown(prompts: DataFrame, columns: list[str], kind: T.DataType) -> DataFrame:
+    """``columns`` of prompts, the transcript in the type in which it was given."""
+    counted = prompts.withColumn("Token_Count", token_count(F.col("prompt")))
+    return counted.withColumn("Transcript", F.col("Transcript").cast(kind)).select(*columns)
 
 
 def training_set(prompts: DataFrame, generator: Generator, store: str, run_id: str, batches: int = 1) -> DataFrame:
-    """Training prompts with Generated_Rationale and Generated_Token_Count, resumable; the prompts are computed once.
+    """Training prompts with Generated_Rationale and Generated_Token_Count, resumable; what is drawn and inserted is computed once.
 
-    Prompts that are dealt by talk stay so: they are written, asked and read
-    again where they lie, and the answers of a talk come to its prompts.
+    Prompts as ``training_prompts`` gives them are never written: their recipes
+    are, and a prompt is put together where it is asked, and again where it is
+    read. Others, as changed ones, are written whole; those that are dealt by
+    talk stay so, and the answers of a talk come to its prompts.
     """
+    recipes = getattr(prompts, "recipes", None)
     dealt = TALK in prompts.columns
-    prompts = bucketed(prompts, TALK, "prompts", dealt=False, codec="zstd") if dealt else kept(prompts, "prompts")
-    results = run_resumable(
-        prompts.select("name", "prompt"), 1, generator, store, run_id, key="name", batches=batches, partitions=0 if dealt else None
-    )
+    if recipes is not None:
+        rows = bucketed(recipes, TALK, "recipes", dealt=False, codec="zstd")
+        generator = of_recipes(generator)
+    else:
+        rows = bucketed(prompts, TALK, "prompts", dealt=False, codec="zstd") if dealt else kept(prompts, "prompts")
+    asked = rows.select("name", F.col("prompt" if recipes is None else RECIPE).alias("prompt"))
+    results = run_resumable(asked, 1, generator, store, run_id, key="name", batches=batches, partitions=0 if dealt else None)
     made = results.select(
         "name",
         F.col("text").alias("Generated_Rationale"),
         token_count(F.col("text")).alias("Generated_Token_Count"),
     )
     if not dealt:
-        return merge_results(prompts, made, ["name"])
-    return merge_dealt(prompts, made, "name", TALK).drop(TALK)
+        return merge_results(rows, made, ["name"])
+    merged = merge_dealt(rows, made, "name", TALK)
+    if recipes is None:
+        return merged.drop(TALK)
+    columns = dict.fromkeys([*prompts.columns, *made.columns])
+    return _shown(with_prompts(merged), [c for c in columns if c != TALK], prompts.schema["Transcript"].dataType)
 
 
 def evaluation_prompts(

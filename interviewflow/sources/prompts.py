@@ -52,6 +52,14 @@ class LocalFolder:
         with open(path, "wb") as file:
             file.write(data)
 
+    def open(self, path: str):
+        """The file, to be read from any place of it."""
+        return open(path, "rb")
+
+    def create(self, path: str):
+        """A new file, to be written from its start to its end."""
+        return open(path, "wb")
+
     def make(self, folder: str) -> None:
         os.makedirs(folder, exist_ok=True)
 
@@ -82,6 +90,12 @@ class RemoteFolder:
         with self.system.open_output_stream(path) as stream:
             stream.write(data)
 
+    def open(self, path: str):
+        return self.system.open_input_file(path)
+
+    def create(self, path: str):
+        return self.system.open_output_stream(path)
+
     def make(self, folder: str) -> None:
         self.system.create_dir(folder, recursive=True)
 
@@ -95,7 +109,7 @@ class RemoteFolder:
         self.system.move(folder, to)
 
 
-def _system(folder: str) -> tuple[LocalFolder | RemoteFolder, str]:
+def system_of(folder: str) -> tuple[LocalFolder | RemoteFolder, str]:
     """What opens files of a folder, and the folder's path in it."""
     plain = re.sub("^file:/+", "/", folder)
     if "://" not in plain:
@@ -117,7 +131,7 @@ class PromptReader(DataSourceReader):
 
     def partitions(self) -> list[Packed]:
         """Files in packs; their names and sizes are listed here, like those of any scan."""
-        system, path = _system(self.folder)
+        system, path = system_of(self.folder)
         inside = [(name, size, name[len(path) :].strip("/").split("/")) for name, size in system.list(path) if name.endswith(self.suffix)]
         files = sorted((name, size) for name, size, parts in inside if not any(p[0] in "._" for p in parts))
         seen: set[str] = set()
@@ -136,7 +150,7 @@ class PromptReader(DataSourceReader):
         return [Packed(p) for p in packs]
 
     def read(self, partition: Packed) -> Iterator[tuple[str, str]]:
-        system, _ = _system(self.folder)
+        system, _ = system_of(self.folder)
         for path in partition.paths:
             text = system.read(path).decode("utf-8", "replace")
             yield key_of_stem(path.rsplit("/", 1)[-1].removesuffix(self.suffix)), text
@@ -156,7 +170,7 @@ class PromptWriter(DataSourceWriter):
         self.staged = f"{parent}/.{name}.{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Staged:
-        system, staged = _system(self.staged)
+        system, staged = system_of(self.staged)
         system.make(staged)
         n = 0
         for row in rows:
@@ -166,8 +180,8 @@ class PromptWriter(DataSourceWriter):
         return Staged(n)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        system, staged = _system(self.staged)
-        path = _system(self.folder)[1]
+        system, staged = system_of(self.staged)
+        path = system_of(self.folder)[1]
         system.make(staged)
         if not self.overwrite:
             system.make(path)
@@ -180,7 +194,7 @@ class PromptWriter(DataSourceWriter):
         system.move(staged, path)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        system, staged = _system(self.staged)
+        system, staged = system_of(self.staged)
         system.remove(staged)
 
 

@@ -239,3 +239,61 @@ def test_prompts_stay_where_they_lie_while_they_are_answered(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_answered_prompts_take_the_room_of_their_recipes(spark, tmp_path):
+    talk = lambda p: "".join(random.Random(p).choices("0123456789abcdef", k=20_000))
+    data = [(p, p % 2, "f", talk(p), k, f"reason {p} {k}") for p in range(20) for k in range(1, 9)]
+    folders = [Path(shared_dir(spark).removeprefix("file:")), tmp_path]
+    size = lambda: sum(f.stat().st_size for folder in folders for f in folder.rglob("*") if f.is_file())
+    before = size()
+    prompts = training_prompts(spark.createDataFrame(data, SELECTED), BODY + "{{status}}")
+    made = training_set(prompts, per_request(keyed("name", slice_call)), str(tmp_path / "train"), "r1")
+    # One packed copy of each transcript, 0.2 MB, and tables of names and places; 160 prompts with three of them took 6 MB.
+    assert size() - before < 800_000
+    rows = made.collect()
+    assert len(rows) == 160 and all(r.Transcript == talk(r.Participant_ID) and len(r.prompt) > 60_000 for r in rows)
+    assert all(r.Generated_Rationale == slice_call({"key": r["name"], "candidate_no": 1, "prompt": r.prompt}) for r in rows)
+
+
+def test_recipes_wait_for_a_later_run(spark, tmp_path):
+    data = [(p, p % 2, "f", None if p == 3 else f"\u2003talk {p} ", k, f"reason {p} {k}") for p in range(10) for k in (1, 2)]
+    prompts = training_prompts(spark.createDataFrame(data, SELECTED), "\u3000 {{transcript}}{{zero_transcript}}{{ one_transcript }}\u00a0")
+    want = {r["name"]: r.prompt for r in prompts.collect()}
+    assert all(p == p.strip() and p.count("talk") in (2, 3) for p in want.values())
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(request):
+        calls.add(1)
+        return request["prompt"]
+
+    def half(request):
+        if request["name"] < "5":
+            raise ValueError("down")
+        return call(request)
+
+    store = str(tmp_path / "train")
+    first = training_set(prompts, per_request(half), store, "r1")
+    assert first.where("Generated_Rationale IS NOT NULL").count() == calls.value == 10
+    rows = training_set(prompts, per_request(call), store, "r2", batches=3).collect()
+    assert calls.value == 20 and {r["name"]: r.Generated_Rationale for r in rows} == {r["name"]: r.prompt for r in rows} == want
+
+
+def test_changed_prompts_are_asked_as_they_are(spark, tmp_path):
+    data = [(p, p % 2, "f", f"talk {p}", k, f"reason {p} {k}") for p in range(6) for k in (1, 2)]
+    prompts = training_prompts(spark.createDataFrame(data, SELECTED), BODY).where("Participant_ID > 1").withColumn("prompt", F.upper("prompt"))
+    rows = training_set(prompts, per_request(lambda request: request["prompt"]), str(tmp_path / "train"), "r1").collect()
+    assert len(rows) == 8 and all(r.Generated_Rationale == r.prompt == r.prompt.upper() for r in rows)
+
+
+def test_values_may_look_at_transcripts(spark):
+    data = [(p, p % 2, "f", f"talk {p}", 1, "reason") for p in range(4)]
+    values = {"own": F.upper("Transcript"), "zero_transcript": F.concat(F.lit("<"), "zero_transcript", F.lit(">"))}
+    prompts = training_prompts(spark.createDataFrame(data, SELECTED), "{{own}} {{zero_transcript}} {{transcript}}", values)
+    rows = prompts.collect()
+    assert len(rows) == 4 and prompts.columns[-3:] == ["prompt", "Token_Count", "__talk"]
+    for r in rows:
+        zero = r.zero_shot_name.split("_")[0]
+        assert r.prompt == f"TALK {r.Participant_ID} <talk {zero}> talk {r.Participant_ID}"
+    with pytest.raises(ValueError, match="needs .'other'"):
+        training_prompts(spark.createDataFrame(data, SELECTED), "{{other}} {{transcript}}")
