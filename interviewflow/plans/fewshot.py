@@ -65,7 +65,8 @@ def training_set(prompts: DataFrame, generator: Generator, store: str, run_id: s
     read. Others, as changed ones, are written whole; those that are dealt by
     talk stay so, and the answers of a talk come to its prompts.
     """
-    recipes = getattr(prompts, "recipes", None)
+    # Not by getattr, which would find a column of this name.
+    recipes = vars(prompts).get("recipes")
     dealt = TALK in prompts.columns
     if recipes is not None:
         rows = bucketed(recipes, TALK, "recipes", dealt=False, codec="zstd")

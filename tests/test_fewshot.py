@@ -282,6 +282,7 @@ def test_recipes_wait_for_a_later_run(spark, tmp_path):
 def test_changed_prompts_are_asked_as_they_are(spark, tmp_path):
     data = [(p, p % 2, "f", f"talk {p}", k, f"reason {p} {k}") for p in range(6) for k in (1, 2)]
     prompts = training_prompts(spark.createDataFrame(data, SELECTED), BODY).where("Participant_ID > 1").withColumn("prompt", F.upper("prompt"))
+    prompts = prompts.withColumn("recipes", F.lit(1))
     rows = training_set(prompts, per_request(lambda request: request["prompt"]), str(tmp_path / "train"), "r1").collect()
     assert len(rows) == 8 and all(r.Generated_Rationale == r.prompt == r.prompt.upper() for r in rows)
 
