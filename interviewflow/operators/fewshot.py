@@ -21,6 +21,7 @@ from interviewflow.functions.text import strip_ws
 from interviewflow.operators.spread import number_rows, spread_join
 from interviewflow.operators.tables import require_unique
 from interviewflow.session import cut, shared_path
+from interviewflow.sources.files import qualified
 from interviewflow.sources.texts import put_texts, recipe_of, text_at, text_of
 
 SHOT_NAMES = ("zero_shot_name", "one_shot_name")
@@ -289,7 +290,8 @@ def gather_talks(
     # The digest tells transcripts apart; person and block only spread those that many people share.
     parts = [digest, F.coalesce(block, F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
     rest = [F.col(c) for c in rows.columns if c != transcript_col]
-    place = put_texts(F.col(transcript_col).cast("string").cast("binary"), shared_path(rows.sparkSession, "transcripts"))
+    folder = qualified(rows.sparkSession, shared_path(rows.sparkSession, "transcripts"))
+    place = put_texts(F.col(transcript_col).cast("string").cast("binary"), folder)
     placed = rows.withColumn(TALK, F.concat_ws(":", *parts)).withColumn(PLACE, place)
     return placed.groupBy(TALK).agg(F.first(PLACE).alias(PLACE), F.collect_list(F.struct(*rest)).alias(PICKS))
 
@@ -343,7 +345,7 @@ def reuse_recipes(
     for slot, name in zip(SLOTS, SHOT_NAMES):
         missing = F.raise_error(F.concat(F.lit("no exemplar named "), F.coalesce(name, F.lit("null")))).cast("string")
         found = F.col(f"__{slot}").isNotNull()
-        here = {f: F.when(found, F.col(f"__{slot}.{f}")).otherwise(missing) for f in fields}
+        here = {f: F.when(found, F.col(f"__{slot}.{f}")).otherwise(missing.cast("binary") if f == "transcript" else missing) for f in fields}
         places[f"{slot}_transcript"] = F.col(f"__{slot}_place")
         shown += [here["transcript"].alias(f"__{slot}_place"), *[here[f].alias(f"{slot}_{f}") for f in ("gender", "text")]]
     rows = joined.select(TALK, PLACE, *[c.alias(n) for n, c in own.items()], *SHOT_NAMES, *shown)

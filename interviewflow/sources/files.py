@@ -18,6 +18,11 @@ def _system(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark opens it by, for programs that have another default."""
+    return _system(spark, path).makeQualified(_path(spark, path)).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return _system(spark, path).exists(_path(spark, path))
 

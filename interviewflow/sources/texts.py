@@ -4,11 +4,13 @@ Rows carry the place of a text, ``<file>:<start>:<packed bytes>:<bytes>``,
 through joins and shuffles; the text is read by the task that puts a row
 together. So it takes its room on disk once, however many rows need it. Texts
 lie packed, in files of a folder that every worker can open, like those of
-prompts.
+prompts. Where a folder has an address that Python cannot open, the packed text
+itself, ``=<bytes>:<text>``, stands for its place.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +28,19 @@ SEND_BYTES = 4 << 20
 GAP_BYTES = 16 << 10
 RUN_BYTES = 4 << 20
 LEVEL = 3
+# What begins a text that goes with its row.
+HERE = b"="
+
+
+def _opens(folder: str) -> bool:
+    """Whether workers can open a folder; its address names a file system."""
+    if not re.match("/|file:|[^:/]+://", folder):
+        return False
+    try:
+        system_of(folder)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
 
 
 def put_texts(text: Column, folder: str) -> Column:
@@ -33,30 +48,33 @@ def put_texts(text: Column, folder: str) -> Column:
 
     A task writes one file. Equal texts of an Arrow batch, and equal neighbours, are written once.
     """
-    system_of(folder)  # an address that workers cannot open is an error now
+    opens = _opens(folder)
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("binary")
     def put(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        system, path = system_of(folder)
         codec = pa.Codec("zstd", LEVEL)
         name, file, end = uuid.uuid4().hex, None, 0
-        last: tuple[bytes | None, str | None] = (None, None)
+        last: tuple[bytes | None, bytes | None] = (None, None)
         try:
             for cells in batches:
                 known, places = dict([last]), []
                 for cell in cells:
                     text = cell.as_py()
                     if text is not None and text not in known:
-                        if file is None:
-                            system.make(path)
-                            file = system.create(f"{path}/{name}")
                         packed = codec.compress(text, asbytes=True)
-                        file.write(packed)
-                        known[text] = f"{folder}/{name}:{end}:{len(packed)}:{len(text)}"
-                        end += len(packed)
+                        if not opens:
+                            known[text] = HERE + b"%d:" % len(text) + packed
+                        else:
+                            if file is None:
+                                system, path = system_of(folder)
+                                system.make(path)
+                                file = system.create(f"{path}/{name}")
+                            file.write(packed)
+                            known[text] = f"{folder}/{name}:{end}:{len(packed)}:{len(text)}".encode()
+                            end += len(packed)
                     places.append(None if text is None else known[text])
                     last = (text, places[-1])
-                yield pa.array(places, pa.string())
+                yield pa.array(places, pa.binary())
         finally:
             if file is not None:
                 file.close()
@@ -94,16 +112,28 @@ def packed_at(places: Iterable[bytes]) -> dict[bytes, bytes]:
     return found
 
 
+def _size(place: bytes) -> int:
+    return len(place) if place.startswith(HERE) else int(place.rsplit(b":", 2)[1])
+
+
+def _unpacked(place: bytes, packed: dict[bytes, bytes], codec: pa.Codec) -> bytes:
+    if place.startswith(HERE):
+        size, _, text = place[1:].partition(b":")
+    else:
+        size, text = place.rsplit(b":", 1)[1], packed[place]
+    return codec.decompress(text, int(size), asbytes=True)
+
+
 def _units(recipes: list) -> Iterator[list]:
     """Runs of recipes whose texts have about ``READ_BYTES``."""
     unit, seen, size = [], set(), 0
     for recipe in recipes:
         places = {p for p in recipe[1::2] if p is not None}
-        more = sum(int(p.rsplit(b":", 2)[1]) for p in places - seen)
+        more = sum(map(_size, places - seen))
         if unit and size + more > READ_BYTES:
             yield unit
             unit, seen, size = [], set(), 0
-            more = sum(int(p.rsplit(b":", 2)[1]) for p in places)
+            more = sum(map(_size, places))
         unit.append(recipe)
         seen |= places
         size += more
@@ -119,13 +149,13 @@ def put_together(recipes: list, strip: bool = False) -> Iterator[list[bytes]]:
     """
     codec = pa.Codec("zstd")
     for unit in _units(recipes):
-        packed = packed_at(p for recipe in unit for p in recipe[1::2] if p is not None)
+        packed = packed_at(p for recipe in unit for p in recipe[1::2] if p is not None and not p.startswith(HERE))
         out, size = [], 0
         for recipe in unit:
             turns = list(recipe)
             for i in range(1, len(turns), 2):
                 place = turns[i]
-                turns[i] = b"" if place is None else codec.decompress(packed[place], int(place.rsplit(b":", 1)[1]), asbytes=True)
+                turns[i] = b"" if place is None else _unpacked(place, packed, codec)
             text = b"".join(turns)
             out.append(strip_bytes(text) if strip else text)
             size += len(text)
@@ -139,7 +169,7 @@ def put_together(recipes: list, strip: bool = False) -> Iterator[list[bytes]]:
 def recipe_of(pieces: list[Column], places: list[Column]) -> Column:
     """The recipe of a text: ``pieces`` with the texts at ``places`` between them."""
     turns = [c for pair in zip(pieces, places) for c in pair] + [pieces[-1]]
-    return F.array(*[c.cast("string").cast("binary") for c in turns])
+    return F.array(*[c.cast("binary") for c in turns])
 
 
 def text_of(recipe: Column, strip: bool = False) -> Column:

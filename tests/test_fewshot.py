@@ -5,6 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import functions as F
 
 from interviewflow.operators.fewshot import PICKS, attach_shots, fewshot_prompt, gather_talks, require_unique, shots_no_reuse, shots_with_reuse
@@ -12,6 +13,8 @@ from interviewflow.operators.generate import per_request, requests
 from interviewflow.operators.store import read_results
 from interviewflow.plans.fewshot import evaluation_prompts, evaluation_set, training_prompts, training_set
 from interviewflow.session import shared_dir
+from interviewflow.sources import texts
+from interviewflow.sources.prompts import RemoteFolder
 from workload.adapters import keyed, slice_call
 
 SCHEMA = "Participant_ID int, PHQ_Binary int, name string"
@@ -287,6 +290,34 @@ def test_changed_prompts_are_asked_as_they_are(spark, tmp_path):
     assert len(rows) == 8 and all(r.Generated_Rationale == r.prompt == r.prompt.upper() for r in rows)
 
 
+def test_transcripts_go_with_rows_where_workers_cannot_open_the_folder(spark, tmp_path, monkeypatch):
+    data = [(p, p % 2, "f", None if p == 3 else f"talk {p} é" * 50, k, f"reason {p} {k}") for p in range(10) for k in (1, 2)]
+    rows = spark.createDataFrame(data, SELECTED)
+    want = sorted((r["name"], r.prompt, r.Transcript) for r in training_prompts(rows, BODY).collect())
+    for folder in ("viewfs://store/x", "dbfs:/x"):
+        monkeypatch.setattr("interviewflow.operators.fewshot.qualified", lambda session, path, folder=folder: folder)
+        made = training_set(training_prompts(rows, BODY), per_request(lambda r: r["prompt"]), str(tmp_path / folder[:4]), "r1")
+        assert sorted((r["name"], r.Generated_Rationale, r.Transcript) for r in made.collect()) == want
+
+
+def test_texts_at_their_places(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(texts, "SEND_BYTES", 3000)
+    monkeypatch.setattr(texts, "READ_BYTES", 2000)
+    monkeypatch.setattr(texts, "GAP_BYTES", 300)
+    cells = [None if i % 7 == 0 else "".join(random.Random(i % 30).choices("0123456789abcdef", k=i % 30 * 50)) for i in range(90)]
+    rows = spark.createDataFrame(list(enumerate(cells)), "i int, t string").repartition(3)
+    at = rows.select("i", texts.put_texts(F.col("t").cast("binary"), f"file:{tmp_path}/a:b").alias("p")).localCheckpoint()
+    assert len(list((tmp_path / "a:b").iterdir())) == 3
+    assert [r.t for r in at.select("i", texts.text_at(F.col("p")).alias("t")).orderBy("i").collect()] == cells
+    recipes = [[b" <", None if r.p is None else bytes(r.p), b"> "] for r in at.orderBy("i").collect()]
+    sent = list(texts.put_together(recipes, strip=True))
+    assert [t.decode() for some in sent for t in some] == [f"<{c or ''}>" for c in cells]
+    assert len(sent) > 10 and all(sum(map(len, some[:-1])) < 3000 for some in sent)
+    # The same files by Arrow, as those of an object store.
+    monkeypatch.setattr(texts, "system_of", lambda folder: (RemoteFolder(LocalFileSystem()), folder.removeprefix("file:")))
+    assert [t for some in texts.put_together(recipes, strip=True) for t in some] == [t for some in sent for t in some]
+
+
 def test_values_may_look_at_transcripts(spark):
     data = [(p, p % 2, "f", f"talk {p}", 1, "reason") for p in range(4)]
     values = {"own": F.upper("Transcript"), "zero_transcript": F.concat(F.lit("<"), "zero_transcript", F.lit(">"))}
